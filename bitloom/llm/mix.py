@@ -82,12 +82,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     rows = rows.select("doc_id", "d.source", "size", "d.class", F.pmod(key, F.col("parts")).alias("part"), key.alias("key"))
     strata = rows.groupBy("source", "class", "part").agg(F.count("*").alias("n"))
     place = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    strata = ws.table(strata.select("source", "class", "part", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("ahead")), "strata")
+    strata = strata.select("source", "class", "part", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("ahead"))
     strata = strata.alias("t").join(near(sources).alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
-    strata = strata.select(F.col("t.source").alias("source"), "class", "part", "ahead", "source_size", "target", "copies", "start")
+    strata = ws.table(strata.select(F.col("t.source").alias("source"), "class", "part", "ahead", "source_size", "target", "copies", "start"), "placed")
     within = Window.partitionBy("source", "class", "part").orderBy("size", "key", "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(within))
-    few = strata if n_classes > broadcast_sources * 64 else F.broadcast(strata)
+    few = strata if strata.count() > broadcast_sources * 64 else F.broadcast(strata)
     out = rows.alias("r").join(few.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.class") == F.col("t.class")) & (F.col("r.part") == F.col("t.part")))
     upto = lambda i: F.floor(i.cast("double") * F.col("copies") + F.col("start"))
     index = F.col("ahead") + F.col("nth")

@@ -1,14 +1,20 @@
 """Queries and SQL of this subpackage, for the entry module."""
 
-from . import mix, pack
+from . import mix, neighbours, pack, vecdedup
 
 
 def queries() -> dict:
     return {
         "op3_mix_sources": mix.op3,
         "op5_best_fit_packing": pack.op5,
+        "op9_nearest_neighbours": neighbours.op9,
+        "op10_vector_near_dedup": vecdedup.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": mix.SQL}
+    return {
+        "op3_mix_sources": mix.SQL,
+        "op9_nearest_neighbours": neighbours.SQL,
+        "op10_vector_near_dedup": vecdedup.SQL,
+    }
