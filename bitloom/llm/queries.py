@@ -1,12 +1,14 @@
 """Queries and SQL of this subpackage, for the entry module."""
 
-from . import mix, neighbours, pack, vecdedup
+from . import minhash, mix, neighbours, pack, substring, vecdedup
 
 
 def queries() -> dict:
     return {
         "op3_mix_sources": mix.op3,
         "op5_best_fit_packing": pack.op5,
+        "op7_minhash_near_dedup": minhash.op7,
+        "op8_substring_dedup": substring.op8,
         "op9_nearest_neighbours": neighbours.op9,
         "op10_vector_near_dedup": vecdedup.op10,
     }
@@ -15,6 +17,8 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_mix_sources": mix.SQL,
+        "op7_minhash_near_dedup": minhash.SQL,
+        "op8_substring_dedup": substring.SQL,
         "op9_nearest_neighbours": neighbours.SQL,
         "op10_vector_near_dedup": vecdedup.SQL,
     }
