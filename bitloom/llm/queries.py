@@ -1,10 +1,12 @@
 """Queries and SQL of this subpackage, for the entry module."""
 
-from . import minhash, mix, neighbours, pack, substring, vecdedup
+from . import langid, minhash, mix, neighbours, pack, substring, toxicity, vecdedup
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1,
+        "op2_toxicity": toxicity.op2,
         "op3_mix_sources": mix.op3,
         "op5_best_fit_packing": pack.op5,
         "op7_minhash_near_dedup": minhash.op7,
