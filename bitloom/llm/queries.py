@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for the entry module."""
 
-from . import langid, minhash, mix, neighbours, pack, pii, substring, toxicity, vecdedup
+from . import hpylm, langid, minhash, mix, neighbours, pack, pii, substring, toxicity, vecdedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_mix_sources": mix.op3,
         "op4_personal_data": pii.op4,
         "op5_best_fit_packing": pack.op5,
+        "op6_language_model": hpylm.op6,
         "op7_minhash_near_dedup": minhash.op7,
         "op8_substring_dedup": substring.op8,
         "op9_nearest_neighbours": neighbours.op9,
