@@ -58,17 +58,19 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float
     every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("words", F.lit(share) * F.sum("source_size").over(every))
     s = s.withColumn("rate", (F.col("words") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    s = s.withColumn("rate", F.min(F.when(F.col("rate") * F.col("weight") <= F.col("limit"), F.col("rate"))).over(every))
+    # the rate rises while the sources before it are full, and falls after the first that isn't
+    s = s.withColumn("rate", F.max("rate").over(every))
     s = s.withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("rate") * F.col("weight"), F.col("limit"))))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = hash32(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))) / F.lit(float(1 << 32))
     return s.select("source", "source_size", "target", copies.alias("copies"), start.alias("start"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, stratum: int = 4096, seed: str = "mix", broadcast_sources: int = 2000) -> DataFrame:
-    """documents -> doc_id, source, size, source_size, target, copies_taken, taken."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, stratum: int = 4096, seed: str = "mix", broadcast_sources: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> doc_id, source, size, source_size, target, copies_taken, taken, and the columns to carry, renamed carry_0, carry_1 ..."""
     ws = Workspace(docs.sparkSession, "mix")
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    more = [f"carry_{i}" for i in range(len(carry))]
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`").alias(m) for c, m in zip(carry, more)])
     sizes = ws.table(sizes.withColumn("class", size_class(F.col("size"))), "sizes")
     classes = ws.table(sizes.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "classes")
     sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap, seed)
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     parts = classes.select("source", "class", F.ceil(F.col("n") / stratum).cast("long").alias("parts"))
     key = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = sizes.alias("d").join(near(parts).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.class") == F.col("p.class")))
-    rows = rows.select("doc_id", "d.source", "size", "d.class", F.pmod(key, F.col("parts")).alias("part"), key.alias("key"))
+    rows = rows.select("doc_id", "d.source", "size", "d.class", F.pmod(key, F.col("parts")).alias("part"), key.alias("key"), *more)
     strata = rows.groupBy("source", "class", "part").agg(F.count("*").alias("n"))
     place = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     strata = strata.select("source", "class", "part", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("ahead"))
@@ -92,7 +94,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     upto = lambda i: F.floor(i.cast("double") * F.col("copies") + F.col("start"))
     index = F.col("ahead") + F.col("nth")
     taken = (upto(index) - upto(index - 1)).cast("long")
-    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.alias("copies_taken"), (taken * F.col("size")).alias("taken"))
+    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.alias("copies_taken"), (taken * F.col("size")).alias("taken"), *more)
+
+
+def repeat_to_targets(docs: DataFrame, **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, with all their columns."""
+    names = docs.columns
+    out = mix(docs, carry=tuple(names), **options).where("copies_taken > 0")
+    out = out.select(*[F.col(f"carry_{i}").alias(c) for i, c in enumerate(names)], F.explode(F.sequence(F.lit(1), F.col("copies_taken").cast("int"))).alias("__copy"))
+    return out.drop("__copy")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +124,7 @@ WITH d AS (
   SELECT *, (words - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM s1
 ), s3 AS (
-  SELECT *, (SELECT min(rate) FROM s2 x WHERE x.rate * x.weight <= x.lim) AS level FROM s2
+  SELECT *, max(rate) OVER () AS level FROM s2
 ), s AS (
   SELECT source, source_size, least(lim, coalesce(level * weight, lim)) AS target,
          CASE WHEN source_size > 0 THEN least(lim, coalesce(level * weight, lim)) / source_size ELSE 0.0 END AS copies,
