@@ -99,3 +99,36 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def groups(batches, key: int):
+    """Tables of rows with one key, from batches sorted by it."""
+    import pyarrow as pa
+
+    open_: list = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        k = t.column(key).to_numpy()
+        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+        edges = [0, *cut.tolist(), len(k)]
+        for i, j in zip(edges, edges[1:]):
+            if open_ and open_[-1].column(key)[0].as_py() != k[i]:
+                yield pa.concat_tables(open_)
+                open_ = []
+            open_.append(t.slice(i, j - i))
+    if open_:
+        yield pa.concat_tables(open_)
+
+
+def slices(texts: list[bytes], most: int = 2_000_000):
+    """Stretches of texts of about ``most`` bytes, to bound a task's memory; a longer text is one by itself."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)

@@ -8,10 +8,15 @@
 3. ``bands`` of ``rows`` coordinates are bucket keys.  In a bucket, each node
    meets its smallest node and the one before it: linear in the bucket.
    Pairs whose sizes, or whose signatures (by five standard errors), rule the
-   threshold out are dropped; the others are confirmed on their full sets.
-4. Confirmed links form components.  Buckets that now hold one component are
-   done.  In the others all pairs of nodes of different components are confirmed
-   too, so no colliding pair that could join two components goes unseen.
+   threshold out are dropped; the others join nodes to clusters.
+4. A cluster's full sets go, once each, to one task, which finds the exact
+   components by an index of shingles: a node is compared with those that no
+   link has reached yet, so that a group of near copies costs little more than
+   reading it, and no pair leaves the task.  Clusters above ``most_shingles`` are
+   too large for that: their pairs are confirmed one by one in a join instead.
+5. Buckets that hold nodes of several clusters are compared by signature, in
+   tiles; what could be linked is confirmed on full sets.  So no colliding pair
+   that could join two components goes unseen.
 
 A pair at Jaccard J shares no bucket with probability (1 - J**rows)**bands:
 1.5e-5 at 0.8 with the defaults, and falling fast above it.
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, Workspace, mix64, read, text_bytes
+from .common import U64, WordHashes, Workspace, groups, mix64, read, text_bytes
 from .graph import components
 
 UPPER = bytes(range(65, 91))
@@ -115,8 +120,8 @@ def signature_rows(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, set) for the given nodes (node, s1, s2): sorted 64-bit hashes of all shingles."""
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int, near: int = 2_000_000) -> DataFrame:
+    """(node, set) for the given nodes: sorted 64-bit hashes of all shingles."""
 
     def run(batches):
         words = WordHashes()
@@ -124,83 +129,183 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             sets = [shingles(words.of(t.translate(TO_LOWER).split()), n).tobytes() for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node"), "node", "left_semi")
-    return wanted.mapInArrow(run, "node long, set binary")
+    # few ids go to where the texts are; many meet them by a shuffle
+    nodes = F.broadcast(nodes) if nodes.count() <= near else nodes
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, set binary")
 
 
-def jaccard_at_least(na: int, nb: int, common: int, percent: int) -> bool:
+def is_link(na, nb, common, percent: int):
+    """100 * intersection >= percent * union, in whole numbers."""
     return 100 * common >= percent * (na + nb - common)
 
 
-def confirm(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least ``percent`` hundredths."""
-    low = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def exact_components(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The smallest node of each one's component, by full sets."""
+    size = np.array([len(s) for s in sets])
+    out, left = np.full(len(nodes), -1), np.arange(len(nodes))
+    flat = owner = np.empty(0, np.int64)
+    stale = True
+    queue: list[int] = []
+    while len(left) or queue:
+        if not queue:
+            start = int(left[0])
+            out[start] = start
+            queue, left = [start], left[1:]
+        i = queue.pop()
+        if not len(left):
+            out[queue] = out[i]
+            break
+        if stale:  # an index of what no link has reached yet
+            flat = np.concatenate([sets[j] for j in left])
+            owner = np.repeat(left, size[left])
+            order = np.argsort(flat, kind="stable")
+            flat, owner, indexed, stale = flat[order], owner[order], len(left), False
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(nodes))[left]
+        hit = is_link(size[i], size[left], common, percent) & (common > 0)
+        if hit.any():
+            new = left[hit]
+            out[new] = out[i]
+            queue += new.tolist()
+            left = left[~hit]
+            stale = len(left) * 2 < indexed
+    low = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(low, out, nodes)
+    return low[out]
+
+
+def likely(size: int, percent: int) -> float:
+    """Agreeing low bytes of two signatures below which a link is ruled out: a coordinate agrees with probability j at least."""
+    j = percent / 100
+    return size * (j - 5 * (j * (1 - j) / size) ** 0.5)
+
+
+def likely_pairs(nodes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures allow a link."""
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     info = nodes.select("node", "n", "sketch")
     p = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-    p = p.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b").where(low)
-    j = percent / 100
-    # a coordinate agrees with probability j, or by chance in its low byte
-    least = size * (j - 5 * (j * (1 - j) / size) ** 0.5)
+    p = p.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b").where(fits)
+    least = likely(size, percent)
 
-    def likely(batches):
+    def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, size) for i in (2, 3))
             m = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([b.column(i).filter(m) for i in (0, 1)], ["a", "b"])
 
-    p = ws.table(p.select("a", "b", "ka", "kb").mapInArrow(likely, "a long, b long"), "pairs")
-    used = p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    sets = ws.table(sets_of(docs, used, n), "sets")
+    return p.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
-    def exact(batches):
+
+def confirm(ws: Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table that are links, each by a join with both full sets."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = ws.table(sets_of(docs, ws.table(used, "used"), n), "sets")
+
+    def run(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")  # merges two sorted runs
-                ok.append(jaccard_at_least(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent))
+                ok.append(is_link(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent))
             m = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(m) for i in (0, 1)], ["a", "b"])
 
-    q = p.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    links = ws.table(q.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "links")
-    ws.drop(sets, p)
+    q = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    links = ws.table(q.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    ws.drop(sets)
     return links
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, chain: int = 4096) -> DataFrame:
+def within_clusters(ws: Workspace, docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
+    """clusters (node, cluster) -> edges (a, b) that join each exact component to its smallest node."""
+    sets = sets_of(docs, clusters.select("node"), n)
+
+    def run(batches):
+        for t in groups(batches, 0):
+            nodes, first = np.unique(t["node"].to_numpy(), return_index=True)
+            raw = t["set"].take(pa.array(first)).to_pylist()
+            low = exact_components(nodes, [np.frombuffer(x, U64) for x in raw], percent)
+            m = low != nodes
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[m]), pa.array(low[m])], ["a", "b"])
+
+    sent = sets.join(clusters, "node").select("cluster", "node", "set")
+    return sent.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long")
+
+
+def across_clusters(members: DataFrame, percent: int, size: int, tile: int) -> DataFrame:
+    """members (key, node, cluster, n, sketch, tiles) -> pairs (a, b) in one bucket but two clusters, that could be links."""
+    least = likely(size, percent)
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    one = members.select("*", mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    one = one.withColumn("place", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+
+    def run(batches):
+        for t in groups(batches, 0):
+            if t.num_rows < 2:
+                continue
+            node, cluster, n = (t[c].to_numpy() for c in ("node", "cluster", "n"))
+            x = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, size)
+            a, b = [], []
+            for i in range(len(node)):
+                fits = np.flatnonzero((cluster[i + 1 :] != cluster[i]) & (np.minimum(n[i], n[i + 1 :]) * 100 >= np.maximum(n[i], n[i + 1 :]) * percent)) + i + 1
+                fits = fits[(x[fits] == x[i]).sum(axis=1) >= least] if len(fits) else fits
+                a += [int(node[i])] * len(fits)
+                b += node[fits].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    one = one.select("place", "node", "cluster", "n", "sketch").repartition("place").sortWithinPartitions("place")
+    return one.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, chain: int = 4096, tile: int = 2048, most_shingles: int = 4_000_000) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept; n-word shingles, similarity of at least ``percent`` hundredths."""
-    ws = Workspace(docs.sparkSession, "minhash")
+    ws, size = Workspace(docs.sparkSession, "minhash"), bands * rows
     all_ = ws.table(signature_rows(docs, n, bands, rows), "signatures")
     names = ws.table(all_.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "names")
     first = all_.select("doc_id", "n", F.col("s1").alias("t1"), F.col("s2").alias("t2"), "keys", "sketch")
     nodes = names.join(first, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("node") == F.col("doc_id")))
     nodes = ws.table(nodes.select("node", "n", "keys", "sketch"), "nodes")
     member = nodes.select("node", F.explode("keys").alias("key"))
-    crowd = member.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("rep")).where("members > 1")
-    crowd = ws.table(crowd, "crowd")
+    crowd = ws.table(member.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("rep")).where("members > 1"), "crowd")
     member = ws.table(member.join(crowd, "key"), "members")
     ws.drop(crowd)
-    # small buckets in order of ids, so that a group's buckets give the same pairs; large ones in an order of their own, for many different partners
+    # small buckets in order of ids, so that a group's buckets give the same pairs; large ones in an order of their own, for other partners
     place = F.when(F.col("members") > 8, F.xxhash64("node", "key")).otherwise(F.col("node"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / chain).cast("int"))
     before = F.lag("node").over(Window.partitionBy("key", "part").orderBy("place", "node"))
     star = member.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     path = member.withColumn("part", part).withColumn("place", place).select(before.alias("a"), F.col("node").alias("b")).where("a is not null and a <> b")
     pairs = star.unionByName(path).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = confirm(ws, docs, nodes, pairs, n, percent, bands * rows)
-    comps = components(ws, links)
-    # buckets with nodes of several components: all pairs across components
-    placed = member.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = ws.table(placed.join(ws.table(mixed, "mixed").select("key"), "key", "left_semi"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    late = confirm(ws, docs, nodes, across.join(pairs, ["a", "b"], "left_anti"), n, percent, bands * rows)
+    pairs = ws.table(likely_pairs(nodes, pairs, percent, size), "pairs")
+    clusters = components(ws, pairs).withColumnRenamed("component", "cluster")
+    weight = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.sum("n").alias("shingles"))
+    clusters = ws.table(clusters.join(ws.table(weight, "weights"), "cluster"), "clusters")
+    small = clusters.where(F.col("shingles") <= most_shingles).select("node", "cluster")
+    links = ws.table(within_clusters(ws, docs, ws.table(small, "small"), n, percent), "links")
+    large = clusters.where(F.col("shingles") > most_shingles).select("node")
+    big = not large.isEmpty()
+    if big:
+        mine = ws.table(pairs.join(large, pairs.a == large.node, "left_semi"), "large")
+        links = links.unionByName(confirm(ws, docs, mine, n, percent))
+        done = ws.table(components(ws, links), "done")
+        # in a large cluster, components stand for clusters from here on
+        again = large.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+        clusters = ws.table(small.unionByName(again), "reclustered")
+    placed = member.select("key", "node", "members").join(clusters.select("node", "cluster"), "node", "left")
+    placed = placed.select("key", "node", "members", F.coalesce("cluster", "node").alias("cluster"))
+    mixed = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("key")
+    placed = placed.join(ws.table(mixed, "mixed"), "key", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
+    tiles = F.ceil(F.col("members") / tile).cast("int")
+    late = ws.table(across_clusters(placed.select("key", "node", "cluster", "n", "sketch", tiles.alias("tiles")), percent, size, tile), "late")
     if not late.isEmpty():
-        comps = components(ws, links.unionByName(late))
+        links = links.unionByName(confirm(ws, docs, late, n, percent))
+    comps = components(ws, links)
     label = names.join(comps, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     label = ws.table(label.withColumnsRenamed({"s1": "t1", "s2": "t2"}), "labels")
     out = all_.select("doc_id", "n", "s1", "s2").join(label, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left")
@@ -208,6 +313,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
 
 
+def keep_one(docs: DataFrame, near: int = 2_000_000, **options) -> DataFrame:
+    """The documents with one of each group of near duplicates left: its smallest id, one row of it.
+
+    Documents without an id stay, as no id stands for them.
+    """
+    ws = Workspace(docs.sparkSession, "keep")
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    kept = ws.table(kept.withColumnRenamed("doc_id", "__kept"), "kept")
+    kept = F.broadcast(kept) if kept.count() <= near else kept
+    found = docs.join(kept, docs.doc_id == F.col("__kept"))
+    once = found.where(F.col("__rows") == 1).select(*[docs[c] for c in docs.columns])
+    again = found.where(F.col("__rows") > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n=2, percent=80)
 
