@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, Workspace, mix64, read, text_bytes
+from .common import U64, WordHashes, Workspace, mix64, read, slices, text_bytes
 
 BLOCK_BITS = 20
 
@@ -102,8 +102,10 @@ def sketch(docs: DataFrame, bits: int, depth: int, length: int, gram: int) -> Da
     def run(batches):
         reader, anchors = Windows(length, gram), []
         for b in batches:
-            _, _, place, g, _ = reader.read(text_bytes(b.column(0)))
-            anchors.append(g[np.unique(place)])
+            texts = text_bytes(b.column(0))
+            for x, y in slices(texts):
+                _, _, place, g, _ = reader.read(texts[x:y])
+                anchors.append(g[np.unique(place)])
         found = np.concatenate(anchors) if anchors else np.empty(0, U64)
         for row in range(depth if len(found) else 0):
             cell, n = np.unique(cells(found, row, bits), return_counts=True)
@@ -196,19 +198,22 @@ def candidates(docs: DataFrame, shared, bits: int, depth: int, length: int, gram
         reader, keep = Windows(length, gram), Filter(shared.value, bits, depth)
         ids, names, held, n = [], [], [], 0
         for b in batches:
-            start, at, place, g, h = reader.read(text_bytes(b.column(1)))
-            if len(at):
-                repeated = keep(g[place])
-                at, place = at[repeated], place[repeated]
-            if len(at):
+            texts = text_bytes(b.column(1))
+            for x, y in slices(texts):
+                start, at, place, g, h = reader.read(texts[x:y])
+                if len(at):
+                    repeated = keep(g[place])
+                    at, place = at[repeated], place[repeated]
+                if not len(at):
+                    continue
                 doc = np.searchsorted(start, at, side="right") - 1
                 held.append((doc + len(ids), at - start[doc], g[place], reader.whole(h)[at]))
                 n += len(at)
-                ids += b.column(0).to_pylist()
-                names.append(b.column(2).to_numpy(zero_copy_only=False))
-            if n >= most:
-                yield from flush(pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
-                ids, names, held, n = [], [], [], 0
+                ids += b.column(0).slice(x, y - x).to_pylist()
+                names.append(b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False))
+                if n >= most:
+                    yield from flush(pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
+                    ids, names, held, n = [], [], [], 0
         if n:
             yield from flush(pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
 
