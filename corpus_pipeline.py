@@ -1,8 +1,68 @@
-"""Corpus preparation as a pipeline of stages."""
+"""Corpus preparation: five stages over the table of documents.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``docs``.  A driver writes each result and reads it back
+as the next one's ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bitloom.llm import langid, minhash, mix, pack, pii
+from bitloom.llm.common import Workspace, read
+
+#: Least share of the predicted language in a document that stays.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one language prevails; texts without letters go."""
+    found = langid.identify(docs, F.lit(True))
+    stays = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)
+    return found.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8)."""
+    return minhash.keep_one(docs, n=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; null texts stay null."""
+    found = pii.find(docs)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("redacted"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their targets."""
+    return mix.repeat_to_targets(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of bounded length."""
+    return pack.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix_sources", mixture),
+    ("best_fit_packing", sequences),
+]
+
+#: Language inference, signatures, tokens and packing are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = ws.table(stage(spark, docs, sf_dir), name)
+    return docs
