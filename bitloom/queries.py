@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import bits, codes
+from .functions import bits, codes, records
 from .functions.codes import C18, CHECKS_18, LADDER, LOGICALS_18
-from .operators import decode, gf2, score
-from .plans import orders
+from .operators import decode, gf2, score, temporal
+from .plans import dag, elimination, orders
 from .sources import generators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -825,3 +825,242 @@ def v05(spark, sf_dir):
 @query("v07_shards", "SELECT o_orderkey % 64 AS shard, count(*) AS n, bit_xor(o_orderkey) AS mark FROM orders GROUP BY 1")
 def v07(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 64).alias("shard")).agg(F.count("*").alias("n"), F.bit_xor("o_orderkey").alias("mark"))
+
+
+# Histories over rounds
+
+DETECTOR_SQL = f"""{FAULTS}, pl AS (
+  SELECT q, CASE WHEN q < 18 THEN {parities('(1::BIGINT << (q % 18))', [CHECKS_18[i] for i in (0, 1, 2, 5, 6, 7, 8)])} << 0
+                 WHEN q < 36 THEN {parities('(1::BIGINT << (q % 18))', [CHECKS_18[i] for i in (0, 1, 2, 5, 6, 7, 8)])} << 7
+                 WHEN q < 54 THEN {parities('(1::BIGINT << (q % 18))', [CHECKS_18[i] for i in (0, 1, 2, 5, 6, 7, 8)])} << 14
+                 ELSE (129::BIGINT << (q - 54) % 7) << (7 * ((q - 54) // 7)) END AS d,
+         CASE WHEN q < 54 THEN 1::BIGINT << (q % 18) ELSE 0 END AS t
+  FROM range(75) r(q)
+), de AS (
+  SELECT idx, xor(coalesce(x.d, 0), coalesce(y.d, 0)) AS detectors, xor(coalesce(x.t, 0), coalesce(y.t, 0)) AS terminal
+  FROM fh LEFT JOIN pl x ON x.q = a LEFT JOIN pl y ON y.q = b
+)"""
+
+
+@query("l12_detectors", f"WITH {DETECTOR_SQL} SELECT idx, detectors, terminal FROM de")
+def l12(spark, sf_dir):
+    return temporal.detectors(generators.fault_histories(spark))
+
+
+@query("a08_detector_fibers", f"WITH {DETECTOR_SQL} SELECT detectors, count(*) AS histories, count(DISTINCT ({parities('terminal', CHECKS_18)} << 4) + {parities('terminal', LOGICALS_18)}) AS classes FROM de GROUP BY detectors")
+def a08(spark, sf_dir):
+    return temporal.fibers(temporal.detectors(generators.fault_histories(spark)))
+
+
+@query("d13_ambiguity", "SELECT * FROM (VALUES (1::BIGINT, 2320::BIGINT), (2, 60), (3, 137)) t(histories, fibers)")
+def d13(spark, sf_dir):
+    f = temporal.fibers(temporal.detectors(generators.fault_histories(spark)))
+    return f.groupBy("histories").agg(F.count("*").alias("fibers"))
+
+
+@query("d13_ambiguous_fibers", "SELECT 135::BIGINT AS fibers, 405::BIGINT AS histories")
+def d13_ambiguous(spark, sf_dir):
+    f = temporal.fibers(temporal.detectors(generators.fault_histories(spark))).where("classes > 1")
+    return f.agg(F.count("*").alias("fibers"), F.sum("histories").alias("histories"))
+
+
+# Elimination and compiled graphs
+
+ORDER_18 = [v for v, _, _ in orders.eliminate(codes.scopes(C18), 7, "min_fill")]
+
+
+def contracted(spark: SparkSession) -> DataFrame:
+    seeds = spark.range(1 << len(SEED_QUBITS)).select(F.col("id").alias("class"), bits.lift("id", [1 << q for q in SEED_QUBITS]).alias("seed"))
+    out = elimination.contract(seeds, codes.scopes(C18), ORDER_18).join(seeds, "class")
+    return out.select(bits.syndrome("seed", CHECKS_18).alias("syn"), bits.syndrome("seed", LOGICALS_18).alias("lab"), "m9", "m2", "w", "rep", "key")
+
+
+@query("g03_elimination", f"WITH {CLASSES} SELECT syn, lab, m9, m2, w, rep, key FROM cl")
+def g03(spark, sf_dir):
+    return contracted(spark)
+
+
+@query("d06_elimination_decoder", f"WITH {decided('sum_product')}, {CORPUS}, {scored()} {SHELLS}")
+def d06(spark, sf_dir):
+    return decode.shells(decode.lookup(generators.weight_shells(spark), decode.decisions(contracted(spark), "sum_product")))
+
+
+def compiled(algebra: str):
+    return dag.build(algebra, codes.scopes(C18), ORDER_18, {q: i for i, q in enumerate(SEED_QUBITS)})
+
+
+def evaluated(spark: SparkSession) -> DataFrame:
+    """(coordinate, m9, m2, w, rep, key): each task evaluates whole graphs as vectors over its selectors."""
+    graphs = spark.sparkContext.broadcast({a: compiled(a) for a in decode.ALGEBRAS})
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            x = f["id"].to_numpy()
+            v = {a: dag.evaluate(*g, x, a) for a, g in graphs.value.items()}
+            yield pd.DataFrame({"coordinate": x, "m9": v["sum_product"][0], "m2": v["soft_tropical"][0], "w": v["min_plus"][0], "rep": v["min_plus"][1], "key": v["min_plus"][2]})
+
+    return spark.range(1 << len(SEED_QUBITS)).mapInPandas(run, "coordinate long, m9 long, m2 long, w long, rep long, key long")
+
+
+def evaluated_classes(spark: SparkSession) -> DataFrame:
+    seed = bits.lift("coordinate", [1 << q for q in SEED_QUBITS])
+    return evaluated(spark).select(bits.syndrome(seed, CHECKS_18).alias("syn"), bits.syndrome(seed, LOGICALS_18).alias("lab"), "m9", "m2", F.col("w").cast("int").alias("w"), "rep", "key")
+
+
+@query("g08_graph_nodes", "SELECT * FROM (VALUES ('sum_product', 371), ('soft_tropical', 371), ('min_plus', 388)) t(algebra, nodes)")
+def g08(spark, sf_dir):
+    rows = []
+    for a in decode.ALGEBRAS:
+        g, root = compiled(a)
+        rows.append((a, len(g.reachable(root))))
+    return spark.createDataFrame(rows, "algebra string, nodes int")
+
+
+@query("g09_graph_values", f"WITH {CLASSES} SELECT syn, lab, m9, m2, w, rep, key FROM cl")
+def g09(spark, sf_dir):
+    return evaluated_classes(spark)
+
+
+@query("d07_graph_decoder", f"WITH {decided('min_plus')}, {CORPUS}, {scored()} {SHELLS}")
+def d07(spark, sf_dir):
+    return decode.shells(decode.lookup(generators.weight_shells(spark), decode.decisions(evaluated_classes(spark), "min_plus")))
+
+
+@query("g05_junction_tree")
+def g05(spark, sf_dir):
+    """Maximal cliques of the 72-bit code's order, with the factors assigned to each."""
+    s = codes.scopes(LADDER[0])
+    return elimination.cliques(spark, s, [v for v, _, _ in orders.eliminate(s, 30, "min_fill")])
+
+
+# Records
+
+
+@query("p14_canonical_digest", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS sha FROM nation""")
+def p14(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", records.canonical_sha256(F.to_json(F.struct("n_regionkey", "n_nationkey", "n_name"))).alias("sha"))
+
+
+@query("p15_content_digest", "SELECT item_id, sha256(text) AS sha FROM benchmark")
+def p15(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("sha"))
+
+
+@query("p16_exact_keys", "SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN '-k' ELSE '' END AS problems FROM events")
+def p16(spark, sf_dir):
+    keys = F.json_object_keys("props")
+    return table(spark, sf_dir, "events").select("event_id", F.concat_ws(",", records.key_problems(keys, ["k"])).alias("problems"))
+
+
+CUSTOMER_SCHEMA = {
+    "required": ["c_custkey", "c_name"],
+    "properties": {
+        "c_custkey": {"type": "integer", "minimum": 1},
+        "c_name": {"type": "string", "pattern": "Customer#[0-9]+", "minLength": 5},
+        "c_acctbal": {"type": "number", "minimum": 0},
+        "c_mktsegment": {"enum": ["BUILDING", "MACHINERY"]},
+    },
+}
+
+
+@query(
+    "p17_schema_violations",
+    "SELECT c_custkey, 'c_custkey:minimum' AS rule FROM customer WHERE c_custkey < 1 UNION ALL SELECT c_custkey, 'c_name:pattern' FROM customer WHERE NOT regexp_full_match(c_name, 'Customer#[0-9]+') UNION ALL SELECT c_custkey, 'c_name:minLength' FROM customer WHERE length(c_name) < 5 UNION ALL SELECT c_custkey, 'c_acctbal:minimum' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'c_mktsegment:enum' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
+)
+def p17(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    return records.violations(c, "c_custkey", records.schema_rules(CUSTOMER_SCHEMA, dict(c.dtypes)))
+
+
+@query("p18_guards", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 10 THEN 0 ELSE 1 END + CASE WHEN isfinite(l_extendedprice) THEN 0 ELSE 1 END + CASE WHEN length(l_returnflag) > 0 THEN 0 ELSE 1 END AS broken FROM lineitem")
+def p18(spark, sf_dir):
+    ok = [F.col("l_quantity") >= 10, F.abs("l_extendedprice") < float("inf"), F.length("l_returnflag") > 0]
+    broken = sum(((~F.coalesce(x, F.lit(False))).cast("int") for x in ok), F.lit(0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", broken.alias("broken"))
+
+
+@query("p19_safe_paths", "WITH p AS (SELECT page_id, substr(url, 8) AS path FROM pages) SELECT page_id, NOT (list_contains(string_split(path, '/'), '') OR list_contains(string_split(path, '/'), '.') OR list_contains(string_split(path, '/'), '..')) AND NOT regexp_matches(path, '[*?\\[\\]\\\\]') AS safe FROM p")
+def p19(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", records.safe_path(F.substring("url", 8, 100000)).alias("safe"))
+
+
+@query("p20_timestamps", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_ms(date_trunc('second', ts)) // 1000 ELSE -1 END AS seconds FROM events")
+def p20(spark, sf_dir):
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(text, F.lit("Z"))).otherwise(text)
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.unix_timestamp(records.aware_timestamp(text)), F.lit(-1)).cast("long").alias("seconds"))
+
+
+@query("p21_normalised_names", "SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS name, contains(lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')), '00') AS hit FROM supplier")
+def p21(spark, sf_dir):
+    n = records.normalised(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", n.alias("name"), F.contains(n, F.lit("00")).alias("hit"))
+
+
+@query("p22_utility", "SELECT p_partkey, round(p_retailprice / ((1.0::DOUBLE + p_size) * (1.0::DOUBLE + p_partkey % 5) * (1.0::DOUBLE + log2(1.0::DOUBLE + p_partkey % 7))), 9) AS utility FROM part")
+def p22(spark, sf_dir):
+    u = records.utility(F.col("p_retailprice"), F.col("p_size"), F.col("p_partkey") % 5, F.col("p_partkey") % 7)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(u, 9).alias("utility"))
+
+
+@query("p23_projected_equality", "SELECT event_id, '$.k' AS path FROM events WHERE event_id % 10 = 0")
+def p23(spark, sf_dir):
+    """Leaves of altered records that differ from the full ones."""
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    altered = e.withColumn("props", F.when(F.col("event_id") % 10 == 0, F.regexp_replace("props", r": (\d+)", ': "$1"')).otherwise(F.col("props")))
+    return records.projected_differences(records.flatten(altered, "event_id", "props"), records.flatten(e, "event_id", "props"), "event_id").select("event_id", "path")
+
+
+@query("o01_canonical_order", f"WITH {decided('sum_product')} SELECT row_number() OVER (ORDER BY {bitstring('syn', 9)}) AS nth, {bitstring('syn', 9)} AS syndrome, {bitstring('correction', 18)} AS correction FROM de")
+def o01(spark, sf_dir):
+    d = decode.decisions(decode.classes(generators.states(spark)), "sum_product")
+    d = d.select(bits.encode("syn", 9).alias("syndrome"), bits.encode("correction", 18).alias("correction"))
+    return d.withColumn("nth", F.row_number().over(Window.orderBy("syndrome")).cast("long"))
+
+
+@query("o02_independent_rows", "SELECT * FROM (VALUES " + ", ".join(f"({i})" for i in range(7)) + ") t(row)")
+def o02(spark, sf_dir):
+    """The lexicographically first independent checks, by an ordered fold over the rows' reduction."""
+    return spark.createDataFrame([(i,) for i in codes.independent(CHECKS_18)], "row int")
+
+
+@query("o05_latest_receipt", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
+def o05(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+
+
+COMPONENTS = ((1, 2), (2, 3), (3, 4), (5, 3), (6, 1), (7, 8), (9, 7))
+
+
+@query("v04_affected_components", "WITH RECURSIVE d(child, parent) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in COMPONENTS) + "), r(changed, affected) AS (SELECT parent, parent FROM d UNION SELECT r.changed, d.child FROM r JOIN d ON d.parent = r.affected) SELECT changed, affected FROM r")
+def v04(spark, sf_dir):
+    """Components that depend on each changed one, however far."""
+    spark.createDataFrame(COMPONENTS, "child int, parent int").createOrReplaceTempView("bitloom_depends")
+    return spark.sql("WITH RECURSIVE r(changed, affected) AS (SELECT DISTINCT parent, parent FROM bitloom_depends UNION ALL SELECT r.changed, d.child FROM r JOIN bitloom_depends d ON d.parent = r.affected) SELECT DISTINCT changed, affected FROM r")
+
+
+@query("v03_history_equality", "SELECT doc_id, 'changed' AS problem FROM documents WHERE doc_id % 7 = 0")
+def v03(spark, sf_dir):
+    """Two ledgers of (path, bytes, digest) reconciled by a full outer join."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    other = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    other = other.select("doc_id", F.octet_length("text").alias("bytes2"), F.sha2("text", 256).alias("sha2"))
+    both = d.join(other, "doc_id", "full_outer")
+    problem = F.when(F.col("sha").isNull(), "added").when(F.col("sha2").isNull(), "missing").when((F.col("sha") != F.col("sha2")) | (F.col("bytes") != F.col("bytes2")), "changed")
+    return both.select("doc_id", problem.alias("problem")).where("problem is not null")
+
+
+@query("v06_receipt_rules", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate >= o_orderdate THEN 'ok' ELSE 'ends before it starts' END AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def v06(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("l_orderkey", "l_linenumber", F.when(F.col("l_shipdate") >= F.col("o_orderdate"), "ok").otherwise("ends before it starts").alias("state"))
+
+
+@query("v09_pending_jobs", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')")
+def v09(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
