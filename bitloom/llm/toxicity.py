@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, training
+from .common import Workspace, read, training
 
 #: Letters of other scripts that look like Latin ones (fixed values), and the letter each stands for.
 HOMOGLYPHS = dict(zip("аеорсухіѕјԁһӏмтвнкɡαοερντικυχѡⅼ", "aeopcyxisjdhlmtbhkgaoepvtikuxwl"))
@@ -179,7 +179,9 @@ def learn(docs: DataFrame, labels: DataFrame, is_training, sample: int = 6000, l
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, 2 * sample / max(1, size.get(0, 0))))
     labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(labelled, "id").select("id", "text", "toxic")
+    # the sample is bounded, so its ids go to where the texts are, and its texts are kept as a table
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(labelled), "id").select("id", "text", "toxic")
+    rows = Workspace(docs.sparkSession, "toxicity").table(rows, "sample")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     built_in = {fold(w): 4.0 for w in BUILT_IN}
