@@ -32,7 +32,7 @@ from .common import Workspace, read, training
 #: Letters of other scripts that look like Latin ones (fixed values), and the letter each stands for.
 HOMOGLYPHS = dict(zip("аеорсухіѕјԁһӏмтвнкɡαοερντικυχѡⅼ", "aeopcyxisjdhlmtbhkgaoepvtikuxwl"))
 #: Signs and digits used for letters (fixed values).
-SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasii"))
+SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi"))
 #: i and l, and what stands for either, are one letter after folding.
 SAME = {"l": "i", "ı": "i", "ł": "i"}
 #: Insults that count whatever the labels say (fixed values).
@@ -59,8 +59,15 @@ FOLD = folding()
 WORD = re.compile(r"[^\W_]+")
 
 
+#: Signs stand for letters only inside words, or the last two also before one.
+SIGNS = re.compile(r"[@$!](?![^\W_])|(?<![^\W_])@")
+
+
 def fold(text: str) -> str:
-    return text.lower().translate(FOLD)
+    text = text.lower()
+    if "!" in text or "@" in text or "$" in text:
+        text = SIGNS.sub(" ", text)
+    return text.translate(FOLD)
 
 
 class Lexicon:
