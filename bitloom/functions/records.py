@@ -78,6 +78,10 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(key, F.explode(F.array_compact(broken)).alias("rule"))
 
 
+def at_least(items: Column, least) -> Column:
+    return F.forall(items, lambda x: x >= least)
+
+
 def schema_rules(schema: dict, fields: dict[str, str], path: str = "") -> dict[str, Column]:
     """Rules for columns from a schema of the kinds const, enum, type, required, minLength, pattern, minimum, items, uniqueItems."""
     types = {"integer": ("tinyint", "smallint", "int", "bigint"), "number": ("tinyint", "smallint", "int", "bigint", "float", "double"), "string": ("string",), "boolean": ("boolean",), "array": ("array",), "null": ()}
@@ -95,7 +99,7 @@ def schema_rules(schema: dict, fields: dict[str, str], path: str = "") -> dict[s
         if "type" in s:
             kinds = [s["type"]] if isinstance(s["type"], str) else s["type"]
             fits = any(fields[name].startswith(t) for k in kinds for t in types[k])
-            out[f"{label}:type"] = (c.isNull() if "null" in kinds else F.lit(False)) | (c.isNotNull() & F.lit(fits)) | (c.isNull() & F.lit(name not in schema.get("required", [])))
+            out[f"{label}:type"] = when(F.lit(fits))  # an absent value is a matter of ``required``
         if "const" in s:
             out[f"{label}:const"] = when(c == s["const"])
         if "enum" in s:
@@ -109,7 +113,7 @@ def schema_rules(schema: dict, fields: dict[str, str], path: str = "") -> dict[s
         if s.get("uniqueItems"):
             out[f"{label}:uniqueItems"] = when(F.size(F.array_distinct(c)) == F.size(c))
         if "items" in s and "minimum" in s["items"]:
-            out[f"{label}:items"] = when(F.forall(c, lambda x, m=s["items"]["minimum"]: x >= m))
+            out[f"{label}:items"] = when(at_least(c, s["items"]["minimum"]))
     return out
 
 

@@ -51,20 +51,19 @@ def only_member(members: DataFrame, suffix: str) -> DataFrame:
 
 def strict_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines that fit the schema, and the lines that don't."""
-    r = spark.read.schema(f"{schema}, corrupt string").option("columnNameOfCorruptRecord", "corrupt").json(path)
-    names = [f.name for f in r.schema if f.name != "corrupt"]
-    # text of the line again, for unknown keys
-    keys = spark.read.text(path).select(F.explode(F.coalesce(F.json_object_keys("value"), F.array())).alias("key"))
-    extra = keys.where(~F.col("key").isin(names)).select(F.concat(F.lit("unknown key "), "key").alias("corrupt")).distinct()
-    bad = r.where("corrupt is not null").select("corrupt").unionByName(extra)
-    return r.where("corrupt is null").drop("corrupt"), bad
+    options = {"columnNameOfCorruptRecord": "corrupt"}
+    t = spark.read.text(path).select("value", F.from_json("value", f"{schema}, corrupt string", options).alias("r"), F.json_object_keys("value").alias("keys"))
+    names = [f.name for f in t.schema["r"].dataType if f.name != "corrupt"]
+    extra = F.array_except(F.coalesce("keys", F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names]))
+    fits = F.col("r").isNotNull() & F.col("r.corrupt").isNull() & (F.size(extra) == 0)
+    return t.where(fits).select("r.*").drop("corrupt"), t.where(~fits).select("value")
 
 
 def time_report(spark: SparkSession, path: str) -> DataFrame:
     """(seconds, kibibytes) scraped from resource reports."""
-    t = spark.read.option("wholetext", True).text(path)
-    clock = F.regexp_extract("value", r"Elapsed \(wall clock\) time[^:]*(?::[^:]*\))?: (?:(\d+):)?(\d+):([\d.]+)", 0)
-    part = lambda i: F.coalesce(F.regexp_extract(clock, r"(?:(\d+):)?(\d+):([\d.]+)$", i).try_cast("double"), F.lit(0.0))
+    t = spark.read.text(path, wholetext=True)
+    clock = F.regexp_extract("value", r"Elapsed \(wall clock\) time \(h:mm:ss or m:ss\): ([0-9:.]+)", 1)
+    part = lambda i: F.coalesce(F.regexp_extract(clock, r"^(?:(\d+):)?(\d+):([\d.]+)$", i).try_cast("double"), F.lit(0.0))
     return t.select((part(1) * 3600 + part(2) * 60 + part(3)).alias("seconds"), F.regexp_extract("value", r"Maximum resident set size \(kbytes\): (\d+)", 1).cast("long").alias("kibibytes"))
 
 
