@@ -1064,3 +1064,120 @@ def v06(spark, sf_dir):
 def v09(spark, sf_dir):
     done = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+
+
+# More of the algebra, planning and validation
+
+
+@query("l05_reduced_echelon", f"WITH {span_sql(BASIS_MASKS)}, p AS (SELECT s, length({bitstring('s', 18)}) - length(ltrim({bitstring('s', 18)}, '0')) AS place FROM sp WHERE s <> 0), q AS (SELECT DISTINCT place FROM p) SELECT place, {bitstring('s', 18)} AS line FROM p WHERE (SELECT count(*) FROM q WHERE q.place <> p.place AND substr({bitstring('p.s', 18)}, (q.place + 1)::INTEGER, 1) = '1') = 0")
+def l05(spark, sf_dir):
+    """Reduced rows: of all combinations, those with a pivot of their own and zeros in the other pivots."""
+    h = gf2.check_matrices(spark, (C18,)).where("side = 'x'")
+
+    def reduce_(f):
+        import pandas as pd
+
+        rows = f.groupby("r")["c"].agg(lambda c: sum(1 << int(x) for x in c)).tolist()
+        reduced, pivots = codes.reduced(rows, 18)
+        return pd.DataFrame({"place": pivots, "line": ["".join("01"[r >> i & 1] for i in range(18)) for r in reduced]})
+
+    return h.groupBy("n").applyInPandas(reduce_, "place long, line string")
+
+
+@query("l06_nullspace", "SELECT * FROM (VALUES (18, 11::BIGINT, true), (72, 42, true), (90, 49, true), (108, 58, true), (144, 78, true)) t(n, dimension, in_kernel)")
+def l06(spark, sf_dir):
+    """Dimension of each kernel, and whether every basis vector meets every check evenly (a join on coordinates)."""
+    h = gf2.check_matrices(spark, (C18, *LADDER[:4])).where("side = 'x'")
+
+    def basis(f):
+        import pandas as pd
+
+        n = int(f["n"].iloc[0])
+        rows = f.groupby("r")["c"].agg(lambda c: sum(1 << int(x) for x in c)).tolist()
+        return pd.DataFrame([(n, i, c) for i, v in enumerate(codes.nullspace(rows, n)) for c in range(n) if v >> c & 1], columns=["n", "i", "c"])
+
+    k = h.groupBy("n").applyInPandas(basis, "n int, i int, c int")
+    odd = k.join(h, ["n", "c"]).groupBy("n", "i", "r").agg(F.count("*").alias("m")).where("m % 2 = 1").select("n").distinct().withColumn("odd", F.lit(True))
+    return k.groupBy("n").agg(F.count_distinct("i").alias("dimension")).join(odd, "n", "left").select("n", "dimension", F.col("odd").isNull().alias("in_kernel"))
+
+
+@query("l13_class_seeds", f"WITH st AS (SELECT e, {parities('e', [*CHECKS_18, *LOGICALS_18])} AS sel FROM range(262144) t(e)), se AS (SELECT e, sel FROM st WHERE e & ~{sum(1 << q for q in SEED_QUBITS)} = 0) SELECT sel AS selector, e AS seed FROM se")
+def l13(spark, sf_dir):
+    """Each reachable selector with the seed that realises it."""
+    c = spark.range(1 << len(SEED_QUBITS)).select(bits.lift("id", [1 << q for q in SEED_QUBITS]).alias("seed"))
+    return c.select(bits.syndrome("seed", [*CHECKS_18, *LOGICALS_18]).alias("selector"), "seed")
+
+
+@query("a15_diagnostics", greedy_sql().rsplit("SELECT count(*) AS total", 1)[0] + "SELECT stalled, count(*) AS inputs, sum(k)::BIGINT AS iterations, count(*) FILTER (success) AS success FROM g GROUP BY stalled")
+def a15(spark, sf_dir):
+    g = decode.greedy(generators.weight_shells(spark))
+    return g.groupBy("stalled").agg(F.count("*").alias("inputs"), F.sum("iterations").cast("long").alias("iterations"), F.count_if("success").alias("success"))
+
+
+@query("a16_stream_digest", "WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), r(conv_id, i, h) AS (SELECT conv_id, 0::BIGINT, '' FROM t GROUP BY conv_id UNION ALL SELECT r.conv_id, t.i, sha256(r.h || t.text) FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1), m AS (SELECT conv_id, max(i) AS i FROM r GROUP BY conv_id) SELECT r.conv_id, r.h AS digest FROM r JOIN m USING (conv_id, i)")
+def a16(spark, sf_dir):
+    """A digest chained over the ordered records of each stream: a fold in one expression."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("records"))
+    return c.select("conv_id", F.aggregate("records", F.lit(""), lambda h, x: F.sha2(F.concat(h, x["text"]), 256)).alias("digest"))
+
+
+@query("x03_scope_algebra", f"WITH {INCIDENCE}, a AS (SELECT x.v AS variable, list(DISTINCT y.v ORDER BY y.v) AS u FROM inc x JOIN inc y ON x.q = y.q GROUP BY x.v) SELECT variable, u::VARCHAR AS joint, list_filter(u, lambda z: z <> variable)::VARCHAR AS output FROM a")
+def x03(spark, sf_dir):
+    s = incidence(spark).groupBy("q").agg(F.array_sort(F.collect_set("v")).alias("scope"))
+    u = s.select(F.explode("scope").alias("variable"), "scope").groupBy("variable").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("scope")))).alias("u"))
+    show = lambda c: F.concat(F.lit("["), F.concat_ws(", ", F.transform(c, lambda x: x.cast("string"))), F.lit("]"))
+    return u.select("variable", show(F.col("u")).alias("joint"), show(F.array_except("u", F.array("variable"))).alias("output"))
+
+
+@query("d12_linearisation_collisions", "SELECT 'signed' AS channel, 0::BIGINT AS collisions UNION ALL SELECT 'singular', 126")
+def d12(spark, sf_dir):
+    """Majority of five bits: the signed signal separates the labels, its absolute value doesn't."""
+    d = generators.domain(spark, 5).select("input", F.round(score.signal("hamming_normalized", F.col("weight"), 5), 12).alias("signed"), score.predicate("majority", F.col("weight"), 5).alias("label"))
+    d = d.withColumn("singular", F.abs("signed"))
+    one = lambda c: score.collisions(d, c, "label", "input").agg(F.sum("pairs").alias("collisions")).select(F.lit(c).alias("channel"), "collisions")
+    return one("signed").unionByName(one("singular"))
+
+
+@query("d14_feasibility", "SELECT * FROM (VALUES (72, 12, 30, 18, 524288::BIGINT), (90, 8, 41, 25, 67108864)) t(n, k, rank, width, peak)")
+def d14(spark, sf_dir):
+    """Structure of single instances: logical dimension, rank, width and the largest table."""
+    jobs = spark.createDataFrame([(72,), (90,)], "n int")
+
+    def run(frames):
+        import pandas as pd
+
+        by_n = {c[0]: c for c in LADDER}
+        for f in frames:
+            out = []
+            for n in f["n"]:
+                rank = len(codes.independent(codes.checks(by_n[n])[0]))
+                width = orders.width(orders.eliminate(codes.scopes(by_n[n]), rank, "min_fill"))
+                out.append((n, len(codes.logical_basis(by_n[n])), rank, width, 1 << width + 1))
+            yield pd.DataFrame(out, columns=["n", "k", "rank", "width", "peak"])
+
+    return jobs.mapInPandas(run, "n int, k int, rank int, width int, peak long")
+
+
+@query("v01_domain_rules", "SELECT o_orderkey, 'positive price' AS rule FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT o_orderkey, 'known status' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, 'urgent is open' FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus <> 'O'")
+def v01(spark, sf_dir):
+    rules = {"positive price": F.col("o_totalprice") > 1000, "known status": F.col("o_orderstatus").isin("F", "O"), "urgent is open": ~F.col("o_orderpriority").startswith("1") | (F.col("o_orderstatus") == "O")}
+    return records.violations(table(spark, sf_dir, "orders"), "o_orderkey", rules)
+
+
+@query("v02_predecessor_chain", "WITH c AS (SELECT item_id, sha256(text) AS own, sha256(CASE WHEN item_id % 9 = 0 THEN text || '.' ELSE text END) AS told FROM benchmark), l AS (SELECT *, lag(own) OVER (ORDER BY item_id) AS before FROM c) SELECT item_id, own = told AS self_consistent, before IS NOT NULL AS linked FROM l")
+def v02(spark, sf_dir):
+    """Records that name their own digest and their predecessor's: both are recomputed."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("own"), F.sha2(F.when(F.col("item_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("told"))
+    n = b.select((F.col("item_id") + 1).alias("item_id"), F.col("own").alias("before"))
+    return b.join(n, "item_id", "left").select("item_id", (F.col("own") == F.col("told")).alias("self_consistent"), F.col("before").isNotNull().alias("linked"))
+
+
+@query("v08_ordered_map", "SELECT event_id AS idx, length(props) * 2 AS value FROM events")
+def v08(spark, sf_dir):
+    """Work spread over tasks, each result with the index of its input: order is data, not delivery."""
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(value=f["props"].str.len() * 2)[["idx", "value"]]
+
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "props").mapInPandas(run, "idx long, value long")
