@@ -1 +1,21 @@
 """Exact bit-vector analytics on PySpark."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Gives this package to the Python workers of a session, once, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bitloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="bitloom-")) / "bitloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._bitloom_shipped = True
