@@ -25,21 +25,56 @@ def collisions(rows: DataFrame, signature: str, label: str, order: str) -> DataF
     return g.withColumn("pairs", F.col("zeros") * F.col("ones"))
 
 
+def sorted_stretches(rows: DataFrame, signal: str, label: str) -> DataFrame:
+    """One row for each range of the sorted distinct values: its ends, and what neighbours in it show.
+
+    (first, first_lo, first_hi, last, last_lo, last_hi, gap, changes, mixed).  Values are range-partitioned, so the
+    order costs one shuffle and no task sees all of it; neighbours across ranges are left to the few rows returned.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    v = rows.groupBy(F.col(signal).cast("double").alias("v")).agg(F.min(label).cast("int").alias("lo"), F.max(label).cast("int").alias("hi"))
+
+    def run(batches):
+        first = last = None
+        best, changes, mixed = np.inf, 0, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, lo, hi = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if last:
+                x, lo, hi = np.append(last[0], x), np.append(last[1], lo), np.append(last[2], hi)
+            first = first or (x[0], lo[0], hi[0])
+            differ = (lo[1:] != hi[:-1]) | (hi[1:] != lo[:-1])
+            best = min(best, np.min((x[1:] - x[:-1])[differ], initial=np.inf))
+            changes += int((lo[1:] != lo[:-1]).sum())
+            mixed = mixed or bool((lo != hi).any())
+            last = (x[-1], lo[-1], hi[-1])
+        if first:
+            values = [float(first[0]), int(first[1]), int(first[2]), float(last[0]), int(last[1]), int(last[2]), float(best), changes, mixed]
+            yield pa.RecordBatch.from_arrays([pa.array([y]) for y in values], ["first", "first_lo", "first_hi", "last", "last_lo", "last_hi", "gap", "changes", "mixed"])
+
+    ranged = v.where("v is not null").repartitionByRange("v").sortWithinPartitions("v")
+    kinds = "first double, first_lo long, first_hi long, last double, last_lo long, last_hi long, gap double, changes long, mixed boolean"
+    before = Window.orderBy("first")  # one row for each range
+    return ranged.mapInArrow(run, kinds).withColumns({c: F.lag(c.removeprefix("before_")).over(before) for c in ("before_last", "before_last_lo", "before_last_hi")})
+
+
 def gap(rows: DataFrame, signal: str, label: str) -> DataFrame:
     """Least distance between rows of different labels: neighbours in sorted order of the distinct values are enough."""
-    v = rows.groupBy(F.col(signal).alias("v")).agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
-    order = Window.orderBy("v")
-    v = v.withColumn("pv", F.lag("v").over(order)).withColumn("plo", F.lag("lo").over(order)).withColumn("phi", F.lag("hi").over(order))
-    differ = (F.col("lo") != F.col("phi")) | (F.col("hi") != F.col("plo"))
-    return v.agg(F.min(F.when(F.col("lo") != F.col("hi"), 0.0).when(differ, F.col("v") - F.col("pv"))).alias("gap"))
+    s = sorted_stretches(rows, signal, label)
+    differ = (F.col("first_lo") != F.col("before_last_hi")) | (F.col("first_hi") != F.col("before_last_lo"))
+    across = F.when(differ, F.col("first") - F.col("before_last"))
+    found = F.when(F.col("mixed"), 0.0).otherwise(F.least(F.col("gap"), F.coalesce(across, F.lit(float("inf")))))
+    return s.agg(F.min(found).alias("gap")).select(F.when(F.col("gap") < float("inf"), F.col("gap")).alias("gap"))
 
 
 def alternations(rows: DataFrame, signal: str, label: str) -> DataFrame:
     """Label changes along the sorted signal; 0 where one value has both labels."""
-    v = rows.groupBy(F.col(signal).alias("v")).agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
-    v = v.withColumn("before", F.lag("lo").over(Window.orderBy("v")))
-    n = F.count_if(F.col("lo") != F.col("before"))
-    return v.agg(F.when(F.max((F.col("lo") != F.col("hi")).cast("int")) == 1, 0).otherwise(n).cast("long").alias("alternations"))
+    s = sorted_stretches(rows, signal, label)
+    n = F.sum(F.col("changes") + F.coalesce((F.col("first_lo") != F.col("before_last_lo")).cast("long"), F.lit(0)))
+    return s.agg(F.when(F.bool_or("mixed"), 0).otherwise(n).cast("long").alias("alternations"))
 
 
 def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
