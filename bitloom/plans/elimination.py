@@ -63,3 +63,43 @@ def cliques(spark: SparkSession, scopes: list[Scope], order: list[int]) -> DataF
     held = s.join(b, "v").groupBy("q", "bag", "arity").agg(F.count("*").alias("n")).where("n = arity")
     first = held.groupBy("q").agg(F.min("bag").alias("bag")).groupBy("bag").agg(F.count("*").alias("factors"))
     return b.select("bag", "size").distinct().join(first, "bag", "left").select("bag", "size", F.coalesce("factors", F.lit(0)).alias("factors"))
+
+
+def evaluate_plan(scopes: list[Scope], order: list[int], seeds) -> dict:
+    """The same contraction as array arithmetic, one axis for the selectors and one for each variable in scope.
+
+    Returns sum9, sum2, weight, representative and key for each seed; masses are exact in 64 bits for 18 coordinates.
+    """
+    import numpy as np
+
+    far = np.int64(1) << 40  # weight above representative in one number
+
+    def spread(f, union):
+        scope, arrays = f
+        where = tuple([slice(None)] + [slice(None) if v in scope else None for v in union])
+        return [a[where] for a in arrays]
+
+    def product(met):
+        union = tuple(sorted({v for s, _ in met for v in s}))
+        parts = [spread(f, union) for f in met]
+        out = parts[0]
+        for p in parts[1:]:
+            out = [out[0] * p[0], out[1] * p[1], out[2] + p[2], out[3] + p[3]]
+        return union, out
+
+    factors = []
+    for q, scope in enumerate(scopes):
+        bit = (seeds >> q & 1).reshape([-1] + [1] * len(scope))
+        for i in range(len(scope)):
+            bit = bit ^ np.arange(2).reshape([1] + [2 if j == i else 1 for j in range(len(scope))])
+        place = bit << q
+        factors.append((tuple(sorted(scope)), [np.where(bit == 1, 1, 9), np.where(bit == 1, 1, 2), bit * far + place, place]))
+    for v in order:
+        met = [f for f in factors if v in f[0]]
+        factors = [f for f in factors if v not in f[0]]
+        if met:
+            union, joint = product(met)
+            axis = 1 + union.index(v)
+            factors.append((tuple(u for u in union if u != v), [joint[0].sum(axis), joint[1].sum(axis), joint[2].min(axis), joint[3].min(axis)]))
+    _, (m9, m2, best, key) = product(factors)
+    return {"m9": m9, "m2": m2, "w": (best // far).astype(np.int32), "rep": best % far, "key": key}

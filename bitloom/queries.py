@@ -1181,3 +1181,17 @@ def v08(spark, sf_dir):
             yield f.assign(value=f["props"].str.len() * 2)[["idx", "value"]]
 
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "props").mapInPandas(run, "idx long, value long")
+
+
+@query("g07_plan_evaluation", f"WITH {CLASSES} SELECT syn, lab, m9, m2, w, rep, key FROM cl")
+def g07(spark, sf_dir):
+    """Each task contracts the factors for its selectors at once, by the planned order."""
+    scopes = codes.scopes(C18)
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(**elimination.evaluate_plan(scopes, ORDER_18, f["seed"].to_numpy()))
+
+    seeds = spark.range(1 << len(SEED_QUBITS)).select(bits.lift("id", [1 << q for q in SEED_QUBITS]).alias("seed"))
+    seeds = seeds.withColumns({"syn": bits.syndrome("seed", CHECKS_18), "lab": bits.syndrome("seed", LOGICALS_18)})
+    return seeds.mapInPandas(run, "seed long, syn long, lab long, m9 long, m2 long, w int, rep long, key long").drop("seed")
