@@ -106,3 +106,10 @@ def scopes(code: tuple) -> list[tuple[int, ...]]:
 
 CHECKS_18 = list(checks(C18)[0])
 LOGICALS_18 = [mask(x) for x in LOGICAL_18]
+
+
+def selector_qubits(code: tuple) -> list[int]:
+    """Coordinates whose unit errors generate every selector: first independent columns of Z checks and logicals."""
+    _, hz = checks(code)
+    rows = [*(hz[i] for i in independent(hz)), *logical_basis(code)]
+    return independent(transpose(rows, code[0]))

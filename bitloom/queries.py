@@ -1195,3 +1195,12 @@ def g07(spark, sf_dir):
     seeds = spark.range(1 << len(SEED_QUBITS)).select(bits.lift("id", [1 << q for q in SEED_QUBITS]).alias("seed"))
     seeds = seeds.withColumns({"syn": bits.syndrome("seed", CHECKS_18), "lab": bits.syndrome("seed", LOGICALS_18)})
     return seeds.mapInPandas(run, "seed long, syn long, lab long, m9 long, m2 long, w int, rep long, key long").drop("seed")
+
+
+@query("g11_node_bounds", "SELECT * FROM (VALUES (0, 802159899::BIGINT), (1, 802158780), (2, 574427108), (3, 573812180)) t(refinement, bound)")
+def g11(spark, sf_dir):
+    """Upper bounds on the nodes of the 90-bit code's min-plus graph, each tighter than the last; nothing is built."""
+    code = LADDER[1]
+    s = codes.scopes(code)
+    order = [v for v, _, _ in orders.eliminate(s, len(codes.independent(codes.checks(code)[0])), "min_fill")]
+    return spark.createDataFrame(list(enumerate(orders.node_bounds(s, codes.selector_qubits(code), order, 1 + code[0]))), "refinement int, bound long")
