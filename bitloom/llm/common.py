@@ -122,6 +122,19 @@ def groups(batches, key: int):
         yield pa.concat_tables(open_)
 
 
+def small(batches, text: int, most: int = 4_000_000):
+    """Batches cut so that the column ``text`` holds about ``most`` bytes in each, to bound a task's memory."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if b.num_rows:
+            size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(size, dtype=np.int64) // most
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:]):
+                yield b.slice(i, j - i)
+
+
 def slices(texts: list[bytes], most: int = 2_000_000):
     """Stretches of texts of about ``most`` bytes, to bound a task's memory; a longer text is one by itself."""
     start = size = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, training
+from .common import read, small, training
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -56,7 +56,7 @@ def learn(docs: DataFrame, is_training, sample: int, bits: int) -> tuple[list[st
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in small(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = [w.encode() for w in LETTERS.findall(text.lower())]
                 if words:
@@ -134,12 +134,12 @@ def infer(log: np.ndarray, start: np.ndarray, price: float, rounds: int = 12, mo
 def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16, price: float = 4.0, chunk: int = 150_000) -> DataFrame:
     """All columns of ``docs`` (text, lang, doc_id among them) with lang_pred and lang_score."""
     langs, logp = learn(docs, is_training, sample, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, logp))
+    shared, at = docs.sparkSession.sparkContext.broadcast((langs, logp)), docs.columns.index("text")
 
     def run(batches):
         langs, logp = shared.value
         table = Words(logp, bits) if langs else None
-        for b in batches:
+        for b in small(batches, at):
             pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             rows, words, starts, n = [], [], [], 0
 
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
                     for r, t, v in zip(rows, top.tolist(), s.tolist()):
                         pred[r], score[r] = langs[t], v
 
-            for r, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            for r, text in enumerate(b.column(at).to_pylist()):
                 w = LETTERS.findall(text.lower()) if text and langs else ()
                 if w:
                     rows.append(r)
@@ -160,10 +160,10 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
                         settle()
                         rows, words, starts = [], [], []
             settle()
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(pred), pa.array(score)], [*b.schema.names[:-1], "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score)], [*b.schema.names, "lang_pred", "lang_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

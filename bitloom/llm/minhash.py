@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, Workspace, groups, mix64, read, text_bytes
+from .common import U64, WordHashes, Workspace, groups, mix64, read, small, text_bytes
 from .graph import components
 
 UPPER = bytes(range(65, 91))
@@ -96,7 +96,7 @@ def signature_rows(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         words, circulant = WordHashes(), Circulant(bands * rows)
         salt = mix64(np.arange(1, bands + 1, dtype=U64))
-        for b in batches:
+        for b in small(batches, 1):
             out: dict[str, list] = {"n": [], "s1": [], "s2": [], "keys": [], "sketch": []}
             seen: dict = {}
             for text in text_bytes(b.column(1)):
@@ -125,7 +125,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int, near: int = 2_000_000) ->
 
     def run(batches):
         words = WordHashes()
-        for b in batches:
+        for b in small(batches, 1):
             sets = [shingles(words.of(t.translate(TO_LOWER).split()), n).tobytes() for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, read, small
 
 SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, path: str, ranks_path: str | None, size: int = SIZE,
 
     def run(batches):
         tok = Tokeniser(path, ranks_path)
-        for b in batches:
+        for b in small(batches, 1):
             out = ([], [], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.append(tok.ids(text.as_py() or ""), np.uint32(0)).astype("<u4")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "contact")
@@ -377,27 +377,28 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 def find(docs: DataFrame, model: Field | None = None, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with base_spans and spans, arrays of (start, end, kind), and redacted text."""
     shared = docs.sparkSession.sparkContext.broadcast(model or field())
+    at = docs.columns.index(text)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+        for b in small(batches, at):
+            texts = [t or "" for t in b.column(at).to_pylist()]
             base = [base_spans(t) for t in texts]
             every = [ordered(x + y) for x, y in zip(base, added_spans(texts, base, shared.value))]
             structs = [pa.array([[dict(zip(("start", "end", "kind"), s)) for s in row] for row in rows], span) for rows in ([ordered(x) for x in base], every)]
             clean = pa.array([redact(t, s) for t, s in zip(texts, every)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *structs, clean], [*b.schema.names[:-1], "base_spans", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *structs, clean], [*b.schema.names, "base_spans", "spans", "redacted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kind = "array<struct<start: int, end: int, kind: string>>"
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{fields}, base_spans {kind}, spans {kind}, redacted string")
+    return docs.mapInArrow(run, f"{fields}, base_spans {kind}, spans {kind}, redacted string")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(field())
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             every = [x + y for x, y in zip(base, added_spans(texts, base, shared.value))]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read, training
+from .common import Workspace, read, small, training
 
 #: Letters of other scripts that look like Latin ones (fixed values), and the letter each stands for.
 HOMOGLYPHS = dict(zip("аеорсухіѕјԁһӏмтвнкɡαοερντικυχѡⅼ", "aeopcyxisjdhlmtbhkgaoepvtikuxwl"))
@@ -123,7 +123,7 @@ def term_counts(rows: DataFrame, shortest: int = 4, longest: int = 9) -> DataFra
         pos: dict = {}
         neg: dict = {}
         after: dict = {}
-        for b in batches:
+        for b in small(batches, 0):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = WORD.findall(fold(text or ""))
                 terms: dict[tuple[str, bool], int] = {}
@@ -203,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, is_training, sample: int = 6000, l
 
     def run(batches):
         lexicon = Lexicon(*shared.value)
-        for b in batches:
+        for b in small(batches, 0):
             f = np.array([features(t, lexicon) for t in b.column(0).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), b.column(1)], ["weight", "length", "toxic"])
 
@@ -220,7 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, is_training, **options) -> DataFra
     def run(batches):
         words, stems, w = shared.value
         lexicon = Lexicon(words, stems)
-        for b in batches:
+        for b in small(batches, 1):
             f = np.array([features(t, lexicon) for t in b.column(1).to_pylist()]).reshape(-1, 2)
             z = f @ w[:2] + w[2]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "toxic_score"])
