@@ -14,7 +14,7 @@ from bitloom.llm import langid, minhash, mix, pack, pii
 from bitloom.llm.common import Workspace, read
 
 #: Least share of the predicted language in a document that stays.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
