@@ -59,6 +59,13 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_all(docs: DataFrame, run, added: dict[str, str]) -> DataFrame:
+    """mapInArrow over all columns, whatever their names, with columns added at the end (name: type)."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"x{i} {kind}" for i, kind in enumerate(added.values())]
+    return plain.mapInArrow(run, ", ".join(fields)).toDF(*docs.columns, *added)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

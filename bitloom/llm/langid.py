@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small, training
+from .common import map_all, read, small, training
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -131,8 +131,8 @@ def infer(log: np.ndarray, start: np.ndarray, price: float, rounds: int = 12, mo
     return top, np.clip(both, 0.0, 1.0)
 
 
-def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16, price: float = 4.0, chunk: int = 150_000) -> DataFrame:
-    """All columns of ``docs`` (text, lang, doc_id among them) with lang_pred and lang_score."""
+def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16, price: float = 4.0, chunk: int = 150_000, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs`` (text, lang, doc_id among them) with the prediction and its score, under names that ``docs`` doesn't have."""
     langs, logp = learn(docs, is_training, sample, bits)
     shared, at = docs.sparkSession.sparkContext.broadcast((langs, logp)), docs.columns.index("text")
 
@@ -160,10 +160,9 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
                         settle()
                         rows, words, starts = [], [], []
             settle()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score)], [*b.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score)], [*b.schema.names, "x0", "x1"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return map_all(docs, run, dict(zip(names, ("string", "double"))))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,8 +323,8 @@ def keep_one(docs: DataFrame, near: int = 2_000_000, **options) -> DataFrame:
     kept = ws.table(kept.withColumnRenamed("doc_id", "__kept"), "kept")
     kept = F.broadcast(kept) if kept.count() <= near else kept
     found = docs.join(kept, docs.doc_id == F.col("__kept"))
-    once = found.where(F.col("__rows") == 1).select(*[docs[c] for c in docs.columns])
-    again = found.where(F.col("__rows") > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    once = found.where(F.col("__rows") == 1).select(*[docs[f"`{c}`"] for c in docs.columns])
+    again = found.where(F.col("__rows") > 1).select(*[docs[f"`{c}`"] for c in docs.columns]).dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small
+from .common import map_all, read, small
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "contact")
@@ -374,8 +374,8 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, model: Field | None = None, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with base_spans and spans, arrays of (start, end, kind), and redacted text."""
+def find(docs: DataFrame, model: Field | None = None, text: str = "text", names: tuple[str, str, str] = ("base_spans", "spans", "redacted")) -> DataFrame:
+    """All columns of ``docs`` with base and all spans, arrays of (start, end, kind), and redacted text, under names that ``docs`` doesn't have."""
     shared = docs.sparkSession.sparkContext.broadcast(model or field())
     at = docs.columns.index(text)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
@@ -387,11 +387,10 @@ def find(docs: DataFrame, model: Field | None = None, text: str = "text") -> Dat
             every = [ordered(x + y) for x, y in zip(base, added_spans(texts, base, shared.value))]
             structs = [pa.array([[dict(zip(("start", "end", "kind"), s)) for s in row] for row in rows], span) for rows in ([ordered(x) for x in base], every)]
             clean = pa.array([redact(t, s) for t, s in zip(texts, every)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, *structs, clean], [*b.schema.names, "base_spans", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *structs, clean], [*b.schema.names, "x0", "x1", "x2"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kind = "array<struct<start: int, end: int, kind: string>>"
-    return docs.mapInArrow(run, f"{fields}, base_spans {kind}, spans {kind}, redacted string")
+    return map_all(docs, run, dict(zip(names, (kind, kind, "string"))))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, component string, key int, size string, rank string, a string, taken string, name string, row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, component string, key int, size string, rank string, a string, taken string, name string, row int, lang_pred string, spans string, redacted string, carry_0 string, node int, cluster int, held_out string, `odd.name` string"
 
 
 def words(rng, n, pool):
@@ -31,7 +31,7 @@ def odd_rows():
 
 
 def table(spark, rows):
-    full = [(*r, len(r[1]) if r[1] else None, "x", "x", 1, "x", "x", "x", "x", "x", 5) for r in rows]
+    full = [(*r, len(r[1]) if r[1] else None, "x", "x", 1, "x", "x", "x", "x", "x", 5, "x", "x", "x", "x", 1, 1, "x", "x") for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
