@@ -19,8 +19,8 @@ LEAST_SHARE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one language prevails; texts without letters go."""
-    found = langid.identify(docs, F.lit(True))
-    stays = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)
+    found = langid.identify(docs, F.lit(True), names=("__pred", "__score"))
+    stays = (F.col("__pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SHARE)
     return found.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -31,10 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; null texts stay null."""
-    found = pii.find(docs)
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("redacted"))}
+    found = pii.find(docs, names=("__base", "__spans", "__redacted"))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("__redacted"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("__redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
