@@ -139,6 +139,7 @@ UNION ALL SELECT nth + {width}, 'bsc_p_0_1', weight, error FROM n WHERE nth <= 2
 """
 
 
+#: Seeds of the published corpora (fixed values).
 SEEDS = {72: "TCM-QDEC-COMPARE-001::72::BSC0.1::v1", 90: "TCM-QDEC-COMPARE-001::90::BSC0.1::v1"}
 for _n, _seed in SEEDS.items():
     query(f"s05_noise_corpus_{_n}", noise_sql(_n, _seed))(lambda spark, sf_dir, n=_n, seed=_seed: generators.noise_corpus(spark, n, seed))
@@ -166,6 +167,7 @@ UNION ALL SELECT nth + {rank + 1}, coordinate FROM n WHERE nth <= 256
 """
 
 
+#: Seeds of the published selector samples (fixed values).
 SAMPLES = {42: "QLDPC-SCALE-001A::selector-validation::v1", 49: "QLDPC-SCALE-001B::90::selector-validation::v1"}
 for _n, _seed in SAMPLES.items():
     query(f"s06_selector_sample_{_n}", sample_sql(_n, _seed))(lambda spark, sf_dir, n=_n, seed=_seed: generators.selector_sample(spark, n, seed))
