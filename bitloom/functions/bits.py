@@ -36,8 +36,8 @@ def decode(s) -> Column:
 
 
 def support(x, width: int) -> Column:
-    bits = F.sequence(F.lit(0), F.lit(width - 1))
-    return F.filter(bits, lambda i: F.expr("1").cast("long").bitwiseAND(F.call_function("shiftright", col(x), i)) == 1)
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    return F.filter(places, lambda i: F.call_function("shiftright", col(x), i).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
 def gather(x, places: list[int]) -> Column:
@@ -70,7 +70,7 @@ def euclidean(a: Column, b: Column) -> Column:
 def parse_labels(labels: Column, half: int) -> Column:
     """Array of labels such as L3 or R0 to a mask; null where one is malformed, repeated or out of range."""
     side = lambda s: F.regexp_extract(s, r"^([LR])(0|[1-9][0-9]*)$", 1)
-    number = lambda s: F.expr("try_cast(x as int)") if False else F.regexp_extract(s, r"^([LR])(0|[1-9][0-9]{0,3})$", 2).try_cast("int")
+    number = lambda s: F.regexp_extract(s, r"^([LR])(0|[1-9][0-9]{0,3})$", 2).try_cast("int")
     place = F.transform(labels, lambda s: F.when((side(s) != "") & (number(s) < half), number(s) + F.when(side(s) == "R", half).otherwise(0)))
     good = (F.size(F.array_distinct(place)) == F.size(labels)) & ~F.exists(place, lambda p: p.isNull())
     mask = F.aggregate(place, F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p)))

@@ -110,10 +110,6 @@ FAULTS = """fa AS (
 )"""
 
 
-def fault_string(at: str) -> str:
-    return at
-
-
 @query("s04_temporal_faults", f"WITH {FAULTS} SELECT idx, fault_weight, list_aggregate([CASE WHEN i = a OR i = b THEN '1' ELSE '0' END for i in range(75)], 'string_agg', '') AS fault_history FROM fh")
 def s04(spark, sf_dir):
     h = generators.fault_histories(spark)
@@ -237,8 +233,8 @@ def p09(spark, sf_dir):
 @query("p10_codecs", f"SELECT e, {bitstring('e', 20)} AS s, e AS back, [i for i in range(20) if (e >> i) & 1 = 1]::VARCHAR AS support FROM (SELECT o_orderkey % 1048576 AS e FROM orders)")
 def p10(spark, sf_dir):
     e = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1048576).alias("e"))
-    places = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda i: F.call_function("shiftright", F.col("e"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    return e.select("e", bits.encode("e", 20).alias("s"), bits.decode(bits.encode("e", 20)).alias("back"), F.concat(F.lit("["), F.concat_ws(", ", F.transform(places, lambda x: x.cast("string"))), F.lit("]")).alias("support"))
+    places = F.transform(bits.support("e", 20), lambda x: x.cast("string"))
+    return e.select("e", bits.encode("e", 20).alias("s"), bits.decode(bits.encode("e", 20)).alias("back"), F.concat(F.lit("["), F.concat_ws(", ", places), F.lit("]")).alias("support"))
 
 
 @query("p11_label_parser", "SELECT * FROM (VALUES ('L0', 1::BIGINT), ('L3,R0', 520), ('R8', 131072), ('L9', -1), ('L1,L1', -1), ('X2', -1), ('L01', -1), ('L2,L5,R7', 65572)) t(labels, mask)")
@@ -478,9 +474,6 @@ def j02(spark, sf_dir):
     return residual.join(F.broadcast(span), "s", "left").select("idx", F.coalesce("member", F.lit(False)).alias("member"))
 
 
-ECHELON = sorted((r for r in codes.reduced(BASIS_MASKS, 18)[0]), key=lambda r: -(r & -r))
-
-
 @query("j03_membership_by_reduction", f"WITH {span_sql(BASIS_MASKS)} SELECT e, e IN (SELECT s FROM sp) AS member FROM range(16384) t(e)")
 def j03(spark, sf_dir):
     rows, pivots = codes.reduced(BASIS_MASKS, 18)
