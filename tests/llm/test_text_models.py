@@ -198,8 +198,15 @@ def test_seating():
     c = np.array([0, 1, 5, 5000])
     many = np.array([hpylm.seat(c, np.full(4, 0.5), 0.5, rng) for _ in range(300)])
     assert (many[:, 0] == 0).all() and (many[:, 1] == 1).all() and (many[:, 2] >= 1).all() and (many <= c).all()
-    # expected tables of a Pitman-Yor restaurant with strength 0.5, discount 0.5 and a sure new dish is the same process with P = 1
-    assert 60 < many[:, 3].mean() < 160 or many[:, 3].mean() > 1
+    for alpha, d, n in ((0.5, 0.5, 2000), (8.0, 0.7, 400), (0.01, 0.3, 1000)):  # customers one by one
+        plain = []
+        for _ in range(300):
+            t = 1
+            for k in range(1, n):
+                t += rng.random() < alpha / (alpha + k - d * t)
+            plain.append(t)
+        fast = hpylm.seat(np.full(300, n), np.full(300, alpha), d, rng)
+        assert abs(fast.mean() - np.mean(plain)) < 5 * (np.std(plain) + 0.05) / 300**0.5 + 0.02 * np.mean(plain)
 
 
 def test_no_training(odd, nothing):
