@@ -133,21 +133,28 @@ def compare(a: DataFrame, b: DataFrame, on: str = "idx") -> DataFrame:
     return pair.agg(F.count_if(F.expr("y and not x")).alias("repaired"), F.count_if(F.expr("x and not y")).alias("broken"), F.count_if(F.expr("x = y")).alias("same"), F.count("*").alias("compared"))
 
 
-def transfer(spark, width: int = 18, checks=None, logicals=None) -> DataFrame:
-    """The same classes by dynamic programming over coordinates: states merge after each coordinate.
+def transfer(spark, width: int = 18, checks=None, logicals=None, block: int = 3) -> DataFrame:
+    """The same classes by dynamic programming over coordinates: states with one selector merge after each block.
 
-    (sel, m9, m2, w, rep, key): selector = syndrome and label; partial masses multiply along the way.
+    (syn, lab, m9, m2, w, rep, key): a state's partial masses are multiplied by those of a block's choices; the table never
+    exceeds 2**rank rows, and a block costs one shuffle of at most 2**block times that.
     """
     checks, logicals = checks or CHECKS_18, logicals or LOGICALS_18
     rows = [*checks, *logicals]
     columns = [sum((r >> q & 1) << i for i, r in enumerate(rows)) for q in range(width)]
     one = lambda n: F.lit(n).cast("long")
-    s = spark.range(1).select(one(0).alias("sel"), one(1).alias("m9"), one(1).alias("m2"), F.struct(F.lit(0).alias("w"), one(0).alias("e")).alias("best"), one(0).alias("key"), F.lit(0).cast("long").alias("relaxations"))
-    for q, column in enumerate(columns):
-        flip = s.select(F.col("sel").bitwiseXOR(one(column)).alias("sel"), "m9", "m2", F.struct((F.col("best.w") + 1).alias("w"), (F.col("best.e") + one(1 << q)).alias("e")).alias("best"), (F.col("key") + one(1 << q)).alias("key"))
-        stay = s.select("sel", (F.col("m9") * 9).alias("m9"), (F.col("m2") * 2).alias("m2"), "best", "key")
-        s = stay.unionByName(flip).groupBy("sel").agg(F.sum("m9").alias("m9"), F.sum("m2").alias("m2"), F.min("best").alias("best"), F.min("key").alias("key"), F.count("*").alias("relaxations"))
-        if q % 6 == 5:
-            s = s.checkpoint()  # cuts the lineage; the table never exceeds 2**rank rows
+    s = spark.range(1).select(one(0).alias("sel"), one(1).alias("m9"), one(1).alias("m2"), F.struct(F.lit(0).alias("w"), one(0).alias("e")).alias("best"), one(0).alias("key"))
+    for start in range(0, width, block):
+        span = range(start, min(start + block, width))
+        choices = []
+        for x in range(1 << len(span)):
+            chosen = [q for i, q in enumerate(span) if x >> i & 1]
+            flips = reduce(lambda a, q: a ^ columns[q], chosen, 0)
+            stay = len(span) - len(chosen)
+            choices.append(F.struct(one(flips).alias("flips"), one(9**stay).alias("m9"), one(2**stay).alias("m2"), F.lit(len(chosen)).alias("w"), one(sum(1 << q for q in chosen)).alias("e")))
+        s = s.withColumn("o", F.explode(F.array(*choices)))
+        best = F.struct((F.col("best.w") + F.col("o.w")).alias("w"), (F.col("best.e") + F.col("o.e")).alias("e"))
+        s = s.select(F.col("sel").bitwiseXOR(F.col("o.flips")).alias("sel"), (F.col("m9") * F.col("o.m9")).alias("m9"), (F.col("m2") * F.col("o.m2")).alias("m2"), best.alias("best"), (F.col("key") + F.col("o.e")).alias("key"))
+        s = s.groupBy("sel").agg(F.sum("m9").alias("m9"), F.sum("m2").alias("m2"), F.min("best").alias("best"), F.min("key").alias("key"))
     n = len(checks)
     return s.select(F.col("sel").bitwiseAND(one((1 << n) - 1)).alias("syn"), F.shiftright("sel", n).alias("lab"), "m9", "m2", F.col("best.w").alias("w"), F.col("best.e").alias("rep"), "key")
