@@ -7,6 +7,15 @@ import zipfile
 from pathlib import Path
 
 
+def cut(df):
+    """A reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bitloom-checkpoint-"))
+    return df.checkpoint()
+
+
 def ship(spark) -> None:
     """Gives this package to the Python workers of a session, once, so that they needn't have it installed."""
     sc = spark.sparkContext

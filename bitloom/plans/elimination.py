@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cut
+
 Scope = tuple[int, ...]
 
 
@@ -48,7 +50,7 @@ def contract(classes: DataFrame, scopes: list[Scope], order: list[int], checkpoi
             continue
         joint = reduce(lambda a, b: multiply(*a, *b), met)
         out, scope = marginalise(*joint, v)
-        factors.append((out.checkpoint() if k % checkpoint_every == checkpoint_every - 1 else out, scope))
+        factors.append((cut(out) if k % checkpoint_every == checkpoint_every - 1 else out, scope))
     whole, _ = reduce(lambda a, b: multiply(*a, *b), factors)
     return whole.select("class", "m9", "m2", F.col("best.w").alias("w"), F.col("best.e").alias("rep"), "key")
 

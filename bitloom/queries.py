@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import cut
 from .functions import bits, codes, records
 from .functions.codes import C18, CHECKS_18, LADDER, LOGICALS_18
 from .operators import decode, gf2, score, temporal
@@ -585,7 +586,7 @@ def x02(spark, sf_dir):
         row = s.agg(F.count("*").alias("states")).select(F.lit(q + 1).alias("q"), "states")
         out = row if out is None else out.unionByName(row)
         if q % 6 == 5:
-            s = s.checkpoint()
+            s = cut(s)
     return out
 
 
