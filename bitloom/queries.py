@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import cut
 from .functions import bits, codes, records
 from .functions.codes import C18, CHECKS_18, LADDER, LOGICALS_18
 from .operators import decode, gf2, score, temporal
@@ -579,15 +578,14 @@ def x01(spark, sf_dir):
 
 @query("x02_reachable_states", "SELECT q, 1::BIGINT << r AS states FROM (VALUES " + ", ".join(f"({q + 1}, {len(codes.independent(selector_columns()[: q + 1]))})" for q in range(18)) + ") t(q, r)")
 def x02(spark, sf_dir):
-    """Distinct partial selectors after each coordinate, by doubling and merging."""
-    out, s = None, spark.range(1).select(F.lit(0).cast("long").alias("s"))
-    for q, c in enumerate(selector_columns()):
-        s = s.union(s.select(F.col("s").bitwiseXOR(F.lit(c).cast("long")))).distinct()
-        row = s.agg(F.count("*").alias("states")).select(F.lit(q + 1).alias("q"), "states")
-        out = row if out is None else out.unionByName(row)
-        if q % 6 == 5:
-            s = cut(s)
-    return out
+    """Distinct partial selectors after each coordinate.
+
+    A partial error over the first q coordinates is a number below 2**q, and its selector doesn't depend on q: so a
+    selector is reachable as soon as the least error that has it is below 2**q.  One group-by gives all counts.
+    """
+    first = spark.range(1 << 18).groupBy(bits.lift("id", selector_columns()).alias("sel")).agg(F.min("id").alias("x"))
+    counts = first.agg(*[F.count_if(F.col("x") < (1 << q)).alias(f"q{q}") for q in range(1, 19)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{q}").alias("states")) for q in range(1, 19)])).alias("s")).select("s.q", "s.states")
 
 
 @query("x04_key_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40")
