@@ -212,3 +212,33 @@ def test_seating():
 def test_no_training(odd, nothing):
     assert {r["score"] for r in hpylm.score(odd, F.lit(False)).collect()} == {0.0}
     assert hpylm.score(nothing, F.lit(True)).count() == 0
+
+
+def test_contexts_are_preceding_words(spark):
+    """Long words are contexts where they occur often enough, each its own, and there are more of them in a larger corpus."""
+    names = [f"context{i:03d}" for i in range(60)]
+    line = lambda k: " ".join(f"{names[i]} follower{i:03d}" for i in range(k))
+    probe = [(7, f"{names[7]} follower007", False), (8, f"{names[7]} follower008", False)]
+    docs = spark.createDataFrame([(100 + i, line(60), True) for i in range(400)] + probe, "doc_id long, text string, t boolean")
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(docs, F.col("t")).where("held_out").collect()}
+    assert got[7] - got[8] > 1.5  # all words are equally frequent: only the word before tells them apart
+    ws = hpylm.Workspace(spark, "contexts")
+    sizes = [len(hpylm.train(ws, spark.createDataFrame([(line(k),)] * 200, "text string")).contexts) for k in (20, 40, 60)]
+    assert sizes == [40, 80, 120]
+
+
+@pytest.mark.parametrize("bits", [20, 3])
+def test_probabilities_after_a_context_sum_to_one(spark, bits, monkeypatch):
+    monkeypatch.setattr(hpylm, "FREQUENT_BITS", bits)
+    rng = random.Random(4)
+    rare = [f"rare{i}" for i in range(200)]
+    train = [(100 + i, " ".join(w for _ in range(20) for w in ("context", rng.choice(rare[:120]), rng.choice(rare)))) for i in range(60)]
+    probe = [(10_000 + i, w) for i, w in enumerate(rare)] + [(20_000 + i, f"context {w}") for i, w in enumerate(rare)]
+    probe += [(1, ""), (2, "neverseen"), (3, "context"), (4, "context neverseen"), (5, "context context")]
+    docs = spark.createDataFrame([(*r, True) for r in train] + [(*r, False) for r in probe], "doc_id long, text string, t boolean")
+    got = {r["doc_id"]: 10 ** r["score"] for r in hpylm.score(docs, F.col("t")).where("held_out").collect()}
+    end = got[1]  # after no context, as after a rare or an unseen word
+    first = 1 - end - sum(got[10_000 + i] for i in range(200)) / end - got[2] / end  # P(context | no context)
+    after = [got[20_000 + i] / (first * end) for i in range(200)]
+    total = sum(after) + got[3] / first + got[4] / (first * end) + got[5] / got[3]
+    assert 0 < first < 1 and total == pytest.approx(1, abs=1e-6)
