@@ -5,7 +5,9 @@
    key.  All passes are one table, range-partitioned and sorted by (pass, key):
    similar vectors share long prefixes, so they meet in the order.  A task
    compares each row with the ``window`` rows after it, in double precision,
-   and sends on a forest of what is linked, not the pairs.
+   and sends on a forest of what is linked, not the pairs.  The first and last
+   ``window`` rows of all tasks are compared once more, in order, so that pairs
+   across the edges of tasks count too.
 3. The forests of all passes unite to components.
 4. Links are then counted exactly within each component, found by a window or
    not.  With angles measured from the component's centre, two vectors are
@@ -15,7 +17,9 @@
    send on counts.  A group with a third of all rows is many tiles.
 
 A pair is missed only where no chain of found links joins it: for two vectors
-at angle t among n others, about (1 - (1 - t/pi)^log2(n/window))^passes.
+at angle t among n others, about (1 - (1 - t/pi)^log2(n/window))^passes.  The
+number of passes is the least, and at least 24, that keeps this below ``miss``
+at the threshold's angle for the n distinct vectors there are.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without an id, link with nothing and stand for themselves;
@@ -54,6 +58,12 @@ def keys(x: np.ndarray, passes: int, seed: int, bits: int = 64) -> np.ndarray:
     return out
 
 
+def passes_for(n: int, window: int, threshold: float, miss: float, least: int = 24) -> int:
+    """Passes after which an isolated pair at the threshold among ``n`` vectors is missed with probability ``miss`` at most."""
+    met = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
+    return max(least, math.ceil(math.log(miss) / math.log1p(-met))) if met < 1 else least
+
+
 def forest(ids: np.ndarray, x: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the linked pairs at most ``window`` rows apart."""
     root = np.arange(len(ids))
@@ -76,7 +86,7 @@ def forest(ids: np.ndarray, x: np.ndarray, window: int, threshold: float) -> tup
     return ids[linked], ids[root[linked]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = 24, window: int = 32, tile: int = 512, seed: int = 11, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 32, tile: int = 512, seed: int = 11, miss: float = 0.001, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row for each row of the input: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "vecdedup")
@@ -85,32 +95,63 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = 24
     distinct = rows.where(ok).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     # two rows with one id but different vectors share the representative's name; ids are taken as given
     distinct = ws.table(distinct, "distinct")
+    if passes is None:
+        passes = passes_for(distinct.count(), window, threshold, miss)
+    single = dict(vectors.dtypes)[vector] == "array<float>"
+    kind = np.float32 if single else np.float64  # as sent and sorted; compared in double precision
 
     def project(batches):
         for b in batches:
             for r, x in by_width(b.column(1)):
                 k = keys(x, passes, seed)
                 rep = np.repeat(b.column(0).to_numpy(zero_copy_only=False)[r], passes)
-                blobs = [bytes(y) for y in x]
+                blobs = [bytes(y) for y in x.astype(kind)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(passes, dtype=np.int32), len(x))), pa.array(k.ravel()), pa.array(rep), pa.array([y for y in blobs for _ in range(passes)], pa.binary())], ["pass", "key", "rep", "x"])
 
+    names = ["a", "b", "pass", "key", "rep", "x"]
+
+    def links(ids, blobs):
+        width = np.array([len(y) for y in blobs])
+        for w in np.unique(width):
+            r = np.flatnonzero(width == w)
+            x = np.frombuffer(b"".join([blobs[i] for i in r]), dtype=kind).reshape(len(r), -1).astype(np.float64)
+            a, c = forest(ids[r], x, window, threshold)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), *(pa.nulls(len(a), k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+
+    def edge(b):
+        return pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 2, *b.columns], names)
+
     def link(batches):
-        tail_ids, tail = np.empty(0, np.int64), []
+        """Links, then the first and last rows."""
+        tail_ids, tail, seen, last = np.empty(0, np.int64), [], 0, []
         for b in batches:
+            if not b.num_rows:
+                continue
             ids = np.concatenate([tail_ids, b.column(2).to_numpy(zero_copy_only=False)])
             blobs = tail + b.column(3).to_pylist()
-            width = np.array([len(y) for y in blobs])
-            for w in np.unique(width):
-                r = np.flatnonzero(width == w)
-                x = np.frombuffer(b"".join([blobs[i] for i in r]), dtype=np.float64).reshape(len(r), -1)
-                a, c = forest(ids[r], x, window, threshold)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+            yield from links(ids, blobs)
             tail_ids, tail = ids[-window:], blobs[-window:]
+            head = min(b.num_rows, max(0, window - seen))
+            if head:
+                yield edge(b.slice(0, head))
+            seen += b.num_rows
+            if head < b.num_rows:  # rows sent as first ones aren't sent again
+                last.append(b.slice(head))
+                while len(last) > 1 and sum(x.num_rows for x in last[1:]) >= window:
+                    last.pop(0)
+        spare = sum(x.num_rows for x in last) - window
+        for i, x in enumerate(last):
+            yield edge(x.slice(max(0, spare)) if i == 0 else x)
 
     sent = distinct.select("rep", "v").mapInArrow(project, "pass int, key long, rep long, x binary")
     sorted_ = sent.repartitionByRange("pass", "key").sortWithinPartitions("pass", "key", "rep")
-    comps = components(ws, sorted_.mapInArrow(link, "a long, b long"))
+    found_type = "a long, b long, pass int, key long, rep long, x binary"
+    found = ws.table(sorted_.mapInArrow(link, found_type), "found")
+    edges = found.where("rep is not null").select("pass", "key", "rep", "x").repartition(1).sortWithinPartitions("pass", "key", "rep")
+    across = edges.mapInArrow(link, found_type)
+    pairs = found.unionByName(across).where("a is not null").select("a", "b")
+    comps = components(ws, pairs)
     members = distinct.join(comps, distinct.rep == comps.node).select("component", "rep", "n", "v")
     counts = links_within(ws, ws.table(members, "members"), threshold, tile)
     of = distinct.join(comps.join(counts, comps.node == counts.id, "left"), distinct.rep == comps.node, "left")

@@ -78,3 +78,43 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert neighbours.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
     assert vecdedup.near_duplicates(none).count() == 0
+
+
+def test_passes_grow_with_the_table():
+    for n in (100, 80_000, 1_000_000, 20_000_000):
+        passes = vecdedup.passes_for(n, 32, 0.9, 0.001)
+        met = (1 - np.arccos(0.9) / np.pi) ** max(0, np.log2(n / 32))
+        assert passes >= 24 and (1 - met) ** passes <= 0.001
+    assert vecdedup.passes_for(20_000_000, 32, 0.9, 0.001) > 100
+
+
+def test_production_passes(spark):
+    """Pairs near the threshold with the values that the query uses."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((1500, 32))
+    b = rng.standard_normal((1500, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.91 * a + (1 - 0.91**2) ** 0.5 * b / np.linalg.norm(b, axis=1)[:, None]
+    rows = [(2 * i + j, [float(v) for v in x[i]]) for i in range(1500) for j, x in enumerate((a, b))]
+    got = vecdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("n_links = 1").count()
+    assert got >= 2 * 1495
+
+
+def test_pairs_across_partition_edges(spark):
+    """One pass, each row compared with the next: many small partitions find what one does."""
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, 300, 16))
+    rows = [(2 * i + j, [float(v) for v in a[i] + 0.2 * j * b[i]]) for i in range(300) for j in (0, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = []
+        for n in (1, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(vecdedup.near_duplicates(vectors, passes=1, window=1).where("n_links = 1").count())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found[1] >= found[0] > 100
