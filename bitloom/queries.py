@@ -978,7 +978,7 @@ def p18(spark, sf_dir):
 
 @query("p19_safe_paths", "WITH p AS (SELECT page_id, substr(url, 8) AS path FROM pages) SELECT page_id, NOT (list_contains(string_split(path, '/'), '') OR list_contains(string_split(path, '/'), '.') OR list_contains(string_split(path, '/'), '..')) AND NOT regexp_matches(path, '[*?\\[\\]\\\\]') AS safe FROM p")
 def p19(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", records.safe_path(F.substring("url", 8, 100000)).alias("safe"))
+    return table(spark, sf_dir, "pages").select("page_id", records.safe_path(F.expr("substring(url, 8)")).alias("safe"))
 
 
 @query("p20_timestamps", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_ms(date_trunc('second', ts)) // 1000 ELSE -1 END AS seconds FROM events")

@@ -59,3 +59,10 @@ def test_published_structure(spark):
     assert (e["low"], e["high"], e["chosen"]) == (218, 263, 226)
     c = run("d10_decoder_comparison")[0]
     assert (c["repaired"], c["broken"]) == (131, 108)
+
+
+def test_safe_paths_reads_whole_urls(spark, tmp_path):
+    urls = [(1, "http://" + "a" * 150_000 + "/.."), (2, "http://" + "a" * 150_000 + "/b")]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["safe"] for r in engine.QUERIES["p19_safe_paths"](spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: True}
