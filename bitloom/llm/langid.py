@@ -4,8 +4,8 @@ A document is a mixture of languages: its words come from language l with
 proportion p[l], and a word's likelihood under l is the product of its byte
 trigrams' (hashed to ``2**bits`` cells, smoothed).  Expectation-maximisation
 estimates the proportions.  Which languages are in the mixture is chosen by
-penalised likelihood: the likeliest one, two or three languages, each further
-one at a price of ``price`` * log(words) / 2.  The prediction is the language
+penalised likelihood: the likeliest one, two or more languages, up to all, each further one
+at a price of ``price`` * log(words) / 2.  The prediction is the language
 with the largest proportion; the score is that proportion, estimated with the
 chosen languages and shrunk by the evidence (words) there is.
 
@@ -109,22 +109,30 @@ def em(likelihood: np.ndarray, start: np.ndarray, allowed: np.ndarray, rounds: i
     return p, np.add.reduceat(np.log(np.maximum(total, 1e-300)), start)
 
 
-def infer(log: np.ndarray, start: np.ndarray, price: float, rounds: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def infer(log: np.ndarray, start: np.ndarray, price: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(best language, score) of documents whose words' log-likelihoods are consecutive rows of ``log``."""
     n = np.diff(np.append(start, len(log)))
     rel = np.maximum(np.exp((log - log.max(axis=1, keepdims=True)).astype(np.float64)), 1e-12)
     langs = log.shape[1]
-    full, _ = em(rel, start, np.ones((len(start), langs)), rounds)
+    full, value = em(rel, start, np.ones((len(start), langs)), rounds)
+    # no mixture of any languages is likelier than this (Jensen), so larger sets are tried only where they can win
+    gain = np.add.reduceat(rel / np.einsum("ij,ij->i", rel, np.repeat(full, n, axis=0))[:, None], start, axis=0) / n[:, None]
+    bound = value + n * np.log(gain.max(axis=1)) + 1e-6
     alone = np.add.reduceat(np.log(rel), start, axis=0)
     best_set = np.zeros((len(start), langs))
     best_set[np.arange(len(start)), alone.argmax(axis=1)] = 1.0
-    best_p, best = best_set, alone.max(axis=1)
+    best_p, best = best_set, alone.max(axis=1).astype(np.float64)
     rank = np.argsort(np.argsort(-full, axis=1), axis=1)
-    for k in range(2, min(most, langs) + 1):
-        p, value = em(rel, start, (rank < k).astype(float), rounds)
-        value = value - (k - 1) * price * np.log(n + 1) / 2
-        better = value > best
-        best, best_p = np.where(better, value, best), np.where(better[:, None], p, best_p)
+    for k in range(2, langs + 1):
+        cost = (k - 1) * price * np.log(n + 1) / 2
+        d = np.flatnonzero(bound - cost > best)
+        if not len(d):
+            break
+        inside = np.repeat(bound - cost > best, n)
+        p, value = em(rel[inside], np.cumsum(n[d]) - n[d], (rank[d] < k).astype(float), rounds)
+        value = value - cost[d]
+        better = value > best[d]
+        best[d[better]], best_p[d[better]] = value[better], p[better]
     top = best_p.argmax(axis=1)
     # one word is weak evidence: the estimate from all languages weighs in like two words
     both = (best_p[np.arange(len(top)), top] * n + full[np.arange(len(top)), top] * 2) / (n + 2)

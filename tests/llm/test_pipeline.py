@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bitloom.llm import minhash, pack, pii
@@ -98,3 +99,9 @@ def test_empty(spark, nothing):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_language_stage_without_labels(spark, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    got = Counter(r["text"] for r in corpus_pipeline.language(spark, unlabelled, "").collect())
+    assert got == Counter(r["text"] for r in odd.collect() if re.search(r"[^\W\d_]", r["text"] or ""))

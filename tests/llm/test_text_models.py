@@ -242,3 +242,9 @@ def test_probabilities_after_a_context_sum_to_one(spark, bits, monkeypatch):
     after = [got[20_000 + i] / (first * end) for i in range(200)]
     total = sum(after) + got[3] / first + got[4] / (first * end) + got[5] / got[3]
     assert 0 < first < 1 and total == pytest.approx(1, abs=1e-6)
+
+
+def test_four_languages_in_a_document():
+    log = np.where(np.arange(400)[:, None] % 4 == np.arange(5), -5.0, -25.0)
+    top, score = langid.infer(log, np.array([0]), price=4.0)
+    assert score[0] == pytest.approx(0.25, abs=0.02)
