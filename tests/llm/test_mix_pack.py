@@ -103,23 +103,87 @@ def test_round_trip(odd, odd_rows):
     assert sum(r["length"] for r in got) == sum(len(t) * n for v in want.values() for t, n in v.items())
 
 
-def test_best_fit_decreasing():
+def test_whole_documents_give_the_same_ids():
+    """All texts of a table, of any length, by both libraries."""
+    import pyarrow.parquet as pq
+
+    t = pack.Tokeniser(pack.vocabulary_path(pack.TOKENIZER), pack.vocabulary_path("byte_bpe_50k.tiktoken"))
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert t.ids(text or "").tolist() == t.slow.encode(text or "", add_special_tokens=False).ids
+
+
+def best_fit(counts, size):
+    """Sequences of best fit for one piece at a time, longest first."""
+    gaps, opened = [], 0
+    for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        i = bisect_left(gaps, length)
+        left = gaps.pop(i) if i < len(gaps) else size
+        opened += left == size
+        if left > length:
+            insort(gaps, left - length)
+    return opened
+
+
+def filled(runs, counts, size):
+    """Checks that each rank of each length has one place and pieces don't overlap; the number of sequences."""
+    places = defaultdict(list)
+    ranks = defaultdict(list)
+    for length, first, n, sequence, per, offset in runs:
+        for k in range(n):
+            ranks[length].append(first + k)
+            places[sequence + k // per].append((offset + k % per * length, length))
+    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(n)) for x, n in counts.items()}
+    for v in places.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(places)
+
+
+def test_sweep_is_best_fit():
     rng = random.Random(1)
     for _ in range(100):
         size = rng.choice([10, 100, 2048])
         counts = {rng.randint(1, size): rng.randint(1, 40) for _ in range(rng.randint(1, 50))}
-        runs = sorted(pack.place(counts, size))
-        bins = defaultdict(int)
-        for length, number in counts.items():
-            own = [r for r in runs if r[0] == length]
-            for i in range(number):
-                r = [x for x in own if x[1] <= i][-1]
-                bins[r[2] + (i - r[1]) // r[3]] += length
-        gaps, plain = [], 0  # one document at a time
-        for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
-            i = bisect_left(gaps, length)
-            left = gaps.pop(i) if i < len(gaps) else size
-            plain += left == size
-            if left > length:
-                insort(gaps, left - length)
-        assert max(bins.values()) <= size and len(bins) == plain
+        placed, stay, _ = pack.sweep([(x, 0, n) for x, n in counts.items()], [], size, 0)
+        assert not stay and filled(placed, counts, size) == best_fit(counts, size)
+
+
+def test_conflicts_go_to_the_lower_rank():
+    # five pieces of 7 meet three gaps: the tightest first, ranks in order, and two pieces stay
+    placed, stay, left = pack.sweep([(7, 0, 5)], [(9, 100, 1), (7, 200, 2), (6, 300, 4)], 10)
+    assert sorted(placed) == [(7, 0, 2, 200, 1, 3), (7, 2, 1, 100, 1, 1)] and stay == [(7, 3, 2)]
+    assert sorted(left) == [(2, 100, 1), (6, 300, 4)]
+    # a longer piece goes before a shorter one that fits the same gap
+    placed, stay, _ = pack.sweep([(5, 0, 1), (6, 0, 1)], [(6, 1, 1)], 10)
+    assert placed == [(6, 0, 1, 1, 1, 4)] and stay == [(5, 0, 1)]
+
+
+@pytest.mark.parametrize("counts", [{2048: 3}, {1: 5000}, {1500: 4, 500: 9, 48: 30, 7: 11, 1: 3}, {700: 500, 690: 500, 640: 40, 200: 100, 30: 2000, 2: 10}, {1024: 7, 1025: 7, 1023: 7}])
+def test_supersteps(spark, counts):
+    """Pieces and gaps of different ranges are different tasks' rows; the outcome is that of one sweep."""
+    ws = pack.Workspace(spark, "supersteps")
+    table = spark.createDataFrame(list(counts.items()), "length long, n long").repartition(3)
+    runs = pack.placements(ws, table).select("length", "first", "n", "sequence", "per", "offset").collect()
+    assert filled([tuple(r) for r in runs], counts, pack.SIZE) == best_fit(counts, pack.SIZE)
+
+
+def test_repeated_rows_spread_and_runs_stay_few(spark):
+    """Equal rows and null ids are ranked by their own numbers; a larger corpus of the same lengths has as many runs."""
+    ws = pack.Workspace(spark, "runs")
+    size = {}
+    for k in (1, 16):
+        counts = spark.createDataFrame([(x, 40 * k) for x in range(1, 400)], "length long, n long")
+        size[k] = pack.placements(ws, counts).count()
+    assert size[16] < 2 * size[1]
+    same = spark.createDataFrame([(None, "equal text")] * 3000, "doc_id long, text string").repartition(3)
+    got = pack.pack_documents(same)
+    assert got.count() == 3000 and got.select("sequence_id", "offset").distinct().count() == 3000
+    assert got.agg({"length": "sum"}).first()[0] <= 2048 * got.select("sequence_id").distinct().count()
+
+
+def test_op5_columns(spark):
+    got = pack.op5(spark, "/root/testdata/sf0.001")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
