@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from bitloom.llm import hpylm, langid, pii, toxicity
@@ -172,25 +173,106 @@ def test_base_score_and_counts(odd, odd_rows):
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
 
 
-@pytest.mark.parametrize("bits", [18, 3])
-def test_probabilities_sum_to_one(spark, odd, bits, monkeypatch):
-    """After one context: all words and the unseen word; frequent words broadcast or joined alike."""
+class Plain:
+    """The model's state as dictionaries, and probabilities by the rule, one token at a time."""
+
+    def __init__(self, m, train):
+        self.n, self.tables, self.samples = Counter(), [{} for _ in m.samples], m.samples
+        names = {xxhash.xxh3_64_intdigest(w): w for w in train}
+        number = {h: i + 1 for i, h in enumerate(m.words.tolist())}
+        self.context = {names[h]: i for h, i in number.items()}
+        self.words = dict(enumerate((names[h] for h in m.words.tolist()), 1))
+        for row in m.table.collect():
+            keys, word, context, n = hpylm.entries(row.asDict(), m.places)
+            for i in range(len(n)):
+                w = self.words[int(word[i])] if row["place"] < m.places.pairs else names[int(keys[word[i]])]
+                assert (int(context[i]), w) not in self.n
+                self.n[int(context[i]), w] = int(n[i])
+                for t, column in zip(self.tables, row["tables"]):
+                    t[int(context[i]), w] = int(hpylm.expand(column)[i])
+        self.parents = []
+        for t in self.tables:
+            u = Counter()
+            for (_, w), k in t.items():
+                u[w] += k
+            self.parents.append(u)
+
+    def p(self, w, u):
+        """Probability of a word, None for one not seen, after context ``u``."""
+        out = []
+        for s, t, parent in zip(self.samples, self.tables, self.parents):
+            d, e = s.d
+            customers = sum(n for (k, _), n in self.n.items() if k == u)
+            tables = sum(n for (k, _), n in t.items() if k == u)
+            share = (10 + d * tables) / (10 + customers)
+            total = sum(parent.values())
+            base = (10 + e * len(parent)) / (10 + total) if w is None else (parent[w] - e) / (10 + total)
+            own = (self.n[u, w] - d * t[u, w]) / (10 + customers) if (u, w) in self.n else 0.0
+            out.append(own + share * base)
+        return sum(out) / len(out)
+
+
+@pytest.mark.parametrize(("bits", "places"), [(20, 16), (3, 16), (3, 4), (20, 4)])
+def test_scores_by_brute_force(spark, odd, odd_rows, bits, places, monkeypatch):
+    """All tokens of a corpus by the rule; frequent pairs broadcast or joined, dictionary of few or many words, one or many places."""
     monkeypatch.setattr(hpylm, "FREQUENT_BITS", bits)
-    train = odd.where("doc_id < 40").select("doc_id", "text")
-    words = sorted({w for r in train.collect() for w in tokens(r["text"])} - {b""})
-    one = spark.createDataFrame([(1000 + i, w.decode()) for i, w in enumerate(words)] + [(1, ""), (2, "neverseenword")], "doc_id long, text string")
-    both = train.withColumn("t", F.lit(True)).unionByName(one.withColumn("t", F.lit(False)))
-    got = {r["doc_id"]: r["score"] for r in hpylm.score(both, F.col("t")).where("held_out").collect()}
-    short = [w for w in words if len(w) <= 3]
-    end = {w: hpylm.Tokens().context(w) for w in words}
-    # a text of one word is that word after no context, then the end after the word's context
-    empty = 10 ** got[1]
-    ends = {}
-    for i, w in enumerate(words):
-        ends.setdefault(end[w], []).append(10 ** got[1000 + i])
-    assert short and empty < 1
-    total = empty + sum(x / empty for x in ends.get(-1, [])) + 10 ** got[2] / empty
-    assert total < 1.0 + 1e-6
+    monkeypatch.setattr(hpylm, "PLACE_BITS", places)
+    rows = [r for r in odd_rows if r[0] is None or r[0] < 30 or r[0] > 98]
+    docs = odd.where("doc_id is null or doc_id < 30 or doc_id > 98")
+    train = Counter(w for r in rows if crc(r[0]) % 5 != 1 for w in tokens(r[1]))
+    ws = hpylm.Workspace(spark, "plain")
+    m = hpylm.train(ws, docs.where(~training(1, 5)).select("text"))
+    plain = Plain(m, train)
+    pairs = Counter()
+    for r in rows:
+        if crc(r[0]) % 5 != 1:
+            before = 0
+            for w in tokens(r[1]):
+                pairs[before, w] += 1
+                before = plain.context.get(w, 0)
+    assert plain.n == pairs
+    for s, t, parent in zip(m.samples, plain.tables, plain.parents):
+        assert all(1 <= t[x] <= n for x, n in pairs.items())
+        assert s.words == sum(parent.values()) and s.dishes == len(parent) == len(train)
+    known = {}
+
+    def p(w, u):
+        if (w, u) not in known:
+            known[w, u] = plain.p(w, u)
+        return known[w, u]
+
+    for u in {u for u, _ in pairs}:
+        assert sum(p(w, u) for w in train) + p(None, u) == pytest.approx(1, abs=1e-9)
+    want = []
+    for r in rows:
+        total, before = 0.0, 0
+        for w in tokens(r[1]):
+            total += math.log10(p(w if w in train else None, before))
+            before = plain.context.get(w, 0)
+        want.append((str(r[0]), total))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in hpylm.score(docs, ~training(1, 5)).collect())
+    assert [x for x, _ in got] == [x for x, _ in sorted(want)]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-9)
+
+
+def test_scores_dont_depend_on_partitions(odd, monkeypatch):
+    monkeypatch.setattr(hpylm, "PLACE_BITS", 6)
+    one, many = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in hpylm.score(x, ~training(1, 5)).collect()} for x in (odd.coalesce(1), odd.repartition(7)))
+    assert one.keys() == many.keys() and all(one[x] == pytest.approx(many[x], rel=1e-12) for x in one)
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    got = hpylm.op6(spark, "/root/testdata/sf0.001")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:7] == [("doc_id", "bigint"), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"), ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")]
+    held = got.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for x in (np.empty(0, np.uint64), np.zeros(3, np.int64), rng.integers(0, 2**64, 1000, np.uint64), rng.integers(0, 300, 999)):
+        assert (hpylm.expand(hpylm.squeeze(x)) == x).all()
+        assert (hpylm.scale(hpylm.climb(np.sort(x))) == np.sort(x)).all()
 
 
 def test_seating():
@@ -223,13 +305,12 @@ def test_contexts_are_preceding_words(spark):
     got = {r["doc_id"]: r["score"] for r in hpylm.score(docs, F.col("t")).where("held_out").collect()}
     assert got[7] - got[8] > 1.5  # all words are equally frequent: only the word before tells them apart
     ws = hpylm.Workspace(spark, "contexts")
-    sizes = [len(hpylm.train(ws, spark.createDataFrame([(line(k),)] * 200, "text string")).contexts) for k in (20, 40, 60)]
-    assert sizes == [40, 80, 120]
+    sizes = [len(hpylm.train(ws, spark.createDataFrame([(line(k),)] * 200, "text string")).words) for k in (20, 40, 60)]
+    assert sizes == [41, 81, 121]  # with the end
 
 
-@pytest.mark.parametrize("bits", [20, 3])
-def test_probabilities_after_a_context_sum_to_one(spark, bits, monkeypatch):
-    monkeypatch.setattr(hpylm, "FREQUENT_BITS", bits)
+def test_probabilities_after_a_context_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "FREQUENT_BITS", 3)  # so that rare words share a context
     rng = random.Random(4)
     rare = [f"rare{i}" for i in range(200)]
     train = [(100 + i, " ".join(w for _ in range(20) for w in ("context", rng.choice(rare[:120]), rng.choice(rare)))) for i in range(60)]
