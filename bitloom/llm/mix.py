@@ -6,18 +6,22 @@ DataFrame functions only.  Three tables flow: documents reduced to
 * Targets: sources in code-point order (null last) weigh ``weights`` in turn
   and share ``share`` of all words.  A target stops at ``cap`` times its
   source's size; the excess goes to the others by weight.  The level at which
-  that stops is found in one sorted pass over the sources: sources fill up in
-  the order of size/weight, so the full ones are a prefix of that order.
+  that stops rises round by round: sources below it are full, and what they
+  leave goes to the rest, until no further source is full.
 * Sampling: within a source every document expects target/size copies.  Its
   place among its source's documents, ordered by size, is a prefix sum that is
-  taken in two steps (strata, then rows of a stratum), so a source with a third
-  of all rows is never in one task.  With one offset per source, a document is
-  taken once per integer boundary its interval crosses.  Ordering by size
-  spreads the taken documents evenly over short and long ones, which keeps the
-  taken words near the target.
+  taken in steps (blocks of strata, strata, rows of a stratum), so a source with
+  a third of all rows is never in one task.  With one offset per source, a
+  document is taken once per integer boundary its interval crosses.  Ordering by
+  size spreads the taken documents evenly over short and long ones, which keeps
+  the taken words near the target.
+* Strata follow a hash of the id.  Where ids repeat or are null and a stratum has
+  over four times its rows, it is split by a hash of the content, and copies of
+  one row beyond a stratum's size by their numbers: they are all alike.
 
 Edge cases: null text has size 0 and takes 0 words; a null source is a source
-of its own; null ids are kept as rows; repeated rows are sampled one by one;
+of its own; null ids are kept as rows; rows with one id are ordered by their
+content, so reruns agree on them too; repeated rows are sampled one by one;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -45,52 +49,90 @@ def hash32(x: Column) -> Column:
     return F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+def targets(ws: Workspace, sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """(source, source_size) -> also target, copies (per document), start (offset in [0, 1)).
 
-    One row for each source; the windows run over sources, not documents.
+    Sources are numbered by range (a task sorts a range, and the numbers of rows before it are added), so there may be many.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    s = sources.withColumn("weight", weight).withColumn("limit", F.lit(cap) * F.col("source_size"))
-    fill = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("words", F.lit(share) * F.sum("source_size").over(every))
-    s = s.withColumn("rate", (F.col("words") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the rate rises while the sources before it are full, and falls after the first that isn't
-    s = s.withColumn("rate", F.max("rate").over(every))
-    s = s.withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("rate") * F.col("weight"), F.col("limit"))))
+    order = F.col("source").asc_nulls_last()
+    s = sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("slice", F.spark_partition_id())
+    s = ws.table(s, "sources")
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    slices = s.groupBy("slice").agg(F.count("*").alias("n")).select("slice", ahead.alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy("slice").orderBy(order)) - 1
+    s = s.withColumn("nth", nth).join(slices, "slice")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("ahead") + F.col("nth")) % len(weights) + 1).cast("int"))
+    s = ws.table(s.select("source", "source_size", weight.alias("weight"), (F.lit(cap) * F.col("source_size")).alias("limit")), "weights")
+    words, rate, full = None, 0.0, -1
+    while True:
+        open_ = ~(F.col("limit") < F.lit(rate) * F.col("weight"))
+        found = s.agg(F.sum("source_size").alias("size"), F.sum(F.when(open_, F.col("weight"))).alias("weight"), F.sum(F.when(~open_, F.col("limit"))).alias("limit"), F.count(F.when(~open_, 1)).alias("full")).first()
+        words = share * (found["size"] or 0)
+        if found["full"] == full or not found["weight"]:
+            break
+        full, rate = found["full"], (words - (found["limit"] or 0.0)) / found["weight"]
+    target = F.least("limit", F.lit(rate) * F.col("weight")) if found["weight"] else F.col("limit")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = hash32(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))) / F.lit(float(1 << 32))
-    return s.select("source", "source_size", "target", copies.alias("copies"), start.alias("start"))
+    return s.withColumn("target", target).select("source", "source_size", "target", copies.alias("copies"), start.alias("start"))
+
+
+STRATUM = ("class", "part", "giant", "sub")
+
+
+def same(a: str, b: str, *columns: str) -> Column:
+    on = F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    for c in columns:
+        on &= F.col(f"{a}.{c}") == F.col(f"{b}.{c}")
+    return on
+
+
+def split(ws: Workspace, rows: DataFrame, stratum: int) -> DataFrame:
+    """rows with sub and giant: both 0, but in parts that one id fills."""
+    plain = rows.withColumn("giant", F.lit(0).cast("long")).withColumn("sub", F.lit(0).cast("long"))
+    hot = rows.groupBy("source", "class", "part").agg(F.count("*").alias("n")).where(F.col("n") > 4 * stratum)
+    hot = ws.table(hot, "hot")
+    if hot.isEmpty():
+        return plain
+    content = ("class", "part", "size", "key", "tie")
+    within = rows.alias("r").join(hot.alias("h"), same("r", "h", "class", "part"))
+    copies = within.select(F.col("r.source").alias("source"), *[F.col(f"r.{c}").alias(c) for c in content]).groupBy("source", *content).agg(F.count("*").alias("copies")).where(F.col("copies") > stratum)
+    copies = ws.table(copies, "copies")
+    out = rows.alias("r").join(hot.alias("h"), same("r", "h", "class", "part"), "left").join(copies.alias("c"), same("r", "c", *content), "left")
+    giant = F.when(F.col("copies").isNotNull(), F.col("r.tie").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))  # never 0 for a giant
+    slices = lambda n: F.ceil(F.col(n) / stratum).cast("long")
+    sub = F.when(F.col("copies").isNotNull(), F.pmod(F.col("r.row"), slices("copies"))).when(F.col("h.n").isNotNull(), F.pmod(F.col("r.tie"), slices("h.n"))).otherwise(F.lit(0).cast("long"))
+    return out.select(*[F.col(f"r.`{c}`").alias(c) for c in rows.columns], giant.alias("giant"), sub.alias("sub"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, stratum: int = 4096, seed: str = "mix", broadcast_sources: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
     """documents -> doc_id, source, size, source_size, target, copies_taken, taken, and the columns to carry, renamed carry_0, carry_1 ..."""
     ws = Workspace(docs.sparkSession, "mix")
     more = [f"carry_{i}" for i in range(len(carry))]
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`").alias(m) for c, m in zip(carry, more)])
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name in {"doc_id", "text", *carry} and "map<" not in f.dataType.simpleString()]
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*hashed).alias("tie"), F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(m) for c, m in zip(carry, more)])
     sizes = ws.table(sizes.withColumn("class", size_class(F.col("size"))), "sizes")
     classes = ws.table(sizes.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "classes")
-    sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap, seed)
-    sources = ws.table(sources, "sources")
+    sources = ws.table(targets(ws, classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap, seed), "targets")
     n_classes = classes.count()
     #: (source, class) and source parameters go to all tasks only while they are few; else they are joined by key.
     near = (lambda x: F.broadcast(x)) if n_classes <= broadcast_sources * 64 else (lambda x: x)
     parts = classes.select("source", "class", F.ceil(F.col("n") / stratum).cast("long").alias("parts"))
     key = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = sizes.alias("d").join(near(parts).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.class") == F.col("p.class")))
-    rows = rows.select("doc_id", "d.source", "size", "d.class", F.pmod(key, F.col("parts")).alias("part"), key.alias("key"), *more)
-    strata = rows.groupBy("source", "class", "part").agg(F.count("*").alias("n"))
-    place = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    strata = strata.select("source", "class", "part", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("ahead"))
-    strata = strata.alias("t").join(near(sources).alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
-    strata = ws.table(strata.select(F.col("t.source").alias("source"), "class", "part", "ahead", "source_size", "target", "copies", "start"), "placed")
-    within = Window.partitionBy("source", "class", "part").orderBy("size", "key", "doc_id")
+    rows = sizes.alias("d").join(near(parts).alias("p"), same("d", "p", "class"))
+    rows = rows.select("doc_id", "d.source", "size", "d.class", F.pmod(key, F.col("parts")).alias("part"), key.alias("key"), "tie", "row", *more)
+    rows = split(ws, rows, stratum)
+    strata = ws.table(rows.groupBy("source", *STRATUM).agg(F.count("*").alias("n")).withColumn("block", F.shiftright("part", 10)), "strata")
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = strata.groupBy("source", "class", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("source", "class", "block", ahead(Window.partitionBy("source").orderBy("class", "block")).alias("before"))
+    strata = strata.withColumn("within", ahead(Window.partitionBy("source", "class", "block").orderBy("part", "giant", "sub")))
+    strata = strata.alias("t").join(blocks.alias("b"), same("t", "b", "class", "block")).join(near(sources).alias("s"), same("t", "s"))
+    strata = ws.table(strata.select(F.col("t.source").alias("source"), *[F.col(f"t.{c}").alias(c) for c in STRATUM], (F.col("before") + F.col("within")).alias("ahead"), "source_size", "target", "copies", "start"), "placed")
+    within = Window.partitionBy("source", *STRATUM).orderBy("size", "key", "doc_id", "tie", "row")
     rows = rows.withColumn("nth", F.row_number().over(within))
     few = strata if strata.count() > broadcast_sources * 64 else F.broadcast(strata)
-    out = rows.alias("r").join(few.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.class") == F.col("t.class")) & (F.col("r.part") == F.col("t.part")))
+    out = rows.alias("r").join(few.alias("t"), same("r", "t", *STRATUM))
     upto = lambda i: F.floor(i.cast("double") * F.col("copies") + F.col("start"))
     index = F.col("ahead") + F.col("nth")
     taken = (upto(index) - upto(index - 1)).cast("long")

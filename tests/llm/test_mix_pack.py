@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.llm import mix, pack
 
@@ -51,6 +52,41 @@ def test_reruns_agree_and_strata_split(odd):
     assert a == b
 
 
+@pytest.mark.parametrize("same_text", [True, False])
+def test_one_id_for_all_rows(spark, same_text):
+    """Null ids, with one text or many: strata are split, reruns agree, targets are met and no stratum is a whole source."""
+    rows = [(None if i % 3 else 7, "a b c" if same_text else f"w{i} " * (1 + i % 5), "s" if i % 4 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(tuple, mix.mix(x, stratum=16, broadcast_sources=0).collect()), key=str) for x in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two and len(one) == 3000
+    size = Counter()
+    for r in rows:
+        size[r[2]] += word_count(r[1])
+    want = fill_up(dict(size))
+    for s in size:
+        assert abs(sum(r[6] for r in one if r[1] == s) - want[s]) <= 5 and all(r[4] == pytest.approx(want[s]) for r in one if r[1] == s)
+    ws = mix.Workspace(spark, "split")
+    keyed = docs.select("source", F.lit("0").alias("class"), F.lit(0).alias("part"), F.lit(3).cast("long").alias("size"), F.lit(5).alias("key"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    assert mix.split(ws, keyed, 16).groupBy("source", *mix.STRATUM).count().agg(F.max("count")).first()[0] <= 48
+
+
+def test_equal_ids_with_different_texts_repeat_alike(spark):
+    docs = spark.createDataFrame([(1, f"t{i} x", "s") for i in range(40)], "doc_id long, text string, source string")
+    one, two = (sorted(map(tuple, mix.repeat_to_targets(x).collect())) for x in (docs.coalesce(1), docs.repartition(5)))
+    assert one == two and len(one) == 60
+
+
+def test_many_sources(spark):
+    rows = [(i, "a " * (i % 37 + 1), f"s{i * 7919 % 1000:04d}") for i in range(4000)]
+    size = Counter()
+    for r in rows:
+        size[r[2]] += word_count(r[1])
+    want = fill_up(dict(size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r["source"]: r["target"] for r in mix.mix(docs, broadcast_sources=0).collect()}
+    assert got == {s: pytest.approx(v, rel=1e-9) for s, v in want.items()}
+
+
 def test_rows_are_repeated(odd):
     got = mix.repeat_to_targets(odd)
     assert got.columns == odd.columns
