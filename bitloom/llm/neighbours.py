@@ -1,14 +1,19 @@
 """Nearest neighbours by a block matrix join: int8 tiles, error bounds, exact recomputation, heaps.
 
-Queries are cut into slabs of about ``slab`` rows (a size that is checked and
-doesn't grow), each sent to all tasks once; candidates stay where they are
-read.  A task multiplies int8 tiles of a slab and a batch of its candidates.
+Queries are dealt to blocks of at most about ``query_block`` rows, candidates to
+blocks of about ``candidate_block`` rows, and each block of queries meets each
+block of candidates at a place of its own: a row goes once to each block of the
+other side, so nothing passes the driver and the plan doesn't depend on the
+number of queries.  A place holds its queries and reads its candidates in
+batches, so a block of candidates may be larger than memory.  A task multiplies
+int8 tiles of queries and candidates (in stretches of at most 1024 components,
+whose products float32 holds exactly).
 With x = x' + e, |e| known exactly, the true distance is within |e| + |f| of
 the distance of the quantised vectors, so a pair whose lower bound is above
 the k-th smallest upper bound of its query can't be among the k nearest.  The
 pairs left are recomputed from the original vectors in double precision, one
 component after the other, and kept in a heap of k for each query; the heaps
-of all tasks (k rows for each query and task) merge in a last aggregate.
+of all places (k rows for each query and place) merge in a last aggregate.
 Nothing is approximate: recall is 1.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
@@ -64,8 +69,9 @@ def search_batch(slab: Slab, ids: np.ndarray, x: np.ndarray, k: int, heaps: list
     for a in range(0, len(slab.ids), tile):
         qa = slab.q[a : a + tile].astype(np.float32)
         for b in range(0, len(ids), tile):
-            # products of int8 are whole numbers below 2**24, which float32 holds exactly
-            dot = (qa @ q[b : b + tile].astype(np.float32).T).astype(np.float64)
+            qb = q[b : b + tile].astype(np.float32)
+            # 1024 products of int8 add up to whole numbers below 2**24, which float32 holds exactly
+            dot = sum((qa[:, i : i + 1024] @ qb[:, i : i + 1024].T).astype(np.float64) for i in range(0, q.shape[1], 1024))
             d2 = slab.square[a : a + tile, None] + square[None, b : b + tile] - 2 * dot * slab.scale[a : a + tile, None] * scale[None, b : b + tile]
             d = np.sqrt(np.maximum(d2, 0))
             slack = slab.left[a : a + tile, None] + left[None, b : b + tile]
@@ -91,41 +97,69 @@ def search_batch(slab: Slab, ids: np.ndarray, x: np.ndarray, k: int, heaps: list
                         limit[m] = min(limit[m], -heap[0][0])
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, slab: int = 16384, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int = 32768, candidate_block: int = 1 << 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query row its k nearest rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "nearest")
     base = vectors.where(usable(F.col(vector)) & F.col(id_column).isNotNull())
-    base = base.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q"))
-    queries = base.where("q").select("vec_id", "v").withColumn("query", F.monotonically_increasing_id())
-    queries = ws.table(queries, "queries")
-    n = queries.count()
-    slabs = -(-n // slab)
-    found = None
-    for s in range(slabs):
-        t = queries.where(F.pmod(F.xxhash64("query"), F.lit(slabs)) == s).toArrow()
-        ids, rows = t["vec_id"].to_numpy(), t["query"].to_numpy()
-        shared = spark.sparkContext.broadcast([(rows[r], ids[r], x) for r, x in by_width(t["v"])])
-
-        def run(batches, shared=shared):
-            mine = {x.shape[1]: Slab(r, i, x) for r, i, x in shared.value}
-            heaps = {w: [[] for _ in m.ids] for w, m in mine.items()}
-            limit = {w: np.full(len(m.ids), np.inf) for w, m in mine.items()}
-            for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                for r, x in by_width(b.column(1)):
-                    if x.shape[1] in mine:
-                        w = x.shape[1]
-                        search_batch(mine[w], ids[r], x, k, heaps[w], limit[w])
-            for w, m in mine.items():
+    base = base.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    queries = ws.table(base.where("q").select("vec_id", "v").withColumn("query", F.monotonically_increasing_id()), "queries")
+    n_queries, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n = base.count()
+    a = -(-n_queries // max(1, min(query_block, (1 << 23) // width)))  # of queries; memory of a block is bounded at any width
+    b = max(-(-n // candidate_block), min(64, n // 4096), 1)  # of candidates; several for a small table too, so that tasks share it
+    deal = lambda row, blocks: F.pmod(F.xxhash64(row), F.lit(blocks))
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = queries.withColumn("other", spread(b)).select((deal("query", a) * b + F.col("other")).alias("place"), F.lit(0).alias("kind"), "query", "vec_id", "v")
+    right = base.withColumn("row", F.monotonically_increasing_id()).withColumn("other", spread(a))
+    right = right.select((F.col("other") * b + deal("row", b)).alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query"), "vec_id", "v")
+
+    def run(batches):
+        """Rows by place, queries first."""
+        place, waiting, slabs, heaps, limit = None, [], {}, {}, {}
+
+        def done():
+            for w, m in slabs.items():
                 flat = [(int(m.rows[i]), int(m.ids[i]), -item[1], -item[0]) for i, h in enumerate(heaps[w]) for item in h]
                 if flat:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat)], ["query", "query_id", "vec_id", "score"])
 
-        part = base.select("vec_id", "v").mapInArrow(run, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        def begin():
+            """Queries of the place are complete."""
+            t = pa.Table.from_batches(waiting)
+            rows, ids = t["query"].to_numpy(), t["vec_id"].to_numpy()
+            for r, x in by_width(t["v"]):
+                w = x.shape[1]
+                slabs[w], heaps[w], limit[w] = Slab(rows[r], ids[r], x), [[] for _ in r], np.full(len(r), np.inf)
+            waiting.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = [0, *(np.flatnonzero((places[1:] != places[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(places)]
+            for i, j in zip(edges, edges[1:]):
+                if places[i] != place:
+                    yield from done()
+                    place, slabs, heaps, limit = places[i], {}, {}, {}
+                    waiting.clear()
+                part = batch.slice(i, j - i)
+                if kind[i] == 0:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    begin()
+                ids = part.column(3).to_numpy(zero_copy_only=False)
+                for r, x in by_width(part.column(4)):
+                    if x.shape[1] in slabs:
+                        w = x.shape[1]
+                        search_batch(slabs[w], ids[r], x, k, heaps[w], limit[w])
+        yield from done()
+
+    both = left.unionByName(right).repartition("place").sortWithinPartitions("place", "kind")
+    found = both.mapInArrow(run, SCHEMA)
     # heaps merge: k smallest (score, id) of each query
     order = Window.partitionBy("query").orderBy("score", "vec_id")
     merged = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -3,17 +3,20 @@
 1. Equal vectors are one (grouped before anything else, with their number).
 2. Each pass gives a vector 64 sign bits of random projections, joined to one
    key.  All passes are one table, range-partitioned and sorted by (pass, key):
-   similar vectors share long prefixes, so they meet in the order.  A task
-   compares each row with the ``window`` rows after it, in double precision,
-   and sends on a forest of what is linked, not the pairs.  The first and last
-   ``window`` rows of all tasks are compared once more, in order, so that pairs
-   across the edges of tasks count too.
+   similar vectors share long prefixes, so they meet in the order.  What is
+   sorted is a vector's int8 form with the length of what rounding left.  A task
+   compares each row with the ``window`` rows after it: bounds of the cosine tell
+   which pairs are certainly linked, of which a forest is sent on, not the pairs;
+   pairs that the bounds leave open and the forest doesn't join are decided by
+   the original vectors, in double precision, after all passes.  The first and
+   last ``window`` rows of all tasks are compared once more, in order, so that
+   pairs across the edges of tasks count too.
 3. The forests of all passes unite to components.
 4. Links are then counted exactly within each component, found by a window or
    not.  With angles measured from the component's centre, two vectors are
    certainly linked if their angles add up to no more than the threshold's
    angle, so in a tight component the count is its size.  Only vectors too far
-   out for that are compared, in tiles of at most ``tile`` by ``tile`` rows that
+   out for that are compared, in tiles of about ``tile`` by ``tile`` rows that
    send on counts.  A group with a third of all rows is many tiles.
 
 A pair is missed only where no chain of found links joins it: for two vectors
@@ -38,10 +41,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, read
 from .graph import components
-from .vectors import by_width, usable
+from .vectors import by_width, scaled, usable
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -64,9 +68,27 @@ def passes_for(n: int, window: int, threshold: float, miss: float, least: int =
     return max(least, math.ceil(math.log(miss) / math.log1p(-met))) if met < 1 else least
 
 
-def forest(ids: np.ndarray, x: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the linked pairs at most ``window`` rows apart."""
+def rounded(x: np.ndarray) -> list[bytes]:
+    """Unit vectors as int8 components, their scale, and the length of what rounding left (float32, rounded up)."""
+    u = unit(x)
+    scale = (np.abs(u).max(axis=1) / 127).astype(np.float32)
+    q = np.clip(np.rint(u / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    left = np.sqrt(((u - q * scale[:, None].astype(np.float64)) ** 2).sum(axis=1))
+    numbers = np.column_stack([scale, left * (1 + 1e-6) + 1e-7]).astype("<f4")
+    return [a.tobytes() + b.tobytes() for a, b in zip(q, numbers)]
+
+
+def restored(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded vectors of one width, and what rounding left of each."""
+    x = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    numbers = np.ascontiguousarray(x[:, -8:]).view("<f4")
+    return x[:, :-8].view(np.int8).astype(np.float32) * numbers[:, :1], numbers[:, 1]
+
+
+def forest(ids: np.ndarray, y: np.ndarray, left: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at most ``window`` rows apart: edges of a spanning forest of those certainly linked, and open pairs that it doesn't join."""
     root = np.arange(len(ids))
+    open_a, open_b = [], []
 
     def settle() -> None:
         while not np.array_equal(root, root[root]):
@@ -74,7 +96,15 @@ def forest(ids: np.ndarray, x: np.ndarray, window: int, threshold: float) -> tup
 
     for s in range(1, min(window, len(ids) - 1) + 1):
         i = np.flatnonzero((root[:-s] != root[s:]) & (ids[:-s] != ids[s:]))
-        i = i[cosines(x[i], x[i + s]) >= threshold] if len(i) else i
+        if not len(i):
+            continue
+        cosine = np.einsum("ij,ij->i", y[i], y[i + s])
+        slack = left[i] * (1 + left[i + s]) + left[i + s] + 1e-4  # and float32 sums
+        may = cosine + slack >= threshold
+        sure = cosine - slack >= threshold
+        open_a.append(i[may & ~sure])
+        open_b.append(i[may & ~sure] + s)
+        i = i[sure]
         for a, b in zip(i.tolist(), (i + s).tolist()):
             while root[a] != a:
                 a = root[a]
@@ -83,10 +113,12 @@ def forest(ids: np.ndarray, x: np.ndarray, window: int, threshold: float) -> tup
             root[max(a, b)] = min(a, b)
         settle()
     linked = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[linked], ids[root[linked]]
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (open_a, open_b))
+    apart = root[a] != root[b]
+    return ids[linked], ids[root[linked]], ids[a[apart]], ids[b[apart]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 32, tile: int = 512, seed: int = 11, miss: float = 0.001, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 32, tile: int = 4096, seed: int = 11, miss: float = 0.001, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row for each row of the input: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "vecdedup")
@@ -97,30 +129,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
     distinct = ws.table(distinct, "distinct")
     if passes is None:
         passes = passes_for(distinct.count(), window, threshold, miss)
-    single = dict(vectors.dtypes)[vector] == "array<float>"
-    kind = np.float32 if single else np.float64  # as sent and sorted; compared in double precision
 
     def project(batches):
         for b in batches:
             for r, x in by_width(b.column(1)):
                 k = keys(x, passes, seed)
                 rep = np.repeat(b.column(0).to_numpy(zero_copy_only=False)[r], passes)
-                blobs = [bytes(y) for y in x.astype(kind)]
+                blobs = rounded(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(passes, dtype=np.int32), len(x))), pa.array(k.ravel()), pa.array(rep), pa.array([y for y in blobs for _ in range(passes)], pa.binary())], ["pass", "key", "rep", "x"])
 
-    names = ["a", "b", "pass", "key", "rep", "x"]
+    names = ["a", "b", "sure", "pass", "key", "rep", "x"]
 
     def links(ids, blobs):
         width = np.array([len(y) for y in blobs])
         for w in np.unique(width):
             r = np.flatnonzero(width == w)
-            x = np.frombuffer(b"".join([blobs[i] for i in r]), dtype=kind).reshape(len(r), -1).astype(np.float64)
-            a, c = forest(ids[r], x, window, threshold)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), *(pa.nulls(len(a), k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+            a, b, c, d = forest(ids[r], *restored([blobs[i] for i in r]), window, threshold)
+            if len(a) + len(c):
+                sure = np.arange(len(a) + len(c)) < len(a)
+                pairs = [pa.array(np.concatenate(x)) for x in ((a, c), (b, d))]
+                yield pa.RecordBatch.from_arrays([*pairs, pa.array(sure), *(pa.nulls(len(sure), k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
 
     def edge(b):
-        return pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 2, *b.columns], names)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64())] * 2, pa.nulls(b.num_rows, pa.bool_()), *b.columns], names)
 
     def link(batches):
         """Links, then the first and last rows."""
@@ -146,12 +177,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
 
     sent = distinct.select("rep", "v").mapInArrow(project, "pass int, key long, rep long, x binary")
     sorted_ = sent.repartitionByRange("pass", "key").sortWithinPartitions("pass", "key", "rep")
-    found_type = "a long, b long, pass int, key long, rep long, x binary"
+    found_type = "a long, b long, sure boolean, pass int, key long, rep long, x binary"
     found = ws.table(sorted_.mapInArrow(link, found_type), "found")
     edges = found.where("rep is not null").select("pass", "key", "rep", "x").repartition(1).sortWithinPartitions("pass", "key", "rep")
     across = edges.mapInArrow(link, found_type)
-    pairs = found.unionByName(across).where("a is not null").select("a", "b")
-    comps = components(ws, pairs)
+    pairs = ws.table(found.unionByName(across).where("a is not null").select("a", "b", "sure"), "pairs")
+    ws.drop(found)
+    comps = components(ws, pairs.where("sure").select("a", "b").unionByName(decided(distinct, pairs.where("not sure").select("a", "b"), threshold)))
     members = distinct.join(comps, distinct.rep == comps.node).select("component", "rep", "n", "v")
     counts = links_within(ws, ws.table(members, "members"), threshold, tile)
     of = distinct.join(comps.join(counts, comps.node == counts.id, "left"), distinct.rep == comps.node, "left")
@@ -164,6 +196,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
     return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+def decided(distinct: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are linked, by the vectors (rep, v) themselves."""
+
+    def run(batches):
+        for b in batches:
+            linked = np.zeros(b.num_rows, bool)
+            va, vb = b.column(2), b.column(3)
+            for r, x in by_width(va):
+                y = by_width(vb.take(pa.array(r)))[0][1]  # windows hold one width
+                linked[r] = cosines(scaled(x), scaled(y)) >= threshold
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(linked)) for i in (0, 1)], ["a", "b"])
+
+    p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    p = p.join(distinct.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+    return p.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+
+
 def links_within(ws: Workspace, members: DataFrame, threshold: float, tile: int) -> DataFrame:
     """members (component, rep, n, v) -> (id, links): vectors linked with it, itself and its copies included."""
     most = math.acos(threshold)
@@ -192,7 +241,7 @@ def links_within(ws: Workspace, members: DataFrame, threshold: float, tile: int)
             for r, x in by_width(b.column(b.schema.get_field_index("v"))):
                 y = np.frombuffer(b"".join([centre[i] for i in r])).reshape(len(r), -1)
                 with np.errstate(invalid="ignore"):
-                    out[r] = np.nan_to_num(np.arccos(np.clip(cosines(x, y), -1, 1)), nan=np.pi)
+                    out[r] = np.nan_to_num(np.arccos(np.clip(cosines(scaled(x), y), -1, 1)), nan=np.pi)
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in ("component", "rep", "n")], pa.array(out)], ["component", "rep", "n", "angle"])
 
     angles = members.join(centres, "component").mapInArrow(angle, "component long, rep long, n long, angle double")
@@ -218,11 +267,16 @@ def links_within(ws: Workspace, members: DataFrame, threshold: float, tile: int)
         a, b = t.filter(pa.array(is_left)), t.filter(pa.array(~is_left))
         for ra, xa in by_width(a["v"]):
             ids, total = a["rep"].to_numpy()[ra], np.zeros(len(ra), np.int64)
+            xa = scaled(xa)
             for rb, xb in by_width(b["v"]):
                 if xa.shape[1] == xb.shape[1]:
-                    linked = (xa @ xb.T / np.sqrt((xa * xa).sum(1)[:, None] * (xb * xb).sum(1)[None, :])) >= threshold
-                    linked |= ids[:, None] == b["rep"].to_numpy()[rb][None, :]
-                    total += linked @ b["n"].to_numpy()[rb]
+                    xb, other, n = scaled(xb), b["rep"].to_numpy()[rb], b["n"].to_numpy()[rb]
+                    for i in range(0, len(xa), 512):
+                        for j in range(0, len(xb), 512):
+                            p, q = xa[i : i + 512], xb[j : j + 512]
+                            linked = (p @ q.T / np.sqrt((p * p).sum(1)[:, None] * (q * q).sum(1)[None, :])) >= threshold
+                            linked |= ids[i : i + 512, None] == other[None, j : j + 512]
+                            total[i : i + 512] += linked @ n[j : j + 512]
             out["id"].append(ids)
             out["links"].append(total)
         return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for k, v in out.items()})

@@ -39,9 +39,9 @@ def usable(rows):
 
 def test_nearest_is_exact(vectors, rows):
     ok = [(i, v.astype(np.float32).astype(float)) for i, v in usable(rows)]
-    for slab in (16384, 3):
+    for blocks in ({}, {"query_block": 3, "candidate_block": 16}):
         got = {}
-        for r in neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, slab=slab).collect():
+        for r in neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, **blocks).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
         want = {}
         for i, q in ok:
@@ -51,6 +51,26 @@ def test_nearest_is_exact(vectors, rows):
         assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_nearest_in_wide_vectors(spark):
+    """Widths at which one product of int8 vectors isn't exact in float32; near ties on purpose."""
+    rng = np.random.default_rng(12)
+    x = (1 + 1e-6 * rng.standard_normal((60, 1536))).astype(np.float32)
+    x[30:] = rng.choice([-1, 1], (30, 1536))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(vectors, F.col("vec_id") % 7 == 0, candidate_block=16).collect()}
+    for i in range(0, 60, 7):
+        near = sorted((float(neighbours.exact(x[i : i + 1].astype(float), x[j : j + 1].astype(float))[0]), j) for j in range(60) if j != i)[:10]
+        assert [got[i, k + 1] for k in range(10)] == [(j, s) for s, j in near]
+
+
+def test_the_plan_doesnt_grow_with_queries(spark):
+    rng = np.random.default_rng(13)
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.standard_normal((400, 8)))], "vec_id long, embedding array<float>")
+    sizes = [len(neighbours.nearest(vectors, F.col("vec_id") % n == 0, query_block=4)._jdf.queryExecution().executedPlan().toString().splitlines()) for n in (200, 2)]
+    assert sizes[0] == sizes[1]
+
+
 @pytest.mark.parametrize("tile", [512, 16])
 def test_links_and_components(vectors, rows, tile):
     got = {}
