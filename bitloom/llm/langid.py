@@ -10,9 +10,11 @@ with the largest proportion; the score is that proportion, estimated with the
 chosen languages and shrunk by the evidence (words) there is.
 
 Trigram counts are learned from at most about ``sample`` labelled rows, taken
-evenly by a hash of the id.  Only text is an input of a prediction.
+evenly by a hash of the row.  Each language may have an equal part of them, and
+what rarer ones don't need goes to the others, so that a rare language is
+learned from all its rows.  Only text is an input of a prediction.
 
-Edge cases: null text or text without a letter gives ``und`` with score 0; with
+Edge cases: null text or text without a letter (Unicode category L) gives ``und`` with score 0; with
 no labelled row at all every prediction is ``und``; rows without a label are
 predicted like others; repeated rows and null ids are rows like others; very
 long texts are processed whole, in pieces; other columns are ignored.
@@ -20,7 +22,10 @@ long texts are processed whole, in pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import map_all, read, small, training
 
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters: of what ``re`` takes for a part of a word, numbers and marks are left out."""
+    other = [c for c in range(128, sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha()]
+    return re.compile(r"[^\W\d_" + "".join(map(chr, other)) + "]+")
+
+
 def cells(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Trigram cells of all words, each set off by a space before and after; and where each word's begin."""
     flat = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.uint32)
@@ -47,18 +58,33 @@ def cells(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return cell.astype(np.int64), np.searchsorted(keep, start)
 
 
+def quota(sizes: list[int], total: int) -> float:
+    """The number that each may take so that together they take ``total``, or all there is."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        each = left / (len(sizes) - i)
+        if n > each:
+            return each
+        left -= n
+    return max(sizes, default=0)
+
+
 def learn(docs: DataFrame, is_training, sample: int, bits: int) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of each trigram cell in each."""
+    spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_training)
-    total = rows.count()
-    share = min(1.0, sample / max(1, total))
-    rows = rows.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    most = quota(list(size.values()), sample)
+    shares = [(lang, int(min(1.0, most / n) * (1 << 30))) for lang, n in size.items()]
+    shares = spark.createDataFrame(shares, "__lang string, __share long")
+    rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("__share"))
 
     def run(batches):
+        find = letters().findall
         counts: dict[str, np.ndarray] = {}
         for b in small(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [w.encode() for w in LETTERS.findall(text.lower())]
+                words = [w.encode() for w in find(text.lower())]
                 if words:
                     n = counts.setdefault(lang, np.zeros(1 << bits, np.int64))
                     n += np.bincount(cells(words, bits)[0], minlength=1 << bits)
@@ -146,6 +172,7 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
 
     def run(batches):
         langs, logp = shared.value
+        find = letters().findall
         table = Words(logp, bits) if langs else None
         for b in small(batches, at):
             pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
@@ -159,7 +186,7 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
                         pred[r], score[r] = langs[t], v
 
             for r, text in enumerate(b.column(at).to_pylist()):
-                w = LETTERS.findall(text.lower()) if text and langs else ()
+                w = find(text.lower()) if text and langs else ()
                 if w:
                     rows.append(r)
                     starts.append(len(words))

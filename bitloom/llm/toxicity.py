@@ -8,9 +8,10 @@ the text's length in words, both as logarithms, so that the sum is normalised
 by a power of the length, which is learned with the rest.
 
 The lexicon is learned from at most about ``sample`` labelled rows of each
-class: words and beginnings of words that are much commoner in toxic documents
-and are followed there by many different words (which passages that are copied
-from document to document are not).  Its weights are log-odds.
+class: words and beginnings of words (4 to 24 letters) that are much commoner in
+toxic documents, in at least 0.4 % of them, and are followed there by many
+different words (which passages that are copied from document to document are
+not).  Its weights are log-odds.  Its size is bounded by that of the sample.
 
 Edge cases: null or empty text has no term and gets the score of that; with no
 labelled row of one class, only the built-in terms count; a document labelled
@@ -21,6 +22,8 @@ very long texts are handled like others; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +103,11 @@ class Lexicon:
                     continue
                 (spared if kind == "pass" else hits).append((start, end, weight, term))
         if spared:
-            hits = [h for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)]
+            spared = sorted(s[:2] for s in spared)
+            reach = list(accumulate((end for _, end in spared), max))  # how far the phrases up to each one reach
+            first = [start for start, _ in spared]
+            inside = lambda h: (i := bisect_right(first, h[0])) and reach[i - 1] >= h[1]
+            hits = [h for h in hits if not inside(h)]
         best: dict[int, tuple[float, str]] = {}  # one term for each place
         for start, _, weight, term in hits:
             if weight > best.get(start, (0.0, ""))[0]:
@@ -114,7 +121,7 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
     return np.log1p(lexicon.match(folded)[0]), np.log1p(len(text.split()) if text else 0)
 
 
-def term_counts(rows: DataFrame, shortest: int = 4, longest: int = 9) -> DataFrame:
+def term_counts(rows: DataFrame, shortest: int = 4, longest: int = 24) -> DataFrame:
     """(term, stem, pos, neg, next): documents of each class with the term; next: bits of the hashed words that follow it in toxic ones."""
 
     def run(batches):
@@ -196,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, is_training, sample: int = 6000, l
         return built_in, {}, np.array([3.0, -0.3, -2.5])
     least = max(4, n_pos // 250)
     found = term_counts(rows).where((F.col("pos") >= least) & (F.col("followers") >= 4) & ((F.col("pos") + 0.5) / (n_pos + 1) > float(np.exp(least_odds)) * (F.col("neg") + 0.5) / (n_neg + 1)))
-    terms = found.orderBy(F.desc("pos"), "term", "stem").limit(4000).collect()  # a lexicon: bounded
+    terms = found.orderBy(F.desc("pos"), "term", "stem").collect()  # each in many documents of a bounded sample
     words, stems = choose(terms, n_pos, n_neg, least_odds)
     words = {w: v for w, v in built_in.items() if not any(w.startswith(s) for s in stems)} | words
     shared = docs.sparkSession.sparkContext.broadcast((words, stems))

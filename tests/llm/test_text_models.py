@@ -38,6 +38,71 @@ def test_language(odd, odd_rows, nothing):
     assert {r["lang_pred"] for r in langid.identify(unlabelled.drop("lang_pred"), F.lit(True)).collect()} == {"und"}
 
 
+def test_only_letters_make_a_language(spark, odd):
+    """Numbers that are parts of words for ``re`` aren't letters."""
+    rows = [(1000, "½ ² ①"), (1001, "Ⅷ ٣ 12"), (1002, "१ ﹏ _"), (1003, "ª"), (1004, "ß²")]
+    docs = odd.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, F.lit(True)).where("doc_id >= 1000").collect()}
+    assert [got[i] == "und" for i in range(1000, 1005)] == [True, True, True, False, False]
+    import sys
+    import unicodedata
+
+    find = langid.letters()
+    assert all(bool(find.fullmatch(chr(c))) == (unicodedata.category(chr(c))[0] == "L") for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"common words of house {i % 7} and garden", "en") for i in range(3000)] + [(5000 + i, "selten wörter über straße", "de") for i in range(3)]
+    rows += [(None, "mots rares du château", "fr")] * 2 + [(9000, "die wörter straße", None), (9001, "du château", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, _ = langid.learn(docs, F.lit(True), 100, 12)
+    assert langs == ["de", "en", "fr"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, F.lit(True), sample=100).where("doc_id >= 9000").collect()}
+    assert got == {9000: "de", 9001: "fr"}
+    assert [langid.quota(x, 100) for x in ([10, 1000, 1000], [30, 30], [])] == [45, 30, 0]
+
+
+def test_inference_by_brute_force():
+    """EM and the choice of the set, one document and one word at a time."""
+    rng = np.random.default_rng(5)
+
+    def plain_em(words, allowed, rounds=12):
+        p = [a / sum(allowed) for a in allowed]
+        for _ in range(rounds):
+            new = [0.0] * len(p)
+            for w in words:
+                total = sum(x * y for x, y in zip(w, p))
+                for i in range(len(p)):
+                    new[i] += w[i] * p[i] / total / len(words)
+            p = new
+        return p, sum(math.log(max(sum(x * y for x, y in zip(w, p)), 1e-300)) for w in words)
+
+    docs = [rng.normal(-8, 3, (int(rng.integers(1, 40)), 4)) for _ in range(60)]
+    docs += [np.where(np.arange(60)[:, None] % k == np.arange(4), -5.0, -20.0) + 0.1 * rng.standard_normal((60, 4)) for k in (1, 2, 3, 4)]
+    start = np.cumsum([0, *(len(d) for d in docs)])[:-1]
+    top, score = langid.infer(np.concatenate(docs), start, price=4.0)
+    for d, t, s in zip(docs, top, score):
+        words = [[max(math.exp(x - max(r)), 1e-12) for x in r] for r in d.tolist()]
+        full, _ = plain_em(words, [1] * 4)
+        order = sorted(range(4), key=lambda i: -full[i])
+        alone = [sum(math.log(w[i]) for w in words) for i in range(4)]
+        best, p = max(alone), [float(i == alone.index(max(alone))) for i in range(4)]
+        for k in (2, 3, 4):
+            q, value = plain_em(words, [float(i in order[:k]) for i in range(4)])
+            value -= (k - 1) * 4.0 * math.log(len(words) + 1) / 2
+            if value > best + 1e-9:
+                best, p = value, q
+        want = p.index(max(p))
+        assert t == want and s == pytest.approx((p[want] * len(words) + full[want] * 2) / (len(words) + 2), abs=1e-6)
+
+
+def test_op1_columns(spark):
+    got = langid.op1(spark, "/root/testdata/sf0.001")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got = got.collect()
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 5 == 0) and 0 <= r["score"] <= 1 for r in got)
+
+
 def test_mixture_and_penalty():
     rng = np.random.default_rng(0)
     # half the words clearly of one language, half of another: two languages are worth their price
@@ -62,6 +127,36 @@ def test_folding_and_exceptions():
     assert lexicon.match("")[0] == 0.0
 
 
+def test_matcher_by_brute_force():
+    """Terms, stems and exceptions by looking at each place of a text."""
+    rng = random.Random(8)
+    words, stems, passes = {"ab": 1.0, "abc": 2.5, "c": 0.5, "bc a": 4.0}, {"ab": 1.5, "ca": 0.25}, ("ab c", "c ab", "b")
+    lexicon = toxicity.Lexicon(words, stems, passes)
+    for _ in range(3000):
+        t = "".join(rng.choice("abc  ") for _ in range(rng.randint(0, 30)))
+
+        def places(term, whole):
+            for i in range(len(t) - len(term) + 1):
+                if t.startswith(term, i) and not (i and t[i - 1].isalnum()) and not (whole and t[i + len(term) : i + len(term) + 1].isalnum()):
+                    yield i, i + len(term)
+
+        spared = [p for e in passes for p in places(e, True)]
+        best = {}
+        for terms, whole in ((words, True), (stems, False)):
+            for term, weight in terms.items():
+                for a, b in places(term, whole):
+                    if not any(x <= a and b <= y for x, y in spared):
+                        best[a] = max(best.get(a, (0.0, "")), (weight, term))
+        assert lexicon.match(t) == (pytest.approx(sum(w for w, _ in best.values())), len({x for _, x in best.values()}))
+
+
+def test_op2_columns(spark):
+    got = toxicity.op2(spark, "/root/testdata/sf0.001")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    got = got.collect()
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(2)
     pool = [f"w{rng.randint(0, 999)}" for _ in range(300)]
@@ -115,8 +210,15 @@ def test_base_spans():
     for _ in range(300):
         t = " ".join("".join(rng.choice("0123456789") for _ in range(rng.randint(1, 19))) for _ in range(4))
         assert pii.joined(pii.base_spans(t)) == plain_spans(t)
-    long = "1" * 200_000 + "@" + "a" * 200_000 + "." + "+1 " * 50_000
-    assert pii.joined(pii.base_spans(long)) == pii.joined(pii.base_spans(long))
+    long = "x" * 200_000 + " 1.2.3.4 " + "y" * 100_000 + " me@a.b " + "+1 " * 50_000 + "x 4111 1111 1111 1111 " + "+49 30 1234567 "
+    assert sorted(pii.base_spans(long)) == sorted([(200_001, 200_008, "ip"), (300_010, 300_016, "email"), (450_019, 450_038, "card"), (450_039, 450_053, "phone")])
+    dense = "1" * 20_000 + "@" + "a" * 20_000 + "." + "+1 " * 5_000  # no match, and no time lost on it
+    assert pii.base_spans(dense) == []
+
+
+def test_op4_columns(spark):
+    got = pii.op4(spark, "/root/testdata/sf0.001")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:7] == [("doc_id", "bigint"), *((f"n_{k}", "bigint") for k in pii.BASE), ("base_sha256", "string"), ("spans", "string")]
 
 
 def test_field():
