@@ -6,31 +6,18 @@ splits on exactly these six bytes, so Python code uses it on UTF-8 text.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import own_folder
+
 #: One word, for Spark SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    It is set here only where the session has none, as in local tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="bitloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Workspace:
     """Tables that cut lineage, written to the shared folder.
 
@@ -40,7 +27,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/bitloom/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = own_folder(spark, name)
         self.n = 0
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
@@ -51,6 +38,11 @@ class Workspace:
         out._bitloom_path = path
         return out
 
+    def close(self) -> None:
+        """Deletes all tables, once nothing reads them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm
