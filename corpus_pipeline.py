@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one language prevails, or all if no language could be learned; texts without letters go."""
     found = langid.identify(docs, F.lit(True), names=("__pred", "__score"))
     stays = (F.col("__pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SHARE)
-    unlearned = (F.col("__pred") == langid.UNKNOWN) & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")  # 'und' despite letters
+    unlearned = (F.col("__pred") == langid.UNKNOWN) & F.col("text").rlike(r"\p{L}")  # 'und' despite letters
     return found.where(stays | unlearned).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
