@@ -88,6 +88,34 @@ def nullspace(rows, width: int) -> list[int]:
     return [1 << f | sum(1 << p for row, p in zip(r, pivots) if row >> f & 1) for f in free]
 
 
+def inverse(columns: list[int]) -> list[int]:
+    """Columns of the inverse of a square matrix given by its columns; an error where they are dependent."""
+    width = len(columns)
+    rows = [r | 1 << width + i for i, r in enumerate(transpose(columns, width))]
+    rows, pivots = reduced(rows, width)
+    if len(pivots) < width:
+        raise ValueError("the columns are dependent")
+    return transpose([r >> width for r in rows], width)
+
+
+def solve(columns: list[int], target: int) -> int:
+    """The columns, as a mask, that add up to the target."""
+    out = 0
+    for i, c in enumerate(inverse(columns)):
+        out ^= c * (target >> i & 1)
+    return out
+
+
+def functional_columns(code: tuple) -> tuple[list[int], list[int], int]:
+    """Coordinates whose unit errors generate every selector, the selector of each, and the number of syndrome bits."""
+    _, hz = checks(code)
+    independent_checks = [hz[i] for i in independent(hz)]
+    rows = [*independent_checks, *logical_basis(code)]
+    places = selector_qubits(code)
+    columns = transpose(rows, code[0])
+    return places, [columns[q] for q in places], len(independent_checks)
+
+
 def logical_basis(code: tuple) -> list[int]:
     """Kernel vectors of H_x, ascending by free coordinate, that extend the row space of H_z."""
     hx, hz = checks(code)

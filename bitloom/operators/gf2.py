@@ -35,6 +35,37 @@ def total(*parts: DataFrame) -> DataFrame:
     return out.groupBy("r", "c").agg(F.count("*").alias("n")).where("n % 2 = 1").select("r", "c")
 
 
+def identity(spark: SparkSession, n: int) -> DataFrame:
+    """L01."""
+    return shift(spark, n, 0)
+
+
+def power(spark: SparkSession, m: DataFrame, n: int, exponent: int) -> DataFrame:
+    """A power of an n x n matrix modulo 2, by repeated squaring."""
+    out = identity(spark, n)
+    while exponent:
+        if exponent & 1:
+            out = product(out, m)
+        exponent >>= 1
+        if exponent:
+            m = product(m, m)
+    return out
+
+
+def kronecker(a: DataFrame, b: DataFrame, rows: int, columns: int) -> DataFrame:
+    """The Kronecker product; ``rows`` and ``columns`` are b's.  As large as its result: each one of a meets each of b."""
+    pairs = a.alias("a").join(b.alias("b"))
+    return pairs.select((F.col("a.r") * rows + F.col("b.r")).alias("r"), (F.col("a.c") * columns + F.col("b.c")).alias("c"))
+
+
+def supports(h: DataFrame) -> DataFrame:
+    """(n, side, rows, ones, support, sha256): each matrix as a record, with the digest of its canonical text."""
+    lines = h.groupBy("n", "side", "r").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    one = lines.groupBy("n", "side").agg(F.count("*").alias("rows"), F.sum(F.size("c")).cast("long").alias("ones"), F.array_sort(F.collect_list(F.struct("r", "c"))).alias("lines"))
+    text = F.to_json(F.transform("lines", lambda x: x["c"]))
+    return one.select("n", "side", "rows", "ones", text.alias("support"), F.sha2(text, 256).alias("sha256"))
+
+
 def check_matrices(spark: SparkSession, codes=LADDER) -> DataFrame:
     """(n, side, r, c) of H_x and H_z of all codes, from their parameters."""
     g = ladder(spark, codes).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("l") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))

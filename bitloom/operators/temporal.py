@@ -43,3 +43,32 @@ def fibers(found: DataFrame) -> DataFrame:
     """For each detector vector its histories and the different logical classes among them."""
     label = F.struct(bits.syndrome("terminal", CHECKS_18).alias("s"), bits.syndrome("terminal", LOGICALS_18).alias("l"))
     return found.groupBy("detectors").agg(F.count("*").alias("histories"), F.count_distinct(label).alias("classes"))
+
+
+def chained_digest(records: DataFrame, stream: str, order: str, text: str) -> DataFrame:
+    """(stream, digest): a digest chained over the ordered records of each stream.
+
+    Streams are sorted within tasks and folded as they pass, so a stream of any length takes constant memory.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        now, digest = None, ""
+        for b in batches:
+            done = []
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if s != now:
+                    if now is not None:
+                        done.append((now, digest))
+                    now, digest = s, ""
+                digest = hashlib.sha256((digest + (t or "")).encode()).hexdigest()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], b.schema.field(0).type), pa.array([x for _, x in done])], [stream, "digest"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], b.schema.field(0).type), pa.array([digest])], [stream, "digest"])
+
+    kind = records.schema[stream].dataType.simpleString()
+    ordered = records.where(f"{stream} is not null").select(stream, text, order).repartition(stream).sortWithinPartitions(stream, order)
+    return ordered.select(stream, text).mapInArrow(run, f"{stream} {kind}, digest string")

@@ -55,16 +55,21 @@ def contract(classes: DataFrame, scopes: list[Scope], order: list[int], checkpoi
     return whole.select("class", "m9", "m2", F.col("best.w").alias("w"), F.col("best.e").alias("rep"), "key")
 
 
-def cliques(spark: SparkSession, scopes: list[Scope], order: list[int]) -> DataFrame:
-    """(bag, size, factors): maximal cliques along an order, and the factors that each is the first to hold."""
-    from .orders import bags
-
-    found = bags(scopes, order)
-    b = spark.createDataFrame([(i, v, len(c)) for i, c in enumerate(found) for v in c], "bag int, v int, size int")
-    s = spark.createDataFrame([(q, v, len(x)) for q, x in enumerate(scopes) for v in x], "q int, v int, arity int")
-    held = s.join(b, "v").groupBy("q", "bag", "arity").agg(F.count("*").alias("n")).where("n = arity")
-    first = held.groupBy("q").agg(F.min("bag").alias("bag")).groupBy("bag").agg(F.count("*").alias("factors"))
-    return b.select("bag", "size").distinct().join(first, "bag", "left").select("bag", "size", F.coalesce("factors", F.lit(0)).alias("factors"))
+def maximal(members: DataFrame) -> DataFrame:
+    """Members (bag, v) of the bags that aren't inside another; of equal bags the first stays."""
+    size = members.groupBy("bag").agg(F.count("*").alias("size"))
+    a, b = members.alias("a"), members.alias("b")
+    common = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.bag") != F.col("b.bag"))).groupBy(F.col("a.bag").alias("bag"), F.col("b.bag").alias("other")).agg(F.count("*").alias("common"))
+    other = size.select(F.col("bag").alias("other"), F.col("size").alias("larger"))
+    inside = common.join(size, "bag").join(other, "other").where("common = size and (larger > size or other < bag)")
+    return members.join(inside.select("bag").distinct(), "bag", "left_anti")
+
+
+def assigned(factors: DataFrame, members: DataFrame) -> DataFrame:
+    """Factors (q, v) -> (q, bag): the first bag that holds a factor's whole scope."""
+    arity = factors.groupBy("q").agg(F.count("*").alias("arity"))
+    held = factors.join(members, "v").groupBy("q", "bag").agg(F.count("*").alias("held")).join(arity, "q")
+    return held.where("held = arity").groupBy("q").agg(F.min("bag").alias("bag"))
 
 
 def evaluate_plan(scopes: list[Scope], order: list[int], seeds) -> dict:

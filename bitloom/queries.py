@@ -208,9 +208,9 @@ def p05(spark, sf_dir):
     return pair.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(bits.euclidean(F.col("a.v"), F.col("b.v")), 9).alias("distance"))
 
 
-@query("p06_parity", f"SELECT e, (bit_count(e & {CHECKS_18[0]}) % 2)::INTEGER AS parity FROM range(262144) t(e) WHERE e < 8192")
+@query("p06_parity", f"SELECT e, (bit_count(e & {CHECKS_18[0]}) % 2)::INTEGER AS parity FROM range(262144) t(e)")
 def p06(spark, sf_dir):
-    return spark.range(8192).select(F.col("id").alias("e"), bits.parity("id", CHECKS_18[0]).alias("parity"))
+    return spark.range(1 << 18).select(F.col("id").alias("e"), bits.parity("id", CHECKS_18[0]).alias("parity"))
 
 
 @query("p07_syndrome", f"WITH {CORPUS} SELECT idx, {bitstring(parities('e', CHECKS_18), 9)} AS syndrome FROM co")
@@ -445,11 +445,6 @@ def w08(spark, sf_dir):
     return score.ranked(table(spark, sf_dir, "events"), ["event_type"], [F.col("ts"), F.col("event_id")], 4).select("event_type", "event_id")
 
 
-@query("w09_first_passing", "SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_totalprice > 200000), -1) AS first_large FROM orders GROUP BY o_custkey")
-def w09(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.coalesce(F.min(F.when(F.col("o_totalprice") > 200000, F.col("o_orderkey"))), F.lit(-1)).alias("first_large"))
-
-
 # Joins
 
 
@@ -474,13 +469,13 @@ def j02(spark, sf_dir):
     return residual.join(F.broadcast(span), "s", "left").select("idx", F.coalesce("member", F.lit(False)).alias("member"))
 
 
-@query("j03_membership_by_reduction", f"WITH {span_sql(BASIS_MASKS)} SELECT e, e IN (SELECT s FROM sp) AS member FROM range(16384) t(e)")
+@query("j03_membership_by_reduction", f"WITH {span_sql(BASIS_MASKS)} SELECT e, e IN (SELECT s FROM sp) AS member FROM range(262144) t(e)")
 def j03(spark, sf_dir):
     rows, pivots = codes.reduced(BASIS_MASKS, 18)
     x = F.col("id")
     for r, p in zip(rows, pivots):
         x = F.when(F.shiftright(x, p).bitwiseAND(F.lit(1).cast("long")) == 1, x.bitwiseXOR(F.lit(r).cast("long"))).otherwise(x)
-    return spark.range(16384).select(F.col("id").alias("e"), (x == 0).alias("member"))
+    return spark.range(1 << 18).select(F.col("id").alias("e"), (x == 0).alias("member"))
 
 
 @query(
@@ -501,11 +496,11 @@ def j05(spark, sf_dir):
     return score.collisions(d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), "signature", "quality", "doc_id").withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("zero_first", "one_first")})
 
 
-@query("j06_coset_minimum", f"WITH {span_sql(BASIS_MASKS)} SELECT e, min(xor(e, s)) AS key FROM range(2048) t(e), sp GROUP BY e")
+@query("j06_coset_minimum", f"WITH {span_sql(BASIS_MASKS)} SELECT e, min(xor(e, s)) AS key FROM range(262144) t(e), sp GROUP BY e")
 def j06(spark, sf_dir):
-    span = F.broadcast(spark.range(1 << len(BASIS_MASKS)).select(bits.lift("id", BASIS_MASKS).alias("s")))  # 128 rows
-    e = spark.range(2048).select(F.col("id").alias("e"))
-    return e.join(span).groupBy("e").agg(F.min(F.col("e").bitwiseXOR(F.col("s"))).alias("key"))
+    """Errors of one coset have one selector, so a group-by gives the minima of all cosets; no error meets the whole span."""
+    e = spark.range(1 << 18).select(F.col("id").alias("e"), bits.lift("id", selector_columns()).alias("selector"))
+    return e.join(F.broadcast(e.groupBy("selector").agg(F.min("e").alias("key"))), "selector").select("e", "key")  # 2048 cosets
 
 
 @query("j07_coset_key", f"WITH {CLASSES} SELECT count(*) AS classes, count(DISTINCT key) AS keys, min(n) AS least, max(n) AS most FROM cl")
@@ -629,23 +624,6 @@ def l03(spark, sf_dir):
     return gf2.check_matrices(spark)
 
 
-RANKS = {72: 30, 90: 41, 108: 50, 144: 66}
-
-
-@query("l04_rank", "SELECT * FROM (VALUES (18, 7), " + ", ".join(f"({n}, {r})" for n, r in RANKS.items()) + ") t(n, rank)")
-def l04(spark, sf_dir):
-    """Ranks by pivot reduction, one small matrix for each group."""
-    h = gf2.check_matrices(spark, (C18, *LADDER[:4])).where("side = 'x'")
-
-    def rank(f):
-        import pandas as pd
-
-        rows = f.groupby("r")["c"].agg(lambda c: sum(1 << int(x) for x in c)).tolist()
-        return pd.DataFrame({"n": [f["n"].iloc[0]], "rank": [len(codes.independent(rows))]})
-
-    return h.groupBy("n").applyInPandas(rank, "n int, rank int")
-
-
 @query("l08_commutation", f"WITH {matrix_sql()}, k AS (SELECT x.n, x.r AS xr, z.r AS zr, count(*) AS k FROM cm x JOIN cm z ON x.n = z.n AND x.c = z.c AND x.side = 'x' AND z.side = 'z' GROUP BY ALL) SELECT n, count(*) AS overlapping, count(*) FILTER (k % 2 = 1) AS odd FROM k GROUP BY n")
 def l08(spark, sf_dir):
     return gf2.odd_overlaps(gf2.check_matrices(spark))
@@ -722,48 +700,9 @@ def d10(spark, sf_dir):
     return decode.compare(decode.lookup(corpus, decode.leaders(st)), decode.lookup(corpus, decode.decisions(decode.classes(st), "sum_product")))
 
 
-CANDIDATES = (("or_marked_amplitude", "or", 4, "marked_amplitude", 1), ("majority_hamming", "majority", 5, "hamming_normalized", 1), ("parity_phase", "parity", 4, "parity_phase", 4), ("parity_hamming", "parity", 4, "hamming_normalized", 1))
-
-
-@query("d11_scorecard", "SELECT * FROM (VALUES ('or_marked_amplitude', 16::BIGINT, 5::BIGINT, 0::BIGINT, 0.5::DOUBLE, 1::BIGINT, 0.0625::DOUBLE), ('majority_hamming', 32, 6, 0, 0.4, 1, 0.05), ('parity_phase', 16, 2, 0, 2.0, 1, 0.1), ('parity_hamming', 16, 5, 0, 0.5, 4, 0.025)) t(candidate, domain, signals, collisions, gap, alternations, utility)")
-def d11(spark, sf_dir):
-    """Scan, signatures, collisions, gap, alternations and utility of each candidate (a closed list)."""
-    out = None
-    for name, predicate, n, signal, calls in CANDIDATES:
-        d = generators.domain(spark, n)
-        d = d.select("input", F.round(score.signal(signal, F.col("weight"), n), 12).alias("signal"), score.predicate(predicate, F.col("weight"), n).alias("label"))
-        c = score.collisions(d, "signal", "label", "input").agg(F.sum(F.col("zeros") + F.col("ones")).alias("domain"), F.count("*").alias("signals"), F.sum("pairs").alias("collisions"))
-        r = c.join(score.gap(d, "signal", "label")).join(score.alternations(d, "signal", "label"))
-        utility = F.col("gap") / ((1.0 + calls) * (1.0 + F.col("alternations")) * (1.0 + F.log2(F.lit(2.0))))
-        r = r.select(F.lit(name).alias("candidate"), "domain", "signals", "collisions", F.round("gap", 12).alias("gap"), "alternations", F.round(utility, 12).alias("utility"))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 # Planning
 
 
-@query("o03_all_orders", "SELECT * FROM (VALUES (4::INTEGER, 720::BIGINT), (5, 4320)) t(width, orders)")
-def o03(spark, sf_dir):
-    """Every elimination order of the seven variables, by width (the orders are split over tasks by their first two)."""
-    scopes = codes.scopes(C18)
-    starts = spark.createDataFrame([(a, b) for a in range(7) for b in range(7) if a != b], "a int, b int").repartition(8)
-
-    def run(frames):
-        from itertools import permutations
-
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for a, b in zip(f["a"], f["b"]):
-                for rest in permutations([v for v in range(7) if v not in (a, b)]):
-                    rows.append(max(x["joint"] for x in orders.work(scopes, [a, b, *rest])) - 1)
-            yield pd.DataFrame({"width": rows})
-
-    return starts.mapInPandas(run, "width int").groupBy("width").agg(F.count("*").alias("orders"))
-
-
 def work_rows(spark: SparkSession, code, policy: str = "min_fill") -> DataFrame:
     """One row for the local factors' entries (step -1), and one for each elimination."""
     s = codes.scopes(code)
@@ -782,31 +721,12 @@ def g06_c90(spark, sf_dir):
     return work_rows(spark, LADDER[1]).agg(F.sum("evaluations").alias("evaluations"), F.max("joint").alias("peak"))
 
 
-@query("w07_first_crossing")
-def w07(spark, sf_dir):
-    return score.first_crossing(work_rows(spark, LADDER[1]), "step", "evaluations", 20_000_000)
-
-
-@query("g12_rewrite", "SELECT count(*) AS rows, count(*) FILTER (xor(xor(a, b), xor(c, d)) <> xor(xor(xor(a, b), c), d)) AS mismatches FROM (SELECT x & 1 AS a, (x >> 1) & 1 AS b, (x >> 2) & 1 AS c, (x >> 3) & 1 AS d FROM range(16) t(x))")
-def g12(spark, sf_dir):
-    b = lambda i: F.shiftright("id", i).bitwiseAND(F.lit(1).cast("long"))
-    left = b(0).bitwiseXOR(b(1)).bitwiseXOR(b(2).bitwiseXOR(b(3)))
-    right = b(0).bitwiseXOR(b(1)).bitwiseXOR(b(2)).bitwiseXOR(b(3))
-    return spark.range(16).agg(F.count("*").alias("rows"), F.count_if(left != right).alias("mismatches"))
-
-
 @query("g13_cap_gate", f"SELECT n, policy, CASE WHEN width + 1 <= 20 THEN 'pass' ELSE 'fail' END AS gate FROM ({PUBLISHED}) t(n, policy, width)")
 def g13(spark, sf_dir):
     """2**(width + 1) entries against a cap of 2**20: exponents are compared, as the counts don't fit a BIGINT."""
     return ladder_widths(spark).select("n", "policy", F.when(F.col("width") + 1 <= 20, "pass").otherwise("fail").alias("gate"))
 
 
-@query("g14_hard_factors", f"WITH {INCIDENCE}, f AS (SELECT q, count(*) AS arity FROM inc GROUP BY q) SELECT arity, count(*) AS factors, bool_and(arity > 0) AS soft FROM f GROUP BY arity")
-def g14(spark, sf_dir):
-    f = incidence(spark).groupBy("q").agg(F.count("*").alias("arity"))
-    return f.groupBy("arity").agg(F.count("*").alias("factors"), F.bool_and(F.col("arity") > 0).alias("soft"))
-
-
 # Validation
 
 
@@ -846,18 +766,6 @@ def a08(spark, sf_dir):
     return temporal.fibers(temporal.detectors(generators.fault_histories(spark)))
 
 
-@query("d13_ambiguity", "SELECT * FROM (VALUES (1::BIGINT, 2320::BIGINT), (2, 60), (3, 137)) t(histories, fibers)")
-def d13(spark, sf_dir):
-    f = temporal.fibers(temporal.detectors(generators.fault_histories(spark)))
-    return f.groupBy("histories").agg(F.count("*").alias("fibers"))
-
-
-@query("d13_ambiguous_fibers", "SELECT 135::BIGINT AS fibers, 405::BIGINT AS histories")
-def d13_ambiguous(spark, sf_dir):
-    f = temporal.fibers(temporal.detectors(generators.fault_histories(spark))).where("classes > 1")
-    return f.agg(F.count("*").alias("fibers"), F.sum("histories").alias("histories"))
-
-
 # Elimination and compiled graphs
 
 ORDER_18 = [v for v, _, _ in orders.eliminate(codes.scopes(C18), 7, "min_fill")]
@@ -922,13 +830,6 @@ def d07(spark, sf_dir):
     return decode.shells(decode.lookup(generators.weight_shells(spark), decode.decisions(evaluated_classes(spark), "min_plus")))
 
 
-@query("g05_junction_tree")
-def g05(spark, sf_dir):
-    """Maximal cliques of the 72-bit code's order, with the factors assigned to each."""
-    s = codes.scopes(LADDER[0])
-    return elimination.cliques(spark, s, [v for v, _, _ in orders.eliminate(s, 30, "min_fill")])
-
-
 # Records
 
 
@@ -1015,51 +916,12 @@ def o01(spark, sf_dir):
     return d.withColumn("nth", F.row_number().over(Window.orderBy("syndrome")).cast("long"))
 
 
-@query("o02_independent_rows", "SELECT * FROM (VALUES " + ", ".join(f"({i})" for i in range(7)) + ") t(row)")
-def o02(spark, sf_dir):
-    """The lexicographically first independent checks, by an ordered fold over the rows' reduction."""
-    return spark.createDataFrame([(i,) for i in codes.independent(CHECKS_18)], "row int")
-
-
 @query("o05_latest_receipt", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 def o05(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
 
 
-COMPONENTS = ((1, 2), (2, 3), (3, 4), (5, 3), (6, 1), (7, 8), (9, 7))
-
-
-@query("v04_affected_components", "WITH RECURSIVE d(child, parent) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in COMPONENTS) + "), r(changed, affected) AS (SELECT parent, parent FROM d UNION SELECT r.changed, d.child FROM r JOIN d ON d.parent = r.affected) SELECT changed, affected FROM r")
-def v04(spark, sf_dir):
-    """Components that depend on each changed one, however far."""
-    spark.createDataFrame(COMPONENTS, "child int, parent int").createOrReplaceTempView("bitloom_depends")
-    return spark.sql("WITH RECURSIVE r(changed, affected) AS (SELECT DISTINCT parent, parent FROM bitloom_depends UNION ALL SELECT r.changed, d.child FROM r JOIN bitloom_depends d ON d.parent = r.affected) SELECT DISTINCT changed, affected FROM r")
-
-
-@query("v03_history_equality", "SELECT doc_id, 'changed' AS problem FROM documents WHERE doc_id % 7 = 0")
-def v03(spark, sf_dir):
-    """Two ledgers of (path, bytes, digest) reconciled by a full outer join."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    other = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
-    other = other.select("doc_id", F.octet_length("text").alias("bytes2"), F.sha2("text", 256).alias("sha2"))
-    both = d.join(other, "doc_id", "full_outer")
-    problem = F.when(F.col("sha").isNull(), "added").when(F.col("sha2").isNull(), "missing").when((F.col("sha") != F.col("sha2")) | (F.col("bytes") != F.col("bytes2")), "changed")
-    return both.select("doc_id", problem.alias("problem")).where("problem is not null")
-
-
-@query("v06_receipt_rules", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate >= o_orderdate THEN 'ok' ELSE 'ends before it starts' END AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def v06(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select("l_orderkey", "l_linenumber", F.when(F.col("l_shipdate") >= F.col("o_orderdate"), "ok").otherwise("ends before it starts").alias("state"))
-
-
-@query("v09_pending_jobs", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')")
-def v09(spark, sf_dir):
-    done = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
-
-
 # More of the algebra, planning and validation
 
 
@@ -1078,23 +940,6 @@ def l05(spark, sf_dir):
     return h.groupBy("n").applyInPandas(reduce_, "place long, line string")
 
 
-@query("l06_nullspace", "SELECT * FROM (VALUES (18, 11::BIGINT, true), (72, 42, true), (90, 49, true), (108, 58, true), (144, 78, true)) t(n, dimension, in_kernel)")
-def l06(spark, sf_dir):
-    """Dimension of each kernel, and whether every basis vector meets every check evenly (a join on coordinates)."""
-    h = gf2.check_matrices(spark, (C18, *LADDER[:4])).where("side = 'x'")
-
-    def basis(f):
-        import pandas as pd
-
-        n = int(f["n"].iloc[0])
-        rows = f.groupby("r")["c"].agg(lambda c: sum(1 << int(x) for x in c)).tolist()
-        return pd.DataFrame([(n, i, c) for i, v in enumerate(codes.nullspace(rows, n)) for c in range(n) if v >> c & 1], columns=["n", "i", "c"])
-
-    k = h.groupBy("n").applyInPandas(basis, "n int, i int, c int")
-    odd = k.join(h, ["n", "c"]).groupBy("n", "i", "r").agg(F.count("*").alias("m")).where("m % 2 = 1").select("n").distinct().withColumn("odd", F.lit(True))
-    return k.groupBy("n").agg(F.count_distinct("i").alias("dimension")).join(odd, "n", "left").select("n", "dimension", F.col("odd").isNull().alias("in_kernel"))
-
-
 @query("l13_class_seeds", f"WITH st AS (SELECT e, {parities('e', [*CHECKS_18, *LOGICALS_18])} AS sel FROM range(262144) t(e)), se AS (SELECT e, sel FROM st WHERE e & ~{sum(1 << q for q in SEED_QUBITS)} = 0) SELECT sel AS selector, e AS seed FROM se")
 def l13(spark, sf_dir):
     """Each reachable selector with the seed that realises it."""
@@ -1110,9 +955,7 @@ def a15(spark, sf_dir):
 
 @query("a16_stream_digest", "WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), r(conv_id, i, h) AS (SELECT conv_id, 0::BIGINT, '' FROM t GROUP BY conv_id UNION ALL SELECT r.conv_id, t.i, sha256(r.h || t.text) FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1), m AS (SELECT conv_id, max(i) AS i FROM r GROUP BY conv_id) SELECT r.conv_id, r.h AS digest FROM r JOIN m USING (conv_id, i)")
 def a16(spark, sf_dir):
-    """A digest chained over the ordered records of each stream: a fold in one expression."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("records"))
-    return c.select("conv_id", F.aggregate("records", F.lit(""), lambda h, x: F.sha2(F.concat(h, x["text"]), 256)).alias("digest"))
+    return temporal.chained_digest(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query("x03_scope_algebra", f"WITH {INCIDENCE}, a AS (SELECT x.v AS variable, list(DISTINCT y.v ORDER BY y.v) AS u FROM inc x JOIN inc y ON x.q = y.q GROUP BY x.v) SELECT variable, u::VARCHAR AS joint, list_filter(u, lambda z: z <> variable)::VARCHAR AS output FROM a")
@@ -1123,15 +966,6 @@ def x03(spark, sf_dir):
     return u.select("variable", show(F.col("u")).alias("joint"), show(F.array_except("u", F.array("variable"))).alias("output"))
 
 
-@query("d12_linearisation_collisions", "SELECT 'signed' AS channel, 0::BIGINT AS collisions UNION ALL SELECT 'singular', 126")
-def d12(spark, sf_dir):
-    """Majority of five bits: the signed signal separates the labels, its absolute value doesn't."""
-    d = generators.domain(spark, 5).select("input", F.round(score.signal("hamming_normalized", F.col("weight"), 5), 12).alias("signed"), score.predicate("majority", F.col("weight"), 5).alias("label"))
-    d = d.withColumn("singular", F.abs("signed"))
-    one = lambda c: score.collisions(d, c, "label", "input").agg(F.sum("pairs").alias("collisions")).select(F.lit(c).alias("channel"), "collisions")
-    return one("signed").unionByName(one("singular"))
-
-
 @query("d14_feasibility", "SELECT * FROM (VALUES (72, 12, 30, 18, 524288::BIGINT), (90, 8, 41, 25, 67108864)) t(n, k, rank, width, peak)")
 def d14(spark, sf_dir):
     """Structure of single instances: logical dimension, rank, width and the largest table."""
@@ -1158,25 +992,6 @@ def v01(spark, sf_dir):
     return records.violations(table(spark, sf_dir, "orders"), "o_orderkey", rules)
 
 
-@query("v02_predecessor_chain", "WITH c AS (SELECT item_id, sha256(text) AS own, sha256(CASE WHEN item_id % 9 = 0 THEN text || '.' ELSE text END) AS told FROM benchmark), l AS (SELECT *, lag(own) OVER (ORDER BY item_id) AS before FROM c) SELECT item_id, own = told AS self_consistent, before IS NOT NULL AS linked FROM l")
-def v02(spark, sf_dir):
-    """Records that name their own digest and their predecessor's: both are recomputed."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("own"), F.sha2(F.when(F.col("item_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("told"))
-    n = b.select((F.col("item_id") + 1).alias("item_id"), F.col("own").alias("before"))
-    return b.join(n, "item_id", "left").select("item_id", (F.col("own") == F.col("told")).alias("self_consistent"), F.col("before").isNotNull().alias("linked"))
-
-
-@query("v08_ordered_map", "SELECT event_id AS idx, length(props) * 2 AS value FROM events")
-def v08(spark, sf_dir):
-    """Work spread over tasks, each result with the index of its input: order is data, not delivery."""
-
-    def run(frames):
-        for f in frames:
-            yield f.assign(value=f["props"].str.len() * 2)[["idx", "value"]]
-
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "props").mapInPandas(run, "idx long, value long")
-
-
 @query("g07_plan_evaluation", f"WITH {CLASSES} SELECT syn, lab, m9, m2, w, rep, key FROM cl")
 def g07(spark, sf_dir):
     """Each task contracts the factors for its selectors at once, by the planned order."""
@@ -1198,3 +1013,6 @@ def g11(spark, sf_dir):
     s = codes.scopes(code)
     order = [v for v, _, _ in orders.eliminate(s, len(codes.independent(codes.checks(code)[0])), "min_fill")]
     return spark.createDataFrame(list(enumerate(orders.node_bounds(s, codes.selector_qubits(code), order, 1 + code[0]))), "refinement int, bound long")
+
+
+from . import queries_files, queries_plans, queries_rules  # noqa: E402, F401  (they register more, with what is defined above)

@@ -1,10 +1,16 @@
-"""JSON, archive and text sources, and deterministic sinks."""
+"""JSON, archive and text sources, and deterministic sinks.
+
+Files are written by Hadoop's file systems, so a path may be on any storage that Spark reads.
+"""
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
+import tarfile
 import zipfile
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +42,9 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             for name, data in zip(f["path"], f["content"]):
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    yield pd.DataFrame([(name, m, z.read(m)) for m in z.namelist() if not m.endswith("/")], columns=["archive", "member", "content"])
+                    for m in z.namelist():  # one member in memory at a time
+                        if not m.endswith("/"):
+                            yield pd.DataFrame([(name, m, z.read(m))], columns=["archive", "member", "content"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
 
@@ -67,16 +75,57 @@ def time_report(spark: SparkSession, path: str) -> DataFrame:
     return t.select((part(1) * 3600 + part(2) * 60 + part(3)).alias("seconds"), F.regexp_extract("value", r"Maximum resident set size \(kbytes\): (\d+)", 1).cast("long").alias("kibibytes"))
 
 
-def write_canonical(record, path: str) -> None:
-    """Pretty, sorted, one newline at the end."""
-    with open(path, "w", encoding="ascii") as f:
-        f.write(json.dumps(record, sort_keys=True, indent=2, ensure_ascii=True, allow_nan=False) + "\n")
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_files(spark: SparkSession, root: str, files: Iterable[tuple[str, bytes]]) -> None:
+    """(relative path, content) of small files, one at a time."""
+    for name, data in files:
+        write_bytes(spark, f"{root.rstrip('/')}/{name}", data)
+
+
+def pretty(record) -> str:
+    """Sorted, indented, ASCII, one newline at the end."""
+    return json.dumps(record, sort_keys=True, indent=2, ensure_ascii=True, allow_nan=False) + "\n"
+
+
+def write_canonical(spark: SparkSession, record, path: str) -> None:
+    write_bytes(spark, path, pretty(record).encode("ascii"))
+
+
+def ordinal_problems(rows: DataFrame, ordinal: str, first: int = 0) -> DataFrame:
+    """(ordinal, problem): ordinals that occur twice, and those whose predecessor is missing."""
+    seen = rows.groupBy(F.col(ordinal).alias("ordinal")).agg(F.count("*").alias("n"))
+    before = seen.select((F.col("ordinal") + 1).alias("ordinal"))
+    repeated = seen.where("n > 1").select("ordinal", F.lit("repeated").alias("problem"))
+    gaps = seen.where(F.col("ordinal") > first).join(before, "ordinal", "left_anti").select("ordinal", F.lit("gap before").alias("problem"))
+    return repeated.unionByName(gaps)
+
+
+def full_digest(full: DataFrame) -> Column:
+    return F.sha2(F.to_json(F.struct(*sorted(full.columns))), 256)
 
 
 def project(full: DataFrame, paths: list[str], digest: str = "full_sha256") -> DataFrame:
     """A compact record: some fields, and the digest of the whole."""
-    whole = F.sha2(F.to_json(F.struct(*sorted(full.columns))), 256).alias(digest)
-    return full.select(*[F.col(p).alias(p.replace(".", "_")) for p in paths], whole)
+    return full.select(*[F.col(p).alias(p.replace(".", "_")) for p in paths], full_digest(full).alias(digest))
+
+
+def points_at(compact: DataFrame, full: DataFrame, key: str, digest: str = "full_sha256") -> DataFrame:
+    """(key, points): whether each compact record names the full one's digest and has its fields."""
+    shared = [c for c in compact.columns if c in full.columns and c != key]
+    f = full.select(F.col(key), full_digest(full).alias("__sha"), *[F.col(c).alias(f"__{c}") for c in shared])
+    same = F.col(digest) == F.col("__sha")
+    for c in shared:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return compact.join(f, key, "left").select(key, F.coalesce(same, F.lit(False)).alias("points"))
 
 
 def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -86,4 +135,29 @@ def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return f.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-__all__ = ["archive_members", "canonical", "manifest", "only_member", "project", "receipts", "registry", "strict_rows", "time_report", "write_canonical"]
+def tarball(files: Iterable[tuple[str, bytes]]) -> bytes:
+    """A compressed archive that depends on names and contents alone: sorted, without times and owners."""
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as t:
+        for name, data in sorted(files):
+            entry = tarfile.TarInfo(name)
+            entry.size, entry.mode = len(data), 0o644
+            t.addfile(entry, io.BytesIO(data))
+    return gzip.compress(raw.getvalue(), mtime=0)
+
+
+def tar_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, content) of compressed tar files, read member by member."""
+
+    def run(frames):
+        for f in frames:
+            for name, data in zip(f["path"], f["content"]):
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as t:
+                    for m in t:
+                        if m.isfile():
+                            yield pd.DataFrame([(name, m.name, t.extractfile(m).read())], columns=["archive", "member", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+
+
+__all__ = ["archive_members", "canonical", "manifest", "only_member", "ordinal_problems", "points_at", "pretty", "project", "receipts", "registry", "strict_rows", "tar_members", "tarball", "time_report", "write_bytes", "write_canonical", "write_files"]

@@ -47,16 +47,21 @@ def big_endian(x: Column, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(x), 2 * size, "0"))
 
 
-def noise_corpus(spark: SparkSession, width: int, seed: str, accepted: int = 256, tried: int = 512) -> DataFrame:
+def first_draws(draws, wanted: int, possible: int) -> DataFrame:
+    """The first ``wanted`` of the accepted draws, with their rank; ``draws(n)`` gives the accepted ones among n, and n doubles until they are enough."""
+    if wanted > possible:
+        raise ValueError(f"only {possible} different draws can be accepted")
+    tried = 2 * wanted
+    while True:
+        found = draws(tried).withColumn("nth", F.row_number().over(Window.orderBy("counter"))).where(F.col("nth") <= wanted)
+        if found.count() == wanted:
+            return found
+        tried *= 2
+
+
+def noise_corpus(spark: SparkSession, width: int, seed: str, accepted: int = 256) -> DataFrame:
     """(idx, role, weight, error): zero, units, then seeded draws; zero, units and repeats are rejected."""
-    at = spark.range(tried).select(F.col("id").alias("counter")).crossJoin(spark.range(width).select(F.col("id").alias("c")))
-    h = F.substring(F.sha2(F.concat(F.encode(F.lit(seed), "US-ASCII"), big_endian(F.col("counter"), 8), big_endian(F.col("c"), 4)), 256), 1, 16)
-    drawn = at.select("counter", "c", F.when(h < TENTH, "1").otherwise("0").alias("bit"))
-    drawn = drawn.groupBy("counter").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c", "bit"))), lambda x: x["bit"])).alias("error"))
-    drawn = drawn.withColumn("weight", F.length(F.replace("error", F.lit("0"), F.lit("")))).where("weight > 1")
-    first = drawn.groupBy("error").agg(F.min("counter").alias("counter"), F.first("weight").alias("weight"))
-    order = Window.orderBy("counter")
-    first = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= accepted)
+    first = first_draws(lambda tried: noise_draws(spark, width, seed, tried), accepted, 2**width - width - 1)
     zero = F.repeat(F.lit("0"), width)
     unit = F.concat(F.repeat(F.lit("0"), F.col("id").cast("int")), F.lit("1"), F.repeat(F.lit("0"), F.lit(width - 1) - F.col("id").cast("int")))
     units = spark.range(width).select((F.col("id") + 1).cast("int").alias("idx"), F.lit("unit").alias("role"), F.lit(1).alias("weight"), unit.alias("error"))
@@ -65,16 +70,31 @@ def noise_corpus(spark: SparkSession, width: int, seed: str, accepted: int = 256
     return rows.unionByName(units).unionByName(drawn)
 
 
-def selector_sample(spark: SparkSession, rank: int, seed: str, drawn: int = 256, tried: int = 512) -> DataFrame:
+def noise_draws(spark: SparkSession, width: int, seed: str, tried: int) -> DataFrame:
+    """(error, counter, weight) of the different errors of weight above one among the first draws."""
+    at = spark.range(tried).select(F.col("id").alias("counter")).crossJoin(spark.range(width).select(F.col("id").alias("c")))
+    h = F.substring(F.sha2(F.concat(F.encode(F.lit(seed), "US-ASCII"), big_endian(F.col("counter"), 8), big_endian(F.col("c"), 4)), 256), 1, 16)
+    drawn = at.select("counter", "c", F.when(h < TENTH, "1").otherwise("0").alias("bit"))
+    drawn = drawn.groupBy("counter").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c", "bit"))), lambda x: x["bit"])).alias("error"))
+    drawn = drawn.withColumn("weight", F.length(F.replace("error", F.lit("0"), F.lit("")))).where("weight > 1")
+    return drawn.groupBy("error").agg(F.min("counter").alias("counter"), F.first("weight").alias("weight"))
+
+
+def selector_sample(spark: SparkSession, rank: int, seed: str, drawn: int = 256) -> DataFrame:
     """(idx, coordinate): zero, units, all ones, then seeded draws that aren't reserved or repeated."""
-    digest = F.sha2(F.concat(F.encode(F.lit(seed), "US-ASCII"), big_endian(F.col("id"), 8)), 256)
-    # the digest's first bit is coordinate 0
-    text = F.substring(F.concat(*[F.lpad(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(-(-rank // 32))]), 1, rank)
-    d = spark.range(tried).select("id", bits.decode(text).alias("coordinate"))
-    d = d.where((F.bit_count("coordinate") > 1) & (F.col("coordinate") != (1 << rank) - 1))
-    d = d.groupBy("coordinate").agg(F.min("id").alias("id")).withColumn("nth", F.row_number().over(Window.orderBy("id"))).where(F.col("nth") <= drawn)
+    d = first_draws(lambda tried: selector_draws(spark, rank, seed, tried), drawn, 2**rank - rank - 2)
     reserved = spark.range(rank + 2).select(
         F.col("id").cast("int").alias("idx"),
         F.when(F.col("id") == 0, F.lit(0).cast("long")).when(F.col("id") == rank + 1, F.lit((1 << rank) - 1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") - 1).cast("int"))).alias("coordinate"),
     )
     return reserved.unionByName(d.select((F.col("nth") + rank + 1).cast("int").alias("idx"), "coordinate"))
+
+
+def selector_draws(spark: SparkSession, rank: int, seed: str, tried: int) -> DataFrame:
+    """(coordinate, counter) of the different coordinates that aren't reserved among the first draws."""
+    digest = F.sha2(F.concat(F.encode(F.lit(seed), "US-ASCII"), big_endian(F.col("id"), 8)), 256)
+    # the digest's first bit is coordinate 0
+    text = F.substring(F.concat(*[F.lpad(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(-(-rank // 32))]), 1, rank)
+    d = spark.range(tried).select("id", bits.decode(text).alias("coordinate"))
+    d = d.where((F.bit_count("coordinate") > 1) & (F.col("coordinate") != (1 << rank) - 1))
+    return d.groupBy("coordinate").agg(F.min("id").alias("counter"))

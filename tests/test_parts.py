@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import bitloom
 from bitloom.functions import bits, codes, records
 from bitloom.operators import decode, score
 from bitloom.plans import dag, orders
-from bitloom.sources import files
+from bitloom.sources import files, generators
 from bitloom.streaming import rounds
 
 
@@ -176,7 +177,7 @@ def test_file_sources(spark, tmp_path):
     assert {r["i"] for r in good.collect()} == {0} and bad.count() == 2
     (tmp_path / "time.txt").write_text("\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02:03.50\n\tMaximum resident set size (kbytes): 4321\n")
     assert tuple(files.time_report(spark, str(tmp_path / "time.txt")).first()) == (3723.5, 4321)
-    files.write_canonical({"b": 1, "a": "é"}, tmp_path / "out.json")
+    files.write_canonical(spark, {"b": 1, "a": "é"}, str(tmp_path / "out.json"))
     assert (tmp_path / "out.json").read_text() == '{\n  "a": "\\u00e9",\n  "b": 1\n}\n'
     man = {r["path"]: (r["bytes"], r["sha256"]) for r in files.manifest(spark, str(cells)).collect()}
     assert man["d1/1.receipt.json"] == (12, hashlib.sha256(b'{"shard": 1}').hexdigest())
@@ -193,3 +194,88 @@ def test_streaming_rounds(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["history"], r["t"]): r["change"] for r in spark.sql("select * from detectors").collect()}
     assert got == {(h, t): f for h, t, f in rows}
+
+
+def test_nested_schema_rules():
+    """One accepted value, and one that breaks each rule, at any depth."""
+    schema = {
+        "type": "object",
+        "required": ["a"],
+        "additionalProperties": False,
+        "properties": {
+            "a": {"type": "array", "uniqueItems": True, "items": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 3}, "s": {"type": "string", "pattern": "[a-z]+", "minLength": 2}}}},
+            "b": {"const": 5},
+            "c": {"enum": ["x", None]},
+            "d": {"type": ["number", "null"]},
+        },
+    }
+    check = records.json_rules(schema)
+    found = lambda x: sorted(check(x))
+    assert found({"a": [{"k": 3, "s": "ab"}, {"k": 4}], "b": 5, "c": None, "d": 1.5}) == []
+    assert found([]) == [("$", "type")] and found({}) == [("$.a", "required")] and found({"a": [], "z": 1}) == [("$.z", "unknown")]
+    assert found({"a": [{"k": 2}, {}]}) == [("$.a[0].k", "minimum"), ("$.a[1].k", "required")]
+    assert found({"a": [{"k": True}]}) == [("$.a[0].k", "type")] and found({"a": [{"k": 3, "s": "A"}]}) == [("$.a[0].s", "minLength"), ("$.a[0].s", "pattern")]
+    assert found({"a": [{"k": 3}, {"k": 3}]}) == [("$.a", "uniqueItems")]
+    assert found({"a": [], "b": 6, "c": "y", "d": float("inf")}) == [("$.b", "const"), ("$.c", "enum"), ("$.d", "type")]
+    assert found({"a": [], "d": None}) == []
+
+
+def test_inverse_and_solve():
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randint(1, 40)
+        columns = [rng.getrandbits(n) for _ in range(n)]
+        if len(codes.independent(columns)) < n:
+            with pytest.raises(ValueError, match="dependent"):
+                codes.inverse(columns)
+            continue
+        target = rng.getrandbits(n)
+        x = codes.solve(columns, target)
+        total = 0
+        for i, c in enumerate(columns):
+            total ^= c * (x >> i & 1)
+        assert total == target
+    assert codes.inverse([1, 2, 4]) == [1, 2, 4]
+
+
+def test_draws_go_on_until_enough(spark):
+    """With few bits most draws repeat, so many more than twice the wanted number are needed."""
+    got = generators.noise_corpus(spark, 10, "seed", accepted=200)
+    rows = [r["error"] for r in got.where("role = 'bsc_p_0_1'").collect()]
+    assert len(rows) == len(set(rows)) == 200
+    with pytest.raises(ValueError, match="only 4"):
+        generators.noise_corpus(spark, 3, "seed", accepted=5)
+    sample = generators.selector_sample(spark, 8, "seed", drawn=240)
+    assert sample.count() == 240 + 10 and sample.select("coordinate").distinct().count() == 250
+
+
+def test_archives_depend_on_contents_alone():
+    a = [("b/x", b"1"), ("a", b"22")]
+    assert files.tarball(a) == files.tarball(reversed(a)) != files.tarball([("b/x", b"1"), ("a", b"23")])
+
+
+def test_ordinals(spark):
+    rows = spark.createDataFrame([(0,), (1,), (1,), (4,), (5,), (9,)], "i long")
+    assert sorted(map(tuple, files.ordinal_problems(rows, "i").collect())) == [(1, "repeated"), (4, "gap before"), (9, "gap before")]
+
+
+def test_separator_order_is_an_elimination_order():
+    """Each variable once, and no wider than the tree's largest bag."""
+    scopes = codes.scopes(codes.LADDER[0])
+    bags = orders.bags(scopes, [v for v, _, _ in orders.eliminate(scopes, 30, "min_fill")])
+    order = orders.separator_order(bags, *orders.rooted(bags, orders.junction_tree(bags)))
+    assert sorted(order) == list(range(30))
+    assert max(w["joint"] for w in orders.work(scopes, order)) == max(map(len, bags))
+
+
+def test_shared_folder_is_never_made_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        bitloom.shared_folder(Session())
