@@ -6,7 +6,7 @@ its place; that gram is the window's anchor, and neighbouring windows mostly
 have the same one (one anchor for about every 14 words).
 
 Pass 1: each partition counts its anchors' hashes in a count-min sketch; the
-sparse sketches merge by blocks of cells.  An anchor's count bounds the count
+sparse sketches merge by blocks of cells, one after the other as they come in.  An anchor's count bounds the count
 of each of its windows from above, so a window whose anchor isn't estimated to
 repeat doesn't repeat.  What is kept of the merged sketch is one bit a cell
 ("two or more"), at most ``most_bits`` in each row of it, whatever the corpus.
@@ -14,8 +14,11 @@ Pass 2: only windows estimated repeated go on, by anchor hash, with a hash of
 their own 35 words; both (128 bits) name a window.  Each task first groups its
 own: what repeats there is known, and one occurrence is sent for all, so a very
 common passage is a row from each task, not from each document.  The others are
-counted exactly after the shuffle.
-Pass 3: the repeated stretches meet their documents, and covered words go.
+counted exactly after the shuffle.  Anchors that are very common (a frequent
+8-word phrase in all kinds of windows) are found with the sketch, and their
+windows are dealt by their own hash as well, so that they aren't one task.
+Pass 3: the repeated stretches, each once, meet their documents, and covered
+words go.
 
 The sketch only saves work; where it fills up, more windows are counted exactly
 and the result is the same.
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, Workspace, mix64, read, slices, text_bytes
 
 BLOCK_BITS = 20
+HEAVY_BITS = 10
 
 
 class Rolling:
@@ -97,7 +101,7 @@ def cells(anchor: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bits: int, depth: int, length: int, gram: int) -> DataFrame:
-    """(row, block, once, more): cells that a partition saw once, and more than once."""
+    """(row, block, once, more): cells that a partition saw once, and more than once; row -1: its commonest anchors and their counts."""
 
     def run(batches):
         reader, anchors = Windows(length, gram), []
@@ -107,6 +111,13 @@ def sketch(docs: DataFrame, bits: int, depth: int, length: int, gram: int) -> Da
                 _, _, place, g, _ = reader.read(texts[x:y])
                 anchors.append(g[np.unique(place)])
         found = np.concatenate(anchors) if anchors else np.empty(0, U64)
+        anchor, n = np.unique(found, return_counts=True)
+        often = n > 1 + (len(found) >> 13)  # fewer than 2**13
+        anchor, n = anchor[often], n[often]
+        block = (anchor >> U64(64 - HEAVY_BITS)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(block)) + 1
+        for a, m, k in zip(np.split(anchor, cut), np.split(n, cut), block[np.concatenate([[0], cut])].tolist() if len(anchor) else ()):
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([k], pa.int32()), pa.array([a.tobytes()]), pa.array([m.astype(np.int64).tobytes()])], ["row", "block", "once", "more"])
         for row in range(depth if len(found) else 0):
             cell, n = np.unique(cells(found, row, bits), return_counts=True)
             block = cell >> BLOCK_BITS
@@ -119,28 +130,68 @@ def sketch(docs: DataFrame, bits: int, depth: int, length: int, gram: int) -> Da
     return docs.select("text").mapInArrow(run, "row int, block int, once binary, more binary")
 
 
-def merged(parts: DataFrame) -> DataFrame:
-    """(row, block, bits): compressed bit map of the cells seen twice or more in all."""
+def merged(parts: DataFrame, heavy: int) -> DataFrame:
+    """(row, block, bits): compressed bit map of the cells seen twice or more in all; row -1: anchors counted ``heavy`` times or more.
 
-    def merge(key, t):
-        n = np.zeros(1 << BLOCK_BITS, np.uint8)
-        for once, more in zip(t["once"], t["more"]):
-            c = np.frombuffer(once.as_buffer(), np.uint32)
-            n[c] = np.minimum(n[c] + 1, 2)
-            n[np.frombuffer(more.as_buffer(), np.uint32)] = 2
-        return pa.table({"row": [key[0].as_py()], "block": [key[1].as_py()], "bits": [zlib.compress(np.packbits(n > 1).tobytes(), 1)]}).cast(pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bits", pa.binary())]))
+    Parts of a block are merged as they pass, so a task holds one block's cells, however many partitions there are.
+    """
+    names = ["row", "block", "bits"]
 
-    return parts.groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
+    def one(row, block, data):
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names)
+
+    def fold(held):
+        anchor, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return [(anchor, np.bincount(at, np.concatenate([x for _, x in held])).astype(np.int64))]
+
+    def run(batches):
+        key, n, held, size = None, None, [], 0
+
+        def done():
+            if key is None:
+                return
+            if key[0] >= 0:
+                yield one(*key, zlib.compress(np.packbits(n > 1).tobytes(), 1))
+                return
+            anchor, count = fold(held)[0]
+            if (count >= heavy).any():
+                yield one(*key, anchor[count >= heavy].tobytes())
+
+        for b in batches:
+            for row, block, once, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if (row, block) != key:
+                    yield from done()
+                    key, n, held, size = (row, block), np.zeros(1 << BLOCK_BITS if row >= 0 else 0, np.uint8), [], 0
+                if row >= 0:
+                    c = np.frombuffer(once.as_buffer(), np.uint32)
+                    n[c] = np.minimum(n[c] + 1, 2)
+                    n[np.frombuffer(more.as_buffer(), np.uint32)] = 2
+                else:
+                    held.append((np.frombuffer(once.as_buffer(), U64), np.frombuffer(more.as_buffer(), np.int64)))
+                    size += len(held[-1][0])
+                    if size > 1_000_000:
+                        held, size = fold(held), 0
+        yield from done()
+
+    return parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(run, "row int, block int, bits binary")
 
 
 class Filter:
     def __init__(self, blocks, bits: int, depth: int):
         self.bits, self.depth = bits, depth
         self.map = np.zeros((depth, max(1 << bits >> 3, 1 << BLOCK_BITS >> 3)), np.uint8)
-        for row, block, data in blocks:
+        self.heavy = np.sort(np.concatenate([np.empty(0, U64), *(np.frombuffer(data, U64) for row, _, data in blocks if row < 0)]))
+        for row, block, data in (x for x in blocks if x[0] >= 0):
             at = block << BLOCK_BITS >> 3
             self.map[row, at : at + (1 << BLOCK_BITS >> 3)] = np.frombuffer(zlib.decompress(data), np.uint8)
 
+    def key(self, anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Where windows are counted: by their anchor, and where that is common by a part of their own hash."""
+        if not len(self.heavy):
+            return anchor
+        i = np.minimum(np.searchsorted(self.heavy, anchor), len(self.heavy) - 1)
+        return np.where(self.heavy[i] == anchor, mix64(anchor ^ mix64(window >> U64(56))), anchor)
+
     def __call__(self, anchor: np.ndarray) -> np.ndarray:
         ok = np.ones(len(anchor), bool)
         for row in range(self.depth):
@@ -166,7 +217,8 @@ def runs(*same: np.ndarray) -> np.ndarray:
 def candidates(docs: DataFrame, shared, bits: int, depth: int, length: int, gram: int, most: int = 1_000_000) -> DataFrame:
     """Stretches of windows estimated repeated: with their hashes, to be counted; or without, where a task knows already."""
 
-    def flush(docs_, names, doc, place, anchor, window):
+    def flush(keep, docs_, names, doc, place, anchor, window):
+        anchor = keep.key(anchor, window)
         order = np.lexsort((window, anchor))
         a, w = anchor[order], window[order]
         first = np.ones(len(a), bool)
@@ -212,10 +264,10 @@ def candidates(docs: DataFrame, shared, bits: int, depth: int, length: int, gram
                 ids += b.column(0).slice(x, y - x).to_pylist()
                 names.append(b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False))
                 if n >= most:
-                    yield from flush(pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
+                    yield from flush(keep, pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
                     ids, names, held, n = [], [], [], 0
         if n:
-            yield from flush(pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
+            yield from flush(keep, pa.array(ids, pa.int64()), np.concatenate(names), *(np.concatenate(c) for c in zip(*held)))
 
     return docs.select("doc_id", "text", "name").mapInArrow(run, SENT)
 
@@ -272,23 +324,25 @@ def sketch_bits(characters: int, gram_share: int = 10, least: int = 20, most: in
     return int(min(most, max(least, np.ceil(np.log2(max(1, characters / 80 * gram_share))))))
 
 
-def stretches(docs: DataFrame, length: int = 35, gram: int = 8, depth: int = 2, most_bits: int = 30) -> DataFrame:
+def stretches(docs: DataFrame, length: int = 35, gram: int = 8, depth: int = 2, most_bits: int = 30, least_heavy: int = 64) -> DataFrame:
     """docs (doc_id, text, name) -> (doc_id, name, start, n): windows start..start+n-1 of a text repeat somewhere."""
     spark = docs.sparkSession
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sketch_bits(characters, most=most_bits)
-    blocks = merged(sketch(docs, bits, depth, length, gram)).toArrow()  # one bit a cell: at most depth * 2**most_bits bits, compressed
+    # anchors in more than one of 16384, or of which a task could hold too many: at most max(2**14, anchors / 2**20)
+    heavy = max(least_heavy, min(characters // 80 >> 14, 1 << 20))
+    blocks = merged(sketch(docs, bits, depth, length, gram), heavy).toArrow()  # one bit a cell: at most depth * 2**most_bits bits, compressed
     shared = spark.sparkContext.broadcast(list(zip(*(blocks[c].to_pylist() for c in ("row", "block", "bits")))))
     sent = candidates(docs, shared, bits, depth, length, gram)
     return counted(sent.repartition("anchor").sortWithinPartitions("anchor"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 8, depth: int = 2, most_bits: int = 30) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 8, depth: int = 2, most_bits: int = 30, least_heavy: int = 64) -> DataFrame:
     """documents -> doc_id, n_words, n_removed, kept (the words left, joined by a space)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("name", F.xxhash64(F.coalesce("text", F.lit(""))))
-    hits = stretches(docs, length, gram, depth, most_bits)
-    hits = hits.groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    hits = stretches(docs, length, gram, depth, most_bits, least_heavy)
+    hits = hits.groupBy("doc_id", "name").agg(F.collect_set(F.struct("start", "n")).alias("hits"))  # equal rows have equal stretches
     hits = Workspace(docs.sparkSession, "substring").table(hits, "hits").withColumnsRenamed({"doc_id": "d", "name": "m"})
     both = docs.join(hits, F.coalesce("doc_id", F.lit(0)).eqNullSafe(F.coalesce("d", F.lit(0))) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("name") == F.col("m")), "left")
 
