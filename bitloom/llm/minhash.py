@@ -19,7 +19,9 @@
    that could join two components goes unseen.
 
 A pair at Jaccard J shares no bucket with probability (1 - J**rows)**bands:
-1.5e-5 at 0.8 with the defaults, and falling fast above it.
+1.5e-5 at 0.8 with the defaults, and falling fast above it.  Step 3 loses a pair
+that shares one with probability 3e-7 at the threshold (five standard errors of
+the signature's agreement), and less above it.
 
 Edge cases: null text or text without words has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of the whole sequence;
@@ -91,7 +93,7 @@ class Circulant:
 
 
 def signature_rows(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (the set's name), keys (one for each band), sketch (low bytes of the signature)."""
+    """doc_id, n_shingles, s1, s2 (the set's name), keys (one for each band), sketch (low bytes of the signature), th (hash of the text)."""
 
     def run(batches):
         words, circulant = WordHashes(), Circulant(bands * rows)
@@ -115,9 +117,10 @@ def signature_rows(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for column, value in zip(out.values(), row):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out.values(), kinds))], ["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out.values(), kinds)), b.column(2)], ["doc_id", *out, "th"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    return texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary, th long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int, near: int = 2_000_000) -> DataFrame:
@@ -263,8 +266,13 @@ def across_clusters(members: DataFrame, percent: int, size: int, tile: int) -> D
     return one.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, chain: int = 4096, tile: int = 2048, most_shingles: int = 4_000_000) -> DataFrame:
-    """documents -> doc_id, n_shingles, component_id, kept; n-word shingles, similarity of at least ``percent`` hundredths."""
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """documents -> doc_id, n_shingles, component_id, kept; options as of ``labelled``."""
+    return labelled(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def labelled(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, chain: int = 4096, tile: int = 2048, most_shingles: int = 4_000_000) -> DataFrame:
+    """documents -> doc_id, th, s1, s2, n_shingles, component_id, kept; n-word shingles, similarity of at least ``percent`` hundredths."""
     ws, size = Workspace(docs.sparkSession, "minhash"), bands * rows
     all_ = ws.table(signature_rows(docs, n, bands, rows), "signatures")
     names = ws.table(all_.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "names")
@@ -308,23 +316,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     comps = components(ws, links)
     label = names.join(comps, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     label = ws.table(label.withColumnsRenamed({"s1": "t1", "s2": "t2"}), "labels")
-    out = all_.select("doc_id", "n", "s1", "s2").join(label, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left")
+    out = all_.select("doc_id", "th", "n", "s1", "s2").join(label, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
+    return out.select("doc_id", "th", "s1", "s2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, near: int = 2_000_000, **options) -> DataFrame:
     """The documents with one of each group of near duplicates left: its smallest id, one row of it.
 
-    Documents without an id stay, as no id stands for them.
+    Rows that share that id but hold unlinked texts all stay, each in its own group.  Documents without an id stay, as no
+    id stands for them.
     """
     ws = Workspace(docs.sparkSession, "keep")
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = ws.table(kept.withColumnRenamed("doc_id", "__kept"), "kept")
-    kept = F.broadcast(kept) if kept.count() <= near else kept
-    found = docs.join(kept, docs.doc_id == F.col("__kept"))
-    once = found.where(F.col("__rows") == 1).select(*[docs[f"`{c}`"] for c in docs.columns])
-    again = found.where(F.col("__rows") > 1).select(*[docs[f"`{c}`"] for c in docs.columns]).dropDuplicates(["doc_id"])
+    kept = labelled(docs, **options).where("kept and doc_id is not null")
+    texts = kept.groupBy("doc_id", F.coalesce("s1", "th").alias("s1"), "s2", "th").agg(F.count("*").alias("rows"))
+    first = texts.groupBy("doc_id", "s1", "s2").agg(F.min_by(F.struct("th", "rows"), "th").alias("x"))
+    first = ws.table(first.select(F.col("doc_id").alias("__kept"), F.col("x.th").alias("__th"), F.col("x.rows").alias("__rows")), "kept")
+    first = F.broadcast(first) if first.count() <= near else first
+    found = docs.join(first, (docs.doc_id == F.col("__kept")) & (F.xxhash64(docs.text) == F.col("__th")))
+    mine = [docs[f"`{c}`"] for c in docs.columns]
+    once = found.where(F.col("__rows") == 1).select(*mine)
+    again = found.where(F.col("__rows") > 1).dropDuplicates(["__kept", "__th"]).select(*mine)
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -94,6 +94,57 @@ def test_repeats(odd, odd_rows, length, gram, most_bits, monkeypatch):
     assert got == brute_repeats(odd_rows, length)
 
 
+@pytest.mark.parametrize("least_heavy", [2, 64])
+def test_one_common_phrase(spark, least_heavy):
+    """An eight-word phrase in all kinds of windows: its windows are dealt by their own hash, and the result is the same."""
+    rng = random.Random(7)
+    phrase = [f"common{i}" for i in range(8)]
+    rows = []
+    for i in range(300):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(40)]
+        rows.append((i, " ".join(w[:20] + phrase + w[20:])))
+    rows += [(300 + i, rows[i][1]) for i in range(5)] + [(400, "p " + rows[9][1] + " q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring.remove_repeats(docs, least_heavy=least_heavy).collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got), key=str)
+    assert got == brute_repeats(rows, 35)
+    # the phrase's smallest gram is the anchor of a few windows of each document
+    windows = substring.Windows(35, 8)
+    texts = [t.encode() for _, t in rows[:300]]
+    _, at, place, g, h = windows.read(texts)
+    anchors, n = np.unique(g[place], return_counts=True)
+    if n.max() >= 300:
+        heavy = anchors[n >= 300]
+        f = substring.Filter([(-1, 0, heavy.tobytes())], 20, 2)
+        keys = f.key(g[place], windows.whole(h)[at])
+        assert np.unique(keys, return_counts=True)[1].max() < n.max() / 20
+    merged = substring.merged(substring.sketch(docs, 20, 2, 35, 8), 100).where("row = -1").collect()
+    assert {x for r in merged for x in np.frombuffer(r["bits"], np.uint64).tolist()} == set(anchors[n >= 100].tolist())
+
+
+def test_copies_of_one_row_share_their_stretches(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    rows = [(1, text)] * 200 + [(None, text)] * 50
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == 250 and all((r["n_words"], r["n_removed"], r["kept"]) == (60, 60, "") for r in got)
+
+
+def test_op_columns(spark):
+    shown = lambda q: [(f.name, f.dataType.simpleString()) for f in q(spark, "/root/testdata/sf0.001").schema]
+    assert shown(minhash.op7) == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert shown(substring.op8) == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
+
+
+def test_one_id_with_different_texts_keeps_both(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "x"), (2, a, "z"), (1, a.replace(" ", "  "), "w"), (3, "", "e"), (3, " ", "e"), (3, None, "n")]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    kept = sorted(((r["doc_id"], (r["text"] or "").split()[:1], r["lang"]) for r in got), key=str)
+    assert len([k for k in kept if k[0] == 1 and k[1] == ["a0"]]) == 1 and (1, ["b0"], "y") in kept
+    assert len(kept) == 5 and not [k for k in kept if k[0] == 2]  # the empty texts have no copies
+
+
 def test_repeats_across_flushes(spark):
     rng = random.Random(5)
     base = [str(rng.randint(0, 9)) for _ in range(400)]
