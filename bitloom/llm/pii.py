@@ -10,7 +10,8 @@ likelihood, on a small labelled table made from templates, and decoded by
 Viterbi for a batch of sequences at once.  Spans that touch a base span are
 left out, so base spans always stay as they are.
 
-Words without digits or signs ("plain" words) have one shape each.  The trained
+Words without digits or signs ("plain" words) have one shape each, unless they are
+16 capital letters or more.  The trained
 weights are checked for the property that plain words next to plain words can't
 be better labelled than O; so only words within ``REACH`` of another word need
 decoding, and the result is that of the whole text.
@@ -38,7 +39,6 @@ LABELS = ("O", "B-secret", "I-secret", "B-contact", "I-contact")
 REACH = 4
 
 HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -85,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 #: Words that announce personal data (fixed values).
 CUES = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "bearer", "credential", "login", "call", "phone", "tel", "mobile", "fax", "mail", "e-mail", "email", "contact", "ssn", "account", "(at)", "[at]", "(dot)", "[dot]")
-MARK = re.compile(r"[0-9@=]|\((?:at|dot)\)|\[(?:at|dot)\]")
+MARK = re.compile(r"[0-9@=]|\((?:at|dot)\)|\[(?:at|dot)\]|(?-i:[A-Z]{16})", re.IGNORECASE)
 
 
 def cue(word: str) -> str:
@@ -94,7 +94,7 @@ def cue(word: str) -> str:
 
 
 def marked(word: str) -> bool:
-    return MARK.search(word.lower()) is not None
+    return MARK.search(word) is not None
 
 
 def shape(word: str) -> list[str]:
@@ -112,6 +112,8 @@ def shape(word: str) -> list[str]:
         out.append("mixed:" + ("upper" if kinds.isupper() else "hex" if re.fullmatch("[0-9a-f]+", kinds) else "other"))
         turns = len(re.findall(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", w))
         out.append(f"turns:{min(turns, 6) // 2}")
+    if re.fullmatch("[A-Z2-7]{16,}", w):
+        out.append("start:" + w[:4])
     if "=" in w:
         name, _, value = w.partition("=")
         out.append(f"assigns:{cue(name) and 'cue'}:{'long' if len(value) >= 8 else 'short'}")
@@ -134,6 +136,7 @@ def examples(seed: int = 7, number: int = 600) -> list[tuple[list[str], list[int
     end = lambda: pick(["", "", "", ".", ","])
     secret = [
         lambda: ["AKIA" + some(upper, 16) + end()],
+        lambda: ["AKIA" + some(upper[:26], 16) + end()],
         lambda: [pick(["password", "passwd", "pwd", "secret", "token"]) + "=" + some(hexa if rng.random() < 0.6 else lower + digits, int(rng.integers(10, 30))) + end()],
         lambda: [pick(["token", "secret", "api_key", "key", "password"]), pick(["=", ":"]), '"' + some(hexa, int(rng.integers(20, 42))) + '"' + end()],
         lambda: [pick(["token", "apikey", "bearer"]), some(lower + digits, int(rng.integers(18, 36)))],
@@ -146,6 +149,7 @@ def examples(seed: int = 7, number: int = 600) -> list[tuple[list[str], list[int
     harmless = [
         lambda: ["CC", "BY-NC", some("1234", 1) + ".0" + end()],
         lambda: ["Version", some("123", 1) + ".0."],
+        lambda: [some(upper[:26], int(rng.integers(16, 24))) + end()],
         lambda: [some(digits, int(rng.integers(1, 7))) + end()],
         lambda: [some(digits, int(rng.integers(12, 20))) + end()],
         lambda: [".".join(some(digits, int(rng.integers(1, 4))) for _ in range(4)) + end()],
@@ -316,7 +320,7 @@ WORDS = re.compile(r"[^ \t-\r]+")
 
 def near_marks(text: str) -> list[list[tuple[int, int]]]:
     """Sequences of words (spans) around words with digits or signs."""
-    if not MARK.search(text.lower() if "(" in text or "[" in text else text):
+    if not MARK.search(text):
         return []
     spans = [m.span() for m in WORDS.finditer(text)]
     out: list[list[tuple[int, int]]] = []
@@ -398,15 +402,16 @@ def find(docs: DataFrame, model: Field | None = None, text: str = "text", names:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(field())
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[4:])]
 
     def run(batches):
         for b in small(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             every = [x + y for x, y in zip(base, added_spans(texts, base, shared.value))]
-            counts = [pa.array([sum(s[2] == k for s in row) for row in base], pa.int64()) for k in BASE]
+            counts = [pa.array([sum(s[2] == k for s in row) for row in rows], pa.int64()) for rows, kinds in ((base, BASE), (every, KINDS[4:])) for k in kinds]
             digest = pa.array([hashlib.sha256(joined(row).encode()).hexdigest() for row in base])
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([joined(row) for row in every])], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts[:4], digest, pa.array([joined(row) for row in every]), *counts[4:]], names)
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[4:]))

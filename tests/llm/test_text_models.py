@@ -219,6 +219,41 @@ def test_base_spans():
 def test_op4_columns(spark):
     got = pii.op4(spark, "/root/testdata/sf0.001")
     assert [(f.name, f.dataType.simpleString()) for f in got.schema][:7] == [("doc_id", "bigint"), *((f"n_{k}", "bigint") for k in pii.BASE), ("base_sha256", "string"), ("spans", "string")]
+    assert got.columns[7:] == ["n_secret", "n_contact"]
+
+
+def test_secrets_without_digits():
+    f, rng = pii.field(), random.Random(2)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)) for _ in range(50)]
+    texts = [f"some words then {k} and more of them" for k in keys] + ["EXTRAORDINARILYLOUD words", "A LOUD TEXT WITHOUT SECRETS IN CAPITAL LETTERS"]
+    got = pii.added_spans(texts, [[] for _ in texts], f)
+    assert sum(x == [(16, 36, "secret")] for x in got[:50]) >= 48 and got[50:] == [[], []]
+
+
+def test_gradient_of_the_field():
+    """The trained weights are where the penalised likelihood hardly rises any more: moves of single weights don't raise it."""
+    table = pii.examples(number=40)
+    f = pii.train(table, rounds=400, ridge=0.05)
+
+    def value(weights, moves):
+        total = -0.05 / 2 * sum((w * w).sum() for w in weights.values()) - 0.05 / 2 * (np.where(moves > -29, moves, 0) ** 2).sum()
+        g = pii.Field(weights, moves)
+        for words, labels in table:
+            s = g.scores(words)
+            gold = sum(s[t, y] for t, y in enumerate(labels)) + sum(moves[a, b] for a, b in zip([0, *labels], [*labels, 0]))
+            state = s[0] + moves[0]
+            for t in range(1, len(words)):
+                state = np.logaddexp.reduce(state[:, None] + moves, axis=0) + s[t]
+            total += gold - np.logaddexp.reduce(state + moves[:, 0])
+        return total
+
+    best = value(f.weights, f.moves)
+    rng = random.Random(3)
+    for name in rng.sample(sorted(f.weights), 12):
+        for k in range(len(pii.LABELS)):
+            for step in (0.3, -0.3):
+                other = {**f.weights, name: f.weights[name] + step * np.eye(len(pii.LABELS))[k]}
+                assert value(other, f.moves) < best + 1e-3
 
 
 def test_field():
