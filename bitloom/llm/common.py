@@ -6,6 +6,8 @@ splits on exactly these six bytes, so Python code uses it on UTF-8 text.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +24,18 @@ class Workspace:
     """Tables that cut lineage, written to the shared folder.
 
     Losing an executor costs at most the tasks since the last table: what was
-    written is read again from shared storage, never recomputed.
+    written is read again from shared storage, never recomputed.  Results are
+    lazy and read these tables, so they stay until a caller that has written the
+    result deletes them (``scratch``).
     """
 
+    opened: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = own_folder(spark, name)
         self.n = 0
+        Workspace.opened.append(self)
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
         self.n += 1
@@ -51,6 +58,18 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """Deletes at its end the tables that operators wrote inside, for callers that have written what they need."""
+    before, Workspace.opened = Workspace.opened, []
+    try:
+        yield
+    finally:
+        for w in Workspace.opened:
+            w.close()
+        Workspace.opened = before
+
+
 def map_all(docs: DataFrame, run, added: dict[str, str]) -> DataFrame:
     """mapInArrow over all columns, whatever their names, with columns added at the end (name: type)."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
