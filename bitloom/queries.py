@@ -394,6 +394,7 @@ def w03(spark, sf_dir):
     return score.alternations(d, "signal", "label")
 
 
+#: Published widths by code and policy (fixed values).
 WIDTHS = {72: (24, 18, 18), 90: (28, 25, 25), 108: (33, 30, 30), 144: (31, 38, 34), 288: (71, 83, 79), 784: (253, 223, 201)}
 
 
@@ -711,11 +712,13 @@ def work_rows(spark: SparkSession, code, policy: str = "min_fill") -> DataFrame:
     return spark.createDataFrame([local, *orders.work(s, order)], "step int, variable int, factors int, joint int, output int, evaluations long, emitted long, reads long, multiplies long")
 
 
+#: The published work of the 72-bit code (fixed values).
 @query("g06_work_c72", "SELECT 1066940::BIGINT AS evaluations, 4811278::BIGINT AS reads, 19::INTEGER AS peak, 30::BIGINT AS steps")
 def g06(spark, sf_dir):
     return work_rows(spark, LADDER[0]).agg(F.sum("evaluations").alias("evaluations"), F.sum("reads").alias("reads"), F.max("joint").alias("peak"), F.count_if(F.col("step") >= 0).alias("steps"))
 
 
+#: The published work of the 90-bit code (fixed values).
 @query("g06_work_c90", "SELECT 201384562::BIGINT AS evaluations, 26::INTEGER AS peak")
 def g06_c90(spark, sf_dir):
     return work_rows(spark, LADDER[1]).agg(F.sum("evaluations").alias("evaluations"), F.max("joint").alias("peak"))
@@ -811,6 +814,7 @@ def evaluated_classes(spark: SparkSession) -> DataFrame:
     return evaluated(spark).select(bits.syndrome(seed, CHECKS_18).alias("syn"), bits.syndrome(seed, LOGICALS_18).alias("lab"), "m9", "m2", F.col("w").cast("int").alias("w"), "rep", "key")
 
 
+#: The published numbers of nodes (fixed values).
 @query("g08_graph_nodes", "SELECT * FROM (VALUES ('sum_product', 371), ('soft_tropical', 371), ('min_plus', 388)) t(algebra, nodes)")
 def g08(spark, sf_dir):
     rows = []
@@ -966,6 +970,7 @@ def x03(spark, sf_dir):
     return u.select("variable", show(F.col("u")).alias("joint"), show(F.array_except("u", F.array("variable"))).alias("output"))
 
 
+#: The published structure of single instances (fixed values).
 @query("d14_feasibility", "SELECT * FROM (VALUES (72, 12, 30, 18, 524288::BIGINT), (90, 8, 41, 25, 67108864)) t(n, k, rank, width, peak)")
 def d14(spark, sf_dir):
     """Structure of single instances: logical dimension, rank, width and the largest table."""
@@ -1006,6 +1011,7 @@ def g07(spark, sf_dir):
     return seeds.mapInPandas(run, "seed long, syn long, lab long, m9 long, m2 long, w int, rep long, key long").drop("seed")
 
 
+#: The published bounds (fixed values).
 @query("g11_node_bounds", "SELECT * FROM (VALUES (0, 802159899::BIGINT), (1, 802158780), (2, 574427108), (3, 573812180)) t(refinement, bound)")
 def g11(spark, sf_dir):
     """Upper bounds on the nodes of the 90-bit code's min-plus graph, each tighter than the last; nothing is built."""

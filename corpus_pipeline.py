@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import langid, minhash, mix, pack, pii
-from bitloom.llm.common import Workspace, read
+from bitloom.llm.common import Workspace, read, scratch
 
 #: Least share of the predicted language in a document that stays.
 LEAST_SHARE = 0.35
@@ -62,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, as a written table; what stages and their operators wrote on the way is deleted."""
     ws = Workspace(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = ws.table(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        with scratch():
+            after = ws.table(stage(spark, docs, sf_dir), name)
+        if i:
+            ws.drop(docs)
+        docs = after
     return docs
