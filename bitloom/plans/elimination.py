@@ -110,3 +110,30 @@ def evaluate_plan(scopes: list[Scope], order: list[int], seeds) -> dict:
             factors.append((tuple(u for u in union if u != v), [joint[0].sum(axis), joint[1].sum(axis), joint[2].min(axis), joint[3].min(axis)]))
     _, (m9, m2, best, key) = product(factors)
     return {"m9": m9, "m2": m2, "w": (best // far).astype(np.int32), "rep": best % far, "key": key}
+
+
+def masses(scopes: list[Scope], order: list[int], bits, zero: int):
+    """Total mass modulo 2**64 for each row of ``bits`` (selectors by coordinate), by contraction; a zero bit weighs ``zero``, a one bit one."""
+    import numpy as np
+
+    factors = []
+    for q, scope in enumerate(scopes):
+        value = bits[:, q].reshape([-1] + [1] * len(scope))
+        for i in range(len(scope)):
+            value = value ^ np.arange(2).reshape([1] + [2 if j == i else 1 for j in range(len(scope))])
+        factors.append((tuple(scope), np.where(value == 1, 1, zero).astype(np.uint64)))
+
+    def product(met):
+        union = sorted({v for s, _ in met for v in s})
+        out = np.ones([1] * (len(union) + 1), np.uint64)
+        for s, x in met:
+            out = out * x[tuple([slice(None)] + [slice(None) if v in s else None for v in union])]
+        return union, out
+
+    for v in order:
+        met = [f for f in factors if v in f[0]]
+        factors = [f for f in factors if v not in f[0]]
+        if met:
+            union, joint = product(met)
+            factors.append((tuple(u for u in union if u != v), joint.sum(axis=1 + union.index(v), dtype=np.uint64)))
+    return product(factors)[1].reshape(-1)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import bits, codes
 from .functions.codes import C18, CHECKS_18, LADDER
 from .operators import decode, gf2, score
-from .plans import elimination, orders
-from .queries import CLASSES, CORPUS, DETECTOR_SQL, LEADERS, SEED_QUBITS, STATES, bitstring, decided, evaluated_classes, folded, matrix_sql, parities, query, scored, selector_columns, span_sql, work_rows
+from .plans import dag, elimination, orders
+from .queries import CLASSES, CORPUS, DETECTOR_SQL, LEADERS, SAMPLES, SEED_QUBITS, STATES, bitstring, decided, evaluated_classes, folded, matrix_sql, parities, query, scored, selector_columns, span_sql, work_rows
 from .sources import generators
 
 
@@ -166,6 +166,48 @@ def o02(spark, sf_dir):
     return h.groupBy("n").applyInPandas(fold, "row int")
 
 
+#: The published number of nodes of the 72-bit code's graph of masses, and the size of its validation sample (fixed values).
+@query("g15_compiled_c72", "SELECT 2157761::BIGINT AS nodes, 300::BIGINT AS validated, 0::BIGINT AS mismatches")
+def g15(spark, sf_dir):
+    """The 72-bit code's graph of masses, compiled as a whole, and its values for the seeded selectors against contraction.
+
+    Masses have over 200 bits; both sides are exact modulo 2**64.  One task compiles and evaluates, others contract.
+    """
+    code = LADDER[0]
+    scopes, order = planned(code)
+    places = codes.selector_qubits(code)
+    sample = generators.selector_sample(spark, len(places), SAMPLES[len(places)])
+
+    def compiled_values(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = pa.Table.from_batches(batches)  # the sample
+        g, root = dag.build("sum_product", scopes, order, {q: i for i, q in enumerate(places)})
+        levels = dag.Levels(g, root)
+        x = rows["coordinate"].to_numpy()
+        for i in range(0, len(x), 12):
+            value = levels.evaluate(x[i : i + 12])
+            yield pa.RecordBatch.from_arrays([rows["idx"].to_numpy()[i : i + 12], value.view(np.int64), np.full(len(value), len(levels))], ["idx", "value", "nodes"])
+
+    def contracted_values(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, b.num_rows, 12):
+                x = b.column(1).to_numpy()[i : i + 12]
+                seeds = np.zeros((len(x), code[0]), np.int64)
+                for k, q in enumerate(places):
+                    seeds[:, q] = x >> k & 1
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 12), pa.array(elimination.masses(scopes, order, seeds, 9).view(np.int64))], ["idx", "direct"])
+
+    graph = sample.select("idx", "coordinate").coalesce(1).mapInArrow(compiled_values, "idx int, value long, nodes long")
+    direct = sample.select("idx", "coordinate").repartition(8).mapInArrow(contracted_values, "idx int, direct long")
+    both = graph.join(direct, "idx")
+    return both.agg(F.max("nodes").alias("nodes"), F.count("*").alias("validated"), F.count_if(F.col("value") != F.col("direct")).alias("mismatches"))
+
+
 # Algebra
 
 
