@@ -22,10 +22,7 @@ long texts are processed whole, in pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import re
-import sys
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +34,15 @@ from .common import map_all, read, small, training
 UNKNOWN = "und"
 
 
-@functools.cache
-def letters() -> re.Pattern:
-    """Runs of letters: of what ``re`` takes for a part of a word, numbers and marks are left out."""
-    other = [c for c in range(128, sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha()]
-    return re.compile(r"[^\W\d_" + "".join(map(chr, other)) + "]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters (Unicode category L): numbers that ``re`` takes for parts of words are cut out."""
+    words = WORD.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for x in words for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def cells(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +81,10 @@ def learn(docs: DataFrame, is_training, sample: int, bits: int) -> tuple[list[st
     rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("__share"))
 
     def run(batches):
-        find = letters().findall
         counts: dict[str, np.ndarray] = {}
         for b in small(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [w.encode() for w in find(text.lower())]
+                words = [w.encode() for w in letters(text.lower())]
                 if words:
                     n = counts.setdefault(lang, np.zeros(1 << bits, np.int64))
                     n += np.bincount(cells(words, bits)[0], minlength=1 << bits)
@@ -172,7 +172,6 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
 
     def run(batches):
         langs, logp = shared.value
-        find = letters().findall
         table = Words(logp, bits) if langs else None
         for b in small(batches, at):
             pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
@@ -186,7 +185,7 @@ def identify(docs: DataFrame, is_training, sample: int = 40_000, bits: int = 16,
                         pred[r], score[r] = langs[t], v
 
             for r, text in enumerate(b.column(at).to_pylist()):
-                w = find(text.lower()) if text and langs else ()
+                w = letters(text.lower()) if text and langs else ()
                 if w:
                     rows.append(r)
                     starts.append(len(words))
