@@ -11,7 +11,7 @@ from .functions import bits, codes
 from .functions.codes import C18, CHECKS_18, LADDER
 from .operators import decode, gf2, score
 from .plans import dag, elimination, orders
-from .queries import CLASSES, CORPUS, DETECTOR_SQL, LEADERS, SAMPLES, SEED_QUBITS, STATES, bitstring, decided, evaluated_classes, folded, matrix_sql, parities, query, scored, selector_columns, span_sql, work_rows
+from .queries import CLASSES, CORPUS, DETECTOR_SQL, LEADERS, SAMPLES, SEED_QUBITS, STATES, bitstring, compiled, decided, evaluated_classes, folded, matrix_sql, parities, query, scored, selector_columns, span_sql, work_rows
 from .sources import generators
 
 
@@ -450,6 +450,31 @@ def _others() -> None:
 _others()
 
 
+#: Published events of all selectors and algebras together, and the sweep from which compiling pays (fixed values).
+@query("d07_ledger", "SELECT 10160::BIGINT AS compile, 12694528::BIGINT AS evaluate, 12704688::BIGINT AS one_shot, 14115840::BIGINT AS replay, 1::BIGINT AS break_even")
+def d07_ledger(spark, sf_dir):
+    """What compiling costs against what it saves in a sweep over all selectors; a selector's own XOR fold counts on both sides."""
+    scopes, order = planned(C18)
+    steps = orders.work(scopes, order)
+
+    def run(batches):
+        import pyarrow as pa
+
+        graphs = {a: compiled(a) for a in decode.ALGEBRAS}
+        for b in batches:
+            x = b.column(0).to_numpy()
+            for a, (g, root) in graphs.items():
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(x)), b.column(0), pa.array(dag.evaluation_events(g, root, x))], ["algebra", "id", "events"])
+
+    fold = len(SEED_QUBITS) + F.bit_count("id")
+    each = spark.range(1 << len(SEED_QUBITS)).mapInArrow(run, "algebra string, id long, events long").groupBy("algebra").agg(F.sum(F.col("events") + fold).alias("evaluate"), F.sum(fold).alias("folds"), F.count("*").alias("selectors"))
+    fixed = [(a, dag.compile_events(compiled(a)[0], scopes, order, set(SEED_QUBITS), steps), dag.replay_events(a, scopes, steps)) for a in decode.ALGEBRAS]
+    rows = each.join(spark.createDataFrame(fixed, "algebra string, compile long, one_replay long"), "algebra")
+    total = rows.agg(F.sum("compile").alias("compile"), F.sum("evaluate").alias("evaluate"), F.sum(F.col("one_replay") * F.col("selectors") + F.col("folds")).alias("replay"))
+    saved = F.col("replay") - F.col("evaluate")
+    return total.select("compile", "evaluate", (F.col("compile") + F.col("evaluate")).alias("one_shot"), "replay", F.when(saved > 0, F.ceil(F.col("compile") / saved)).alias("break_even"))
+
+
 def decoder_tables(spark):
     st = generators.states(spark)
     classes = decode.classes(st)
@@ -481,6 +506,40 @@ def d10_pairs(spark, sf_dir):
     return out
 
 
+def _totals() -> None:
+    """The two tables that the published figures show; SQL sums up the decoders' own."""
+    from .queries import QUERIES, SQL
+
+    names = {"coset leader": "d01_coset_leader_decoder", **{f"coset {a}": f"d04_coset_decoder_{a}" for a in decode.ALGEBRAS}}
+
+    def semantics(spark, sf_dir):
+        out = None
+        for label, name in names.items():
+            one = QUERIES[name](spark, sf_dir).agg(F.lit(label).alias("decoder"), F.sum("success").alias("success"), F.sum("total").alias("total"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    query("s15_semantics", " UNION ALL ".join(f"SELECT '{label}' AS decoder, sum(success)::BIGINT AS success, sum(total)::BIGINT AS total FROM ({SQL[n]})" for label, n in names.items()))(semantics)
+    query("s15_structure", f"SELECT n, min(width) AS least, max(width) AS most, 1 + min(width) AS entries_log2 FROM ({SQL['g04_elimination_widths']}) GROUP BY n")(
+        lambda spark, sf_dir: QUERIES["g04_elimination_widths"](spark, sf_dir).groupBy("n").agg(F.min("width").alias("least"), F.max("width").alias("most"), (1 + F.min("width")).alias("entries_log2"))
+    )
+
+
+_totals()
+
+
+@query(
+    "d12_certificates",
+    "SELECT n, count(*) AS edges, round(sqrt(count(*)), 12) AS norm, max(filter_norm) AS filter_norm, bool_and(supported) AS supported FROM (SELECT n, j, 1.0::DOUBLE AS filter_norm, bit_count((1::BIGINT << j::INTEGER)) = 1 AS supported FROM range(1, 9) t(n), range(8) u(j) WHERE j < n) GROUP BY n",
+)
+def d12_certificates(spark, sf_dir):
+    """Adversary certificates of OR: a star between the zero input and the inputs of weight one.  A star of n edges has norm sqrt(n); with one coordinate each edge is alone, so each filtered norm is 1."""
+    n = spark.range(1, 9).select(F.col("id").alias("n"))
+    ones = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).withColumn("input", F.expr("shiftleft(1L, CAST(j AS INT))"))
+    by_bit = ones.groupBy("n", "j").agg(F.count("*").alias("edges"), F.bool_and(bits.weight("input") == 1).alias("supported"))  # edges that differ in coordinate j
+    return by_bit.groupBy("n").agg(F.sum("edges").alias("edges"), F.round(F.sqrt(F.sum("edges")), 12).alias("norm"), F.max(F.sqrt("edges")).alias("filter_norm"), F.bool_and("supported").alias("supported"))
+
+
 @query("j10_reconcile_altered", f"WITH {CLASSES}, al AS (SELECT syn, lab, m9 + CASE WHEN (syn + lab) % 37 = 0 THEN 1 ELSE 0 END AS m9 FROM cl WHERE NOT (syn % 101 = 7 AND lab = 3)) (SELECT syn, lab, m9, 'left' AS side FROM (SELECT syn, lab, m9 FROM cl EXCEPT ALL SELECT * FROM al)) UNION ALL (SELECT syn, lab, m9, 'right' FROM (SELECT * FROM al EXCEPT ALL SELECT syn, lab, m9 FROM cl))")
 def j10_altered(spark, sf_dir):
     """Two derivations of one table, one with rows changed and missing: all differences, and no others."""
