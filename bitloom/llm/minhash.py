@@ -14,9 +14,11 @@
    link has reached yet, so that a group of near copies costs little more than
    reading it, and no pair leaves the task.  Clusters above ``most_shingles`` are
    too large for that: their pairs are confirmed one by one in a join instead.
-5. Buckets that hold nodes of several clusters are compared by signature, in
-   tiles; what could be linked is confirmed on full sets.  So no colliding pair
-   that could join two components goes unseen.
+5. Buckets that hold nodes of several clusters are split by size: a class of
+   sizes, and the next smaller one, hold all pairs whose sizes allow a link.
+   Classes with several clusters are compared by signature, in tiles; what could
+   be linked is confirmed on full sets.  So no colliding pair that could join two
+   components goes unseen.
 
 A pair at Jaccard J shares no bucket with probability (1 - J**rows)**bands:
 1.5e-5 at 0.8 with the defaults, and falling fast above it.  Step 3 loses a pair
@@ -32,6 +34,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -241,7 +245,7 @@ def within_clusters(ws: Workspace, docs: DataFrame, clusters: DataFrame, n: int,
 
 
 def across_clusters(members: DataFrame, percent: int, size: int, tile: int) -> DataFrame:
-    """members (key, node, cluster, n, sketch, tiles) -> pairs (a, b) in one bucket but two clusters, that could be links."""
+    """members (key, node, cluster, n, sketch, own, tiles) -> pairs (a, b) of one key but two clusters, one of them its own, that could be links."""
     least = likely(size, percent)
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     one = members.select("*", mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -251,18 +255,18 @@ def across_clusters(members: DataFrame, percent: int, size: int, tile: int) -> D
         for t in groups(batches, 0):
             if t.num_rows < 2:
                 continue
-            node, cluster, n = (t[c].to_numpy() for c in ("node", "cluster", "n"))
+            node, cluster, n, own = (t[c].to_numpy() for c in ("node", "cluster", "n", "own"))
             x = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, size)
             a, b = [], []
             for i in range(len(node)):
-                fits = np.flatnonzero((cluster[i + 1 :] != cluster[i]) & (np.minimum(n[i], n[i + 1 :]) * 100 >= np.maximum(n[i], n[i + 1 :]) * percent)) + i + 1
+                fits = np.flatnonzero((cluster[i + 1 :] != cluster[i]) & (own[i + 1 :] | own[i]) & (np.minimum(n[i], n[i + 1 :]) * 100 >= np.maximum(n[i], n[i + 1 :]) * percent)) + i + 1
                 fits = fits[(x[fits] == x[i]).sum(axis=1) >= least] if len(fits) else fits
                 a += [int(node[i])] * len(fits)
                 b += node[fits].tolist()
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    one = one.select("place", "node", "cluster", "n", "sketch").repartition("place").sortWithinPartitions("place")
+    one = one.select("place", "node", "cluster", "n", "sketch", "own").repartition("place").sortWithinPartitions("place")
     return one.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -305,12 +309,18 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, ro
         # in a large cluster, components stand for clusters from here on
         again = large.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
         clusters = ws.table(small.unionByName(again), "reclustered")
-    placed = member.select("key", "node", "members").join(clusters.select("node", "cluster"), "node", "left")
-    placed = placed.select("key", "node", "members", F.coalesce("cluster", "node").alias("cluster"))
+    placed = member.select("key", "node").join(clusters.select("node", "cluster"), "node", "left")
+    placed = placed.select("key", "node", F.coalesce("cluster", "node").alias("cluster"))
     mixed = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("key")
     placed = placed.join(ws.table(mixed, "mixed"), "key", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
-    tiles = F.ceil(F.col("members") / tile).cast("int")
-    late = ws.table(across_clusters(placed.select("key", "node", "cluster", "n", "sketch", tiles.alias("tiles")), percent, size, tile), "late")
+    # sizes of a possible link are less than one class apart
+    of = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9)).cast("long")
+    own = placed.select(F.xxhash64("key", of).alias("key"), "node", "cluster", "n", "sketch", F.lit(True).alias("own"))
+    guest = placed.select(F.xxhash64("key", of + 1).alias("key"), "node", "cluster", "n", "sketch", F.lit(False).alias("own"))
+    classed = ws.table(own.unionByName(guest), "classed")
+    sizes = classed.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("own").alias("owned"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    sizes = ws.table(sizes.where("owned and low <> high").select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "classes")
+    late = ws.table(across_clusters(classed.join(sizes, "key"), percent, size, tile), "late")
     if not late.isEmpty():
         links = links.unionByName(confirm(ws, docs, late, n, percent))
     comps = components(ws, links)
