@@ -10,7 +10,10 @@
    pairs that the bounds leave open and the forest doesn't join are decided by
    the original vectors, in double precision, after all passes.  The first and
    last ``window`` rows of all tasks are compared once more, in order, so that
-   pairs across the edges of tasks count too.
+   pairs across the edges of tasks count too: in tasks of about ``edge_rows``
+   rows, whose own first and last rows go on to a next level, until one task
+   holds them all.  As ranges may end anywhere, a key that a third of all rows
+   share is many tasks.
 3. The forests of all passes unite to components.
 4. Links are then counted exactly within each component, found by a window or
    not.  With angles measured from the component's centre, two vectors are
@@ -32,6 +35,7 @@ empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -118,7 +122,7 @@ def forest(ids: np.ndarray, y: np.ndarray, left: np.ndarray, window: int, thresh
     return ids[linked], ids[root[linked]], ids[a[apart]], ids[b[apart]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 32, tile: int = 4096, seed: int = 11, miss: float = 0.001, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 32, tile: int = 4096, seed: int = 11, miss: float = 0.001, edge_rows: int = 250_000, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row for each row of the input: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "vecdedup")
@@ -175,14 +179,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
         for i, x in enumerate(last):
             yield edge(x.slice(max(0, spare)) if i == 0 else x)
 
-    sent = distinct.select("rep", "v").mapInArrow(project, "pass int, key long, rep long, x binary")
-    sorted_ = sent.repartitionByRange("pass", "key").sortWithinPartitions("pass", "key", "rep")
+    order = ["pass", "key", "rep"]  # a range may end within a key, so that one key may hold a third of all rows
     found_type = "a long, b long, sure boolean, pass int, key long, rep long, x binary"
-    found = ws.table(sorted_.mapInArrow(link, found_type), "found")
-    edges = found.where("rep is not null").select("pass", "key", "rep", "x").repartition(1).sortWithinPartitions("pass", "key", "rep")
-    across = edges.mapInArrow(link, found_type)
-    pairs = ws.table(found.unionByName(across).where("a is not null").select("a", "b", "sure"), "pairs")
-    ws.drop(found)
+    sent = distinct.select("rep", "v").mapInArrow(project, "pass int, key long, rep long, x binary").repartitionByRange(*order)
+    levels, tasks = [], 0
+    while tasks != 1:
+        levels.append(ws.table(sent.sortWithinPartitions(*order).mapInArrow(link, found_type), "found"))
+        edges = levels[-1].where("rep is not null").select(*order, "x")
+        tasks = math.ceil(edges.count() / max(edge_rows, 4 * window)) or 1  # each level has half the rows of the one before, or fewer
+        sent = edges.repartitionByRange(tasks, *order) if tasks > 1 else edges.repartition(1)
+    levels.append(ws.table(sent.sortWithinPartitions(*order).mapInArrow(link, found_type), "found"))
+    pairs = functools.reduce(DataFrame.unionByName, levels).where("a is not null").select("a", "b", "sure")
+    pairs = ws.table(pairs, "pairs")
+    ws.drop(*levels)
     comps = components(ws, pairs.where("sure").select("a", "b").unionByName(decided(distinct, pairs.where("not sure").select("a", "b"), threshold)))
     members = distinct.join(comps, distinct.rep == comps.node).select("component", "rep", "n", "v")
     counts = links_within(ws, ws.table(members, "members"), threshold, tile)

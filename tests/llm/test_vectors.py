@@ -138,3 +138,21 @@ def test_pairs_across_partition_edges(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert found[1] >= found[0] > 100
+
+
+def test_one_key_over_many_tasks(spark):
+    """Rows of one key, one pass, each row compared with the next: only edges on several levels make one group of them."""
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal(16)
+    rows = [(i + 1, [float(v) for v in base + 1e-6 * rng.standard_normal(16)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        got = vecdedup.near_duplicates(vectors, passes=1, window=1, edge_rows=1).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r["vec_id"] for r in got) == [i for i, _ in rows]
+    assert {(r["n_links"], r["component_id"], r["kept"] == (r["vec_id"] == 1)) for r in got} == {(299, 1, True)}
