@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for the entry module."""
 
-from . import hpylm, idfile, langid, minhash, mix, neighbours, pack, pii, substring, toxicity, vecdedup
+from . import hpylm, idfile, langid, minhash, mix, neighbours, pack, phrases, pii, substring, toxicity, vecdedup
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring.op8,
         "op9_nearest_neighbours": neighbours.op9,
         "op10_vector_near_dedup": vecdedup.op10,
+        "op11_phrases": phrases.op11,
         "op12_token_id_files": idfile.op12,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op8_substring_dedup": substring.SQL,
         "op9_nearest_neighbours": neighbours.SQL,
         "op10_vector_near_dedup": vecdedup.SQL,
+        "op11_phrases": phrases.SQL,
     }
