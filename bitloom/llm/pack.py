@@ -20,7 +20,9 @@
    offset.  What it looks up are the runs of step 3, sent to all tasks.
 
 Edge cases: null or empty text is the end id alone; repeated rows and null ids
-are packed row by row; an empty table gives an empty result.
+are packed row by row; a text of any length is tokenised whole, long runs of white
+space included (its ids must fit a task's memory, 4 bytes each); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters for which both libraries split and merge alike (tested); other texts take the slower library.
 PLAIN = r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]*"
+#: A run of white space this long takes the slower library too: the faster one's pattern recurses on it, and ends the process.
+RUN_OF_SPACE = r"[\t\n\r\x20\xa0]{5000}"
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,7 +67,7 @@ class Tokeniser:
         self.slow = Tokenizer.from_file(path)
         self.special = list(self.slow.get_added_tokens_decoder().values())
         self.special = [t.content for t in self.special]
-        self.plain, self.fast = re.compile(PLAIN), None
+        self.plain, self.run, self.fast = re.compile(PLAIN), re.compile(RUN_OF_SPACE), None
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -73,7 +77,7 @@ class Tokeniser:
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and self.plain.fullmatch(text) and not any(s in text for s in self.special):
+        if self.fast and self.plain.fullmatch(text) and not any(s in text for s in self.special) and not (len(text) >= 5000 and self.run.search(text)):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
