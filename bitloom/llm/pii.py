@@ -16,8 +16,10 @@ weights are checked for the property that plain words next to plain words can't
 be better labelled than O; so only words within ``REACH`` of another word need
 decoding, and the result is that of the whole text.
 
-Edge cases: null text is empty and has no span; repeated rows, null ids and very
-long texts are handled like others; an empty table gives an empty result.
+Edge cases: null text is empty and has no span; repeated rows and null ids are
+handled like others; very long texts are read whole, and decoded in stretches
+that carry the state on, with the same result (their words' places, 16 bytes
+each, must fit a task's memory); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import map_all, read, small
 
+#: Words (padded) that are decoded in one go.
+CELLS = 100_000
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "contact")
 LABELS = ("O", "B-secret", "I-secret", "B-contact", "I-contact")
@@ -218,10 +224,48 @@ class Field:
         enter = self.moves - self.moves[0, 0]
         return bool((gain[1:] + np.maximum(enter[0, 1:], enter[1:, 1:].max(axis=0)) + np.maximum(0, (self.moves[1:, 0] - self.moves[0, 0]).max()) < 0).all())
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi, all sequences of a batch in step; the state before and after each is O."""
-        if not sequences:
-            return []
+    def decode(self, sequences: list) -> list[np.ndarray]:
+        """Viterbi; the state before and after each sequence is O.
+
+        Sequences of like length go in step, so many that they hold ``CELLS`` words at most when padded; one longer than
+        that goes by itself, in stretches that carry the state on.
+        """
+        out: list = [None] * len(sequences)
+        group: list[int] = []
+
+        def decode_group():
+            for i, y in zip(group, self._in_step([sequences[i][:] for i in group]) if len(group) > 1 or len(sequences[group[0]]) <= CELLS else [self._alone(sequences[group[0]])]):
+                out[i] = y
+            group.clear()
+
+        for i in sorted(range(len(sequences)), key=lambda i: len(sequences[i])):
+            if group and (len(group) + 1) * len(sequences[i]) > CELLS:
+                decode_group()
+            group.append(i)
+        if group:
+            decode_group()
+        return out
+
+    def _alone(self, words) -> np.ndarray:
+        n = len(words)
+        back, state = np.zeros((n, len(LABELS)), np.int8), None
+        for a in range(0, n, CELLS):
+            b, first = min(n, a + CELLS), max(0, a - 1)
+            scores = self.scores(words[first : min(n, b + 1)])[a - first : b - first]
+            for t in range(a, b):
+                if state is None:
+                    state = scores[0] + self.moves[0]
+                    continue
+                path = state[:, None] + self.moves
+                back[t] = path.argmax(axis=0)
+                state = path.max(axis=0) + scores[t - a]
+        y, label = np.zeros(n, np.int8), int((state + self.moves[:, 0]).argmax())
+        for t in range(n - 1, -1, -1):
+            y[t] = label
+            label = back[t, label]
+        return y
+
+    def _in_step(self, sequences: list[list[str]]) -> list[np.ndarray]:
         lengths = np.array([len(s) for s in sequences])
         order = np.argsort(-lengths, kind="stable")
         scores = np.zeros((len(sequences), lengths.max(), len(LABELS)))
@@ -318,46 +362,62 @@ def field() -> Field:
 WORDS = re.compile(r"[^ \t-\r]+")
 
 
-def near_marks(text: str) -> list[list[tuple[int, int]]]:
-    """Sequences of words (spans) around words with digits or signs."""
+class Words:
+    """Words of a stretch of a text, made when asked for."""
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.starts, self.ends = text, starts, ends
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, part: slice) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.starts[part].tolist(), self.ends[part].tolist())]
+
+
+def near_marks(text: str) -> list[Words]:
+    """Sequences of words around words with digits or signs."""
     if not MARK.search(text):
         return []
-    spans = [m.span() for m in WORDS.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    until = 0
-    for i, (a, b) in enumerate(spans):
-        if marked(text[a:b]):
-            start = max(until, i - REACH)
-            stop = min(len(spans), i + REACH + 1)
-            if out and start == until and until:
-                out[-1] += spans[start:stop]
-            else:
-                out.append(spans[start:stop])
-            until = stop
-    return out
+    place = np.fromiter((x for m in WORDS.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    starts, ends = place[:, 0].copy(), place[:, 1].copy()
+    signs = np.flatnonzero(np.fromiter((marked(text[a:b]) for a, b in place), bool, len(place)))
+    if not len(signs):
+        return []
+    low, high = np.maximum(signs - REACH, 0), np.minimum(signs + REACH + 1, len(starts))
+    begins = np.flatnonzero(np.append(True, low[1:] > high[:-1]))  # stretches that meet are one sequence
+    return [Words(text, starts[a:b], ends[a:b]) for a, b in zip(low[begins], high[np.append(begins[1:] - 1, len(high) - 1)])]
+
+
+def covered(spans: list[tuple[int, int, str]]):
+    """A function (start, end) -> whether any of the spans overlaps that."""
+    sorted_ = sorted(spans)
+    starts, ends = [a for a, _, _ in sorted_], list(accumulate((b for _, b, _ in sorted_), max))
+
+    def touches(a: int, b: int) -> bool:
+        n = bisect_left(starts, b)
+        return n > 0 and ends[n - 1] > a
+
+    return touches
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], model: Field) -> list[list[tuple[int, int, str]]]:
     """The field's spans for each text, without those that touch a base span."""
     where = [(d, s) for d, t in enumerate(texts) for s in near_marks(t)]
+    touches = {d: covered(base[d]) for d, _ in where}
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (d, spans), labels in zip(where, model.decode([[texts[d][a:b] for a, b in s] for d, s in where])):
-        i = 0
-        while i < len(spans):
-            if labels[i] in (1, 3):
-                j = i + 1
-                while j < len(spans) and labels[j] == labels[i] + 1:
-                    j += 1
-                a, b = spans[i][0], spans[j - 1][1]
-                while b > a and texts[d][b - 1] in ".,;:!?\"'":
-                    b -= 1
-                while a < b and texts[d][a] in "\"'":
-                    a += 1
-                if a < b and not any(x < b and a < y for x, y, _ in base[d]):
-                    found[d].append((a, b, LABELS[labels[i]][2:]))
-                i = j
-            else:
-                i += 1
+    for (d, words), labels in zip(where, model.decode([s for _, s in where])):
+        for i in np.flatnonzero((labels == 1) | (labels == 3)).tolist():
+            j = i + 1
+            while j < len(words) and labels[j] == labels[i] + 1:
+                j += 1
+            a, b = int(words.starts[i]), int(words.ends[j - 1])
+            while b > a and texts[d][b - 1] in ".,;:!?\"'":
+                b -= 1
+            while a < b and texts[d][a] in "\"'":
+                a += 1
+            if a < b and not touches[d](a, b):
+                found[d].append((a, b, LABELS[labels[i]][2:]))
     return found
 
 
