@@ -1,7 +1,9 @@
 """MinHash near-duplicates: circulant signatures, banding, exact Jaccard on full sets.
 
 1. A document's set holds its distinct word shingles, as 64-bit hashes.  Equal
-   sets are one node from here on, so a group of exact copies costs one row.
+   sets are one node from here on, so a group of exact copies costs one row.  A
+   node is named by a row of its own, and ids are looked up last: an id may hold
+   several texts, and one row of it may be there many times.
 2. Circulant MinHash: one permutation (sigma) breaks up the shingle hashes, one
    (pi), shifted circularly by k, gives coordinate k: pi(sigma(x) + k).  Both are
    bijections of 32-bit words, so no other permutations are drawn or stored.
@@ -28,7 +30,9 @@ the signature's agreement), and less above it.
 Edge cases: null text or text without words has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of the whole sequence;
 rows without an id take the component of their set, if others have it, and
-aren't kept then; repeated rows are one node and each returned; an empty table
+aren't kept then; repeated rows are one node and each returned; an id with several
+texts is a row for each, each in its own text's component; a text of any length is
+read whole (its set, 8 bytes a word, must fit a task's memory); an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -127,18 +131,40 @@ def signature_rows(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary, th long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n: int, near: int = 2_000_000) -> DataFrame:
-    """(node, set) for the given nodes: sorted 64-bit hashes of all shingles."""
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int, near: int = 1_000_000) -> DataFrame:
+    """wanted (node, id, th, repeated) -> (node, set): sorted 64-bit hashes of all shingles.
 
-    def run(batches):
-        words = WordHashes()
-        for b in small(batches, 1):
-            sets = [shingles(words.of(t.translate(TO_LOWER).split()), n).tobytes() for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+    A node whose row is there several times comes once from each task at most.
+    """
 
-    # few ids go to where the texts are; many meet them by a shuffle
-    nodes = F.broadcast(nodes) if nodes.count() <= near else nodes
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, set binary")
+    def run(batches):
+        words, seen = WordHashes(), set()
+        for b in small(batches, 2):
+            kept, sets = [], []
+            for i, (node, repeated, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)))):
+                if repeated:
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                kept.append(node)
+                sets.append(shingles(words.of(text.translate(TO_LOWER).split()), n).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+
+    # few nodes go to where the texts are; many meet them by a shuffle
+    wanted = F.broadcast(wanted) if wanted.count() <= near else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    return texts.join(wanted, ["id", "th"]).select("node", "repeated", "text").mapInArrow(run, "node long, set binary")
+
+
+def once(batches, node: int):
+    """Batches without rows whose node is that of the row before."""
+    last = None
+    for b in batches:
+        if b.num_rows:
+            x = b.column(node).to_numpy(zero_copy_only=False)
+            fresh = np.append(x[0] != last, x[1:] != x[:-1])
+            last = x[-1]
+            yield b if fresh.all() else b.filter(pa.array(fresh))
 
 
 def is_link(na, nb, common, percent: int):
@@ -206,10 +232,12 @@ def likely_pairs(nodes: DataFrame, pairs: DataFrame, percent: int, size: int) ->
     return p.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def confirm(ws: Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def confirm(ws: Workspace, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of a written table that are links, each by a join with both full sets."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = ws.table(sets_of(docs, ws.table(used, "used"), n), "sets")
+    wanted = ws.table(used.join(nodes.select("node", "id", "th", "repeated"), "node"), "used")
+    single = sets_of(docs, wanted, n).repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: once(batches, 0), "node long, set binary")
+    sets = ws.table(single, "sets")
 
     def run(batches):
         for b in batches:
@@ -228,20 +256,20 @@ def confirm(ws: Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: i
     return links
 
 
-def within_clusters(ws: Workspace, docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
+def within_clusters(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """clusters (node, cluster) -> edges (a, b) that join each exact component to its smallest node."""
-    sets = sets_of(docs, clusters.select("node"), n)
+    sets = sets_of(docs, clusters.select("node").join(nodes.select("node", "id", "th", "repeated"), "node"), n)
 
     def run(batches):
-        for t in groups(batches, 0):
-            nodes, first = np.unique(t["node"].to_numpy(), return_index=True)
-            raw = t["set"].take(pa.array(first)).to_pylist()
+        for t in groups(once(batches, 1), 0):
+            order = np.argsort(t["node"].to_numpy())
+            nodes, raw = t["node"].to_numpy()[order], t["set"].take(pa.array(order)).to_pylist()
             low = exact_components(nodes, [np.frombuffer(x, U64) for x in raw], percent)
             m = low != nodes
             yield pa.RecordBatch.from_arrays([pa.array(nodes[m]), pa.array(low[m])], ["a", "b"])
 
     sent = sets.join(clusters, "node").select("cluster", "node", "set")
-    return sent.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long")
+    return sent.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(run, "a long, b long")
 
 
 def across_clusters(members: DataFrame, percent: int, size: int, tile: int) -> DataFrame:
@@ -276,13 +304,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def labelled(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, chain: int = 4096, tile: int = 2048, most_shingles: int = 4_000_000) -> DataFrame:
-    """documents -> doc_id, th, s1, s2, n_shingles, component_id, kept; n-word shingles, similarity of at least ``percent`` hundredths."""
+    """documents -> doc_id, th, s1, s2, n_shingles, component, component_id, kept; n-word shingles, similarity of at least ``percent`` hundredths."""
     ws, size = Workspace(docs.sparkSession, "minhash"), bands * rows
-    all_ = ws.table(signature_rows(docs, n, bands, rows), "signatures")
-    names = ws.table(all_.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "names")
-    first = all_.select("doc_id", "n", F.col("s1").alias("t1"), F.col("s2").alias("t2"), "keys", "sketch")
-    nodes = names.join(first, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("node") == F.col("doc_id")))
-    nodes = ws.table(nodes.select("node", "n", "keys", "sketch"), "nodes")
+    all_ = ws.table(signature_rows(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    named = all_.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row")).alias("first"), (F.count("*") > 1).alias("repeated"))
+    names = ws.table(named.select("s1", "s2", F.col("first.row").alias("node"), F.col("first.doc_id").alias("id"), "repeated"), "names")
+    nodes = ws.table(names.drop("s1", "s2").join(all_.select(F.col("row").alias("node"), "n", "keys", "sketch", "th"), "node"), "nodes")
     member = nodes.select("node", F.explode("keys").alias("key"))
     crowd = ws.table(member.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("rep")).where("members > 1"), "crowd")
     member = ws.table(member.join(crowd, "key"), "members")
@@ -299,12 +326,12 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, ro
     weight = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.sum("n").alias("shingles"))
     clusters = ws.table(clusters.join(ws.table(weight, "weights"), "cluster"), "clusters")
     small = clusters.where(F.col("shingles") <= most_shingles).select("node", "cluster")
-    links = ws.table(within_clusters(ws, docs, ws.table(small, "small"), n, percent), "links")
+    links = ws.table(within_clusters(docs, ws.table(small, "small"), nodes, n, percent), "links")
     large = clusters.where(F.col("shingles") > most_shingles).select("node")
     big = not large.isEmpty()
     if big:
         mine = ws.table(pairs.join(large, pairs.a == large.node, "left_semi"), "large")
-        links = links.unionByName(confirm(ws, docs, mine, n, percent))
+        links = links.unionByName(confirm(ws, docs, mine, nodes, n, percent))
         done = ws.table(components(ws, links), "done")
         # in a large cluster, components stand for clusters from here on
         again = large.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
@@ -322,25 +349,27 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 28, ro
     sizes = ws.table(sizes.where("owned and low <> high").select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "classes")
     late = ws.table(across_clusters(classed.join(sizes, "key"), percent, size, tile), "late")
     if not late.isEmpty():
-        links = links.unionByName(confirm(ws, docs, late, n, percent))
+        links = links.unionByName(confirm(ws, docs, late, nodes, n, percent))
     comps = components(ws, links)
-    label = names.join(comps, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    label = ws.table(label.withColumnsRenamed({"s1": "t1", "s2": "t2"}), "labels")
+    low = comps.join(names.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("low"))
+    low = ws.table(comps.join(low, "component"), "lowest")
+    label = names.join(low, "node", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "node").alias("component"), F.coalesce("low", "id").alias("low"))
+    label = ws.table(label, "labels")
     out = all_.select("doc_id", "th", "n", "s1", "s2").join(label, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "th", "s1", "s2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
+    of = F.coalesce("low", "doc_id")
+    return out.select("doc_id", "th", "s1", "s2", F.col("n").alias("n_shingles"), "component", of.alias("component_id"), F.coalesce(F.col("doc_id") == of, of.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, near: int = 2_000_000, **options) -> DataFrame:
     """The documents with one of each group of near duplicates left: its smallest id, one row of it.
 
-    Rows that share that id but hold unlinked texts all stay, each in its own group.  Documents without an id stay, as no
-    id stands for them.
+    Rows that share that id but hold unlinked texts all stay, each in its own group; of its linked texts one stays.  Documents
+    without an id stay, as no id stands for them.
     """
     ws = Workspace(docs.sparkSession, "keep")
     kept = labelled(docs, **options).where("kept and doc_id is not null")
-    texts = kept.groupBy("doc_id", F.coalesce("s1", "th").alias("s1"), "s2", "th").agg(F.count("*").alias("rows"))
-    first = texts.groupBy("doc_id", "s1", "s2").agg(F.min_by(F.struct("th", "rows"), "th").alias("x"))
+    texts = kept.groupBy("doc_id", F.coalesce("component", "th").alias("of"), F.col("component").isNull().alias("empty"), "th").agg(F.count("*").alias("rows"))
+    first = texts.groupBy("doc_id", "of", "empty").agg(F.min_by(F.struct("th", "rows"), "th").alias("x"))
     first = ws.table(first.select(F.col("doc_id").alias("__kept"), F.col("x.th").alias("__th"), F.col("x.rows").alias("__rows")), "kept")
     first = F.broadcast(first) if first.count() <= near else first
     found = docs.join(first, (docs.doc_id == F.col("__kept")) & (F.xxhash64(docs.text) == F.col("__th")))
