@@ -18,7 +18,8 @@ Nothing is approximate: recall is 1.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors of another width than the query aren't
-candidates; a candidate with the query's own id is never returned; repeated
+candidates; a candidate with the query's own id is never returned; distances are
+those of double precision, so they overflow to infinity, or vanish, where their squares do; repeated
 rows each count; ties go to the smaller id; an empty table gives an empty result.
 """
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, read
 from .vectors import by_width, usable
 
+#: Squares of shorter distances lose digits or vanish; so they count as equal until they are recomputed.
+TINY = 1e-150
 SCHEMA = "query long, query_id long, vec_id long, score double"
 
 
@@ -41,17 +44,25 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, scale of each row, and the length of what rounding left."""
     scale = np.abs(x).max(axis=1) / 127.0
     scale[scale == 0] = 1.0
+    scale = np.maximum(scale, 1e-300)
     q = np.rint(x / scale[:, None]).astype(np.int8)
-    left = np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        left = np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
     return q, scale, left * (1 + 1e-9) + 1e-300
 
 
+def squares(q: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (q.astype(np.float64) ** 2).sum(axis=1) * scale**2
+
+
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows, summed one component after the other."""
     total = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        d = a[:, i] - b[:, i]
-        total += d * d
+    with np.errstate(over="ignore"):
+        for i in range(a.shape[1]):
+            d = a[:, i] - b[:, i]
+            total += d * d
     return np.sqrt(total)
 
 
@@ -59,30 +70,32 @@ class Slab:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
         self.rows, self.ids, self.x = rows, ids, x
         self.q, self.scale, self.left = quantise(x)
-        self.square = (self.q.astype(np.float64) ** 2).sum(axis=1) * self.scale**2
+        self.square = squares(self.q, self.scale)
 
 
 def search_batch(slab: Slab, ids: np.ndarray, x: np.ndarray, k: int, heaps: list[list], limit: np.ndarray, tile: int = 2048) -> None:
     """Puts a batch of candidates into the heaps of (-distance, -id); ``limit`` holds each query's k-th distance so far."""
     q, scale, left = quantise(x)
-    square = (q.astype(np.float64) ** 2).sum(axis=1) * scale**2
+    square = squares(q, scale)
     for a in range(0, len(slab.ids), tile):
         qa = slab.q[a : a + tile].astype(np.float32)
         for b in range(0, len(ids), tile):
             qb = q[b : b + tile].astype(np.float32)
             # 1024 products of int8 add up to whole numbers below 2**24, which float32 holds exactly
             dot = sum((qa[:, i : i + 1024] @ qb[:, i : i + 1024].T).astype(np.float64) for i in range(0, q.shape[1], 1024))
-            d2 = slab.square[a : a + tile, None] + square[None, b : b + tile] - 2 * dot * slab.scale[a : a + tile, None] * scale[None, b : b + tile]
-            d = np.sqrt(np.maximum(d2, 0))
-            slack = slab.left[a : a + tile, None] + left[None, b : b + tile]
-            # subtraction of squares: its rounding error, in terms of the distance
-            slack = slack + np.sqrt(1e-14 * (slab.square[a : a + tile, None] + square[None, b : b + tile]))
-            own = slab.ids[a : a + tile, None] == ids[None, b : b + tile]
-            upper = np.where(own, np.inf, d + slack)
+            with np.errstate(over="ignore", invalid="ignore"):  # of great components: no bound, so they are recomputed
+                d2 = slab.square[a : a + tile, None] + square[None, b : b + tile] - 2 * dot * slab.scale[a : a + tile, None] * scale[None, b : b + tile]
+                d = np.sqrt(np.maximum(d2, 0))
+                slack = slab.left[a : a + tile, None] + left[None, b : b + tile] + TINY
+                # subtraction of squares: its rounding error, in terms of the distance
+                slack = slack + np.sqrt(1e-14 * (slab.square[a : a + tile, None] + square[None, b : b + tile]))
+                own = slab.ids[a : a + tile, None] == ids[None, b : b + tile]
+                upper, lower = d + slack, d - slack
+            upper[own | np.isnan(upper)] = np.inf
             most = limit[a : a + tile]
             if upper.shape[1] > k:
                 most = np.minimum(most, np.partition(upper, k - 1, axis=1)[:, k - 1])
-            i, j = np.nonzero((d - slack <= most[:, None]) & ~own)
+            i, j = np.nonzero(~(lower > most[:, None]) & ~own)
             if len(i):
                 true = exact(slab.x[a + i], x[b + j])
                 for m, n, s in zip((a + i).tolist(), (b + j).tolist(), true.tolist()):
