@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 #: Blocks that are coded in step, and ids in a block; counts of leaves must fit 16 bits (STEP * BLOCK + 256 < 2**16).
-LANES, BLOCK, STEP = 512, 4096, 14
+LANES, BLOCK, STEP = 1024, 4096, 14
 SLOTS = 1 << 14
 RATE, UNIT = 6, 64
 TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 40)

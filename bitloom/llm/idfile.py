@@ -8,7 +8,7 @@
    bytes.  Any block can be decoded by itself; a damaged one is named by part and number.
 3. Records are the rows (part, block, record) of Parquet files, written by Spark's writer and so committed by task: a lost
    executor's parts are made again, with the same bytes.
-4. Reading deals whole parts to tasks, in order of blocks, and decodes up to 512 blocks at once, so that memory is bounded by
+4. Reading deals whole parts to tasks, in order of blocks, and decodes up to 1024 blocks at once, so that memory is bounded by
    these and by one document.  Ids before a part are a prefix sum over parts, in two steps.
 
 Edge cases: null or empty text is the end id alone; null ids come first, and rows without one are read back with a null id;
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, read, small
-from .idcoder import BLOCK, Coder, Damaged, crc_of, parse, record
+from .idcoder import BLOCK, LANES, Coder, Damaged, crc_of, parse, record
 from .pack import vocabulary_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -172,7 +172,7 @@ def decoded(rows: DataFrame, keep_ids: bool = False) -> DataFrame:
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(3))):
                 waiting.append(row)
-                if len(waiting) == 512:
+                if len(waiting) == LANES:
                     yield from flush()
         yield from flush()
 
