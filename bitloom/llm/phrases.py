@@ -4,9 +4,10 @@
    their multiplicity (partial counts before the shuffle, so a line that is everywhere is one row a task).
 2. Tasks turn pieces into weighted n-grams, add up equal ones of a stretch of words, and deal them to buckets by hash; each
    bucket is counted by duckdb, which spills to the task's scratch disk beyond its memory, and only counts of ``least`` and
-   more leave it.  One and two words come first.  A phrase of three to five words can only be that frequent if each pair in
-   it is: pairs found are marked in a bit map (16 bits a pair, at most 2**30), and what holds an unmarked pair isn't
-   dealt.  The map never misses a frequent pair; where it fills up, more is counted and the result is the same.
+   more leave it.  First single words, then pairs, then phrases of three to five words.  A pair can only be that frequent if
+   both words are, a longer phrase if each pair in it is: what was found is marked in a bit map (16 bits each, at most 2**30),
+   and what holds an unmarked word or pair isn't dealt.  The map never misses what is frequent; where it fills up, more is
+   counted and the result is the same.
 3. Each candidate asks for the counts of the parts of each of its cuts.  Requests and counts meet by a shuffle on the part, the
    answers go back to their candidate, and its cut of the lowest score counts.
 4. Phrases inside a longer one that is as frequent are dropped.  A longer phrase is never more frequent than what lies between,
@@ -47,8 +48,8 @@ def pair_hashes(lang: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return mix64(mix64(mix64(left) + right) ^ lang)
 
 
-class Pairs:
-    """A bit map over hashes of pairs."""
+class Marks:
+    """A bit map over hashes of words or pairs."""
 
     def __init__(self, data: bytes, bits: int):
         self.map, self.right = np.frombuffer(data, np.uint8), U64(64 - bits)
@@ -58,11 +59,15 @@ class Pairs:
         return (self.map[(cell >> U64(3)).astype(np.int64)] >> (cell & U64(7)).astype(np.uint8)) & 1 == 1
 
 
-def grams(found: DataFrame, orders: tuple[int, ...], pairs=None) -> DataFrame:
-    """(lang, piece, times) -> (key, n): weighted n-grams, with sums over stretches; a key is the phrase, a line end and the language."""
+def grams(found: DataFrame, orders: tuple[int, ...], marks=None, width: int = 2) -> DataFrame:
+    """(lang, piece, times) -> (key, n): weighted n-grams, with sums over stretches; a key is the phrase, a line end and the language.
+
+    With ``marks`` of words (width 1) or pairs (2), those whose words or pairs are all marked.
+    """
 
     def run(batches):
         hashes = WordHashes()
+        nothing = U64(hashes[b""])
         for b in small(batches, 1):
             words = pc.split_pattern(b.column(1), " ")
             flat, count = words.flatten(), words.value_lengths().to_numpy(zero_copy_only=False)
@@ -74,16 +79,20 @@ def grams(found: DataFrame, orders: tuple[int, ...], pairs=None) -> DataFrame:
                 reach = min(len(row), stop + max(orders) - 1)
                 w, own, rest = flat.slice(at, reach - at), row[at:stop], left[at:stop]
                 joined = np.ones(reach - at, bool)  # this word and the next may be parts of a phrase
-                if pairs is not None:
+                if marks is not None:
                     codes = pc.dictionary_encode(w)
                     if isinstance(codes, pa.ChunkedArray):
                         codes = codes.combine_chunks()
                     of = hashes.of([x.encode() for x in codes.dictionary.to_pylist()])[codes.indices.to_numpy()]
                     lang = hashes.of([x.encode() for x in b.column(0).to_pylist()])[row[at:reach]]
-                    joined[:-1] = pairs.value.marked(pair_hashes(lang[:-1], of[:-1], of[1:]))
+                    if width == 1:
+                        alone = marks.value.marked(pair_hashes(lang, of, nothing))
+                        joined[:-1] = alone[:-1] & alone[1:]
+                    else:
+                        joined[:-1] = marks.value.marked(pair_hashes(lang[:-1], of[:-1], of[1:]))
                 for n in orders:
                     good = rest >= n
-                    for i in range(n - 1 if pairs is not None else 0):
+                    for i in range(n - 1 if marks is not None else 0):
                         shifted = np.zeros(len(good), bool)
                         part = joined[i : i + len(good)]
                         shifted[: len(part)] = part
@@ -99,7 +108,7 @@ def grams(found: DataFrame, orders: tuple[int, ...], pairs=None) -> DataFrame:
 
 
 def counted(weighted: DataFrame, least: int, memory: str = "256MB") -> DataFrame:
-    """(key, n) -> (lang, phrase, words, n, pair) of those that come to ``least``; ``pair`` is the hash of a phrase of two words."""
+    """(key, n) -> (lang, phrase, words, n, mark) of those that come to ``least``; ``mark`` is the hash of one or two words."""
 
     def run(batches):
         import os
@@ -117,28 +126,27 @@ def counted(weighted: DataFrame, least: int, memory: str = "256MB") -> DataFrame
             for b in con.sql(f"SELECT key, sum(n)::BIGINT AS n FROM came GROUP BY key HAVING sum(n) >= {int(least)}").to_arrow_reader(65536):
                 keys = [k.split("\n", 1) for k in b.column(0).to_pylist()]
                 words = [p.split(" ") for p, _ in keys]
-                two = [w if len(w) == 2 else ("", "") for w in words]
+                two = [(*w, "")[:2] if len(w) < 3 else ("", "") for w in words]
                 lang = hashes.of([x.encode() for _, x in keys])
-                pair = pair_hashes(lang, hashes.of([a.encode() for a, _ in two]), hashes.of([c.encode() for _, c in two]))
-                columns = [pa.array([x for _, x in keys]), pa.array([p for p, _ in keys]), pa.array([len(w) for w in words], pa.int32()), b.column(1), pa.array(pair.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n", "pair"])
+                mark = pair_hashes(lang, hashes.of([a.encode() for a, _ in two]), hashes.of([c.encode() for _, c in two]))
+                columns = [pa.array([x for _, x in keys]), pa.array([p for p, _ in keys]), pa.array([len(w) for w in words], pa.int32()), b.column(1), pa.array(mark.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n", "mark"])
         finally:
             con.close()
             shutil.rmtree(spill, ignore_errors=True)
 
-    return weighted.repartition("key").mapInArrow(run, "lang string, phrase string, words int, n long, pair long")
+    return weighted.repartition("key").mapInArrow(run, "lang string, phrase string, words int, n long, mark long")
 
 
-def pair_map(found: DataFrame) -> Pairs:
-    """The bit map of the pairs among counted phrases: at most 2**30 bits come to the driver, whatever their number."""
-    two = found.where("words = 2")
-    bits = min(30, max(20, (16 * two.count()).bit_length()))
-    cell = F.shiftrightunsigned("pair", 64 - bits) + 1  # cells of the bit map functions begin with 1
-    parts = two.groupBy(F.bitmap_bucket_number(cell).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("map"))
+def mark_map(found: DataFrame) -> Marks:
+    """The bit map of counted words or pairs: at most 2**30 bits come to the driver, whatever their number."""
+    bits = min(30, max(20, (16 * found.count()).bit_length()))
+    cell = F.shiftrightunsigned("mark", 64 - bits) + 1  # cells of the bit map functions begin with 1
+    parts = found.groupBy(F.bitmap_bucket_number(cell).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("map"))
     data = bytearray(1 << bits - 3)
     for r in parts.toLocalIterator():  # one part of 4096 bytes after the other
         data[(r["at"] - 1) * 4096 : r["at"] * 4096] = r["map"]
-    return Pairs(bytes(data), bits)
+    return Marks(bytes(data), bits)
 
 
 def scored(candidates: DataFrame, counts: DataFrame, totals: DataFrame, longest: int) -> DataFrame:
@@ -168,11 +176,12 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     found = ws.table(pieces(docs), "pieces")
     words = F.length("piece") - F.length(F.translate("piece", " ", "")) + 1
     totals = found.groupBy("lang").agg(F.sum(F.col("times") * words).alias("n"))
-    short = ws.table(counted(grams(found, tuple(range(1, min(longest, 2) + 1))), least), "short")
-    counts = short
-    if longest > 2:
-        pairs = docs.sparkSession.sparkContext.broadcast(pair_map(short))
-        counts = short.unionByName(ws.table(counted(grams(found, tuple(range(3, longest + 1)), pairs), least), "long"))
+    counts = step = ws.table(counted(grams(found, (1,)), least), "words")
+    for orders, width in (((2,), 1), (tuple(range(3, longest + 1)), 2)):
+        if orders and orders[-1] <= longest:
+            marks = docs.sparkSession.sparkContext.broadcast(mark_map(step))
+            step = ws.table(counted(grams(found, orders, marks, width), least), f"words{orders[-1]}")
+            counts = counts.unionByName(step)
     counts = counts.select("lang", "phrase", "words", "n")
     candidates = counts.where("words > 1").withColumnRenamed("n", "a")
     inner = lambda k: F.call_function("substring_index", "phrase", F.lit(" "), k)

@@ -95,8 +95,8 @@ def test_bit_map_never_misses(spark):
     left, right = (hashes.of([w.encode() for w in ws]) for ws in (words[:-1], words[1:]))
     lang = hashes.of([b"en"] * len(left))
     pair = phrases.pair_hashes(lang, left, right)
-    found = spark.createDataFrame([(*r[:4], int(p)) for r, p in zip(rows, pair.view(np.int64))], "lang string, phrase string, words int, n long, pair long")
-    marks = phrases.pair_map(found)
+    found = spark.createDataFrame([(*r[:4], int(p)) for r, p in zip(rows, pair.view(np.int64))], "lang string, phrase string, words int, n long, mark long")
+    marks = phrases.mark_map(found)
     assert marks.marked(pair).all() and marks.marked(phrases.pair_hashes(lang, right, left)).mean() < 0.1
 
 
