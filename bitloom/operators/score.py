@@ -97,12 +97,24 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 
 
 def owners(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, owner, owners): rules own an exact path or a prefix; the longest rule wins, more than one owner is reported.
+    """(path, owner, owners): rules (prefix, owner) own an exact path or a prefix; the longest wins, ``owners`` counts the different ones.
 
-    Rules are configuration: few, and sent to the paths.
+    A trie as a table: a path meets the rules by hash join on its prefixes, one for each length that rules have, so the work of a
+    path is that number, not the number of rules, and neither side is sent whole.  The lengths come to the driver: they are
+    different whole numbers up to the longest rule's.  Of rules with one prefix the greatest owner wins; rules without a
+    prefix or owner are left out, the empty prefix owns every path; a path that none owns has a null owner; repeated
+    paths are one row; a null path is owned by none.
     """
-    hit = paths.join(F.broadcast(rules), F.startswith("path", "prefix"), "left")
-    return hit.groupBy("path").agg(F.max_by("owner", F.struct(F.length("prefix"), F.col("owner"))).alias("owner"), F.count_distinct("owner").alias("owners"))
+    rules = rules.where("prefix is not null and owner is not null").select("prefix", "owner").distinct()
+    lengths = sorted(r[0] for r in rules.select(F.length("prefix")).distinct().collect())
+    each = paths.select("path").distinct()
+    places = F.array(*map(F.lit, lengths)).cast("array<int>")
+    pieces = F.transform(F.filter(places, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
+    cut = each.select("path", F.explode_outer(pieces).alias("prefix"))
+    hit = cut.join(rules.hint("merge"), "prefix", "left").where("owner is not null")
+    best = hit.groupBy("path").agg(F.max_by("owner", F.struct(F.length("prefix"), F.col("owner"))).alias("owner"), F.count_distinct("owner").alias("owners"))
+    found = each.join(best.withColumnRenamed("path", "__path"), F.col("path") == F.col("__path"), "left")
+    return found.select("path", "owner", F.coalesce("owners", F.lit(0)).cast("long").alias("owners"))
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

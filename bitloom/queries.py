@@ -1021,4 +1021,4 @@ def g11(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(orders.node_bounds(s, codes.selector_qubits(code), order, 1 + code[0]))), "refinement int, bound long")
 
 
-from . import queries_files, queries_plans, queries_rules  # noqa: E402, F401  (they register more, with what is defined above)
+from . import queries_files, queries_links, queries_plans, queries_rules  # noqa: E402, F401  (they register more, with what is defined above)
