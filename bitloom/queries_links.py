@@ -196,11 +196,11 @@ for _name, _table, _key in (("s06_orders_sample", "orders", "o_orderkey"), ("s06
 FAN = 16
 
 
-def tree_sql(sha: str) -> str:
-    """CTEs l0 .. l5 with the levels of a tree over documents, none above the root; six levels hold 16**6 documents."""
-    out = [f"f0 AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, {sha} AS sha FROM documents)", f"l0 AS (SELECT 0 AS level, pos // {FAN} AS node, count(*) AS n, sha256(string_agg(sha, ',' ORDER BY pos)) AS sha FROM f0 GROUP BY 2)"]
+def tree_sql(sha: str, fan: int = FAN) -> str:
+    """CTEs l0 .. l5 and nodes with the levels of a tree over documents, none above the root; six levels hold fan**6 documents."""
+    out = [f"f0 AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, {sha} AS sha FROM documents)", f"l0 AS (SELECT 0 AS level, pos // {fan} AS node, count(*) AS n, sha256(string_agg(sha, ',' ORDER BY pos)) AS sha FROM f0 GROUP BY 2)"]
     for i in range(1, 6):
-        out.append(f"l{i} AS (SELECT {i} AS level, node // {FAN} AS node, sum(n)::BIGINT AS n, sha256(string_agg(sha, ',' ORDER BY l{i - 1}.node)) AS sha FROM l{i - 1} WHERE (SELECT count(*) FROM l{i - 1}) > 1 GROUP BY l{i - 1}.node // {FAN})")
+        out.append(f"l{i} AS (SELECT {i} AS level, node // {fan} AS node, sum(n)::BIGINT AS n, sha256(string_agg(sha, ',' ORDER BY l{i - 1}.node)) AS sha FROM l{i - 1} WHERE (SELECT count(*) FROM l{i - 1}) > 1 GROUP BY l{i - 1}.node // {fan})")
     return ", ".join([*out, "nodes AS (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(6)) + ")"])
 
 
