@@ -8,14 +8,15 @@
    one run (length, ranks), and sequences with equal gaps are runs as well: a few
    thousand rows, whatever the corpus holds.
 3. Bulk-synchronous supersteps.  Pieces and gaps are range-sorted: range r holds
-   sizes above size / 8**(r + 1), up to size / 8**r.  In a superstep each range is
-   a task's own: its pieces, longest first, sweep to their successor, the smallest
-   gap that holds them; where more pieces than places meet, the lower rank wins
-   and the others stay.  Then gaps are updated and move to the range of what is
-   left of them, pieces that stay move up one range, and it repeats.  Pieces start
-   in their own range when those of longer ranges are through; what finds no
-   place in range 0 opens sequences there.  (With all ranges started at once it is
-   a few steps less, and up to 0.4 % more sequences.)
+   sizes above size / 8**(r + 1), up to size / 8**r.  In a superstep all ranges that
+   have both are swept at once, each in a task of its own: its pieces, longest first,
+   go to their successor, the smallest gap that holds them; where more pieces than
+   places meet, the lower rank wins and the others stay.  Then gaps are updated and
+   move to the range of what is left of them, and it repeats.  Pieces that are
+   the longest left over go on to the next range with gaps, and open sequences in range
+   0; shorter ones keep to their own range until then, whose gaps no longer piece could
+   take.  So a step is the work of several tasks, the outcome is that of one sweep over
+   all, and steps without work don't happen.
 4. A distributed look-up gives each piece the place of its rank: sequence and
    offset.  What it looks up are the runs of step 3, sent to all tasks.
 
@@ -163,22 +164,22 @@ def class_of(length: int, size: int) -> int:
     return r
 
 
-def schedule(size: int) -> list[tuple[int, int]]:
-    """For each superstep the range that pieces come from, and the one that they sweep."""
-    return [(start, start - up) for start in range(class_of(1, size) + 1) for up in range(start + 1)]
-
-
 PIECE, GAP, PLACED = 0, 1, 2
 RUN = "kind int, size long, first long, n long, sequence long, per long, offset long"
 
 
-def superstep(state: DataFrame, step: int, size: int) -> DataFrame:
-    """Runs of pieces and gaps after one superstep, and what it placed."""
-    start, to = schedule(size)[step]
+def ranged(size: int):
+    """The range of a run's size, as a column."""
     edges = [size // 8**r for r in range(1, class_of(1, size) + 1)]  # sizes up to edges[r - 1] are in range r at least
-    own = sum((F.when(F.col("size") <= e, 1).otherwise(0) for e in edges), F.lit(0))
-    range_ = F.when(F.col("kind") == GAP, own).when(own == start, F.lit(to))
-    here = state.withColumn("range", range_.cast("int"))
+    return sum((F.when(F.col("size") <= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+
+def superstep(state: DataFrame, step: int, size: int, moves: dict[int, int]) -> DataFrame:
+    """Runs of pieces and gaps after one superstep, and what it placed; ``moves``: the range that each class of pieces sweeps."""
+    to = F.when(F.col("kind") == GAP, ranged(size))
+    for start, at in moves.items():
+        to = to.when(ranged(size) == start, F.lit(at))
+    here = state.withColumn("range", F.when(to.isin(list(moves.values())), to).cast("int"))
 
     def run(key, t):
         part = lambda kind, *columns: list(zip(*(t.filter(pc.equal(t["kind"], kind))[c].to_pylist() for c in columns)))
@@ -192,16 +193,33 @@ def superstep(state: DataFrame, step: int, size: int) -> DataFrame:
     return swept.unionByName(here.where("range is null").drop("range"))
 
 
+def moves_of(pieces: set[int], gaps: set[int], place: int) -> dict[int, int]:
+    """Which range each class of pieces sweeps next: the longest the first one with gaps from ``place`` on, or range 0; others their own."""
+    longest = min(pieces)
+    return {c: c for c in pieces if c != longest and c in gaps} | {longest: next((r for r in range(place, 0, -1) if r in gaps), 0)}
+
+
 def placements(ws: Workspace, counts: DataFrame, size: int = SIZE) -> DataFrame:
     """counts (length, n) -> runs (length, first, n, sequence, per, offset): where each rank of a length is placed."""
     none = F.lit(0).cast("long")
     state = counts.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), none.alias("first"), "n", none.alias("sequence"), none.alias("per"), none.alias("offset"))
-    done = None
-    for step in range(len(schedule(size))):
-        out = ws.table(superstep(state, step, size), f"step{step}")
+    state = ws.table(state, "pieces")
+    done, step, place, before = None, 0, 0, None
+    while True:
+        there = {(r["kind"], r["range"]) for r in state.select("kind", ranged(size).alias("range")).distinct().collect()}  # a few ranges
+        pieces = {r for kind, r in there if kind == PIECE}
+        if not pieces:
+            break
+        if min(pieces) != before:
+            before = place = min(pieces)
+        moves = moves_of(pieces, {r for kind, r in there if kind == GAP}, place)
+        place = moves[before] - 1
+        out = ws.table(superstep(state, step, size, moves), f"step{step}")
         state = out.where(F.col("kind") < PLACED)
         placed = out.where(F.col("kind") == PLACED)
         done = placed if done is None else done.unionByName(placed)
+        step += 1
+    done = state if done is None else done
     return done.withColumnRenamed("size", "length").drop("kind")
 
 

@@ -223,3 +223,28 @@ def test_repeated_rows_spread_and_runs_stay_few(spark):
 def test_op5_columns(spark):
     got = pack.op5(spark, "/root/testdata/sf0.001")
     assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
+
+
+def test_several_tasks_place_in_one_superstep(spark):
+    """After the longest pieces, those of all shorter ranges are placed at once, each range by a task of its own; no step is empty."""
+    rng = random.Random(12)
+    counts = {}
+    for _ in range(3000):
+        x = rng.choice([rng.randint(257, 2048), rng.randint(33, 256), rng.randint(5, 32), rng.randint(1, 4)])
+        counts[x] = counts.get(x, 0) + 1
+    ws = pack.Workspace(spark, "concurrent")
+    steps = []
+    plain = ws.table
+
+    def spy(df, tag):
+        out = plain(df, tag)
+        if tag.startswith("step"):
+            steps.append(out.where("kind = 2").select(pack.ranged(2048).alias("r")).distinct().collect())
+        return out
+
+    ws.table = spy
+    table = spark.createDataFrame(list(counts.items()), "length long, n long")
+    runs = pack.placements(ws, table).select("length", "first", "n", "sequence", "per", "offset").collect()
+    assert filled([tuple(r) for r in runs], counts, pack.SIZE) == best_fit(counts, pack.SIZE)
+    assert all(steps) and max(map(len, steps)) >= 2 and len(steps) <= 8
+    assert pack.moves_of({1, 2, 3}, {0, 2, 3}, 1) == {2: 2, 3: 3, 1: 0} and pack.moves_of({2, 3}, {0, 1, 3}, 2) == {3: 3, 2: 1}
