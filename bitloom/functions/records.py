@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from functools import reduce
 
 import pandas as pd
@@ -118,28 +117,6 @@ def schema_rules(schema: dict, fields: dict[str, str], path: str = "") -> dict[s
     return out
 
 
-def flatten(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, kind, value) for each leaf of JSON texts."""
-
-    def walk(path, x):
-        if isinstance(x, dict) and x:
-            for k in sorted(x):
-                yield from walk(f"{path}.{k}", x[k])
-        elif isinstance(x, list) and x:
-            for i, v in enumerate(x):
-                yield from walk(f"{path}[{i}]", v)
-        else:
-            yield path, type(x).__name__, canonical(x)
-
-    def run(frames):
-        for f in frames:
-            rows = [(k, *leaf) for k, t in zip(f[key], f[text]) for leaf in walk("$", json.loads(t))]
-            yield pd.DataFrame(rows, columns=[key, "path", "kind", "value"])
-
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, path string, kind string, value string")
-
-
 def projected_differences(public: DataFrame, full: DataFrame, key: str) -> DataFrame:
     """Leaves of the public record that the full one lacks or has otherwise; types count."""
     return public.join(full, [key, "path", "kind", "value"], "left_anti")
@@ -161,83 +138,5 @@ def in_order(start: Column, finish: Column) -> dict[str, Column]:
     return {"start": a.isNotNull(), "finish": b.isNotNull(), "order": a.isNull() | b.isNull() | (b >= a)}
 
 
-JSON_KINDS = {
-    "object": lambda x: isinstance(x, dict),
-    "array": lambda x: isinstance(x, list),
-    "string": lambda x: isinstance(x, str),
-    "boolean": lambda x: isinstance(x, bool),
-    "null": lambda x: x is None,
-    "integer": lambda x: isinstance(x, int) and not isinstance(x, bool),
-    "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < float("inf"),
-}
-
-
-def json_rules(schema: dict):
-    """A function (value, path) -> violations (path, rule), for values of any depth.
-
-    The schema is compiled once: rules of its own, and the functions of its properties and items.
-    """
-    own = []
-    if "const" in schema:
-        own.append(("const", lambda x: x == schema["const"]))
-    if "enum" in schema:
-        own.append(("enum", lambda x: x in schema["enum"]))
-    if "type" in schema:
-        kinds = [JSON_KINDS[k] for k in ([schema["type"]] if isinstance(schema["type"], str) else schema["type"])]
-        own.append(("type", lambda x: any(k(x) for k in kinds)))
-    if "minLength" in schema:
-        own.append(("minLength", lambda x: not isinstance(x, str) or len(x) >= schema["minLength"]))
-    if "pattern" in schema:
-        whole = re.compile(schema["pattern"])
-        own.append(("pattern", lambda x: not isinstance(x, str) or whole.fullmatch(x) is not None))
-    if "minimum" in schema:
-        number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
-        own.append(("minimum", lambda x: not number(x) or x >= schema["minimum"]))
-    if schema.get("uniqueItems"):
-        own.append(("uniqueItems", lambda x: not isinstance(x, list) or len({canonical(i) for i in x}) == len(x)))
-    inner = {k: json_rules(s) for k, s in schema.get("properties", {}).items()}
-    items = json_rules(schema["items"]) if "items" in schema else None
-    closed = schema.get("additionalProperties", True) is False
-
-    def check(x, path: str = "$"):
-        for rule, holds in own:
-            if not holds(x):
-                yield path, rule
-        if isinstance(x, dict):
-            for k in schema.get("required", ()):
-                if k not in x:
-                    yield f"{path}.{k}", "required"
-            for k, v in x.items():
-                if k in inner:
-                    yield from inner[k](v, f"{path}.{k}")
-                elif closed:
-                    yield f"{path}.{k}", "unknown"
-        elif isinstance(x, list) and items:
-            for i, v in enumerate(x):
-                yield from items(v, f"{path}[{i}]")
-
-    return check
-
-
-def json_violations(documents: DataFrame, key: str, text: str, schema: dict) -> DataFrame:
-    """(key, path, rule) for JSON texts against a nested schema; a text that isn't JSON breaks the rule 'json'."""
-
-    def run(frames):
-        check = json_rules(schema)
-        for f in frames:
-            rows = []
-            for k, t in zip(f[key], f[text]):
-                try:
-                    value = json.loads(t)
-                except (TypeError, ValueError):
-                    rows.append((k, "$", "json"))
-                    continue
-                rows += [(k, *v) for v in check(value)]
-            yield pd.DataFrame(rows, columns=[key, "path", "rule"])
-
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, path string, rule string")
-
-
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import bits, codes, records
+from .functions import bits, codes, records, variants
 from .functions.codes import C18, CHECKS_18, LADDER, LOGICALS_18
 from .operators import decode, gf2, score, temporal
 from .plans import dag, elimination, orders
@@ -910,7 +910,7 @@ def p23(spark, sf_dir):
     """Leaves of altered records that differ from the full ones."""
     e = table(spark, sf_dir, "events").select("event_id", "props")
     altered = e.withColumn("props", F.when(F.col("event_id") % 10 == 0, F.regexp_replace("props", r": (\d+)", ': "$1"')).otherwise(F.col("props")))
-    return records.projected_differences(records.flatten(altered, "event_id", "props"), records.flatten(e, "event_id", "props"), "event_id").select("event_id", "path")
+    return records.projected_differences(variants.leaves(altered, "event_id", "props"), variants.leaves(e, "event_id", "props"), "event_id").select("event_id", "path")
 
 
 @query("o01_canonical_order", f"WITH {decided('sum_product')} SELECT row_number() OVER (ORDER BY {bitstring('syn', 9)}) AS nth, {bitstring('syn', 9)} AS syndrome, {bitstring('correction', 18)} AS correction FROM de")

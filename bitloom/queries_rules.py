@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import records
+from .functions import records, variants
 from .functions.codes import CHECKS_18, LOGICALS_18
 from .operators import score
 
@@ -40,7 +40,7 @@ def p17_nested(spark, sf_dir):
     k = F.col("c_custkey")
     profile = F.struct(F.when(k % 19 != 0, F.col("c_nationkey")).alias("nation"), F.col("c_mktsegment").alias("segment"), F.when(k % 13 == 0, 1).alias("extra"))  # nulls are left out of the text
     text = F.to_json(F.struct(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 17 != 0, profile).alias("profile"), F.array(k % 3, k % 5, k % 7).alias("marks")))
-    return records.json_violations(table(spark, sf_dir, "customer").select("c_custkey", text.alias("document")), "c_custkey", "document", PROFILE_SCHEMA)
+    return variants.violations(table(spark, sf_dir, "customer").select("c_custkey", text.alias("document")), "c_custkey", "document", PROFILE_SCHEMA)
 
 
 @query("p18_unique_texts", "WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN [] WHEN c_custkey % 5 = 0 THEN [c_name, '  '] WHEN c_custkey % 4 = 0 THEN [c_name, c_mktsegment, c_name] ELSE [c_name, c_mktsegment] END AS x FROM customer) SELECT c_custkey, len(x) > 0 AND len(list_filter(x, lambda i: trim(i) = '')) = 0 AND len(list_distinct(x)) = len(x) AS valid FROM a")
