@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import own_folder
 from .operators import links, ranges, score, sets
-from .queries import query, table
+from .queries import SQL, query, table
+from .streaming import ordered
 
 # Chains by digest
 
@@ -237,3 +239,19 @@ def v03_inclusion(spark, sf_dir):
     d = digests(spark, sf_dir)
     proofs = ranges.inclusion(ranges.tree(d, "doc_id", "sha256", FAN), d, "doc_id", "sha256", d.where("doc_id % 50 = 3"), FAN)
     return proofs.select("doc_id", "level", "place", F.sha2(F.concat_ws(",", "siblings"), 256).alias("proves"))
+
+
+# 2.11: histories on a stream
+
+
+@query("w06_stream", SQL["w06_running_xor"])
+def w06_stream(spark, sf_dir):
+    """The running XOR of conversations that come as a stream, their turns dealt to files out of order and read one file a batch."""
+    folder = own_folder(spark, "stream")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("history"), F.col("turn").alias("t"), F.length("text").cast("long").alias("f"))
+    c.repartition(4, F.xxhash64("t", "history")).write.parquet(f"{folder}/in")
+    with ordered.state_store(spark):
+        s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        out = ordered.running_xor(s).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("history").alias("conv_id"), F.col("t").alias("turn"), "total", "change")
