@@ -156,3 +156,30 @@ def test_one_key_over_many_tasks(spark):
             spark.conf.set(k, v)
     assert sorted(r["vec_id"] for r in got) == [i for i, _ in rows]
     assert {(r["n_links"], r["component_id"], r["kept"] == (r["vec_id"] == 1)) for r in got} == {(299, 1, True)}
+
+
+def test_a_copy_is_a_byte_a_component():
+    rng = np.random.default_rng(4)
+    x, ids = rng.standard_normal((5, 64)), np.arange(5) * 7
+    packed = neighbours.pack(x, ids)
+    assert {len(p) for p in packed} == {64 + 24} and 64 + 24 <= x[0].nbytes / 4
+    (t,) = neighbours.tiles(np.arange(5), packed).values()
+    assert t.ids.tolist() == ids.tolist() and (np.sqrt(((x - t.q * t.scale[:, None]) ** 2).sum(axis=1)) <= t.left).all()
+
+
+def test_pairs_are_thinned_and_sent_on():
+    """However few pairs a task may hold, what it sends on holds each query's nearest."""
+    rng = np.random.default_rng(5)
+    x, ids = rng.standard_normal((400, 8)), np.arange(400)
+    t = neighbours.Tile(ids, neighbours.pack(x, ids))
+    q = neighbours.Tile(ids[:20], neighbours.pack(x[:20], ids[:20]))
+    for most in (0, 50, 10**6):
+        search, sent = neighbours.Search(q, 3), []
+        for i in range(0, 400, 40):
+            search.add(neighbours.Tile(ids[i : i + 40], neighbours.pack(x[i : i + 40], ids[i : i + 40])))
+            sent += [search.thin(most)]
+        pairs = {(i, j) for s in (*sent, search.left()) if s for i, j in zip(s[0].tolist(), s[1].tolist())}
+        for i in range(20):
+            d = np.linalg.norm(x - x[i], axis=1)
+            assert {(i, int(j)) for j in np.argsort(d)[1:4]} <= pairs
+    assert len(search.pairs) == 0
