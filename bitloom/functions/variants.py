@@ -121,3 +121,11 @@ def leaves(documents: DataFrame, key: str, text: str) -> DataFrame:
         child = F.when(F.col("name").isNotNull(), F.concat("path", F.lit("."), "name")).otherwise(F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         opened = inner.sparkSession.sql("SELECT d.key, d.path, x.pos, x.key AS name, x.value AS v FROM {d} AS d, LATERAL variant_explode(d.v) AS x", d=inner)
         level = opened.select("key", child.alias("path"), "v")
+
+
+def canonical(text: Column) -> Column:
+    """A JSON text with members sorted, no spaces, and numbers without needless digits; null where it is no JSON.
+
+    Letters stay as they are (UTF-8), so for ASCII texts with whole numbers this is the canonical form of ``records.canonical``.
+    """
+    return F.to_json(F.try_parse_json(text))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import own_folder
 from .functions import records, variants
 from .functions.codes import CHECKS_18, LOGICALS_18
 from .operators import score
@@ -314,6 +315,42 @@ def v08(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "props").mapInPandas(run, "idx long, value string")
 
 
+@query(
+    "v08_canonical_events",
+    """SELECT event_id AS idx, sha256('{"a":{"x":[' || user_id || ',{"k":null}],"y":true},"event":"' || event_type || '","z":' || event_id || '}') AS value FROM events""",
+)
+def v08_canonical(spark, sf_dir):
+    """Events as JSON with members in other orders and spaces between, by the digest of their canonical form; no Python."""
+    k, spelled = F.col("event_id").cast("string"), F.concat
+    one = spelled(F.lit('{ "z": '), k, F.lit(', "event": "'), "event_type", F.lit('", "a": {"y": true, "x": ['), F.col("user_id").cast("string"), F.lit(', {"k": null}]}}'))
+    two = spelled(F.lit('{"a":{"x":['), F.col("user_id").cast("string"), F.lit(',{"k" :null} ],"y":true},"z":'), k, F.lit(',"event":"'), "event_type", F.lit('"}'))
+    text = F.when(F.col("event_id") % 2 == 0, one).otherwise(two)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.sha2(variants.canonical(text), 256).alias("value"))
+
+
+@query(
+    "v07_shard_files",
+    """WITH e AS (SELECT o_orderkey % 64 AS shard, o_orderkey FROM orders), c AS (SELECT * FROM e WHERE shard <> 5 AND NOT o_orderkey % 128 = 12 UNION ALL SELECT * FROM e WHERE shard = 9)
+SELECT shard, 'missing' AS problem FROM e GROUP BY shard HAVING shard NOT IN (SELECT shard FROM c) UNION ALL
+SELECT shard, 'incomplete' FROM (SELECT shard, count(*) AS n FROM e GROUP BY shard) JOIN (SELECT shard, count(DISTINCT o_orderkey) AS m FROM c GROUP BY shard) USING (shard) WHERE m < n UNION ALL SELECT shard, 'repeated' FROM c GROUP BY shard HAVING count(*) > count(DISTINCT o_orderkey)""",
+)
+def v07_files(spark, sf_dir):
+    """Shards as folders of JSON files against their manifest, both written by tasks: one is missing, one lacks rows, one came twice."""
+    root = own_folder(spark, "shards")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 64).alias("shard"))
+    o.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("o_orderkey", "o_totalprice")).alias("mark")).write.parquet(f"{root}/manifest")
+    came = o.where("shard <> 5 and not o_orderkey % 128 = 12")
+    came.unionByName(o.where("shard = 9")).write.partitionBy("shard").json(f"{root}/shards")
+    read = spark.read.schema("o_orderkey long, o_totalprice double, shard long").json(f"{root}/shards")
+    rows = read.groupBy("shard", "o_orderkey", "o_totalprice").agg(F.count("*").alias("times"))  # before marks: a row that came twice would cancel
+    found = rows.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("o_orderkey", "o_totalprice")).alias("mark"), F.max("times").alias("times"))
+    told = spark.read.schema("shard long, n long, mark long").parquet(f"{root}/manifest")
+    absent = score.coverage(told, found, "shard")
+    both = told.select("shard", F.struct("n", "mark").alias("told")).join(found, "shard")
+    less = both.where(F.struct("n", "mark") != F.col("told")).select("shard", F.lit("incomplete").alias("problem"))
+    return absent.unionByName(less).unionByName(both.where("times > 1").select("shard", F.lit("repeated").alias("problem")))
+
+
 JOBS_SQL = """jb AS (SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'GPU' WHEN '2' THEN 'TPU' WHEN '3' THEN 'FPGA' ELSE 'CPU' END AS variant, CASE WHEN o_orderkey % 3 = 0 THEN 'T4' WHEN o_orderkey % 3 = 1 THEN 'V5E1' ELSE NULL END AS accelerator,
   o_orderkey % 47 = 3 AS authorized, CASE WHEN o_orderkey % 53 = 4 THEN 'unknown' WHEN o_orderkey % 5 = 0 THEN 'exact_candidate' ELSE 'probe' END AS workload, o_orderstatus <> 'F' AS enabled FROM orders),
 pr AS (SELECT o_orderkey, 'variant' AS rule FROM jb WHERE variant = 'FPGA' UNION ALL SELECT o_orderkey, 'accelerator' FROM jb WHERE (variant = 'CPU' AND accelerator IS NOT NULL) OR (variant = 'GPU' AND coalesce(accelerator, '') <> 'T4') OR (variant = 'TPU' AND coalesce(accelerator, '') <> 'V5E1')

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.functions import variants
 from bitloom.functions.records import canonical
@@ -135,3 +136,15 @@ def test_leaves(spark):
     got = sorted(tuple(r) for r in variants.leaves(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").collect())
     assert [r for r in got if r[0] == 0] == [(0, "$.a", "null", "null"), (0, "$.b.x[0]", "integer", "1"), (0, "$.b.x[1]", "array", "[]"), (0, "$.b.x[2]", "object", "{}"), (0, "$.b.x[3]", "string", '"é"')]
     assert got[5:] == [(1, "$", "integer", "7"), (2, "$", "invalid", None), (3, "$", "invalid", None), (4, "$[0][0]", "boolean", "true")]
+
+
+def test_canonical_form(spark):
+    rng = random.Random(3)
+
+    def value(depth):
+        return rng.choice([None, True, 5, -17, "a b", ""]) if not depth or rng.random() < 0.4 else ({rng.choice("zyxabc"): value(depth - 1) for _ in range(3)} if rng.random() < 0.6 else [value(depth - 1) for _ in range(rng.randint(0, 3))])
+
+    values = [value(4) for _ in range(60)]
+    texts = [json.dumps(v, indent=rng.choice([None, 1])) for v in values] + ["{", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", variants.canonical(F.col("t")).alias("c"))
+    assert [r["c"] for r in df.orderBy("i").collect()] == [canonical(v) for v in values] + [None, None]
