@@ -363,7 +363,7 @@ WORDS = re.compile(r"[^ \t-\r]+")
 
 
 class Words:
-    """Words of a stretch of a text, made when asked for."""
+    """Words of a stretch of a text, made when asked for; iteration gives their places."""
 
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
@@ -371,6 +371,9 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def __iter__(self):
+        return zip(self.starts.tolist(), self.ends.tolist())
+
     def __getitem__(self, part: slice) -> list[str]:
         return [self.text[a:b] for a, b in zip(self.starts[part].tolist(), self.ends[part].tolist())]
 
