@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 #: Blocks that are coded in step, and ids in a block; counts of leaves must fit 16 bits (STEP * BLOCK + 256 < 2**16).
-LANES, BLOCK, STEP = 1024, 4096, 14
+LANES, BLOCK, STEP = 512, 4096, 14
 SLOTS = 1 << 14
 RATE, UNIT = 6, 64
 TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 40)
@@ -38,6 +38,17 @@ class Damaged(ValueError):
     """A block that isn't what was written."""
 
 
+def ones(flags: np.ndarray) -> np.ndarray:
+    """The number of true ones in each row of 16."""
+    halves = np.ascontiguousarray(flags).view(np.uint64) * np.uint64(0x0101010101010101) >> np.uint64(56)
+    return (halves[:, 0] + halves[:, 1]).astype(np.int64)
+
+
+def whole(rows: np.ndarray) -> np.ndarray:
+    """Rows as single items, which numpy moves faster."""
+    return rows.view(f"V{rows.shape[1] * rows.itemsize}")[:, 0]
+
+
 class Counts:
     """Order 0: exclusive cumulative counts of children, a row of 16 (17 at the leaves) for each node of the tree."""
 
@@ -60,6 +71,7 @@ class Counts:
             level[:] = rows
         self.flat = [level.reshape(-1, level.shape[2]) for level in self.levels]
         self.line = [level.reshape(-1) for level in self.levels]
+        self.items = [whole(flat) for flat in self.flat]
         self.base = [np.arange(len(level)) * level.shape[1] for level in self.levels]
 
     def interval(self, ids: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
@@ -79,7 +91,7 @@ class Counts:
         left, way, node = value.copy(), [], 0
         for base, flat, line in zip(self.base, self.flat, self.line):
             row = base[lane] + node
-            child = np.count_nonzero(flat.take(row, axis=0)[:, 1:16] <= left.astype(flat.dtype)[:, None], axis=1)
+            child = ones(flat.take(row, axis=0)[:, :16] <= left.astype(flat.dtype)[:, None]) - 1
             at = row * flat.shape[1] + child
             here = line.take(at)
             left -= here
@@ -88,10 +100,10 @@ class Counts:
         return node, value - left, line.take(at + 1).astype(np.int64) - here, way
 
     def add(self, way) -> None:
-        for flat, grow, (row, child) in zip(self.flat, self.grow, way):
+        for flat, items, grow, (row, child) in zip(self.flat, self.items, self.grow, way):
             rows = flat.take(row, axis=0)
             rows += grow.take(child, axis=0)
-            flat[row] = rows
+            items[row] = whole(rows)
 
 
 class Models:
@@ -101,6 +113,7 @@ class Models:
         self.counts = Counts(vocabulary, lanes)
         self.named = [np.empty(lanes * SLOTS, np.uint32) for _ in range(2)]  # id * 8 + confidence
         self.odds = np.empty((lanes * 128, 3), np.int32)  # order 2 right, order 1 right, none right
+        self.places = whole(self.odds)
         self.lane = np.arange(lanes)
         self.place, self.table = self.lane * SLOTS, self.lane * 128
 
@@ -155,7 +168,7 @@ class Models:
         seen[:, 0] += UNIT * self.right2
         seen[:, 1] += UNIT * self.right1
         seen[self.other, 2] += UNIT
-        self.odds[self.key] = seen
+        self.places[self.key] = whole(seen)
         for n, slot, name, sure in zip(self.named, self.slot, (self.n1, self.n2), (self.c1, self.c2)):
             sure = np.where(name == ids, np.minimum(sure + 1, 7), sure >> 1)
             n[slot] = np.where(sure == 0, ids * 8 + 1, name * 8 + sure)

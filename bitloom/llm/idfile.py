@@ -8,7 +8,7 @@
    bytes.  Any block can be decoded by itself; a damaged one is named by part and number.
 3. Records are the rows (part, block, record) of Parquet files, written by Spark's writer and so committed by task: a lost
    executor's parts are made again, with the same bytes.
-4. Reading deals whole parts to tasks, in order of blocks, and decodes up to 1024 blocks at once, so that memory is bounded by
+4. Reading deals whole parts to tasks, in order of blocks, and decodes up to 512 blocks at once, so that memory is bounded by
    these and by one document.  Ids before a part are a prefix sum over parts, in two steps.
 
 Edge cases: null or empty text is the end id alone; null ids come first, and rows without one are read back with a null id;
@@ -34,38 +34,52 @@ END = 1
 #: Lower-cased words are looked up one by one where a text has only these characters, for which normal form, case and the split
 #: into words are the same as in the library (tested); other texts go to the library whole.
 PLAIN = r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]*"
-#: How the vocabulary's file splits lower-cased text into words (a fixed value).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How the vocabulary's file splits lower-cased text into words: these, letters, single digits, runs of other signs (fixed values).
+ENDINGS = r"'s|'t|'re|'ve|'m|'ll|'d"
 BLOCKS = "part int, block int, record binary"
 
 
 class WordTokeniser(dict):
-    """ids of a text by the given file; ids of words are kept in a bounded cache."""
+    """ids of a text by the given file; ids of words are kept in a bounded cache, and new ones are looked up together."""
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         import os
+        import re
+        import unicodedata
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain, self.words = regex.compile(PLAIN), regex.compile(WORDS)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        self.plain = re.compile(PLAIN)
+        near = sorted({x for c in range(0x2030) if self.plain.fullmatch(chr(c)) for x in chr(c).lower()})
+        of = lambda kind: "".join(re.escape(c) for c in near if unicodedata.category(c)[0] == kind)
+        self.words = re.compile(f"{ENDINGS}|[{of('L')}]+|[{of('N')}]|[^\\s{of('L')}{of('N')}]+")
+
+    def learn(self, words: list[str]) -> None:
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1])).tolist() if len(word) else []
+        if len(starts) == len(words):
+            self.update(zip(words, (ids[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(ids)]))))
+        else:  # a word that the library splits otherwise
+            self.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
 
     def ids(self, text: str) -> np.ndarray:
         if self.plain.fullmatch(text) and not any(s in text for s in self.special):
-            return np.frombuffer(b"".join(map(self.__getitem__, self.words.findall(text.lower()))), "<u4")
+            words = self.words.findall(text.lower())
+            new = [w for w in dict.fromkeys(words) if w not in self]
+            if new:
+                if len(self) + len(new) > self.LIMIT:
+                    self.clear()
+                    new = list(dict.fromkeys(words))
+                self.learn(new)
+            return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
