@@ -189,7 +189,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, is_training, sample: int = 6000, least_odds: float = 3.0) -> tuple[dict, dict, np.ndarray]:
-    labelled = labels.where(F.col("toxic").isin(0, 1) & is_training)  # others say nothing.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    # other labels say nothing
+    labelled = labels.where(F.col("toxic").isin(0, 1) & is_training).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, 2 * sample / max(1, size.get(0, 0))))
     labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
