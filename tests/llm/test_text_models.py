@@ -392,6 +392,83 @@ def test_scores_by_brute_force(spark, odd, odd_rows, bits, places, monkeypatch):
     assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-9)
 
 
+class PlainWhole(Plain):
+    """The state of a model in which every word is a context of its own; contexts by word, None for first words."""
+
+    def __init__(self, m, train):
+        self.n, self.tables, self.samples = Counter(), [{} for _ in m.samples], m.samples
+        names = {xxhash.xxh3_64_intdigest(w): w for w in train}
+        words = [None, *(names[h] for h in m.words.tolist())]
+        codes = {h | 1 << 63: w for h, w in names.items()}
+        for row in m.table.collect():
+            keys, word, context, n = hpylm.entries(row.asDict(), m.places)
+            others = hpylm.scale(row["others"]).tolist() if row["others"] else []
+            for i in range(len(n)):
+                w = words[int(word[i])] if m.places.numbers(row["place"]) else names[int(keys[word[i]])]
+                k = int(context[i])
+                u = words[k] if k < m.places.size else codes[others[k - m.places.size]]
+                assert (u, w) not in self.n
+                self.n[u, w] = int(n[i])
+                for t, column in zip(self.tables, row["tables"]):
+                    t[u, w] = int(hpylm.expand(column)[i])
+        self.parents = [Counter() for _ in self.tables]
+        for t, parent in zip(self.tables, self.parents):
+            for (_, w), k in t.items():
+                parent[w] += k
+
+
+@pytest.mark.parametrize(("bits", "places"), [(20, 16), (3, 16), (3, 4), (2, 2)])
+def test_every_word_is_a_context(spark, odd, odd_rows, bits, places, monkeypatch):
+    """As op6 scores: words outside the dictionary are contexts of their own as well, whatever the dictionary's size and the places."""
+    monkeypatch.setattr(hpylm, "FREQUENT_BITS", bits)
+    monkeypatch.setattr(hpylm, "PLACE_BITS", places)
+    rows = [r for r in odd_rows if r[0] is None or r[0] < 30 or r[0] > 98]
+    docs = odd.where("doc_id is null or doc_id < 30 or doc_id > 98")
+    train, pairs = Counter(), Counter()
+    for r in rows:
+        if crc(r[0]) % 5 != 1:
+            before = None
+            for w in tokens(r[1]):
+                train[w] += 1
+                pairs[before, w] += 1
+                before = w
+    m = hpylm.train(hpylm.Workspace(spark, "whole"), docs.where(~training(1, 5)).select("text"), pooled=False)
+    assert len(m.words) < len(train)
+    plain = PlainWhole(m, train)
+    assert plain.n == pairs
+    known = {}
+
+    def p(w, u):
+        if (w, u) not in known:
+            known[w, u] = plain.p(w, u)
+        return known[w, u]
+
+    for s, t, parent in zip(m.samples, plain.tables, plain.parents):
+        assert all(1 <= t[x] <= n for x, n in pairs.items())
+        assert s.words == sum(parent.values()) and s.dishes == len(parent) == len(train)
+    for u in [*{u for u, _ in pairs}][:40]:
+        assert sum(p(w, u) for w in train) + p(None, u) == pytest.approx(1, abs=1e-9)
+    want = []
+    for r in rows:
+        total, before = 0.0, None
+        for w in tokens(r[1]):
+            total += math.log10(p(w if w in train else None, before))
+            before = w
+        want.append((str(r[0]), total))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in hpylm.score(docs, ~training(1, 5), pooled=False).collect())
+    assert [x for x, _ in got] == [x for x, _ in sorted(want)]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-9)
+
+
+def test_rare_words_are_contexts(spark, monkeypatch):
+    """What follows a rare word is told by that word, in op6 as well."""
+    monkeypatch.setattr(hpylm, "FREQUENT_BITS", 3)
+    line = " ".join(f"rare{i} after{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, line, True) for i in range(8)] + [(100, "rare7 after7", False), (101, "rare7 after8", False)], "doc_id long, text string, t boolean")
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(docs, F.col("t"), pooled=False).where("held_out").collect()}
+    assert got[100] - got[101] > 0.3
+
+
 def test_scores_dont_depend_on_partitions(odd, monkeypatch):
     monkeypatch.setattr(hpylm, "PLACE_BITS", 6)
     one, many = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in hpylm.score(x, ~training(1, 5)).collect()} for x in (odd.coalesce(1), odd.repartition(7)))
