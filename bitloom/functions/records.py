@@ -119,7 +119,8 @@ def schema_rules(schema: dict, fields: dict[str, str], path: str = "") -> dict[s
 
 def projected_differences(public: DataFrame, full: DataFrame, key: str) -> DataFrame:
     """Leaves of the public record that the full one lacks or has otherwise; types count."""
-    return public.join(full, [key, "path", "kind", "value"], "left_anti")
+    # by merging sorted rows: files of leaves are far smaller than their rows, so by their size the full records would be broadcast
+    return public.hint("merge").join(full.hint("merge"), [key, "path", "kind", "value"], "left_anti")
 
 
 def non_empty(x: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bitloom.functions import variants
+from bitloom.functions import records, variants
 from bitloom.functions.records import canonical
 
 JSON_KINDS = {
@@ -148,3 +148,12 @@ def test_canonical_form(spark):
     texts = [json.dumps(v, indent=rng.choice([None, 1])) for v in values] + ["{", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", variants.canonical(F.col("t")).alias("c"))
     assert [r["c"] for r in df.orderBy("i").collect()] == [canonical(v) for v in values] + [None, None]
+
+
+def test_full_records_are_not_broadcast(spark):
+    """By the size of its files a table of leaves looks small, whatever its rows need in memory."""
+    full = variants.leaves(spark.createDataFrame([(i, f'{{"a": {i}}}') for i in range(50)], "k int, t string"), "k", "t")
+    public = variants.leaves(spark.createDataFrame([(i, f'{{"a": {i + (i % 10 == 0)}}}') for i in range(50)], "k int, t string"), "k", "t")
+    out = records.projected_differences(public, full, "k")
+    assert sorted(r["k"] for r in out.collect()) == [0, 10, 20, 30, 40]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
