@@ -7,6 +7,7 @@ without a fraction is an integer, however it is written.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..stage import Stage
 
+TASKS_A_CORE = 3
 FOUND = "array<struct<path: string, rule: string>>"
 
 
@@ -26,12 +28,21 @@ def _list(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
+def _bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """null, boolean, integer, number, string, array or object."""
-    s = F.schema_of_variant(v)
-    whole = (s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$")
-    k = F.when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(whole, "integer")
-    return k.when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
+
+    def name(s: Column) -> Column:
+        whole = (s == "BIGINT") | (s.startswith("DECIMAL") & s.endswith(",0)"))
+        k = F.when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(whole, "integer")
+        number = s.startswith("DECIMAL") | s.startswith("DOUBLE") | s.startswith("FLOAT")
+        return k.when(number, "number").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
+
+    return _bind(F.schema_of_variant(v), name)
 
 
 def _equals(v: Column, k: Column, value) -> Column:
@@ -56,9 +67,14 @@ def broken(v: Column, schema: dict, path: Column) -> Column:
     """(path, rule) of each rule of a nested schema that a variant breaks.
 
     Kinds of rules: const, enum, type, minLength, pattern (of the whole text), minimum, uniqueItems, required, unknown members where
-    additionalProperties is false, and those of properties and items, at any depth of the schema.
+    additionalProperties is false, and those of properties and items, at any depth of the schema.  Each value is taken out, cast and
+    named its kind once, so the work grows with the schema, not with its depth times its rules.
     """
-    k, rules = kind(v), []
+    return _bind(v, lambda v: _bind(F.struct(v.alias("v"), kind(v).alias("kind"), _map(v).alias("members")), lambda n: _broken(n, schema, path)))
+
+
+def _broken(n: Column, schema: dict, path: Column) -> Column:
+    v, k, members, rules = n["v"], n["kind"], n["members"], []
     any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
     if "const" in schema:
         rules.append(("const", _equals(v, k, schema["const"])))
@@ -78,7 +94,6 @@ def broken(v: Column, schema: dict, path: Column) -> Column:
     said = lambda at, rule: F.struct(at.alias("path"), F.lit(rule).alias("rule"))
     none = F.array().cast(FOUND)
     parts = [F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), said(path, rule)) for rule, ok in rules)))] if rules else []
-    members = _map(v)
     names = F.map_keys(members)
     inside = lambda name: F.concat(path, F.lit(f".{name}"))
     if schema.get("required"):
@@ -95,8 +110,8 @@ def broken(v: Column, schema: dict, path: Column) -> Column:
 
 def violations(documents: DataFrame, key: str, text: str, schema: dict) -> DataFrame:
     """(key, path, rule) for JSON texts against a nested schema; a text that isn't JSON breaks the rule 'json'."""
-    v = F.try_parse_json(F.col(text))
-    parsed = documents.select(key, v.alias("__v"))
+    tasks = TASKS_A_CORE * documents.sparkSession.sparkContext.defaultParallelism  # small files, but much work a row
+    parsed = documents.select(key, text).repartition(tasks).select(key, F.try_parse_json(F.col(text)).alias("__v"))
     found = F.when(F.col("__v").isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("rule"))).cast(FOUND))
     found = found.otherwise(broken(F.col("__v"), schema, F.lit("$")))
     return parsed.select(key, F.explode(found).alias("__x")).select(key, "__x.path", "__x.rule")

@@ -157,3 +157,11 @@ def test_full_records_are_not_broadcast(spark):
     out = records.projected_differences(public, full, "k")
     assert sorted(r["k"] for r in out.collect()) == [0, 10, 20, 30, 40]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_file_is_many_tasks_and_values_are_opened_once(spark):
+    out = variants.violations(spark.createDataFrame([(i, "{}") for i in range(99)], "k int, t string").coalesce(1), "k", "t", SCHEMA)
+    assert out.rdd.getNumPartitions() > 1
+    assert out.count() == 99
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant(") <= 11  # values that the schema names, at any depth
