@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "history long, t long, total long, change long"
+COLUMNS = ["history", "t", "total", "change"]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -28,7 +29,10 @@ def state_store(spark: SparkSession):
 
 
 class Running(StatefulProcessor):
-    """State of a history: the next place and the XOR so far, and rows that wait, by place.
+    """State of a history: the next place, the XOR so far and how many rows wait, and rows that wait, by place.
+
+    Each question to the state is a message to the JVM, so none is asked about waiting rows where none waits, and a batch of a
+    history reads and writes what it has done so far once.
 
     * A row whose place is the next goes out with the XOR up to it, and so do the ones that waited for it.
     * A row of a later place waits in state, one entry a row, however far ahead it is.
@@ -41,53 +45,60 @@ class Running(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", "next long, total long")
+        self.done = handle.getValueState("done", "next long, total long, waiting long")
         self.waits = handle.getMapState("waits", "t long", "f long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_, total = self.done.get() if self.done.exists() else (0, 0)
+        next_, total, waiting = self.done.get() or (0, 0, 0)
+        before = (next_, total, waiting)
         new: dict[int, int] = {}
         for frame in rows:
             for t, f in zip(frame["t"].tolist(), frame["f"].tolist()):
-                if t >= next_ and t not in new and not self.waits.containsKey((t,)):
+                if t >= next_ and t not in new and not (waiting and self.waits.containsKey((t,))):
                     new[t] = int(f)
+        out = []
         for t in sorted(new):
             if t != next_:
-                self.waits.updateValue((t,), (new[t],))
+                if t > next_:
+                    self.waits.updateValue((t,), (new[t],))
+                    waiting += 1
                 continue
-            out, next_, total = self._go(key, next_, total, new[t])
-            yield out
+            next_, total, waiting = self._go(key, next_, total, waiting, new[t], out, new)
+        if (next_, total, waiting) != before:
+            self.done.update((next_, total, waiting))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
         if self.patience is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if self._any_waits():
+            if waiting:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
-    def _any_waits(self) -> bool:
-        return next(iter(self.waits.keys()), None) is not None
-
-    def _go(self, key, t: int, total: int, f: int) -> tuple[pd.DataFrame, int, int]:
-        """The row of place t and those that waited for it; the place after them, and the XOR."""
-        rows = []
+    def _go(self, key, t: int, total: int, waiting: int, f: int, out: list, new: dict[int, int]) -> tuple[int, int, int]:
+        """Adds the row of place t and those that follow it, new or waiting, to ``out``; the place after them, the XOR and how many wait."""
         while True:
-            rows.append((key[0], t, total ^ f, f))  # the change is the row's own value
+            out.append((key[0], t, total ^ f, f))  # the change is the row's own value
             total, t = total ^ f, t + 1
-            if not self.waits.containsKey((t,)):
-                break
-            f = int(self.waits.getValue((t,))[0])
-            self.waits.removeKey((t,))
-        self.done.update((t, total))
-        return pd.DataFrame(rows, columns=["history", "t", "total", "change"]), t, total
+            if t in new:
+                f = new[t]
+            elif waiting and self.waits.containsKey((t,)):
+                f = int(self.waits.getValue((t,))[0])
+                self.waits.removeKey((t,))
+                waiting -= 1
+            else:
+                return t, total, waiting
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, total = self.done.get() if self.done.exists() else (0, 0)
-        least = min((t for (t,) in self.waits.keys()), default=None)
-        if least is not None:
+        _, total, _ = self.done.get() or (0, 0, 0)
+        places = [t for (t,) in self.waits.keys()]
+        if places:
+            least, out = min(places), []
             f = int(self.waits.getValue((least,))[0])
             self.waits.removeKey((least,))
-            out, _, _ = self._go(key, least, total, f)
-            yield out
-            if self._any_waits():
+            state = self._go(key, least, total, len(places) - 1, f, out, {})
+            self.done.update(state)
+            yield pd.DataFrame(out, columns=COLUMNS)
+            if state[2]:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
     def close(self) -> None:

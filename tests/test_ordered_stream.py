@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import bitloom
@@ -79,3 +80,34 @@ def test_patience_ends_the_wait_for_a_gap(spark, tmp_path):
             q.stop()
     assert got(spark, tmp_path) == [(1, 0, 3, 3), (1, 2, 7, 4), (1, 3, 15, 8), (2, 5, 1, 1)]
     assert spark.read.schema(ordered.OUT).parquet(f"{tmp_path}/out").where(F.col("history") == 2).count() == 1
+
+
+class Asked:
+    """A state in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "updateValue": lambda k, v: self.map.update({k: v}), "removeKey": lambda k: self.map.pop(k),
+        }[name]
+
+
+def test_state_is_asked_little_where_nothing_waits():
+    state, run = Asked(), ordered.Running()
+    run.init(state)
+    rows = pd.DataFrame({"t": range(100), "f": range(100)})
+    out = list(run.handleInputRows((1,), iter([rows]), None))
+    assert len(out) == 1 and list(out[0]["t"]) == list(range(100)) and state.calls == 2
+    out = list(run.handleInputRows((1,), iter([pd.DataFrame({"t": [101, 103], "f": [5, 6]})]), None))
+    assert not out and state.value[2] == 2
+    out = list(run.handleInputRows((1,), iter([pd.DataFrame({"t": [100, 101, 102], "f": [1, 9, 2]})]), None))
+    assert list(out[0]["change"]) == [1, 5, 2, 6] and state.value[0] == 104 and state.value[2] == 0 and not state.map
