@@ -60,6 +60,8 @@ THETA = (10.0, 10.0)
 FLUSH = 1_200_000
 BLOCK_BITS = 12
 PLACE_BITS = 16
+#: Bytes of numbers that are worth packing.
+PACKED_FROM = 128
 #: Contexts outside the dictionary are named by this bit and the other 63 of the word's hash.
 RARE = U64(1 << 63)
 
@@ -84,17 +86,23 @@ def seat(c: np.ndarray, alpha: np.ndarray, d: float, rng, most_exact: int = 24)
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 on as byte planes, as many as the largest needs."""
+    """Whole numbers from 0 on as byte planes, as many as the largest needs, by zstd where that is smaller (shuffles compress by matches alone)."""
     x = np.ascontiguousarray(x).astype("<u8", copy=False)
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    if len(planes) >= PACKED_FROM:
+        packed = pa.compress(planes, "zstd", asbytes=True)
+        if len(packed) < len(planes):
+            return len(x).to_bytes(7, "little") + bytes([width]) + packed
+    return len(x).to_bytes(8, "little") + planes
 
 
 def expand(blob: bytes) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "little")
+    size, packed = int.from_bytes(blob[:7], "little"), blob[7]  # planes, if packed
     out = np.zeros((size, 8), np.uint8)
     if len(blob) > 8:
-        planes = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, size)
+        rest = pa.decompress(blob[8:], packed * size, "zstd") if packed else blob[8:]
+        planes = np.frombuffer(rest, np.uint8).reshape(-1, size)
         out[:, : len(planes)] = planes.T
     return out.view("<u8").ravel()
 
@@ -148,14 +156,20 @@ class Tokens(dict):
                 self.number[n:end] = np.where(self.words[i] == new, i + 1, 0)
         return at
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, numbers and contexts of all tokens of the texts, each text closed by END; and tokens of each text."""
+    @staticmethod
+    def split(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """All tokens, and where each text's end."""
         words: list[bytes] = []
         ends = []
         for text in texts:
             words += text.translate(TO_LOWER).split()
             words.append(END)
             ends.append(len(words))
+        return words, ends
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, numbers and contexts of all tokens of the texts, each text closed by END; and tokens of each text."""
+        words, ends = self.split(texts)
         at = self.look(words)
         h, number = self.hash[at], self.number[at]
         code = number.astype(U64)
@@ -205,20 +219,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """text -> (h, n): training tokens of each word, END among them."""
 
     def run(batches):
-        tokens, held, size = Tokens(), [], 0
+        tokens, n = Tokens(), np.zeros(0, np.int64)  # n: by place in the cache
 
         def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            seen = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.hash[seen].view(np.int64)), pa.array(n[seen])], ["h", "n"])
 
         for b in small(batches, 0):
-            h = tokens.read(text_bytes(b.column(0)))[0]
-            held.append(h)
-            size += len(h)
-            if size >= FLUSH:
+            if len(tokens) > tokens.LIMIT:  # it is about to be cleared
                 yield flush()
-                held, size = [], 0
-        if size:
+                n = np.zeros(0, np.int64)
+            at = tokens.look(tokens.split(text_bytes(b.column(0)))[0])
+            new = np.bincount(at, minlength=len(tokens))
+            new[: len(n)] += n
+            n = new
+        if len(n):
             yield flush()
 
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))

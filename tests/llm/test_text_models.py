@@ -13,6 +13,8 @@ from bitloom.llm import hpylm, langid, pii, toxicity
 from bitloom.llm.common import training
 from bitloom.llm.minhash import TO_LOWER
 
+from .conftest import table
+
 
 def crc(i):
     return zlib.crc32(str(i).encode() if i is not None else b"")
@@ -489,6 +491,20 @@ def test_packed_numbers():
         assert (hpylm.scale(hpylm.climb(np.sort(x))) == np.sort(x)).all()
 
 
+def test_numbers_cost_their_entropy():
+    few = np.random.default_rng(4).geometric(0.5, 100_000)  # two bits each, as counts of pairs
+    packed = hpylm.squeeze(few)
+    assert len(packed) < 40_000 and (hpylm.expand(packed) == few).all()
+
+
+def test_words_are_counted_past_the_cache(spark, monkeypatch):
+    monkeypatch.setattr(hpylm.Tokens, "LIMIT", 5)
+    texts = [f"w{i % 7} w{i % 3} same" for i in range(60)] + [None, ""]
+    want = Counter(xxhash.xxh3_64_intdigest(w) for t in texts for w in [*(t or "").encode().split(), hpylm.END])
+    got = hpylm.word_counts(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).select("text"))
+    assert {r["h"] % 2**64: r["n"] for r in got.collect()} == want
+
+
 def test_seating():
     rng = np.random.default_rng(3)
     c = np.array([0, 1, 5, 5000])
