@@ -1,19 +1,20 @@
-"""Adaptive context-mixing range coder for blocks of token ids, many blocks in step.
+"""Context-mixing range coder for blocks of token ids, many blocks in step.
 
 Three models predict the next id, all reset at the start of a block:
 
-* order 0 counts ids: cumulative counts in a tree of radix 16, one for each id of the vocabulary to begin with;
-* order 1 and order 2 name the id that last proved right after the id, or the two ids, before (hashed to slots), with a
-  confidence of 0 to 7.
+* order 0 counts ids, each of the vocabulary once to begin with and STEP more for each time that no other model named it;
+* order 1 and order 2 name an id that came after the id, or the two ids, before (hashed to slots), with a confidence of 0 to 3.
 
-They are mixed in whole numbers.  The number line of a step holds, one after the other, the id that order 2 names, the one
-that order 1 names, and all ids by their counts, with T their total; a named id's share is T * hit / miss, where hit and miss
-are running frequencies, in units of 64, of that model being right and of none being right under the same confidences and
-agreement.  Order 0 counts what no model named.  Shares drive a carryless range coder of 64 bits with words of 16 bits.
-Nothing is floating point, so all machines decode alike.
+They are mixed in whole numbers.  The number line of a step, 2**BITS long, holds one after the other the id that order 2 names,
+the one that order 1 names, and all ids by their counts; a named id's share is how often that model was right among all steps
+of the block with the same confidences and agreement.  Counts of order 0 and shares are brought up to date at the places EDGES
+of a block, from all ids before; what is named, and how surely, after every id.  Shares drive a range coder whose state of 64
+bits takes and gives words of 32 (rANS: it encodes from the last id to the first, and decodes forwards).  Nothing is floating
+point, so all machines decode alike.
 
 numpy steps through up to ``LANES`` blocks at once, one id of each at a time; a block's bytes don't depend on its
-neighbours.  Memory is about 300 KB a lane for a vocabulary of 49408.
+neighbours.  Counts are the sorted ids of the block so far, so that memory is about 500 KB a lane at
+most, whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,175 +24,155 @@ import zlib
 
 import numpy as np
 
-#: Blocks that are coded in step, and ids in a block; counts of leaves must fit 16 bits (STEP * BLOCK + 256 < 2**16).
+#: Blocks that are coded in step, and ids in a block.
 LANES, BLOCK, STEP = 512, 4096, 14
-SLOTS = 1 << 14
-RATE, UNIT = 6, 64
-TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 40)
-S16, S48, LOW40 = np.uint64(16), np.uint64(48), np.uint64((1 << 40) - 1)
+EDGES = (64, 256, 768, 1536, 2560)
+SLOT_BITS, KEYS = 12, 32
+SLOTS = 1 << SLOT_BITS
+#: The number line, and the least of it that is left to order 0.
+BITS = 31
+LINE, LEAST = 1 << BITS, 1 << 23
+#: Lanes are 2**LANE apart among sorted ids, of which NONE is the last of each lane; STEP * block + vocabulary stays below.
+LANE, NONE = 20, 1 << 19
+#: Bits of a place in a block, and of what order 0 is searched by (so that STEP * 3 > 2**NEAR).
+PLACE, NEAR = 12, 5
+START, WORD = np.uint64(1 << 32), np.uint64(32)
+#: What is taken to have been seen of a key: order 2 right, order 1 right, none right.
+PRIOR = (1, 1, 1)
 #: magic, version, documents, ids, words, vocabulary, crc32 of the ids, crc32 of the rest of the record.
 HEAD = struct.Struct("<4s7I")
-MAGIC, VERSION = b"idmx", 1
+MAGIC, VERSION = b"idmx", 2
 
 
 class Damaged(ValueError):
     """A block that isn't what was written."""
 
 
-def ones(flags: np.ndarray) -> np.ndarray:
-    """The number of true ones in each row of 16."""
-    halves = np.ascontiguousarray(flags).view(np.uint64) * np.uint64(0x0101010101010101) >> np.uint64(56)
-    return (halves[:, 0] + halves[:, 1]).astype(np.int64)
+class Names:
+    """Orders 1 and 2 of all lanes, which go up to date with each id."""
 
-
-def whole(rows: np.ndarray) -> np.ndarray:
-    """Rows as single items, which numpy moves faster."""
-    return rows.view(f"V{rows.shape[1] * rows.itemsize}")[:, 0]
-
-
-class Counts:
-    """Order 0: exclusive cumulative counts of children, a row of 16 (17 at the leaves) for each node of the tree."""
-
-    def __init__(self, vocabulary: int, lanes: int):
-        self.depth = 1
-        while 16**self.depth < vocabulary:
-            self.depth += 1
-        self.vocabulary, self.levels, self.first = vocabulary, [], []
-        for d in range(self.depth):
-            below = 16 ** (self.depth - 1 - d)  # ids of a child
-            ends = np.arange(16**d)[:, None] * 16 * below + np.arange(17)[None, :] * below
-            rows = np.minimum(ends, vocabulary) - np.minimum(ends[:, :1], vocabulary)
-            rows = rows[:, : 17 if d == self.depth - 1 else 16].astype(np.uint32 if below > 16 else np.uint16)
-            self.first.append(rows)
-            self.levels.append(np.empty((lanes, *rows.shape), rows.dtype))
-        self.grow = [(np.arange(level.shape[2])[None, :] > np.arange(16)[:, None]).astype(level.dtype) * level.dtype.type(STEP) for level in self.levels]
+    def __init__(self, lanes: int):
+        self.named = np.empty(2 * lanes * SLOTS, np.uint32)  # id * 4 + confidence
+        self.base = np.arange(2 * lanes).reshape(2, lanes) * SLOTS
+        self.table = np.arange(lanes) * KEYS
 
     def reset(self) -> None:
-        for level, rows in zip(self.levels, self.first):
-            level[:] = rows
-        self.flat = [level.reshape(-1, level.shape[2]) for level in self.levels]
-        self.line = [level.reshape(-1) for level in self.levels]
-        self.items = [whole(flat) for flat in self.flat]
-        self.base = [np.arange(len(level)) * level.shape[1] for level in self.levels]
-
-    def interval(self, ids: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Start and length of the ids' intervals, one for each lane, and rows and children on the way to them."""
-        low, way = 0, []
-        for d, (base, flat, line) in enumerate(zip(self.base, self.flat, self.line)):
-            up = ids >> 4 * (self.depth - 1 - d)
-            row, child = base[lane] + (up >> 4), up & 15
-            at = row * flat.shape[1] + child
-            here = line.take(at)
-            low = low + here.astype(np.int64)
-            way.append((row, child))
-        return low, line.take(at + 1).astype(np.int64) - here, way
-
-    def find(self, value: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """The id whose interval holds the value, its interval, and the way to it."""
-        left, way, node = value.copy(), [], 0
-        for base, flat, line in zip(self.base, self.flat, self.line):
-            row = base[lane] + node
-            child = ones(flat.take(row, axis=0)[:, :16] <= left.astype(flat.dtype)[:, None]) - 1
-            at = row * flat.shape[1] + child
-            here = line.take(at)
-            left -= here
-            way.append((row, child))
-            node = node * 16 + child
-        return node, value - left, line.take(at + 1).astype(np.int64) - here, way
-
-    def add(self, way) -> None:
-        for flat, items, grow, (row, child) in zip(self.flat, self.items, self.grow, way):
-            rows = flat.take(row, axis=0)
-            rows += grow.take(child, axis=0)
-            items[row] = whole(rows)
-
-
-class Models:
-    """State of all lanes; ``begin`` gives what the models say of the next id, ``learn`` tells them the id."""
-
-    def __init__(self, vocabulary: int, lanes: int):
-        self.counts = Counts(vocabulary, lanes)
-        self.named = [np.empty(lanes * SLOTS, np.uint32) for _ in range(2)]  # id * 8 + confidence
-        self.odds = np.empty((lanes * 128, 3), np.int32)  # order 2 right, order 1 right, none right
-        self.places = whole(self.odds)
-        self.lane = np.arange(lanes)
-        self.place, self.table = self.lane * SLOTS, self.lane * 128
-
-    def reset(self) -> None:
-        self.counts.reset()
-        for n in self.named:
-            n[:] = 0
-        self.odds[:] = 8 * UNIT
-        self.before = np.zeros((2, len(self.lane)), np.int64)
-        self.total = np.full(len(self.lane), self.counts.vocabulary, np.int32)
+        self.named[:] = 0
+        lanes = self.base.shape[1]
+        self.slot, self.last, self.hashed = self.base.copy(), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def begin(self, k: int) -> None:
-        """For the first k lanes: named ids and their shares."""
-        one, two = self.before[0, :k], self.before[1, :k]
-        self.slot = [self.place[:k] + (one * 40503 + 977) % SLOTS, self.place[:k] + (((one * 40503 + two * 30011 + 7) * 2654435761 & 0xFFFFFFFF) >> 18)]
-        x1, x2 = (n.take(s).astype(np.int64) for n, s in zip(self.named, self.slot))
-        self.c1, self.c2 = x1 & 7, x2 & 7
-        self.n1, self.n2 = x1 >> 3, x2 >> 3
-        agree = (self.n1 == self.n2) & (self.c1 > 0) & (self.c2 > 0)
-        self.key = self.table[:k] + agree * 64 + self.c2 * 8 + self.c1
-        self.seen = self.odds.take(self.key, axis=0)
-        share = self.total[:k, None] * self.seen[:, :2] // self.seen[:, 2:]  # below 2**31: totals are below 2**19, counts below 2**12
-        self.a2 = (share[:, 0] * (self.c2 > 0)).astype(np.int64)
-        self.a1 = (share[:, 1] * ((self.c1 > 0) & ~agree)).astype(np.int64)
-        self.both = self.a1 + self.a2
-        self.all = self.total[:k] + self.both
-
-    def share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of the ids' intervals in the mixture."""
-        self.right2 = (self.n2 == ids) & (self.a2 > 0)
-        self.right1 = (self.n1 == ids) & (self.a1 > 0)
-        start, length = np.where(self.right2, 0, self.a2), np.where(self.right2, self.a2, self.a1)
-        self.other = other = np.flatnonzero(~(self.right1 | self.right2))
-        low, count, self.way = self.counts.interval(ids[other], other)
-        start[other], length[other] = self.both[other] + low, count
-        return start, length
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose intervals hold the values, with start and length."""
-        self.right2 = value < self.a2
-        self.right1 = (value < self.both) & ~self.right2
-        start, length = np.where(self.right2, 0, self.a2), np.where(self.right2, self.a2, self.a1)
-        ids = np.where(self.right2, self.n2, self.n1)
-        self.other = other = np.flatnonzero(value >= self.both)
-        ids[other], low, length[other], self.way = self.counts.find(value[other] - self.both[other], other)
-        start[other] = self.both[other] + low
-        return ids, start, length
+        """For the first k lanes: names and confidences of both orders, and the key of their shares."""
+        self.at = self.slot[:, :k]
+        seen = self.named.take(self.at)
+        self.name, self.sure = seen >> 2, seen & 3
+        one, two = self.sure
+        self.agree = (self.name[0] == self.name[1]) & (one > 0) & (two > 0)
+        self.key = one + (two << 2) + (self.agree.astype(np.uint32) << 4)
 
     def learn(self, ids: np.ndarray) -> None:
+        """What came: a name that is right gets surer; one that is wrong less so, or gives way."""
         k = len(ids)
-        seen = self.seen - (self.seen >> RATE)
-        seen[:, 0] += UNIT * self.right2
-        seen[:, 1] += UNIT * self.right1
-        seen[self.other, 2] += UNIT
-        self.places[self.key] = whole(seen)
-        for n, slot, name, sure in zip(self.named, self.slot, (self.n1, self.n2), (self.c1, self.c2)):
-            sure = np.where(name == ids, np.minimum(sure + 1, 7), sure >> 1)
-            n[slot] = np.where(sure == 0, ids * 8 + 1, name * 8 + sure)
-        self.counts.add(self.way)
-        self.total[self.other] += STEP
-        self.before[1, :k] = self.before[0, :k]
-        self.before[0, :k] = ids
+        right = self.name == ids
+        name = np.where(right | (self.sure > 1), self.name, ids)
+        self.named[self.at] = (name << 2) + np.where(right, np.minimum(self.sure + 1, 3), 1)
+        mixed = ids * np.uint32(2654435761)
+        self.slot[0, :k] = self.base[0, :k] + (mixed >> np.uint32(32 - SLOT_BITS))
+        mixed2 = (mixed + self.hashed[:k]) * np.uint32(2246822519)
+        self.slot[1, :k] = self.base[1, :k] + (mixed2 >> np.uint32(32 - SLOT_BITS))
+        self.hashed[:k] = ids * np.uint32(3266489917) ^ (ids << np.uint32(7))
+
+
+class Shares:
+    """The mixture of the first lanes, from all ids before a place of the block."""
+
+    def __init__(self, vocabulary: int, seen: np.ndarray):
+        """seen: (lane, key, kind) how often: kind 0 where order 2 was right, 1 order 1, 2 none."""
+        key = np.arange(KEYS)
+        one, two, agree = key & 3, key >> 2 & 3, key >> 4
+        can = np.stack([two > 0, (one > 0) & (agree == 0), key >= 0], axis=1)
+        self.total = vocabulary + STEP * seen[:, :, 2].sum(axis=1)
+        seen = (seen + np.array(PRIOR)) * can
+        a = (LINE - LEAST) * seen[:, :, :2] // seen.sum(axis=2)[:, :, None]
+        self.two, self.both = a[:, :, 0].reshape(-1), a.sum(axis=2).reshape(-1)
+        self.unit = (LINE - 1 - self.both) // np.repeat(self.total, KEYS)  # of the line for one of order 0
+
+
+def ranks(ids: np.ndarray, kind: np.ndarray, stretches: list[tuple[int, int]]):
+    """For each stretch, of its ids that no model named: lane, place, and start and length in order 0."""
+    most, lanes = ids.shape
+    x = np.where(kind == 2, ids << np.uint32(PLACE) | np.arange(most, dtype=np.uint32)[:, None], np.uint32(NONE << PLACE)).T.copy()
+    x.sort(axis=1)
+    place, ids = (x & np.uint32((1 << PLACE) - 1)).astype(np.int32), x >> np.uint32(PLACE)
+    place[ids == NONE] = most
+    new = np.ones((lanes, most), bool)
+    new[:, 1:] = ids[:, 1:] != ids[:, :-1]
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, lanes * most))
+    row = np.repeat(first // most, times)
+    first, end = (np.repeat(i, times) + row for i in (first, first + times))  # among counts, which have one more a lane
+    count = np.zeros((lanes, most + 1), np.int32)
+    place, ids, flat = place.reshape(-1), ids.reshape(-1).astype(np.int64), count.reshape(-1)
+    for t, to in stretches:
+        np.cumsum(place.reshape(lanes, most) < t, axis=1, out=count[:, 1:])
+        i = np.flatnonzero((place >= t) & (place < to))
+        low = flat.take(first[i])
+        yield row[i], place[i], ids[i] + STEP * low, 1 + STEP * (flat.take(end[i]) - low)
+
+
+class Finder:
+    """Order 0 of the first lanes, from all ids before a place of the block, to look up what holds a value."""
+
+    def __init__(self, ids: np.ndarray, kind: np.ndarray, total: np.ndarray):
+        most, lanes = ids.shape
+        self.width = most + 1
+        h = np.full((lanes, self.width), NONE, np.uint32)
+        h[:, :most] = np.where(kind == 2, ids, np.uint32(NONE)).T
+        h.sort(axis=1)
+        # an id has 1 of the line, and then STEP each time; where these end, from a lane's start
+        end = np.where(h < NONE, h + np.arange(1, self.width + 1, dtype=np.uint32) * np.uint32(STEP) + np.uint32(1), h)
+        steps = (int(total.max(initial=0)) >> NEAR) + 3
+        lane, place = np.nonzero(h < NONE)
+        ahead = np.bincount(lane * steps + (end[lane, place] >> np.uint32(NEAR)) + 1, minlength=lanes * steps)
+        lane = np.arange(lanes)
+        self.last, self.row, self.step = total - 1, lane * self.width, lane * steps
+        self.ahead = (np.cumsum(ahead.reshape(lanes, steps), axis=1) + self.row[:, None]).reshape(-1)  # past the ends below each multiple of 2**NEAR
+        self.far = (lane << LANE).astype(np.uint32)
+        self.sorted, self.end = h.reshape(-1), (end + self.far[:, None]).reshape(-1)
+        new = np.ones(h.shape, bool)
+        new[:, 1:] = h[:, 1:] != h[:, :-1]
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, new.size))
+        self.first, self.size = np.repeat(STEP * (first % self.width), times), np.repeat(1 + STEP * times, times)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the values, one for each of the first lanes, with start and length."""
+        k = len(value)
+        value = np.minimum(value, self.last[:k])
+        far = value.astype(np.uint32) + self.far[:k]
+        at = self.ahead.take(self.step[:k] + (value >> NEAR))
+        at += 2 * (self.end.take(at + 1, mode="clip") <= far)  # at most three ends lie between two multiples
+        at += self.end.take(at, mode="clip") <= far
+        ahead, near = STEP * (at - self.row[:k]), self.sorted.take(at)
+        ids = np.minimum(value - ahead, near)
+        seen = ids == near
+        return ids, ids + np.where(seen, self.first.take(at), ahead), np.where(seen, self.size.take(at), 1)
 
 
 class Coder:
     """Encodes and decodes blocks of at most ``block`` ids below ``vocabulary``."""
 
     def __init__(self, vocabulary: int, block: int = BLOCK, lanes: int = LANES):
-        if STEP * block + 256 >= 1 << 16 or not 0 < vocabulary <= 1 << 18:
-            raise ValueError("block or vocabulary too large")
+        if not 0 < vocabulary <= 1 << 18 or STEP * block + vocabulary >= NONE or block > 1 << PLACE or lanes > 1 << 32 - LANE:
+            raise ValueError("block, lanes or vocabulary too large")
         self.vocabulary, self.block, self.lanes = vocabulary, block, lanes
-        self.models: Models | None = None
+        self.names: Names | None = None
 
-    def _start(self, sizes: np.ndarray) -> Models:
-        if self.models is None or len(self.models.lane) < len(sizes):
-            self.models = Models(self.vocabulary, min(self.lanes, max(16, 1 << int(len(sizes) - 1).bit_length())))
-        self.models.reset()
-        return self.models
+    def _start(self, sizes: np.ndarray) -> Names:
+        if self.names is None or self.names.base.shape[1] < len(sizes):
+            self.names = Names(min(self.lanes, max(16, 1 << int(len(sizes) - 1).bit_length())))
+        self.names.reset()
+        return self.names
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         """Range-coded words of each block."""
@@ -204,89 +185,113 @@ class Coder:
     def _encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
-        most = int(sizes.max(initial=0))
+        most, lanes = int(sizes.max(initial=0)), len(blocks)
         if most > self.block:
             raise ValueError("a block is too long")
-        ids = np.zeros((most, len(blocks)), np.int64)
+        if any(len(b) and not 0 <= b.min() <= b.max() < self.vocabulary for b in blocks):
+            raise ValueError("an id is outside the vocabulary")
+        ids = np.zeros((most, lanes), np.uint32)
         for lane, i in enumerate(order):
             ids[: sizes[i], lane] = blocks[i]
-        if ids.size and (ids.min() < 0 or ids.max() >= self.vocabulary):
-            raise ValueError("an id is outside the vocabulary")
-        m = self._start(sizes)
         live = np.searchsorted(-sizes[order], -np.arange(most), side="left")  # lanes with an id at each step
-        low, width = np.zeros(len(blocks), np.uint64), np.full(len(blocks), np.iinfo(np.uint64).max, np.uint64)
-        out, at = np.empty((len(blocks), 64 + 2 * most), np.uint16), np.zeros(len(blocks), np.int64)
+        names = self._start(sizes)
+        key, kind = np.zeros((most, lanes), np.uint8), np.full((most, lanes), 3, np.uint8)
         for t in range(most):
             k = int(live[t])
-            now = ids[t, :k]
-            m.begin(k)
-            start, share = m.share(now)
-            r = width[:k] // m.all.astype(np.uint64)
-            low[:k] += r * start.astype(np.uint64)
-            width[:k] = r * share.astype(np.uint64)
-            while True:
-                lo, wi = low[:k], width[:k]
-                same = (lo ^ (lo + wi)) < TOP
-                need = np.flatnonzero(same | (wi < LEAST))
-                if not len(need):
-                    break
-                lo, wi, same = lo[need], wi[need], same[need]
-                wi = np.where(same, wi, (~lo + np.uint64(1)) & LOW40)
-                if at[need].max() >= out.shape[1]:
-                    out = np.concatenate([out, np.empty_like(out)], axis=1)
-                out[need, at[need]] = lo >> S48
-                at[need] += 1
-                low[need], width[need] = lo << S16, wi << S16
-            m.learn(now)
-        coded: list = [b""] * len(blocks)
+            names.begin(k)
+            right = (names.name == ids[t, :k]) & (names.sure > 0)
+            key[t, :k], kind[t, :k] = names.key, np.where(right[1], 0, np.where(right[0], 1, 2))
+            names.learn(ids[t, :k])
+        start, length = np.zeros((most, lanes), np.uint32), np.ones((most, lanes), np.uint32)
+        seen, stretches = np.zeros((lanes, KEYS, 3), np.int64), self._stretches(most)
+        for (t, to), (lane, place, begin, count) in zip(stretches, ranks(ids, kind, stretches)):
+            shares = Shares(self.vocabulary, seen)
+            at, what = names.table[:lanes] + key[t:to], kind[t:to]
+            two, both = shares.two.take(at), shares.both.take(at)
+            start[t:to] = np.where(what == 0, 0, two)
+            length[t:to] = np.where(what == 0, two, both - two)
+            key_at = lane * KEYS + key[place, lane]
+            unit = shares.unit.take(key_at)
+            start[place, lane], length[place, lane] = shares.both.take(key_at) + begin * unit, count * unit
+            self._count(seen, at, what)
+        state, out, left = np.full(lanes, START), np.empty((lanes, most + 2), np.uint32), np.full(lanes, most + 2)
+        for t in range(most - 1, -1, -1):
+            k = int(live[t])
+            x, size = state[:k], length[t, :k].astype(np.uint64)
+            full = np.flatnonzero(x >= size << np.uint64(64 - BITS))
+            if len(full):
+                left[full] -= 1
+                out[full, left[full]] = x[full]
+                x[full] >>= WORD
+            times = x // size
+            state[:k] = (times << np.uint64(BITS)) + (x - times * size) + start[t, :k]
+        coded: list = [b""] * lanes
         for lane, i in enumerate(order):
-            tail = [(int(low[lane]) >> s) & 0xFFFF for s in (48, 32, 16, 0)]
-            coded[i] = np.append(out[lane, : at[lane]], np.array(tail, np.uint16)).astype("<u2").tobytes()
+            coded[i] = int(state[lane]).to_bytes(8, "little") + out[lane, left[lane] :].astype("<u4").tobytes()
         return coded
 
     def _decode(self, coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         sizes = np.array(sizes, dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
-        most = int(sizes.max(initial=0))
-        words = np.zeros((len(coded), max((len(c) // 2 for c in coded), default=0) + 8), np.uint64)
-        for lane, i in enumerate(order):
-            x = np.frombuffer(coded[i], "<u2")
-            words[lane, : len(x)] = x
-        m = self._start(sizes)
+        most, lanes = int(sizes.max(initial=0)), len(coded)
+        if any(len(c) < 8 or len(c) % 4 for c in coded):
+            raise Damaged("a block is too short")
+        given = [coded[i] for i in order]
+        state = np.array([int.from_bytes(c[:8], "little") for c in given], np.uint64)
+        words = np.frombuffer(b"".join(c[8:] for c in given), "<u4").astype(np.uint64)
+        ends = np.cumsum([len(c) // 4 - 2 for c in given])
+        at = np.append(0, ends[:-1])
+        words = np.append(words, np.uint64(0))
         live = np.searchsorted(-sizes[order], -np.arange(most), side="left")
-        low, width = np.zeros(len(coded), np.uint64), np.full(len(coded), np.iinfo(np.uint64).max, np.uint64)
-        code, at = np.zeros(len(coded), np.uint64), np.full(len(coded), 4)
-        for j in range(4):
-            code = (code << S16) | words[:, j]
-        ids = np.zeros((most, len(coded)), np.int64)
-        for t in range(most):
-            k = int(live[t])
-            m.begin(k)
-            r = width[:k] // m.all.astype(np.uint64)
-            value = np.minimum((code[:k] - low[:k]) // r, (m.all - 1).astype(np.uint64)).astype(np.int64)
-            now, start, share = m.find(value)
-            ids[t, :k] = now
-            low[:k] += r * start.astype(np.uint64)
-            width[:k] = r * share.astype(np.uint64)
-            while True:
-                lo, wi = low[:k], width[:k]
-                same = (lo ^ (lo + wi)) < TOP
-                need = np.flatnonzero(same | (wi < LEAST))
-                if not len(need):
-                    break
-                lo, wi, same = lo[need], wi[need], same[need]
-                wi = np.where(same, wi, (~lo + np.uint64(1)) & LOW40)
-                if at[need].max() >= words.shape[1]:
-                    raise Damaged("a block ends too early")
-                code[need] = (code[need] << S16) | words[need, at[need]]
-                at[need] += 1
-                low[need], width[need] = lo << S16, wi << S16
-            m.learn(now)
-        out: list = [None] * len(coded)
+        names = self._start(sizes)
+        ids = np.zeros((most, lanes), np.uint32)
+        key, kind = np.zeros((most, lanes), np.uint8), np.full((most, lanes), 3, np.uint8)
+        seen = np.zeros((lanes, KEYS, 3), np.int64)
+        for first, to in self._stretches(most):
+            k = int(live[first])
+            shares = Shares(self.vocabulary, seen[:k])
+            finder = Finder(ids[:first, :k], kind[:first, :k], shares.total)
+            for t in range(first, to):
+                k = int(live[t])
+                names.begin(k)
+                row = names.table[:k] + names.key
+                two, both = shares.two.take(row), shares.both.take(row)
+                x = state[:k]
+                value = (x & np.uint64(LINE - 1)).view(np.int64)
+                right2 = value < two
+                other, unit = value >= both, shares.unit.take(row)
+                found, begin, count = finder.find(((value - both).view(np.uint64) // unit.view(np.uint64)).view(np.int64))
+                now = np.where(other, found.astype(np.uint32), np.where(right2, names.name[1], names.name[0]))
+                low = np.where(other, both + begin * unit, np.where(right2, 0, two))
+                size = np.where(other, count * unit, np.where(right2, two, both - two))
+                x = size.view(np.uint64) * (x >> np.uint64(BITS)) + (value - low).view(np.uint64)
+                need = np.flatnonzero(x < START)
+                if len(need):
+                    x[need] = x[need] << WORD | words.take(at[need], mode="clip")
+                    at[need] += 1
+                state[:k] = x
+                ids[t, :k], key[t, :k], kind[t, :k] = now, names.key, np.where(other, 2, ~right2)
+                names.learn(now)
+            self._count(seen, names.table[:lanes] + key[first:to], kind[first:to])
+        if (at != ends).any() or (state != START).any():
+            raise Damaged("a block's end isn't where its ids end")
+        out: list = [None] * lanes
         for lane, i in enumerate(order):
             out[i] = ids[: sizes[i], lane].astype("<u4")
         return out
 
+    @staticmethod
+    def _stretches(most: int) -> list[tuple[int, int]]:
+        """From each edge to the next."""
+        edges = [0, *(e for e in EDGES if e < most), most]
+        return [(i, j) for i, j in zip(edges, edges[1:]) if i < j]
+
+    @staticmethod
+    def _count(seen: np.ndarray, key: np.ndarray, kind: np.ndarray) -> None:
+        """kind 3: past a block's end."""
+        lanes, keys, _ = seen.shape
+        seen += np.bincount((key << 2 | kind).reshape(-1), minlength=4 * lanes * keys).reshape(lanes, keys, 4)[:, :, :3]
+
 
 def crc_of(ids: np.ndarray, before: int = 0) -> int:
     """crc32 of ids as little-endian unsigned 32-bit integers."""

@@ -19,6 +19,9 @@ ignored; an empty table gives no files and reads back as no rows, given its fold
 
 from __future__ import annotations
 
+import struct
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -40,9 +43,9 @@ BLOCKS = "part int, block int, record binary"
 
 
 class WordTokeniser(dict):
-    """ids of a text by the given file; ids of words are kept in a bounded cache, and new ones are looked up together."""
+    """ids of a text by the given file; ids of words, and of what stands between white space, are kept in a bounded cache."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         import os
@@ -54,6 +57,9 @@ class WordTokeniser(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; others for 256, 257, ...
+        self.letters = {c: 256 + i for i, c in enumerate(sorted({*range(256)} - {*shown}))}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.plain = re.compile(PLAIN)
@@ -61,27 +67,37 @@ class WordTokeniser(dict):
         of = lambda kind: "".join(re.escape(c) for c in near if unicodedata.category(c)[0] == kind)
         self.words = re.compile(f"{ENDINGS}|[{of('L')}]+|[{of('N')}]|[^\\s{of('L')}{of('N')}]+")
 
-    def learn(self, words: list[str]) -> None:
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
-        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1])).tolist() if len(word) else []
-        if len(starts) == len(words):
-            self.update(zip(words, (ids[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(ids)]))))
-        else:  # a word that the library splits otherwise
-            self.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
-
     def ids(self, text: str) -> np.ndarray:
         if self.plain.fullmatch(text) and not any(s in text for s in self.special):
-            words = self.words.findall(text.lower())
-            new = [w for w in dict.fromkeys(words) if w not in self]
-            if new:
-                if len(self) + len(new) > self.LIMIT:
-                    self.clear()
-                    new = list(dict.fromkeys(words))
-                self.learn(new)
-            return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+            pieces = text.lower().split()
+            found = list(map(self.get, pieces))
+            if None in found:
+                found = [self.learn(p) if x is None else x for p, x in zip(pieces, found)]
+            return np.frombuffer(b"".join(found), "<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def learn(self, piece: str) -> bytes:
+        """ids of what stands between white space, word by word from the library's model, which takes a word's bytes as characters."""
+        if piece in self:  # since it was looked up
+            return self[piece]
+        if len(self) >= self.LIMIT:
+            self.clear()
+        out = []
+        for word in self.words.findall(piece):
+            x = self.get(word)
+            if x is None:
+                ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+                x = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(x)
+        self[piece] = whole = b"".join(out)
+        return whole
+
+
+@cache
+def tokeniser(path: str) -> WordTokeniser:
+    """One for all tasks of a Python worker."""
+    return WordTokeniser(path)
+
 
 def ordered(docs: DataFrame, part_bytes: int) -> DataFrame:
     """doc_id, text in ascending order over as many tasks as there are parts."""
@@ -95,7 +111,7 @@ def blocks(docs: DataFrame, path: str, end: int = END, part_bytes: int = 32 << 2
     """documents -> (part, block, record), parts and blocks in order of doc_id."""
 
     def run(batches):
-        tok = WordTokeniser(path)
+        tok = tokeniser(path)
         coder = Coder(tok.size)
         part, number = TaskContext.get().partitionId(), 0
         full: list[tuple[np.ndarray, list]] = []

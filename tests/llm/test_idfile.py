@@ -35,6 +35,38 @@ def test_full_blocks_and_prediction():
         coder.encode([np.array([49408])])
 
 
+def test_memory_of_a_lane():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    blocks = [rng.zipf(1.1, 4096) % (1 << 18) for _ in range(64)]
+    tracemalloc.start()
+    try:
+        coder = idcoder.Coder(1 << 18)
+        back = coder.decode(coder.encode(blocks), [4096] * 64)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all((x == y).all() for x, y in zip(back, blocks)) and peak / 64 < 700_000  # 2.6 MB a lane with a tree of counts
+
+
+def test_a_block_ends_with_its_ids():
+    coder = idcoder.Coder(100)
+    coded = coder.encode([np.arange(50)])[0]
+    for hurt in (coded + b"\0\0\0\0", coded[:-4], coded[:4]):
+        with pytest.raises(idcoder.Damaged):
+            coder.decode([hurt], [50])
+
+
+def test_words_are_kept_between_tasks(monkeypatch):
+    path = vocabulary_path(idfile.TOKENIZER)
+    assert idfile.tokeniser(path) is idfile.tokeniser(path)
+    tok = idfile.WordTokeniser(path)
+    monkeypatch.setattr(idfile.WordTokeniser, "LIMIT", 3)  # cleared again and again, also within a text
+    for t in ("one two, two three's one 4x one", "Über ÜBER œuvre-x, one", ""):
+        assert tok.ids(t).tolist() == tok.library.encode(t, add_special_tokens=False).ids
+
+
 def test_damage_is_found():
     ids = np.arange(50)
     blob = idcoder.record(ids, idcoder.Coder(100).encode([ids])[0], [(7, 20), (None, 50)], 100)
