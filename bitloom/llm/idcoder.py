@@ -2,19 +2,20 @@
 
 Three models predict the next id, all reset at the start of a block:
 
-* order 0 counts ids, each of the vocabulary once to begin with and STEP more for each time that no other model named it;
-* order 1 and order 2 name an id that came after the id, or the two ids, before (hashed to slots), with a confidence of 0 to 3.
+* order 0 counts the ids that came and that no other model named; an id that it hasn't counted is one of the vocabulary;
+* order 1 and order 2 name an id that came after the id, or the two ids, before (hashed to slots), with a confidence of 0, 1 or more.
 
 They are mixed in whole numbers.  The number line of a step, 2**BITS long, holds one after the other the id that order 2 names,
-the one that order 1 names, and all ids by their counts; a named id's share is how often that model was right among all steps
-of the block with the same confidences and agreement.  Counts of order 0 and shares are brought up to date at the places EDGES
-of a block, from all ids before; what is named, and how surely, after every id.  Shares drive a range coder whose state of 64
-bits takes and gives words of 32 (rANS: it encodes from the last id to the first, and decodes forwards).  Nothing is floating
-point, so all machines decode alike.
+the one that order 1 names, the ids that order 0 has counted, each as long as its count, and all ids of the vocabulary, equally
+long.  The share of each of these four kinds is how often it held the id among all steps of the block with the same
+confidences and agreement.  Counts of order 0 and shares are brought up to date at the places EDGES of a block, from all ids
+before; what is named, and how surely, after every id.  Shares drive a range coder whose state of 64 bits takes and gives words
+of 32 (rANS: it encodes from the last id to the first, and decodes forwards).  Nothing is floating point, so all machines decode
+alike.
 
 numpy steps through up to ``LANES`` blocks at once, one id of each at a time; a block's bytes don't depend on its
-neighbours.  Counts are the sorted ids of the block so far, so that memory is about 500 KB a lane at
-most, whatever the vocabulary.
+neighbours.  What order 0 holds is a list of a block's ids so far, sorted, in which a value of the line is a place: so nothing is
+searched, and memory is below 200 KB a lane, whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -25,23 +26,30 @@ import zlib
 import numpy as np
 
 #: Blocks that are coded in step, and ids in a block.
-LANES, BLOCK, STEP = 512, 4096, 14
-EDGES = (64, 256, 768, 1536, 2560)
-SLOT_BITS, KEYS = 12, 32
+LANES, BLOCK = 2048, 4096
+EDGES = (64, 256, 768, 1792)
+SLOT_BITS, KEYS = 8, 32
 SLOTS = 1 << SLOT_BITS
-#: The number line, and the least of it that is left to order 0.
+#: The number line, and the least of it that is left to ids of the vocabulary.
 BITS = 31
 LINE, LEAST = 1 << BITS, 1 << 23
-#: Lanes are 2**LANE apart among sorted ids, of which NONE is the last of each lane; STEP * block + vocabulary stays below.
-LANE, NONE = 20, 1 << 19
-#: Bits of a place in a block, and of what order 0 is searched by (so that STEP * 3 > 2**NEAR).
-PLACE, NEAR = 12, 5
-START, WORD = np.uint64(1 << 32), np.uint64(32)
-#: What is taken to have been seen of a key: order 2 right, order 1 right, none right.
-PRIOR = (1, 1, 1)
+#: Bits of a place in a block, and of an id.
+PLACE, ID = 12, 18
+#: Above all ids with their places.
+NONE = np.uint32(1 << PLACE + ID)
+#: Lanes whose ids are sorted at once, and steps that are taken with one table of slots.
+SORTED, WINDOW = 64, 32
+#: What is taken to have been seen of a key: the id named by order 2, by order 1, counted by order 0, none of these.
+PRIOR = (1, 1, 1, 1)
+NAMED2, NAMED1, COUNTED, NEW, NOTHING = range(5)
 #: magic, version, documents, ids, words, vocabulary, crc32 of the ids, crc32 of the rest of the record.
 HEAD = struct.Struct("<4s7I")
-MAGIC, VERSION = b"idmx", 2
+MAGIC, VERSION = b"idmx", 3
+#: Numbers as arrays, which numpy takes faster than single ones.
+U64_1 = np.ones(1, np.uint64)
+U1, U2, U3, SLOT = (np.array(x, np.uint32) for x in (1, 2, 3, 32 - SLOT_BITS))
+START, WORD, AHEAD, ROOM, WITHIN, FIELD, ID_AT, FIRST_AT = (np.array(x, np.uint64) for x in (1 << 32, 32, BITS, 64 - BITS, LINE - 1, (1 << 20) - 1, 40, 20))
+MIX1, MIX2, MIX3 = (np.array(x, np.uint32) for x in (2654435761, 2246822519, 3266489917))
 
 
 class Damaged(ValueError):
@@ -54,116 +62,137 @@ class Names:
     def __init__(self, lanes: int):
         self.named = np.empty(2 * lanes * SLOTS, np.uint32)  # id * 4 + confidence
         self.base = np.arange(2 * lanes).reshape(2, lanes) * SLOTS
-        self.table = np.arange(lanes) * KEYS
 
     def reset(self) -> None:
         self.named[:] = 0
         lanes = self.base.shape[1]
-        self.slot, self.last, self.hashed = self.base.copy(), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.slot, self.mixed, self.hashed = self.base.copy(), np.zeros((2, lanes), np.uint32), np.zeros(lanes, np.uint32)
 
-    def begin(self, k: int) -> None:
-        """For the first k lanes: names and confidences of both orders, and the key of their shares."""
+    def begin(self, k: int) -> np.ndarray:
+        """For the first k lanes: the key of their shares; ``held`` has names and confidences of both orders."""
         self.at = self.slot[:, :k]
-        seen = self.named.take(self.at)
-        self.name, self.sure = seen >> 2, seen & 3
-        one, two = self.sure
-        self.agree = (self.name[0] == self.name[1]) & (one > 0) & (two > 0)
-        self.key = one + (two << 2) + (self.agree.astype(np.uint32) << 4)
+        self.held = self.named.take(self.at, mode="clip")
+        return keys(self.held[0], self.held[1])
 
     def learn(self, ids: np.ndarray) -> None:
-        """What came: a name that is right gets surer; one that is wrong less so, or gives way."""
+        """Goes on by one id of each lane."""
         k = len(ids)
-        right = self.name == ids
-        name = np.where(right | (self.sure > 1), self.name, ids)
-        self.named[self.at] = (name << 2) + np.where(right, np.minimum(self.sure + 1, 3), 1)
-        mixed = ids * np.uint32(2654435761)
-        self.slot[0, :k] = self.base[0, :k] + (mixed >> np.uint32(32 - SLOT_BITS))
-        mixed2 = (mixed + self.hashed[:k]) * np.uint32(2246822519)
-        self.slot[1, :k] = self.base[1, :k] + (mixed2 >> np.uint32(32 - SLOT_BITS))
-        self.hashed[:k] = ids * np.uint32(3266489917) ^ (ids << np.uint32(7))
+        self.update(self.at, self.held, ids << U2 | U1)
+        mixed = self.mixed[:, :k]
+        np.multiply(ids, MIX1, out=mixed[0])
+        np.multiply(mixed[0] + self.hashed[:k], MIX2, out=mixed[1])
+        np.add(self.base[:, :k], mixed >> SLOT, out=self.slot[:, :k])
+        np.multiply(ids, MIX3, out=self.hashed[:k])
+
+    def update(self, at: np.ndarray, held: np.ndarray, came: np.ndarray) -> None:
+        """A name that is right gets sure; a sure one that is wrong gets less so, another one gives way."""
+        self.named[at] = np.where((held ^ came) <= U3, held | U2, np.where(held & U2, held ^ U2, came))
+
+    def follow(self, padded: np.ndarray, live: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and kinds (what no model named counts as COUNTED) of all ids, which stand below two rows of 0."""
+        most, lanes = len(live), padded.shape[1]
+        key, kind = np.empty((most, lanes), np.uint8), np.empty((most, lanes), np.uint8)
+        held = np.zeros((WINDOW, 2, lanes), np.uint32)
+        for t in range(0, most, WINDOW):
+            n = min(WINDOW, most - t)
+            came = padded[t + 2 : t + 2 + n] << U2 | U1
+            mixed = np.empty((n, 2, lanes), np.uint32)
+            np.multiply(padded[t + 1 : t + 1 + n], MIX1, out=mixed[:, 0])
+            np.multiply(mixed[:, 0] + padded[t : t + n] * MIX3, MIX2, out=mixed[:, 1])
+            mixed >>= SLOT
+            slot = self.base[:, :lanes] + mixed
+            for j in range(n):
+                k = live[t + j]
+                at = slot[j, :, :k]
+                held[j, :, :k] = now = self.named.take(at, mode="clip")
+                self.update(at, now, came[j, :k])
+            one, two = held[:n, 0], held[:n, 1]
+            key[t : t + n] = keys(one, two)
+            two = (two ^ came <= U3) & (two & U3 > 0)
+            one = (one ^ came <= U3) & (one & U3 > 0)
+            kind[t : t + n] = np.where(two, np.uint8(NAMED2), np.where(one, np.uint8(NAMED1), np.uint8(COUNTED)))
+        return key, kind
+
+
+def keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Confidences of what orders 1 and 2 hold, and whether they name the same."""
+    return (one ^ two <= U3).view(np.uint8) << 4 | ((two & U3) << U2 | one & U3).astype(np.uint8)
 
 
 class Shares:
     """The mixture of the first lanes, from all ids before a place of the block."""
 
     def __init__(self, vocabulary: int, seen: np.ndarray):
-        """seen: (lane, key, kind) how often: kind 0 where order 2 was right, 1 order 1, 2 none."""
+        """seen: (lane, key, kind) how often."""
         key = np.arange(KEYS)
         one, two, agree = key & 3, key >> 2 & 3, key >> 4
-        can = np.stack([two > 0, (one > 0) & (agree == 0), key >= 0], axis=1)
-        self.total = vocabulary + STEP * seen[:, :, 2].sum(axis=1)
+        counted = seen[:, :, COUNTED:].sum(axis=(1, 2))[:, None]
+        can = np.broadcast_to(np.stack([two > 0, (one > 0) & ~((agree > 0) & (two > 0)), key >= 0, key >= 0], axis=1), seen.shape).copy()
+        can[:, :, COUNTED] = counted > 0
         seen = (seen + np.array(PRIOR)) * can
-        a = (LINE - LEAST) * seen[:, :, :2] // seen.sum(axis=2)[:, :, None]
-        self.two, self.both = a[:, :, 0].reshape(-1), a.sum(axis=2).reshape(-1)
-        self.unit = (LINE - 1 - self.both) // np.repeat(self.total, KEYS)  # of the line for one of order 0
-
-
-def ranks(ids: np.ndarray, kind: np.ndarray, stretches: list[tuple[int, int]]):
-    """For each stretch, of its ids that no model named: lane, place, and start and length in order 0."""
-    most, lanes = ids.shape
-    x = np.where(kind == 2, ids << np.uint32(PLACE) | np.arange(most, dtype=np.uint32)[:, None], np.uint32(NONE << PLACE)).T.copy()
-    x.sort(axis=1)
-    place, ids = (x & np.uint32((1 << PLACE) - 1)).astype(np.int32), x >> np.uint32(PLACE)
-    place[ids == NONE] = most
-    new = np.ones((lanes, most), bool)
-    new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, lanes * most))
-    row = np.repeat(first // most, times)
-    first, end = (np.repeat(i, times) + row for i in (first, first + times))  # among counts, which have one more a lane
-    count = np.zeros((lanes, most + 1), np.int32)
-    place, ids, flat = place.reshape(-1), ids.reshape(-1).astype(np.int64), count.reshape(-1)
-    for t, to in stretches:
-        np.cumsum(place.reshape(lanes, most) < t, axis=1, out=count[:, 1:])
-        i = np.flatnonzero((place >= t) & (place < to))
-        low = flat.take(first[i])
-        yield row[i], place[i], ids[i] + STEP * low, 1 + STEP * (flat.take(end[i]) - low)
-
-
-class Finder:
-    """Order 0 of the first lanes, from all ids before a place of the block, to look up what holds a value."""
-
-    def __init__(self, ids: np.ndarray, kind: np.ndarray, total: np.ndarray):
-        most, lanes = ids.shape
-        self.width = most + 1
-        h = np.full((lanes, self.width), NONE, np.uint32)
-        h[:, :most] = np.where(kind == 2, ids, np.uint32(NONE)).T
-        h.sort(axis=1)
-        # an id has 1 of the line, and then STEP each time; where these end, from a lane's start
-        end = np.where(h < NONE, h + np.arange(1, self.width + 1, dtype=np.uint32) * np.uint32(STEP) + np.uint32(1), h)
-        steps = (int(total.max(initial=0)) >> NEAR) + 3
-        lane, place = np.nonzero(h < NONE)
-        ahead = np.bincount(lane * steps + (end[lane, place] >> np.uint32(NEAR)) + 1, minlength=lanes * steps)
-        lane = np.arange(lanes)
-        self.last, self.row, self.step = total - 1, lane * self.width, lane * steps
-        self.ahead = (np.cumsum(ahead.reshape(lanes, steps), axis=1) + self.row[:, None]).reshape(-1)  # past the ends below each multiple of 2**NEAR
-        self.far = (lane << LANE).astype(np.uint32)
-        self.sorted, self.end = h.reshape(-1), (end + self.far[:, None]).reshape(-1)
-        new = np.ones(h.shape, bool)
-        new[:, 1:] = h[:, 1:] != h[:, :-1]
+        a = (LINE - LEAST) * seen[:, :, :NEW] // seen.sum(axis=2)[:, :, None]
+        low = np.zeros(seen.shape, np.uint32)
+        low[:, :, 1:] = np.cumsum(a, axis=2)
+        unit = np.empty(seen.shape, np.uint32)
+        unit[:, :, :COUNTED] = np.maximum(a[:, :, :COUNTED], 1)
+        unit[:, :, COUNTED] = np.maximum(a[:, :, COUNTED] // np.maximum(counted, 1), 1)
+        unit[:, :, NEW] = (LINE - low[:, :, NEW].astype(np.int64)) // vocabulary
+        self.low, self.unit = low.reshape(-1), unit.reshape(-1)  # where a kind begins, and how long one of it is
+        self.edges = [low[:, :, i].reshape(-1).copy() for i in (NAMED1, COUNTED, NEW)]
+
+
+class Counts:
+    """Order 0 of some lanes: their ids that no model named, sorted, with places."""
+
+    def __init__(self, ids: np.ndarray, kind: np.ndarray):
+        self.most, self.lanes = ids.shape
+        x = np.where((kind == COUNTED) | (kind == NEW), ids << np.uint32(PLACE) | np.arange(self.most, dtype=np.uint32)[:, None], NONE).T.copy()
+        x.sort(axis=1)
+        self.sorted = x
+
+    def held(self) -> np.ndarray:
+        """For each place of the sorted ids: id, where it begins and how often it is there, packed."""
+        ids = self.sorted >> np.uint32(PLACE)
+        new = np.ones(ids.shape, bool)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
         first = np.flatnonzero(new)
-        times = np.diff(np.append(first, new.size))
-        self.first, self.size = np.repeat(STEP * (first % self.width), times), np.repeat(1 + STEP * times, times)
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose intervals hold the values, one for each of the first lanes, with start and length."""
-        k = len(value)
-        value = np.minimum(value, self.last[:k])
-        far = value.astype(np.uint32) + self.far[:k]
-        at = self.ahead.take(self.step[:k] + (value >> NEAR))
-        at += 2 * (self.end.take(at + 1, mode="clip") <= far)  # at most three ends lie between two multiples
-        at += self.end.take(at, mode="clip") <= far
-        ahead, near = STEP * (at - self.row[:k]), self.sorted.take(at)
-        ids = np.minimum(value - ahead, near)
-        seen = ids == near
-        return ids, ids + np.where(seen, self.first.take(at), ahead), np.where(seen, self.size.take(at), 1)
+        times = np.diff(first, append=new.size)
+        return np.repeat(ids.reshape(-1)[first].astype(np.int64) << 40 | first % self.most << 20 | times, times).view(np.uint64)
+
+    def told(self, stretches: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all ids: start and times among those counted before their stretch; and which of them weren't counted: their start is the id."""
+        real = self.sorted < NONE
+        x = self.sorted[real]
+        place, ids = x & np.uint32((1 << PLACE) - 1), x >> np.uint32(PLACE)
+        number = real.sum(axis=1)
+        row = np.repeat(np.arange(self.lanes), number)
+        stretch = np.repeat(np.arange(len(stretches), dtype=np.uint8), [to - t for t, to in stretches]).take(place)
+        new = np.ones(len(x), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
+        run = np.flatnonzero(new)
+        part = new.copy()  # of a run: what lies in one stretch
+        part[1:] |= stretch[1:] != stretch[:-1]
+        part = np.flatnonzero(part)
+        first = run.take(np.cumsum(new).take(part) - 1)
+        n, long, low, of = part - first, np.diff(part, append=len(x)), ids.take(part), stretch.take(part)
+        ahead = (np.cumsum(number) - number).take(row.take(part))  # where the lane begins
+        for s, (t, _) in enumerate(stretches):
+            i = np.flatnonzero((of == s) & (n > 0))
+            if len(i):
+                count = np.zeros(len(x) + 1, np.int32)
+                np.cumsum(place < t, out=count[1:])
+                low[i] = count.take(first[i]) - count.take(ahead[i])
+        at = place.astype(np.int64) * self.lanes + row
+        start, times, never = np.zeros(self.sorted.size, np.uint32), np.ones(self.sorted.size, np.uint32), np.zeros(self.sorted.size, bool)
+        start[at], times[at], never[at] = np.repeat(low, long), np.repeat(np.maximum(n, 1), long), np.repeat(n == 0, long)
+        return tuple(x.reshape(self.most, self.lanes) for x in (start, times, never))
 
 
 class Coder:
     """Encodes and decodes blocks of at most ``block`` ids below ``vocabulary``."""
 
     def __init__(self, vocabulary: int, block: int = BLOCK, lanes: int = LANES):
-        if not 0 < vocabulary <= 1 << 18 or STEP * block + vocabulary >= NONE or block > 1 << PLACE or lanes > 1 << 32 - LANE:
+        if not 0 < vocabulary <= 1 << ID or block > 1 << PLACE or lanes > 1 << 16:
             raise ValueError("block, lanes or vocabulary too large")
         self.vocabulary, self.block, self.lanes = vocabulary, block, lanes
         self.names: Names | None = None
@@ -190,46 +219,58 @@ class Coder:
             raise ValueError("a block is too long")
         if any(len(b) and not 0 <= b.min() <= b.max() < self.vocabulary for b in blocks):
             raise ValueError("an id is outside the vocabulary")
-        ids = np.zeros((most, lanes), np.uint32)
+        padded = np.zeros((most + 2, lanes), np.uint32)
+        ids = padded[2:]
         for lane, i in enumerate(order):
             ids[: sizes[i], lane] = blocks[i]
-        live = np.searchsorted(-sizes[order], -np.arange(most), side="left")  # lanes with an id at each step
-        names = self._start(sizes)
-        key, kind = np.zeros((most, lanes), np.uint8), np.full((most, lanes), 3, np.uint8)
-        for t in range(most):
-            k = int(live[t])
-            names.begin(k)
-            right = (names.name == ids[t, :k]) & (names.sure > 0)
-            key[t, :k], kind[t, :k] = names.key, np.where(right[1], 0, np.where(right[0], 1, 2))
-            names.learn(ids[t, :k])
-        start, length = np.zeros((most, lanes), np.uint32), np.ones((most, lanes), np.uint32)
-        seen, stretches = np.zeros((lanes, KEYS, 3), np.int64), self._stretches(most)
-        for (t, to), (lane, place, begin, count) in zip(stretches, ranks(ids, kind, stretches)):
-            shares = Shares(self.vocabulary, seen)
-            at, what = names.table[:lanes] + key[t:to], kind[t:to]
-            two, both = shares.two.take(at), shares.both.take(at)
-            start[t:to] = np.where(what == 0, 0, two)
-            length[t:to] = np.where(what == 0, two, both - two)
-            key_at = lane * KEYS + key[place, lane]
-            unit = shares.unit.take(key_at)
-            start[place, lane], length[place, lane] = shares.both.take(key_at) + begin * unit, count * unit
-            self._count(seen, at, what)
-        state, out, left = np.full(lanes, START), np.empty((lanes, most + 2), np.uint32), np.full(lanes, most + 2)
+        live = np.searchsorted(-sizes[order], -np.arange(most), side="left").tolist()  # lanes with an id at each step
+        key, kind = self._start(sizes).follow(padded, live)
+        kind[np.arange(most)[:, None] >= sizes[order]] = NOTHING
+        start, length = np.empty((most, lanes), np.uint32), np.empty((most, lanes), np.uint32)
+        for i in range(0, lanes, SORTED):
+            some = np.s_[:, i : i + SORTED]
+            start[some], length[some] = self._intervals(ids[some].copy(), key[some].copy(), kind[some].copy())
+        del key, kind
+        state, given = np.full(lanes, START), [(np.empty(0, np.uint16), np.empty(0, np.uint32))]  # lanes and their words
         for t in range(most - 1, -1, -1):
-            k = int(live[t])
+            k = live[t]
             x, size = state[:k], length[t, :k].astype(np.uint64)
-            full = np.flatnonzero(x >= size << np.uint64(64 - BITS))
+            full = np.flatnonzero(x >= size << ROOM)
             if len(full):
-                left[full] -= 1
-                out[full, left[full]] = x[full]
-                x[full] >>= WORD
+                y = x[full]
+                given.append((full.astype(np.uint16), y.astype(np.uint32)))
+                x[full] = y >> WORD
             times = x // size
-            state[:k] = (times << np.uint64(BITS)) + (x - times * size) + start[t, :k]
+            size *= times
+            x -= size
+            x += times << AHEAD
+            x += start[t, :k]
+        lane, words = (np.concatenate(x) for x in zip(*reversed(given)))
+        words = words[np.argsort(lane, kind="stable")].astype("<u4")
+        ends = np.cumsum(np.bincount(lane, minlength=lanes))
         coded: list = [b""] * lanes
         for lane, i in enumerate(order):
-            coded[i] = int(state[lane]).to_bytes(8, "little") + out[lane, left[lane] :].astype("<u4").tobytes()
+            coded[i] = int(state[lane]).to_bytes(8, "little") + words[ends[lane - 1] if lane else 0 : ends[lane]].tobytes()
         return coded
 
+    def _intervals(self, ids: np.ndarray, key: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths on the number line of all ids of some lanes."""
+        stretches = self._stretches(len(ids))
+        start, length, new = Counts(ids, kind).told(stretches)
+        kind[new] = NEW
+        seen = np.zeros((ids.shape[1], KEYS, 4), np.int64)
+        rows = np.arange(0, len(seen) * KEYS, KEYS)
+        for t, to in stretches:
+            shares = Shares(self.vocabulary, seen)
+            row = rows + key[t:to]
+            at = (row << 2) + np.minimum(kind[t:to], NEW)
+            unit = shares.unit.take(at)
+            length[t:to] *= unit
+            start[t:to] *= unit
+            start[t:to] += shares.low.take(at)
+            self._count(seen, row, kind[t:to])
+        return start, length
+
     def _decode(self, coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         sizes = np.array(sizes, dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
@@ -238,41 +279,55 @@ class Coder:
             raise Damaged("a block is too short")
         given = [coded[i] for i in order]
         state = np.array([int.from_bytes(c[:8], "little") for c in given], np.uint64)
-        words = np.frombuffer(b"".join(c[8:] for c in given), "<u4").astype(np.uint64)
+        words = np.frombuffer(b"".join(c[8:] for c in given), "<u4").astype(np.uint32)
         ends = np.cumsum([len(c) // 4 - 2 for c in given])
         at = np.append(0, ends[:-1])
-        words = np.append(words, np.uint64(0))
-        live = np.searchsorted(-sizes[order], -np.arange(most), side="left")
+        words = np.append(words, np.uint32(0))
+        live = np.searchsorted(-sizes[order], -np.arange(most), side="left").tolist()
         names = self._start(sizes)
         ids = np.zeros((most, lanes), np.uint32)
-        key, kind = np.zeros((most, lanes), np.uint8), np.full((most, lanes), 3, np.uint8)
-        seen = np.zeros((lanes, KEYS, 3), np.int64)
+        key, kind = np.zeros((most, lanes), np.uint8), np.full((most, lanes), NOTHING, np.uint8)
+        seen, rows = np.zeros((lanes, KEYS, 4), np.int64), np.arange(0, lanes * KEYS, KEYS)
         for first, to in self._stretches(most):
-            k = int(live[first])
-            shares = Shares(self.vocabulary, seen[:k])
-            finder = Finder(ids[:first, :k], kind[:first, :k], shares.total)
+            shares = Shares(self.vocabulary, seen)
+            one, zero, new = shares.edges
+            held = [Counts(ids[:first, i : i + SORTED].copy(), kind[:first, i : i + SORTED].copy()).held() for i in range(0, lanes, SORTED)] if first else []
+            held, lane = np.concatenate([*held, U64_1]), np.arange(lanes) * first  # at the end, what stands for an id that isn't counted
+            other = np.array(len(held) - 1)
             for t in range(first, to):
-                k = int(live[t])
-                names.begin(k)
-                row = names.table[:k] + names.key
-                two, both = shares.two.take(row), shares.both.take(row)
+                k = live[t]
+                key[t, :k] = now = names.begin(k)
+                row = rows[:k] + now
                 x = state[:k]
-                value = (x & np.uint64(LINE - 1)).view(np.int64)
-                right2 = value < two
-                other, unit = value >= both, shares.unit.take(row)
-                found, begin, count = finder.find(((value - both).view(np.uint64) // unit.view(np.uint64)).view(np.int64))
-                now = np.where(other, found.astype(np.uint32), np.where(right2, names.name[1], names.name[0]))
-                low = np.where(other, both + begin * unit, np.where(right2, 0, two))
-                size = np.where(other, count * unit, np.where(right2, two, both - two))
-                x = size.view(np.uint64) * (x >> np.uint64(BITS)) + (value - low).view(np.uint64)
+                value = (x & WITHIN).astype(np.uint32)
+                counted = value >= zero.take(row, mode="clip")
+                fresh = value >= new.take(row, mode="clip")
+                kind[t, :k] = what = (value >= one.take(row, mode="clip")).view(np.uint8) + counted.view(np.uint8) + fresh.view(np.uint8)
+                row <<= 2
+                row += what
+                unit = shares.unit.take(row, mode="clip")
+                value -= shares.low.take(row, mode="clip")
+                start = value // unit
+                counted ^= fresh
+                entry = held.take(np.where(counted, lane[:k] + start, other), mode="clip")
+                start *= fresh
+                came = np.where(what < COUNTED, np.where(what, names.held[0], names.held[1]) >> U2, (entry >> ID_AT).astype(np.uint32) + start)
+                start += (entry >> FIRST_AT & FIELD).astype(np.uint32)
+                value -= start * unit
+                unit *= (entry & FIELD).astype(np.uint32)
+                x = (x >> AHEAD) * unit
+                x += value
                 need = np.flatnonzero(x < START)
                 if len(need):
-                    x[need] = x[need] << WORD | words.take(at[need], mode="clip")
-                    at[need] += 1
+                    i = at[need]
+                    x[need] = x[need] << WORD | words.take(i, mode="clip")
+                    at[need] = i + 1
                 state[:k] = x
-                ids[t, :k], key[t, :k], kind[t, :k] = now, names.key, np.where(other, 2, ~right2)
-                names.learn(now)
-            self._count(seen, names.table[:lanes] + key[first:to], kind[first:to])
+                ids[t, :k] = came
+                names.learn(came)
+            for i in range(0, lanes, SORTED):
+                some = np.s_[first:to, i : i + SORTED]
+                self._count(seen[i : i + SORTED], rows[: len(seen[i : i + SORTED])] + key[some], kind[some])
         if (at != ends).any() or (state != START).any():
             raise Damaged("a block's end isn't where its ids end")
         out: list = [None] * lanes
@@ -287,10 +342,10 @@ class Coder:
         return [(i, j) for i, j in zip(edges, edges[1:]) if i < j]
 
     @staticmethod
-    def _count(seen: np.ndarray, key: np.ndarray, kind: np.ndarray) -> None:
-        """kind 3: past a block's end."""
+    def _count(seen: np.ndarray, row: np.ndarray, kind: np.ndarray) -> None:
+        """Adds what a stretch holds; past a block's end is nothing."""
         lanes, keys, _ = seen.shape
-        seen += np.bincount((key << 2 | kind).reshape(-1), minlength=4 * lanes * keys).reshape(lanes, keys, 4)[:, :, :3]
+        seen += np.bincount((row << 3 | kind).reshape(-1), minlength=8 * lanes * keys).reshape(lanes, keys, 8)[:, :, :4]
 
 
 def crc_of(ids: np.ndarray, before: int = 0) -> int:

@@ -87,6 +87,57 @@ def test_words_one_by_one_are_the_librarys_ids():
         assert tok.ids(t).tolist() == tok.library.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+def test_words_are_looked_up_once_for_all_texts():
+    tok = idfile.WordTokeniser(vocabulary_path(idfile.TOKENIZER))
+    asked = []
+    tok.learn = lambda piece: asked.append(piece) or idfile.WordTokeniser.learn(tok, piece)
+    texts = ["One two,  two three's", None, "", "日本 語 <|endoftext|>", "two, ONE\n", "<|endoftext|>", " a\xa0b one!\tœuvre", "\0 \x001 one", "x" * 70_000, "Über! über, ÜBER"] * 3
+    ids, stops = tok.of(texts, (1, 7))
+    want = [[*tok.library.encode(t or "", add_special_tokens=False).ids, 1, 7] for t in texts]
+    assert ids.tolist() == sum(want, []) and stops.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert len(asked) == len(set(asked)) > 5
+    assert [x.tolist() for x in tok.of([])] == [[], []]
+
+
+def test_words_of_letters_by_rank():
+    tok = idfile.WordTokeniser(vocabulary_path(idfile.TOKENIZER))
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéèñßöüçœıȥ"), n, p=np.array([25] * 26 + [3] * 10) / 680)) for n in rng.integers(1, 24, 3000)] + ["a" * n for n in range(1, 40)]
+    got = [list(np.frombuffer(tok.word(w), "<u4")) for w in words]
+    assert tok.pieces and got == [tok.library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_tokens_that_a_model_does_not_leave_whole_go_to_the_library(tmp_path):
+    import json
+
+    with open(vocabulary_path(idfile.TOKENIZER), encoding="utf-8") as f:
+        told = json.load(f)
+    model = told["model"]
+    merges = [["b", "c"], ["a", "b"], ["ab", "c"], ["ab", "c</w>"]]  # abc is left as a, bc, which are abc together
+    singles = {t: i for t, i in model["vocab"].items() if i < 512}
+    model["vocab"], model["merges"] = singles | {a + b: 512 + i for i, (a, b) in enumerate(merges)}, merges
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(told))
+    tok = idfile.WordTokeniser(str(path))
+    assert tok.pieces is None and tok.ids("abcd abc, cab").tolist() == tok.library.encode("abcd abc, cab", add_special_tokens=False).ids
+
+
+def test_more_blocks_in_step_for_less_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    blocks = [rng.zipf(1.1, 4096) % 49408 for _ in range(256)]
+    tracemalloc.start()
+    try:
+        coder = idcoder.Coder(49408)
+        back = coder.decode(coder.encode(blocks), [4096] * 256)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all((x == y).all() for x, y in zip(back, blocks))
+    assert coder.lanes >= 2048 and peak / 256 < 200_000  # 512 lanes of 500,000 before
+
+
 def by_brute_force(rows, path):
     from tokenizers import Tokenizer
 
