@@ -37,8 +37,8 @@ LINE, LEAST = 1 << BITS, 1 << 23
 PLACE, ID = 12, 18
 #: Above all ids with their places.
 NONE = np.uint32(1 << PLACE + ID)
-#: Lanes whose ids are sorted at once, and steps that are taken with one table of slots.
-SORTED, WINDOW = 64, 32
+#: Lanes whose ids are sorted at once, and that get their intervals at once; steps that are taken with one table of slots (what fits a core's cache).
+SORTED, FITTED, WINDOW = 64, 16, 8
 #: What is taken to have been seen of a key: the id named by order 2, by order 1, counted by order 0, none of these.
 PRIOR = (1, 1, 1, 1)
 NAMED2, NAMED1, COUNTED, NEW, NOTHING = range(5)
@@ -227,8 +227,8 @@ class Coder:
         key, kind = self._start(sizes).follow(padded, live)
         kind[np.arange(most)[:, None] >= sizes[order]] = NOTHING
         start, length = np.empty((most, lanes), np.uint32), np.empty((most, lanes), np.uint32)
-        for i in range(0, lanes, SORTED):
-            some = np.s_[:, i : i + SORTED]
+        for i in range(0, lanes, FITTED):
+            some = np.s_[:, i : i + FITTED]
             start[some], length[some] = self._intervals(ids[some].copy(), key[some].copy(), kind[some].copy())
         del key, kind
         state, given = np.full(lanes, START), [(np.empty(0, np.uint16), np.empty(0, np.uint32))]  # lanes and their words
